@@ -17,16 +17,25 @@ def _none():
     return F.array().cast(NO_COLUMNS)
 
 
-def fk_from_test(tests: DataFrame, entries: DataFrame, columns: DataFrame) -> DataFrame:
+def resolve_tests(tests: DataFrame, entries: DataFrame, columns: DataFrame) -> DataFrame:
+    """Declared tests with their owner and, for relationships, the entry their target call names.
+
+    The target is passed over when the owner is looked for. ``columns`` are those known before any
+    test is read: project, uid, name.
+    """
+    is_rel = F.col("test") == "relationships"
+    called = resolve_calls(
+        tests.withColumn("call", F.when(is_rel, parse_call("target"))).withColumnRenamed("target", "to_text"),
+        entries, "call", "called")
+    return resolve_test_owner(called.withColumn("excluded", F.col("called.uid")), entries, columns)
+
+
+def fk_from_test(resolved: DataFrame) -> DataFrame:
     """relationships tests -> raw edges. Target: the call, else the other dependency, else the text."""
-    rel = tests.where((F.col("test") == "relationships") & (F.col("column") != ""))
-    called = resolve_calls(rel.withColumn("call", parse_call("target")).withColumnRenamed("target", "to_text"),
-                           entries, "call", "called")
-    owned = resolve_test_owner(called.withColumn("excluded", F.col("called.uid")), entries, columns)
     to_table = first_text(F.coalesce("called.display_name", "other.display_name"), call_label("call"),
                           clean_scalar("to_text"))
     return (
-        owned.where(F.col("owner").isNotNull())
+        resolved.where((F.col("test") == "relationships") & (F.col("column") != "") & F.col("owner").isNotNull())
         .select("project", F.col("owner.display_name").alias("from_table"),
                 F.array("column").alias("from_cols"), to_table.alias("to_table"),
                 F.when(F.col("field") != "", F.array("field")).otherwise(_none()).alias("to_cols"),

@@ -12,8 +12,8 @@ from ..operators.graph import lineage_from_artifacts, lineage_from_sql
 from ..operators.grouping import model_stats
 from ..operators.ordering import qualify_names
 from ..operators.relations import (finalize_relations, fk_from_constraint, fk_from_test, fk_from_yaml,
-                                   mark_fk_columns, union_edges)
-from ..operators.resolve import exclude_skipped_files, match_file_to_entry, resolve_test_owner
+                                   mark_fk_columns, resolve_tests, union_edges)
+from ..operators.resolve import exclude_skipped_files, match_file_to_entry
 from ..functions.arrays import columns_from_map
 from ..sources import artifacts, projects, schema_files
 from ..session import cut_lineage
@@ -36,7 +36,8 @@ class Model:
 def _finish(entries: DataFrame, columns: DataFrame, raw: DataFrame, source: str, mode: str) -> Model:
     tables = entries.select("project", "uid", F.col("display_name").alias("name"),
                             F.lower("display_name").alias("table_key"), "groups", "ord")
-    relations = finalize_relations(raw, tables)
+    # flags, counts and the caller all read the edges
+    relations = cut_lineage(finalize_relations(raw, tables))
     named = mark_fk_columns(columns, relations, tables).join(
         tables.select("project", "uid", F.col("name").alias("table_name"), "table_key"), ["project", "uid"])
     columns = named.select("project", "table_name", "table_key", "name", "type", F.col("type").alias("type_raw"),
@@ -58,8 +59,7 @@ def artifact_model(spark: SparkSession, root: str, lineage: bool = False) -> Mod
     """Compiled manifests and catalogs of all projects below the root."""
     known = projects.discover_projects(spark, root).select("project_dir", "project")
     manifest = artifacts.read_manifest(spark, root)
-    found = artifacts.read_manifest_nodes(manifest).unionByName(artifacts.read_manifest_sources(manifest))
-    entries = qualify_names(found.join(known, "project_dir").drop("project_dir"))
+    entries = qualify_names(artifacts.read_entries(manifest).join(known, "project_dir").drop("project_dir"))
 
     declared = entries.select("project", "uid", F.explode(columns_from_map("column_map")).alias("c")).select(
         "project", "uid", "c.*")
@@ -69,8 +69,7 @@ def artifact_model(spark: SparkSession, root: str, lineage: bool = False) -> Mod
     tests = artifacts.read_manifest_tests(manifest).join(known, "project_dir").drop("project_dir")
     seen = declared.select("project", "uid", "name").unionByName(catalog.select("project", "uid", "name"))
 
-    owned = resolve_test_owner(
-        tests.where(F.col("test").isin("unique", "not_null")).withColumn("excluded", F.lit("")), entries, seen)
+    owned = cut_lineage(resolve_tests(tests, entries, seen))
     flags = test_flags(owned.where(F.col("owner").isNotNull()).withColumn("uid", F.col("owner.uid")))
     if lineage:
         columns = assemble_columns(declared, catalog, flags)
@@ -79,7 +78,7 @@ def artifact_model(spark: SparkSession, root: str, lineage: bool = False) -> Mod
     constraints = constraint_rows(entries, _column_constraints(entries))
     # three operators read the columns from here on, so they are computed once
     columns = cut_lineage(assemble_columns(declared, catalog, flags, constraint_flags(constraints)))
-    raw = union_edges(fk_from_test(tests, entries, columns), fk_from_constraint(constraints, entries, columns))
+    raw = union_edges(fk_from_test(owned), fk_from_constraint(constraints, entries, columns))
     return _finish(entries, columns, raw, "manifest", "erd")
 
 

@@ -109,6 +109,12 @@ def _skipped() -> Column:
                       node["config"]["materialized"])
 
 
+def read_entries(manifest: DataFrame) -> DataFrame:
+    """Everything that is a table: models, seeds, snapshots and sources, skipped ones left out."""
+    table = (F.col("kind") == "source") | is_table_resource(F.col("node.resource_type"))
+    return _entries(manifest.where(table & ~_skipped()))
+
+
 def read_manifest_nodes(manifest: DataFrame) -> DataFrame:
     """Models, seeds and snapshots that exist in the warehouse."""
     return _entries(manifest.where(

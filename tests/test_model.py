@@ -3,7 +3,7 @@
 import pytest
 from projects import write_artifact_project, write_schema_file_project
 
-from schemaloom.plans.model import artifact_model, fleet_model, schema_file_model
+from schemaloom.plans.model import Model, artifact_model, fleet_model, schema_file_model
 from schemaloom.sources.projects import discover_projects
 from schemaloom.sources.sinks import write_model
 
@@ -23,8 +23,8 @@ def compiled(spark, root):
 
 @pytest.fixture(scope="module")
 def written(spark, root):
-    return schema_file_model(spark, root).__class__(**{
-        k: v.where("project = 'shop_yml'") for k, v in schema_file_model(spark, root).parts().items()})
+    model = schema_file_model(spark, root)
+    return Model(*[part.where("project = 'shop_yml'") for part in model.parts().values()])
 
 
 def names(model):
