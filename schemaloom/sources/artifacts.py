@@ -7,7 +7,6 @@ scan and the rows travel on their own from there.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,20 +40,30 @@ def _project_dir(artifact: str) -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), rf"/target/{artifact}\z", "")
 
 
-def read_manifest(spark: SparkSession, paths, repartition: int | None = None) -> DataFrame:
-    """One row per manifest node or source: (project_dir, kind, pos, key, node)."""
-    raw = (spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "manifest.json").json(paths)
-           .select(_project_dir("manifest.json").alias("project_dir"), "nodes", "sources"))
+def manifest_rows(documents: DataFrame) -> DataFrame:
+    """Parsed manifests (project_dir, nodes, sources) -> one row per node: (project_dir, kind, pos, key, node)."""
     rows = [
-        raw.select("project_dir", F.lit(kind).alias("kind"),
-                   F.posexplode(F.map_entries(field)).alias("pos", "entry"))
+        documents.select("project_dir", F.lit(kind).alias("kind"),
+                         F.posexplode(F.map_entries(field)).alias("pos", "entry"))
         .select("project_dir", "kind", (F.col("pos") + F.lit(base).cast("bigint")).alias("pos"),
                 F.col("entry.key").alias("key"), F.col("entry.value").alias("node"))
         for field, kind, base in (("nodes", "model", 0), ("sources", "source", SOURCE_BASE))
     ]
-    both = rows[0].unionByName(rows[1])
-    return both.repartition(repartition) if repartition else both
+    return rows[0].unionByName(rows[1])
+
+
+def read_manifest(spark: SparkSession, paths) -> DataFrame:
+    """Manifest files below the paths -> node rows."""
+    return manifest_rows(
+        spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "manifest.json").json(paths)
+        .select(_project_dir("manifest.json").alias("project_dir"), "nodes", "sources"))
+
+
+def parse_manifests(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Manifests kept as texts in a table (project_dir, text) -> node rows."""
+    return manifest_rows(documents.select("project_dir", F.from_json(text, MANIFEST).alias("m"))
+                         .select("project_dir", "m.nodes", "m.sources"))
 
 
 def compiled_projects(spark: SparkSession, root) -> DataFrame:
@@ -150,26 +159,30 @@ def read_manifest_tests(manifest: DataFrame) -> DataFrame:
     )
 
 
-def read_catalog_columns(spark: SparkSession, paths) -> DataFrame:
-    """Warehouse column types: (project_dir, kind, uid, pos, name, type). No catalog file, no rows."""
-    out = "project_dir string, kind string, uid string, pos bigint, name string, type string"
-    try:
-        raw = (spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True)
-               .option("pathGlobFilter", "catalog.json").json(paths)
-               .select(_project_dir("catalog.json").alias("project_dir"), "nodes", "sources"))
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], out)
-    rows = None
+def catalog_rows(documents: DataFrame) -> DataFrame:
+    """Parsed catalogs (project_dir, nodes, sources) -> (project_dir, kind, uid, pos, name, type)."""
+    parts = []
     for field, kind in (("nodes", "model"), ("sources", "source")):
-        part = (
-            raw.select("project_dir", F.lit(kind).alias("kind"), F.explode(F.map_entries(field)).alias("entry"))
+        parts.append(
+            documents.select("project_dir", F.lit(kind).alias("kind"),
+                             F.explode(F.map_entries(field)).alias("entry"))
             .select("project_dir", "kind", F.col("entry.key").alias("uid"),
                     F.posexplode(F.map_entries("entry.value.columns")).alias("pos", "column"))
             .select("project_dir", "kind", "uid", F.col("pos").cast("bigint").alias("pos"),
                     first_text(F.col("column.value.name"), F.col("column.key")).alias("name"),
-                    first_text(F.col("column.value.type")).alias("type"))
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.where(F.col("name") != "")
+                    first_text(F.col("column.value.type")).alias("type")))
+    return parts[0].unionByName(parts[1]).where(F.col("name") != "")
+
+
+def read_catalog_columns(spark: SparkSession, paths) -> DataFrame:
+    """Warehouse column types. No catalog file below the paths, no rows."""
+    return catalog_rows(
+        spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "catalog.json").json(paths)
+        .select(_project_dir("catalog.json").alias("project_dir"), "nodes", "sources"))
+
+
+def parse_catalogs(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Catalogs kept as texts in a table."""
+    return catalog_rows(documents.select("project_dir", F.from_json(text, CATALOG).alias("c"))
+                        .select("project_dir", "c.nodes", "c.sources"))

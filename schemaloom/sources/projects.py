@@ -11,7 +11,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import first_text, json_text_list
+from ..functions.text import as_col, first_text, json_text_list
 
 # Fixed value: the file that makes a folder a project.
 PROJECT_FILE = "dbt_project.yml"
@@ -51,16 +51,20 @@ def _yaml_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file": batch["file"], "document": documents, "error": errors})
 
 
+def yaml_documents(files: DataFrame) -> DataFrame:
+    """(file, content) -> (file, document JSON, error). The one place that runs Python on rows."""
+    return files.select("file", "content").mapInPandas(_yaml_batches, "file string, document string, error string")
+
+
 def read_yaml(spark: SparkSession, paths, glob: str) -> DataFrame:
-    """YAML files as (file, document JSON, error). The one place that runs Python on rows."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", glob).load(paths))
-    return files.select(F.col("_metadata.file_path").alias("file"), "content").mapInPandas(
-        _yaml_batches, "file string, document string, error string")
+    return yaml_documents(files.select(F.col("_metadata.file_path").alias("file"), "content"))
 
 
-def below_skipped_dir(file: Column, root: str | None = None) -> Column:
+def below_skipped_dir(file, root: str | None = None) -> Column:
     """True when a folder of the path, counted from the root, holds built or vendored files."""
+    file = as_col(file)
     inside = F.substring_index(file, root.rstrip("/"), -1) if root else file
     return F.arrays_overlap(F.split(F.regexp_replace(inside, r"/[^/]*\z", ""), "/"),
                             F.array(*[F.lit(d) for d in SKIP_DIRS]))
@@ -85,14 +89,19 @@ def project_settings(projects: DataFrame) -> DataFrame:
                            *[folders(k, d).alias(k) for k, d in SETTINGS.items()])
 
 
-def discover_projects(spark: SparkSession, root: str) -> DataFrame:
-    """Every project below the root, vendored copies left out, with its settings."""
-    found = read_yaml(spark, root, PROJECT_FILE).where(~below_skipped_dir(F.col("file"), root))
+def find_projects(files: DataFrame, root: str) -> DataFrame:
+    """Settings documents (file, document) -> projects, vendored copies left out."""
+    found = files.where(~below_skipped_dir(F.col("file"), root))
     return project_settings(found.select(
         F.regexp_replace("file", r"/[^/]*\z", "").alias("project_dir"),
         F.coalesce("document", F.lit("{}")).alias("document")))
 
 
+def discover_projects(spark: SparkSession, root: str) -> DataFrame:
+    """Every project below the root with its settings."""
+    return find_projects(read_yaml(spark, root, PROJECT_FILE), root)
+
+
 def pick_source(manifest: DataFrame, schema_files: DataFrame, key: str = "project") -> DataFrame:
     """Per project: rows of the compiled artifacts win, rows of the schema files fill in."""
     return manifest.unionByName(schema_files.join(manifest.select(key).distinct(), key, "left_anti"))

@@ -69,12 +69,17 @@ def _tests(owner: Column) -> Column:
 
 
 def read_schema_yaml(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
-    """One row per table object in a YAML file, skipped ones included and flagged.
+    """Table objects of every YAML file in a project's model, seed and snapshot folders."""
+    return schema_objects(read_yaml(spark, paths, "*.{yml,yaml,YML,YAML}"), projects)
+
+
+def schema_objects(documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """YAML documents -> one row per table object, skipped ones included and flagged.
 
     Columns: project, file, kind, uid, name, source_name, schema, path_qualifier, ord, skipped, object.
     """
-    docs = locate(read_yaml(spark, paths, "*.{yml,yaml,YML,YAML}").where(F.col("document").isNotNull()),
-                  projects, ["model_paths", "seed_paths", "snapshot_paths"])
+    docs = locate(documents.where(F.col("document").isNotNull()), projects,
+                  ["model_paths", "seed_paths", "snapshot_paths"])
     docs = docs.select("project", "file", "relative", F.from_json("document", YAML_FILE).alias("doc"))
     parts = []
     for index, (field, kind) in enumerate(SECTIONS):
@@ -155,51 +160,64 @@ def _text_files(spark: SparkSession, paths, glob: str) -> DataFrame:
             .text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
-def read_model_sql(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
-    """Model scripts: (project, file, relative, kind, name, sql); the file stem is the model's name."""
-    return locate(_text_files(spark, paths, "*.{sql,SQL}"), projects, "model_paths").select(
+def model_scripts(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """(file, value) -> (project, file, relative, kind, name, sql); the file stem is the model's name."""
+    return locate(files, projects, "model_paths").select(
         "project", "file", "relative", F.lit("model").alias("kind"), _stem().alias("name"),
         F.col("value").alias("sql"))
 
 
+def read_model_sql(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
+    return model_scripts(_text_files(spark, paths, "*.{sql,SQL}"), projects)
+
+
 def snapshot_name(sql) -> Column:
     """Name in the opening tag of a snapshot block, '' when there is none."""
     return first_text(F.regexp_extract(sql, r"(?i)\{%-?\s*snapshot\s+([^\s%}]+)\s*-?%\}", 1))
 
 
-def read_snapshot_sql(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
-    return locate(_text_files(spark, paths, "*.{sql,SQL}"), projects, "snapshot_paths").select(
+def snapshot_scripts(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """Like models, but the name stands in the script's opening tag."""
+    return locate(files, projects, "snapshot_paths").select(
         "project", "file", "relative", F.lit("snapshot").alias("kind"),
         first_text(snapshot_name(F.col("value")), _stem()).alias("name"), F.col("value").alias("sql"))
 
 
+def read_snapshot_sql(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
+    return snapshot_scripts(_text_files(spark, paths, "*.{sql,SQL}"), projects)
+
+
 def header_columns(line) -> Column:
     """Cells of a CSV header line."""
     cells = F.transform(F.split(line, ","), lambda c: F.regexp_replace(clean_scalar(c), r"\A\ufeff", ""))
     return F.filter(cells, lambda c: c != "")
 
 
-def read_seed_headers(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
-    """Seed files: (project, file, relative, kind, name, header array) from the first non-blank line.
+def first_lines(lines: DataFrame) -> DataFrame:
+    """First non-blank line per file from (file, at, value); min_by keeps one line per file and task."""
+    return lines.where(trim_space("value") != "").groupBy("file").agg(F.min_by("value", "at").alias("line"))
 
-    The lines stay splittable. The byte offset that ranks them is the block's start plus the line's
-    place in its task, so min_by needs no sort and keeps one line per file and task.
-    """
+
+def seed_headers(files: DataFrame, lines: DataFrame, projects: DataFrame) -> DataFrame:
+    """Seed files: (project, file, relative, kind, name, header array); no line, no columns."""
+    return locate(files.join(first_lines(lines), "file", "left"), projects, "seed_paths").select(
+        "project", "file", "relative", F.lit("seed").alias("kind"), _stem().alias("name"),
+        header_columns(F.coalesce("line", F.lit(""))).alias("header"))
+
+
+def read_seed_headers(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
+    """The lines stay splittable: a line's place is its block's start and its place in the task."""
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,CSV}").text(paths)
         .select(F.col("_metadata.file_path").alias("file"),
                 F.struct(F.col("_metadata.file_block_start").alias("block"),
                          F.monotonically_increasing_id().alias("line")).alias("at"), "value")
     )
-    first = lines.where(trim_space("value") != "").groupBy("file").agg(F.min_by("value", "at").alias("line"))
     # an empty seed still is a table, so the files come from a listing (no content is read for it)
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
               .option("pathGlobFilter", "*.{csv,CSV}").load(paths)
               .select(F.col("_metadata.file_path").alias("file")))
-    files = listed.join(first, "file", "left")
-    return locate(files, projects, "seed_paths").select(
-        "project", "file", "relative", F.lit("seed").alias("kind"), _stem().alias("name"),
-        header_columns(F.coalesce("line", F.lit(""))).alias("header"))
+    return seed_headers(listed, lines, projects)
 
 
 def file_entries(files: DataFrame, origin: Column) -> DataFrame:
