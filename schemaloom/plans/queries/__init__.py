@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import checks, graph, metadata, names, scalars  # noqa: F401
+from . import checks, graph, metadata, names, scalars, scripts  # noqa: F401
