@@ -29,7 +29,15 @@ def clean_scalar(value) -> Column:
 
 def first_text(*values) -> Column:
     """First value that is not blank after cleaning, else ''."""
-    return F.coalesce(*[F.nullif(clean_scalar(v), _blank()) for v in values], _blank())
+    if len(values) == 1:
+        return clean_scalar(values[0])
+    filled = F.filter(F.array(*[clean_scalar(v) for v in values]), lambda x: x != "")
+    return F.coalesce(F.get(filled, 0), _blank())
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def not_blank(value) -> Column:
@@ -99,19 +107,24 @@ def _quoted_args(text: Column) -> Column:
 
 def parse_call(value) -> Column:
     """``source('s','t')`` or ``ref('m')`` / ``ref('pkg','m')`` -> struct, null when neither."""
-    text = first_text(value)
-    source = _quoted_args(F.regexp_extract(text, r"(?s)\bsource\s*\((.*?)\)", 1))
-    ref = _quoted_args(F.regexp_extract(text, r"(?s)\bref\s*\((.*?)\)", 1))
+
+    def args(text, word):
+        return _quoted_args(F.regexp_extract(text, rf"(?s)\b{word}\s*\((.*?)\)", 1))
 
     def call(kind, source_name, package, name):
         return F.struct(F.lit(kind).alias("kind"), source_name.alias("source_name"),
                         package.alias("package"), name.alias("name"))
 
-    return (
-        F.when(F.size(source) >= 2, call("source", source[0], _blank(), source[1]))
-        .when(F.size(ref) >= 2, call("ref", _blank(), ref[0], ref[1]))
-        .when(F.size(ref) == 1, call("ref", _blank(), _blank(), ref[0]))
-    )
+    def choose(found):
+        source, ref = found["source"], found["ref"]
+        return (
+            F.when(F.size(source) >= 2, call("source", F.get(source, 0), _blank(), F.get(source, 1)))
+            .when(F.size(ref) >= 2, call("ref", _blank(), F.get(ref, 0), F.get(ref, 1)))
+            .when(F.size(ref) == 1, call("ref", _blank(), _blank(), F.get(ref, 0)))
+        )
+
+    both = once(first_text(value), lambda text: F.struct(args(text, "source").alias("source"), args(text, "ref").alias("ref")))
+    return once(both, choose)
 
 
 def call_label(call) -> Column:
@@ -126,15 +139,17 @@ def call_label(call) -> Column:
 
 def constraint_target(value) -> Column:
     """``REFERENCES x (a, b) ON DELETE ..`` or ``x (a, b)`` -> struct(leaf, relation, columns)."""
-    text = first_text(value)
-    text = F.regexp_replace(text, r"(?is)\A.*?\breferences\s+", "")
+    text = F.regexp_replace(first_text(value), r"(?is)\A.*?\breferences\s+", "")
     text = trim_space(F.regexp_replace(
         text, r"(?is)\s+\b(on\s+(delete|update)|deferrable|not\s+deferrable)\b.*\z", ""))
     tail = r"\(([^()]*)\)\s*\z"
-    columns = string_list(F.array(F.regexp_extract(text, tail, 1)))
-    head = trim_space(F.regexp_replace(text, tail, ""))
-    return F.struct(relation_leaf(head).alias("leaf"), normalize_relation(head).alias("relation"),
-                    columns.alias("columns"))
+
+    def parts(text):
+        head = trim_space(F.regexp_replace(text, tail, ""))
+        return F.struct(relation_leaf(head).alias("leaf"), normalize_relation(head).alias("relation"),
+                        string_list(F.array(F.regexp_extract(text, tail, 1))).alias("columns"))
+
+    return once(text, parts)
 
 
 def physical_name(kind, alias, identifier, relation_name, name, unique_id) -> Column:

@@ -67,7 +67,7 @@ def lineage_from_artifacts(entries: DataFrame) -> DataFrame:
 def sql_calls(scripts: DataFrame, sql: str = "sql") -> DataFrame:
     """Every ref and source call of a script, in order, as (.., pos, call)."""
     calls = F.regexp_extract_all(F.col(sql), F.lit(r"\b(?:ref|source)\s*\([^)]*\)"), F.lit(0))
-    return (scripts.select(*[c for c in scripts.columns if c != sql], F.posexplode(calls).alias("pos", "_text"))
+    return (scripts.select(*[c for c in scripts.columns if c != sql], F.posexplode_outer(calls).alias("pos", "_text"))
             .withColumn("call", parse_call("_text")).where(F.col("call").isNotNull()).drop("_text"))
 
 

@@ -1,15 +1,17 @@
 """Tables, columns, keys and edges out of script texts, one script per row.
 
-Scripts are cut into tokens (quoted text, brackets, separators, the rest) and the tokens become rows.
-Bracket depth is a running sum over them, so nesting may be as deep as it likes, and statements and
-items are groups of tokens. All of it is partitioned by script: one shuffle for the whole chain. Scripts
-are never shortened.
+Splitting needs to know which separators stand outside quotes and brackets. A pattern answers that
+for text nested up to ``DEPTH`` levels, at the speed of the regex engine. Anything deeper or unbalanced
+goes through a fold over the text's tokens that follows the bracket depth and has no limit. Both work
+inside the script's own row: nothing is shuffled until columns meet their keys. Scripts are never
+shortened.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_name, pretty_type, trim_space, unquote
@@ -45,6 +47,31 @@ _WORD = r"`[^`]*`?|\"[^\"]*\"?|\[[^\]]*\]?|[^\s(,]+"
 _GROUP = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
 
 
+# Nesting the patterns follow; deeper text is folded.
+DEPTH = 12
+
+
+def _nested(depth: int, brackets: str = "()") -> str:
+    """A bracket group with up to ``depth`` groups inside each other.
+
+    Every repeat is possessive: the engine never backtracks into it and runs it as a loop, so long
+    texts need no deep stack.
+    """
+    opens, shuts = (re.escape(b) for b in brackets)
+    inside = "" if depth == 0 else "|" + _nested(depth - 1, brackets)
+    return rf"{opens}(?:[^'\"`{opens}{shuts}]++|{_QUOTED}{inside})*+{shuts}"
+
+
+_GROUPS = _nested(DEPTH)
+_BALANCED = rf"(?s)\A(?:[^'\"`()]++|{_QUOTED}|{_GROUPS})*+\z"
+_BODY = rf"(?s)\A[^(]*+\(((?:[^'\"`()]++|{_QUOTED}|{_GROUPS})*+)\)"
+
+
+def _piece(separator: str) -> str:
+    """A run of text without the separator, groups and quoted text taken whole."""
+    return rf"(?s)(?:[^'\"`(){separator}]++|{_QUOTED}|{_GROUPS})++"
+
+
 def classify_format(text) -> Column:
     """Format of a script text."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
@@ -57,91 +84,131 @@ def classify_format(text) -> Column:
     return result.otherwise("sql")
 
 
-def _tokens(rows: DataFrame, ids: list[str], text, comments: str = "", brackets: str = "()") -> DataFrame:
-    """(ids, pos, tok, depth): depth counts open brackets after the token."""
-    special = "".join(f"\\{c}" for c in brackets)
-    pattern = "(?s)" + "|".join(filter(None, [
-        _QUOTED, comments, rf"[{special};,]", rf"[^'\"`;,#/\-{special}]++", "."]))
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    tok = F.col("tok")
+def _tokens(text, marks: str, comments: str = "") -> Column:
+    """Text -> tokens: each mark alone, comments as a space, quoted text never split."""
+    special = "".join(f"\\{c}" for c in marks)
+    alone = [f"[{special}]"] if marks else []
+    run = [rf"[^'\"`{special}]++", _QUOTED]
     if comments:
-        tok = F.when(tok.rlike(rf"\A(?:{comments})"), " ").otherwise(tok)
-    opens = F.array(*[F.lit(c) for c in brackets[::2]])
-    closes = F.array(*[F.lit(c) for c in brackets[1::2]])
-    step = F.when(F.array_contains(opens, F.col("tok")), 1).when(F.array_contains(closes, F.col("tok")), -1).otherwise(0)
-    return (rows.select(*ids, F.posexplode(tokens).alias("pos", "tok")).withColumn("tok", tok)
-            .withColumn("step", step).withColumn("depth", F.sum("step").over(_running(ids))).drop("step"))
+        starts = "#" if "#" in comments else ""
+        run = [rf"[^'\"`\-/{starts}{special}]++", _QUOTED, r"-(?!-)", r"/(?!\*)"]
+    pattern = "(?s)" + "|".join([*([comments] if comments else []), *alone, f"(?:{'|'.join(run)})++"])
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if not comments:
+        return tokens
+    return F.transform(tokens, lambda x: F.when(x.rlike(rf"\A(?:{comments})"), " ").otherwise(x))
+
+
+def _depth_step(token: Column, brackets: str) -> Column:
+    return (F.when(token.isin(*brackets[::2]), 1).when(token.isin(*brackets[1::2]), -1).otherwise(0))
+
+
+def _text(tokens: Column, start: Column, end: Column) -> Column:
+    """Tokens from start up to end (0-based, end excluded) as text."""
+    return F.array_join(F.slice(tokens, start + 1, end - start), "")
+
+
+def _split(tokens: Column, separator: str, brackets: str = "()") -> Column:
+    """Tokens -> texts between separators that stand outside all brackets."""
+    zero = F.lit(0)
+    spans = "array<struct<start:int,end:int>>"
+    begin = F.struct(zero.alias("at"), zero.alias("depth"), zero.alias("start"),
+                     F.array().cast(spans).alias("spans"))
 
+    def step(state, token):
+        depth = state["depth"] + _depth_step(token, brackets)
+        cut = (token == separator) & (depth == 0)
+        span = F.struct(state["start"].alias("start"), state["at"].alias("end"))
+        return F.struct(
+            (state["at"] + 1).alias("at"), depth.alias("depth"),
+            F.when(cut, state["at"] + 1).otherwise(state["start"]).alias("start"),
+            F.when(cut, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-def _running(ids: list[str]):
-    return W.partitionBy(*ids).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    spans = F.aggregate(tokens, begin, step, lambda s: F.array_append(
+        s["spans"], F.struct(s["start"].alias("start"), s["at"].alias("end"))))
+    return F.transform(spans, lambda p: _text(tokens, p["start"], p["end"]))
 
 
-def _earlier(ids: list[str]):
-    return W.partitionBy(*ids).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+def _first_group(tokens: Column) -> Column:
+    """Places of the first opening bracket and of the one that closes it; -1 when missing."""
+    none = F.lit(-1)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), none.alias("open"), none.alias("close"))
 
+    def step(state, token):
+        depth = state["depth"] + _depth_step(token, "()")
+        return F.struct(
+            (state["at"] + 1).alias("at"), depth.alias("depth"),
+            F.when((state["open"] < 0) & (token == "("), state["at"]).otherwise(state["open"]).alias("open"),
+            F.when((state["close"] < 0) & (token == ")") & (depth == 0), state["at"]).otherwise(
+                state["close"]).alias("close"))
 
-def _joined(when: Column | None = None) -> Column:
-    """Tokens of a group put back together; a group is part of one script."""
-    piece = F.struct("pos", "tok")
-    pieces = F.array_sort(F.collect_list(piece if when is None else F.when(when, piece)))
-    return F.array_join(F.transform(pieces, lambda t: t["tok"]), "")
+    return F.aggregate(tokens, begin, step)
 
 
 def ddl_statements(scripts: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """(ids, stmt, sql): comments blanked, split on ';' outside quotes and brackets."""
-    tokens = _tokens(scripts, ids, F.col(text), comments=rf"--[^\n]*+|#[^\n]*+|{_BLOCK}")
-    ends = (F.col("tok") == ";") & (F.col("depth") == 0)
-    before = F.coalesce(F.sum(ends.cast("int")).over(_earlier(ids)), F.lit(0))
-    return (tokens.withColumn("ends", ends).withColumn("stmt", before.cast("bigint")).where(~F.col("ends"))
-            .groupBy(*ids, "stmt").agg(_joined().alias("sql")).where(trim_space("sql") != ""))
+    """(ids, stmt, sql): comments blanked, split on ';' outside quotes and brackets.
+
+    ``stmt`` grows in script order.
+    """
+    comments = rf"--[^\n]*+|#[^\n]*+|{_BLOCK}"
+    clean = scripts.select(*ids, F.array_join(_tokens(F.col(text), "", comments), "").alias("clean"))
+    pieces = F.when(F.col("clean").rlike(_BALANCED), F.regexp_extract_all("clean", F.lit(_piece(";")), F.lit(0)))
+    # the tokens of the fold get a column of their own: in its lambdas they would be cut again per slice
+    tokens = F.when(F.col("pieces").isNull(), _tokens(F.col("clean"), "();"))
+    return (
+        clean.withColumn("pieces", pieces).withColumn("tokens", tokens)
+        # the outer form: the plain one makes the optimizer test the array first, computing it twice
+        .select(*ids, F.posexplode_outer(F.coalesce("pieces", _split(F.col("tokens"), ";"))).alias("stmt", "sql"))
+        .withColumn("stmt", F.col("stmt").cast("bigint")).where(trim_space("sql") != "")
+    )
 
 
-def _creates(statements: DataFrame, ids: list[str]) -> DataFrame:
-    """Statements that create a table: (ids, stmt, name, after)."""
+def _bodies(statements: DataFrame, ids: list[str]) -> DataFrame:
+    """Statements that create a table: (ids, stmt, name, body, closed)."""
     start = F.regexp_instr("sql", F.lit(CREATE))
     rest = F.substring("sql", start + F.length(F.regexp_extract("sql", CREATE, 0)), F.length("sql"))
     raw = F.regexp_extract(F.substring_index("after", "(", 1), r"(\S+)", 1)
-    return (statements.where(F.col("sql").rlike(CREATE)).withColumn("after", rest)
-            .where(F.contains("after", F.lit("(")) & (raw != ""))
-            .select(*ids, "stmt", bare_name(raw).alias("name"), "after"))
-
-
-def _bodies(statements: DataFrame, ids: list[str]) -> DataFrame:
-    """Tokens of the bracket behind the table name, with ``close`` (null when it never closes)."""
-    keys = [*ids, "stmt"]
-    tokens = _tokens(_creates(statements, ids), [*keys, "name"], F.col("after"))
-    shut = F.min(F.when((F.col("tok") == ")") & (F.col("depth") == 0), F.col("pos")))
-    return tokens.withColumn("close", shut.over(W.partitionBy(*keys, "name")))
+    tokens, group = F.col("tokens"), F.col("group")
+    return (
+        statements.where(F.col("sql").rlike(CREATE)).withColumn("after", rest)
+        .where(F.contains("after", F.lit("(")) & (raw != ""))
+        .select(*ids, "stmt", bare_name(raw).alias("name"), "after", F.col("after").rlike(_BODY).alias("plain"))
+        .withColumn("tokens", F.when(~F.col("plain"), _tokens(F.col("after"), "()")))
+        .withColumn("group", F.when(~F.col("plain"), _first_group(tokens)))
+        .select(*ids, "stmt", "name",
+                F.when(F.col("plain"), F.regexp_extract("after", _BODY, 1)).otherwise(
+                    F.when(group["close"] >= 0, _text(tokens, group["open"] + 1, group["close"]))).alias("body"))
+        .withColumn("closed", F.col("body").isNotNull())
+    )
 
 
 def ddl_tables(statements: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, table_key, name, stmt): first spelling of each table that has a closed body."""
-    closed = _bodies(statements, ids).where("close is not null").select(*ids, "stmt", "name").distinct()
+    closed = _bodies(statements, ids).where("closed")
     return closed.groupBy(*ids, F.lower("name").alias("table_key")).agg(
         F.min_by("name", "stmt").alias("name"), F.min("stmt").alias("stmt"))
 
 
-def ddl_errors(statements: DataFrame, ids: list[str]) -> DataFrame:
+def ddl_errors(statements: DataFrame, items: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, stmt, name, error): bodies that never close and type arguments nested too deep."""
-    open_ = (_bodies(statements, ids).where("close is null").select(*ids, "stmt", "name").distinct()
-             .withColumn("error", F.lit("unbalanced parentheses")))
-    deep = (ddl_items(statements, ids).where((F.col("role") == "column") & F.col("too_deep"))
-            .select(*ids, "stmt", "name", F.lit("type nested too deep").alias("error")))
+    open_ = _bodies(statements, ids).where("not closed").select(
+        *ids, "stmt", "name", F.lit("unbalanced parentheses").alias("error"))
+    deep = items.where((F.col("role") == "column") & F.col("too_deep")).select(
+        *ids, "stmt", "name", F.lit("type nested too deep").alias("error"))
     return open_.unionByName(deep)
 
 
 def ddl_items(statements: DataFrame, ids: list[str]) -> DataFrame:
     """Comma-separated items of table bodies with their role: column, pk, unique, foreign or skip."""
-    keys = [*ids, "stmt", "name"]
-    body = _bodies(statements, ids).where("close is not null")
-    comma = (F.col("tok") == ",") & (F.col("depth") == 1)
-    number = F.coalesce(F.sum(comma.cast("int")).over(_earlier(keys)), F.lit(0))
-    first_open = F.min(F.when(F.col("tok") == "(", F.col("pos"))).over(W.partitionBy(*keys))
+    body = F.col("body")
+    pieces = F.when(body.rlike(_BALANCED), F.regexp_extract_all(body, F.lit(_piece(",")), F.lit(0)))
+    tokens = F.when(F.col("pieces").isNull(), _tokens(body, "(),"))
     items = (
-        body.withColumn("comma", comma).withColumn("item_no", number.cast("bigint")).withColumn("open", first_open)
-        .where((F.col("pos") > F.col("open")) & (F.col("pos") < F.col("close")) & ~F.col("comma"))
-        .groupBy(*keys, "item_no").agg(_joined().alias("item")).where(trim_space("item") != "")
+        # an open body has no pieces and leaves with the blank items
+        _bodies(statements, ids).withColumn("pieces", pieces).withColumn("tokens", tokens)
+        .select(*ids, "stmt", "name", F.posexplode_outer(
+            F.coalesce("pieces", _split(F.col("tokens"), ","))).alias("item_no", "item"))
+        .where(trim_space("item") != "")
     )
     head = F.regexp_extract("item", rf"\A\s*({_WORD})", 1)
     rest = F.regexp_replace("item", rf"\A\s*(?:{_WORD})", "")
@@ -270,46 +337,78 @@ def _bare_id(text: Column) -> Column:
     return trim_space(F.substring_index(text, ".", -1))
 
 
+def _groups(tokens: Column) -> Column:
+    """Outermost bracket groups with the text in front: array of (head, body, closed)."""
+    zero = F.lit(0)
+    spans = "array<struct<head:int,open:int,end:int,closed:boolean>>"
+    begin = F.struct(zero.alias("at"), zero.alias("depth"), zero.alias("head"), zero.alias("open"),
+                     F.array().cast(spans).alias("spans"))
+
+    def span(state, closed):
+        return F.struct(state["head"].alias("head"), state["open"].alias("open"), state["at"].alias("end"),
+                        F.lit(closed).alias("closed"))
+
+    def step(state, token):
+        depth = state["depth"] + _depth_step(token, "()")
+        opens, shuts = (token == "(") & (depth == 1), (token == ")") & (depth == 0)
+        return F.struct(
+            (state["at"] + 1).alias("at"), depth.alias("depth"),
+            F.when(shuts, state["at"] + 1).otherwise(state["head"]).alias("head"),
+            F.when(opens, state["at"]).otherwise(state["open"]).alias("open"),
+            F.when(shuts, F.array_append(state["spans"], span(state, True))).otherwise(state["spans"]).alias("spans"))
+
+    found = F.aggregate(tokens, begin, step, lambda s: F.when(
+        s["depth"] > 0, F.array_append(s["spans"], span(s, False))).otherwise(s["spans"]))
+    return F.transform(found, lambda p: F.struct(
+        _text(tokens, p["head"], p["open"]).alias("head"), _text(tokens, p["open"] + 1, p["end"]).alias("body"),
+        p["closed"].alias("closed")))
+
+
+def _first_true(flags: Column, size: Column) -> Column:
+    """1-based place of the first true flag, behind the end when there is none."""
+    place = F.array_position(flags, F.lit(True)).cast("int")
+    return F.when(place > 0, place).otherwise(size + 1)
+
+
 def cte_bodies(scripts: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """(ids, cte_no, name, body, closed): the chain of ``name AS ( .. )`` behind the first WITH."""
-    clean = F.regexp_replace(F.col(text), rf"(?s)({_QUOTED})|--[^\n]*+|{_BLOCK}", "$1 ")
-    behind = F.regexp_replace(clean, r"(?is)\A.*?\bwith\b", "")
-    tokens = _tokens(scripts.where(clean.rlike(r"(?i)\bwith\b")), ids, behind)
-    opens = (F.col("tok") == "(") & (F.col("depth") == 1)
-    outside = F.col("depth") == 0
-    shuts = (F.col("tok") == ")") & outside
-    seg = F.sum(opens.cast("int")).over(_running(ids)) + F.when(outside & ~shuts, 1).otherwise(0)
-    part = F.when(opens | shuts, "edge").when(outside, "head").otherwise("body")
-    segments = (
-        tokens.withColumn("seg", seg.cast("bigint")).withColumn("part", part).withColumn("shuts", shuts)
-        .groupBy(*ids, "seg").agg(
-            _joined(F.col("part") == "head").alias("head"), _joined(F.col("part") == "body").alias("body"),
-            F.bool_or("shuts").alias("closed"), F.bool_or(F.col("part") == "edge").alias("opened"))
-        .where("opened")
-    )
-    order = W.partitionBy(*ids).orderBy("seg")
+    clean = F.array_join(_tokens(F.col(text), "", rf"--[^\n]*+|{_BLOCK}"), "")
+    behind = F.regexp_replace("clean", r"(?is)\A.*?\bwith\b", "")
     name = r"([`\"]?[\w$]+[`\"]?)"
-    start = F.when(F.row_number().over(order) == 1, F.col("head")).otherwise(
-        # every later head has to begin with the comma
-        F.when(F.col("head").rlike(r"\A\s*,"), F.regexp_replace("head", r"\A\s*,", "")).otherwise("?"))
-    plain = F.regexp_extract("start", rf"(?i)\A\s*{name}\s+as\s*\z", 1)
-    listed = F.regexp_extract("start", rf"(?i)\A\s*{name}\s*\z", 1)
-    as_only = F.col("head").rlike(r"(?i)\A\s+as\s*\z")
-    chain = (
-        segments.withColumn("start", start).withColumn("plain", plain).withColumn("listed", listed)
-        .withColumn("as_only", as_only)
-        .withColumn("next_as", F.coalesce(F.lead("as_only").over(order), F.lit(False)))
-        .withColumn("listing", (F.col("listed") != "") & F.col("next_as") & ~F.contains("body", F.lit("(")))
-        .withColumn("cte", F.when(F.col("plain") != "", F.col("plain")).when(
-            F.col("as_only") & F.lag("listing").over(order), F.lag("listed").over(order)))
-        .withColumn("broken", F.max((F.col("cte").isNull() & ~F.col("listing")).cast("int")).over(
-            order.rowsBetween(W.unboundedPreceding, 0)))
-        # an unclosed body ends the chain behind it
-        .withColumn("open_before", F.max((~F.col("closed")).cast("int")).over(
-            order.rowsBetween(W.unboundedPreceding, -1)))
+    listing, as_only = rf"(?i)\A\s*{name}\s*\z", r"(?i)\A\s+as\s*\z"
+
+    def start(group, i):
+        """Head without its comma; a later head that lacks one starts nothing."""
+        return F.when(i == 0, group["head"]).when(
+            group["head"].rlike(r"\A\s*,"), F.regexp_replace(group["head"], r"\A\s*,", "")).otherwise("?")
+
+    groups = F.col("groups")
+
+    def mark(group, i):
+        before = F.get(groups, i - 1)
+        is_list = (start(group, i).rlike(listing) & ~F.contains(group["body"], F.lit("("))
+                   & F.coalesce(F.get(groups, i + 1)["head"].rlike(as_only), F.lit(False)))
+        plain = F.regexp_extract(start(group, i), rf"(?i)\A\s*{name}\s+as\s*\z", 1)
+        listed = F.regexp_extract(start(before, i - 1), listing, 1)
+        follows = (i > 0) & group["head"].rlike(as_only) & ~F.contains(before["body"], F.lit("(")) & (listed != "")
+        return F.struct((i + 1).cast("bigint").alias("cte_no"),
+                        F.when(plain != "", plain).when(follows, listed).alias("name"),
+                        group["body"].alias("body"), group["closed"].alias("closed"), is_list.alias("is_list"))
+
+    marks = F.col("marks")
+    size = F.size(marks)
+    # the chain ends in front of the first group that is neither, and behind one that never closes
+    broken = _first_true(F.transform(marks, lambda m: m["name"].isNull() & ~m["is_list"]), size) - 1
+    unclosed = _first_true(F.transform(marks, lambda m: ~m["closed"]), size)
+    return (
+        scripts.withColumn("clean", clean).where(F.col("clean").rlike(r"(?i)\bwith\b"))
+        .select(*ids, _tokens(behind, "()").alias("tokens"))
+        .select(*ids, _groups(F.col("tokens")).alias("groups"))
+        .select(*ids, F.transform("groups", mark).alias("marks"))
+        .select(*ids, F.explode_outer(F.slice("marks", F.lit(1), F.least(broken, unclosed, size))).alias("m"))
+        .where("m.name is not null")
+        .select(*ids, "m.cte_no", _bare_id(F.col("m.name")).alias("name"), "m.body", "m.closed")
     )
-    return (chain.where((F.col("broken") == 0) & (F.coalesce("open_before", F.lit(0)) == 0) & F.col("cte").isNotNull())
-            .select(*ids, F.col("seg").alias("cte_no"), _bare_id(F.col("cte")).alias("name"), "body", "closed"))
 
 
 def cte_edges(bodies: DataFrame, ids: list[str]) -> DataFrame:
@@ -318,7 +417,8 @@ def cte_edges(bodies: DataFrame, ids: list[str]) -> DataFrame:
     closed = bodies.where("closed")
     found = (
         closed.select(*ids, "cte_no", F.col("name").alias("from_table"),
-                      F.posexplode(F.regexp_extract_all("body", F.lit(refs), F.lit(1))).alias("pos", "ref"))
+                      F.posexplode_outer(F.regexp_extract_all("body", F.lit(refs), F.lit(1))).alias("pos", "ref"))
+        .where("ref is not null")
         .withColumn("to_name", F.when(F.startswith("ref", F.lit("`")), _bare_id(F.col("ref")))
                     .otherwise(F.lower(_bare_id(F.col("ref")))))
         .withColumn("to_key", F.lower("to_name"))
@@ -339,15 +439,14 @@ def cte_columns(bodies: DataFrame, ids: list[str]) -> DataFrame:
     keys = [*ids, "cte_no", "cte"]
     select_list = trim_space(F.regexp_extract("body", r"(?is)\bselect\b(.*?)(?:\bfrom\b|\z)", 1))
     lists = bodies.where("closed").withColumnRenamed("name", "cte").select(*keys, select_list.alias("list"))
-    tokens = _tokens(lists.where("list <> '' and list <> '*'"), keys, F.col("list"), brackets="()[]")
-    comma = (F.col("tok") == ",") & (F.col("depth") == 0)
-    seg = F.coalesce(F.sum(comma.cast("int")).over(_earlier(keys)), F.lit(0))
-    parts = (tokens.withColumn("comma", comma).withColumn("seg", seg).where(~F.col("comma"))
-             .groupBy(*keys, "seg").agg(trim_space(_joined()).alias("expr")).where("expr <> '' and expr <> '*'"))
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("seg")).cast("bigint")
+    parts = F.filter(F.transform(_split(F.col("tokens"), ",", "()[]"), trim_space),
+                     lambda e: (e != "") & (e != "*"))
     alias = F.regexp_extract("expr", r"(?is)\bas\s+(`[^`]+`|\"[^\"]+\"|[\w$]+)\s*\z", 1)
     word = F.regexp_extract("expr", r"(?s)(`[^`]+`|[\w$]+)\s*\z", 1)
     name = F.when(alias != "", _bare_id(alias)).otherwise(_bare_id(word))
-    return (parts.withColumn("col_no", number)
-            .select(*keys, "col_no", F.when(name != "", name).otherwise(
-                F.concat(F.lit("col"), F.col("col_no").cast("string"))).alias("name")))
+    return (
+        lists.where("list <> '*'").select(*keys, _tokens(F.col("list"), "()[],").alias("tokens"))
+        .select(*keys, F.posexplode_outer(parts).alias("pos", "expr")).where("expr is not null")
+        .withColumn("col_no", (F.col("pos") + 1).cast("bigint"))
+        .select(*keys, "col_no", F.when(name != "", name).otherwise(
+            F.concat(F.lit("col"), F.col("col_no").cast("string"))).alias("name")))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ...operators import export as ex
 from ...operators import mining as m
+from ...session import cut_lineage
 from ..registry import query
+from ..scripts import mine_ddl
 
 # One DDL script per order. Comments, quoted separators, nested types, late keys and an ALTER; every
 # seventh script has a table that never closes.
@@ -25,7 +27,11 @@ IDS = ["script_id"]
 
 
 def _statements(t):
-    return m.ddl_statements(t.derive(DDL).select("script_id", "text"), IDS)
+    return m.ddl_statements(t.derive(DDL).select("script_id", "text").repartition("script_id"), IDS)
+
+
+def _mined(t):
+    return mine_ddl(t.derive(DDL), IDS)
 
 
 @query("classify_format", """SELECT page_id, CASE WHEN page_id % 8 = 0 THEN 'mermaid' WHEN page_id % 8 = 1 THEN 'plantuml' WHEN page_id % 8 = 2 THEN 'dbml'
@@ -40,7 +46,7 @@ def classify_format(t):
     return t.derive(text).select("page_id", m.classify_format("text").alias("format"))
 
 
-@query("ddl_statements", f"""SELECT script_id, unnest(CASE WHEN script_id % 7 = 0 THEN [0, 1, 2, 3] ELSE [0, 1, 2, 3] END) AS stmt FROM ({DDL})""")
+@query("ddl_statements", f"SELECT script_id, unnest([0, 1, 2, 3]) AS stmt FROM ({DDL})")
 def ddl_statements(t):
     return _statements(t).select("script_id", F.col("stmt").cast("int").alias("stmt"))
 
@@ -48,12 +54,12 @@ def ddl_statements(t):
 @query("ddl_tables", f"""SELECT script_id, concat('cust_', o_custkey) AS table_key, concat('Cust_', o_custkey) AS name FROM ({DDL})
 UNION ALL SELECT script_id, concat('ord_', script_id), concat('ord_', script_id) FROM ({DDL})""")
 def ddl_tables(t):
-    return m.ddl_tables(_statements(t), IDS).select("script_id", "table_key", "name")
+    return _mined(t).tables.select("script_id", "table_key", "name")
 
 
 @query("ddl_errors", f"SELECT script_id, 'broken' AS name, 'unbalanced parentheses' AS error FROM ({DDL}) WHERE script_id % 7 = 0")
 def ddl_errors(t):
-    return m.ddl_errors(_statements(t), IDS).select("script_id", "name", "error")
+    return _mined(t).errors.select("script_id", "name", "error")
 
 
 _COLUMNS = (
@@ -68,16 +74,13 @@ D_COLUMNS = " UNION ALL ".join(
 
 @query("ddl_columns", f"SELECT script_id, table_key, item_no, name, type, pk, nn, uniq, fk FROM ({D_COLUMNS})")
 def ddl_columns(t):
-    statements = _statements(t)
-    items = m.ddl_items(statements, IDS)
-    cols = m.ddl_columns(items, IDS, m.ddl_foreign_keys(statements, items, IDS))
-    return cols.withColumn("item_no", (F.col("at") % (1 << 20)).cast("int")).drop("at")
+    return _mined(t).columns.withColumn("item_no", (F.col("at") % (1 << 20)).cast("int")).drop("at")
 
 
 @query("ddl_keys", f"""SELECT script_id, concat('ord_', script_id) AS table_key, unnest(['id', 'code', 'cust_id']) AS name,
   unnest([true, true, false]) AS key_pk, unnest([false, false, true]) AS key_uniq FROM ({DDL})""")
 def ddl_keys(t):
-    items = m.ddl_items(_statements(t), IDS)
+    items = cut_lineage(m.ddl_items(_statements(t), IDS))
     names = m.ddl_columns(items, IDS).select("script_id", "table_key", F.col("at").alias("col_at"), "name")
     return m.ddl_keys(items, IDS).join(names, ["script_id", "table_key", "col_at"]).drop("col_at")
 
@@ -87,9 +90,7 @@ SELECT script_id, concat('ord_', script_id) AS from_table, 'cust_id' AS from_col
 UNION ALL SELECT script_id, concat('ord_', script_id), 'code', concat('ref_', o_orderstatus), 'c1', true FROM ({DDL})
 UNION ALL SELECT script_id, concat('ord_', script_id), 'id,code', 'Ledger', 'x,y', true FROM ({DDL})""")
 def ddl_foreign_keys(t):
-    statements = _statements(t)
-    found = m.ddl_foreign_keys(statements, m.ddl_items(statements, IDS), IDS)
-    return found.select("script_id", "from_table", F.array_join("from_cols", ",").alias("from_cols"), "to_table",
+    return _mined(t).relations.select("script_id", "from_table", F.array_join("from_cols", ",").alias("from_cols"), "to_table",
                         F.array_join("to_cols", ",").alias("to_cols"), "to_missing")
 
 
