@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as scripts see it: Java's \s plus the Unicode spaces and the byte-order mark.
-SPACE = r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Whitespace as scripts see it: ASCII spaces, the Unicode spaces and the byte-order mark.
+SPACES = (" \t\n\x0b\f\r\u00a0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _blank() -> Column:
@@ -18,13 +19,19 @@ def as_col(value) -> Column:
 
 
 def trim_space(value) -> Column:
-    return F.regexp_replace(as_col(value), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(as_col(value), F.lit(SPACES))
+
+
+def has_text(value) -> Column:
+    """Anything but spaces in it; stops at the first such character."""
+    return as_col(value).rlike(r"[^\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def clean_scalar(value) -> Column:
     """Null becomes '', outer spaces go, and one matched pair of outer quotes goes."""
     text = trim_space(F.coalesce(as_col(value).cast("string"), _blank()))
-    return trim_space(F.regexp_replace(text, r"(?s)\A(['\"`])(.*)\1\z", "$2"))
+    quoted = text.rlike(r"\A['\"`]")
+    return F.when(quoted, trim_space(F.regexp_replace(text, r"(?s)\A(['\"`])(.*)\1\z", "$2"))).otherwise(text)
 
 
 def first_text(*values) -> Column:
@@ -54,16 +61,16 @@ def constraint_type(value) -> Column:
 
 
 def strip_identifier(value) -> Column:
-    return F.regexp_replace(first_text(value), r"\A[`\"'\[]+|[`\"'\]]+\z", "")
+    return F.ltrim(F.rtrim(first_text(value), F.lit("`\"']")), F.lit("`\"'["))
 
 
 def _strip_quotes(value: Column) -> Column:
-    return F.regexp_replace(trim_space(value), r"\A[`\"'\[]+|[`\"'\]]+\z", "")
+    return F.ltrim(F.rtrim(trim_space(value), F.lit("`\"']")), F.lit("`\"'["))
 
 
 def _head(value) -> Column:
     """First word of the text once closing semicolons are gone."""
-    return F.element_at(F.split(F.regexp_replace(first_text(value), r";+\z", ""), r"\s+"), 1)
+    return F.regexp_extract(F.rtrim(first_text(value), F.lit(";")), r"\A(\S*)", 1)
 
 
 def _parts(value: Column) -> Column:
@@ -75,8 +82,8 @@ def _last(parts: Column) -> Column:
 
 
 def relation_leaf(value) -> Column:
-    text = trim_space(F.regexp_replace(first_text(value), r";+\z", ""))
-    return strip_identifier(_last(_parts(F.element_at(F.split(text, r"\s+"), 1))))
+    text = trim_space(F.rtrim(first_text(value), F.lit(";")))
+    return strip_identifier(_last(_parts(F.regexp_extract(text, r"\A(\S*)", 1))))
 
 
 def normalize_relation(value) -> Column:
@@ -90,7 +97,7 @@ def relation_tail(value) -> Column:
 
 
 def safe_part(value) -> Column:
-    return F.regexp_replace(F.regexp_replace(first_text(value), r"[\\/]+", "."), r"\A\.+|\.+\z", "")
+    return F.trim(F.regexp_replace(first_text(value), r"[\\/]+", "."), F.lit("."))
 
 
 def string_list(values) -> Column:

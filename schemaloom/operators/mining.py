@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_name, pretty_type, trim_space, unquote
+from ..functions.text import bare_name, has_text, pretty_type, trim_space, unquote
 
 # Format rules, first match wins. A rule is a list of patterns that must all be found.
 FORMAT_RULES = (
@@ -159,7 +159,7 @@ def ddl_statements(scripts: DataFrame, ids: list[str], text: str = "text") -> Da
         clean.withColumn("pieces", pieces).withColumn("tokens", tokens)
         # the outer form: the plain one makes the optimizer test the array first, computing it twice
         .select(*ids, F.posexplode_outer(F.coalesce("pieces", _split(F.col("tokens"), ";"))).alias("stmt", "sql"))
-        .withColumn("stmt", F.col("stmt").cast("bigint")).where(trim_space("sql") != "")
+        .withColumn("stmt", F.col("stmt").cast("bigint")).where(has_text("sql"))
     )
 
 
@@ -208,7 +208,7 @@ def ddl_items(statements: DataFrame, ids: list[str]) -> DataFrame:
         _bodies(statements, ids).withColumn("pieces", pieces).withColumn("tokens", tokens)
         .select(*ids, "stmt", "name", F.posexplode_outer(
             F.coalesce("pieces", _split(F.col("tokens"), ","))).alias("item_no", "item"))
-        .where(trim_space("item") != "")
+        .where(has_text("item"))
     )
     head = F.regexp_extract("item", rf"\A\s*({_WORD})", 1)
     rest = F.regexp_replace("item", rf"\A\s*(?:{_WORD})", "")
@@ -337,7 +337,7 @@ def _bare_id(text: Column) -> Column:
     return trim_space(F.substring_index(text, ".", -1))
 
 
-def _groups(tokens: Column) -> Column:
+def _groups(text: Column, tokens: Column) -> Column:
     """Outermost bracket groups with the text in front: array of (head, body, closed)."""
     zero = F.lit(0)
     spans = "array<struct<head:int,open:int,end:int,closed:boolean>>"
@@ -359,9 +359,15 @@ def _groups(tokens: Column) -> Column:
 
     found = F.aggregate(tokens, begin, step, lambda s: F.when(
         s["depth"] > 0, F.array_append(s["spans"], span(s, False))).otherwise(s["spans"]))
-    return F.transform(found, lambda p: F.struct(
+    folded = F.transform(found, lambda p: F.struct(
         _text(tokens, p["head"], p["open"]).alias("head"), _text(tokens, p["open"] + 1, p["end"]).alias("body"),
         p["closed"].alias("closed")))
+    # balanced text needs no fold: the pattern yields heads and bodies in pairs
+    pair = rf"(?s)((?:[^'\"`()]++|{_QUOTED})*+)\(((?:[^'\"`()]++|{_QUOTED}|{_GROUPS})*+)\)"
+    heads, bodies = (F.regexp_extract_all(text, F.lit(pair), F.lit(g)) for g in (1, 2))
+    paired = F.zip_with(heads, bodies, lambda h, b: F.struct(
+        h.alias("head"), b.alias("body"), F.lit(True).alias("closed")))
+    return F.when(text.rlike(_BALANCED), paired).otherwise(folded)
 
 
 def _first_true(flags: Column, size: Column) -> Column:
@@ -402,8 +408,9 @@ def cte_bodies(scripts: DataFrame, ids: list[str], text: str = "text") -> DataFr
     unclosed = _first_true(F.transform(marks, lambda m: ~m["closed"]), size)
     return (
         scripts.withColumn("clean", clean).where(F.col("clean").rlike(r"(?i)\bwith\b"))
-        .select(*ids, _tokens(behind, "()").alias("tokens"))
-        .select(*ids, _groups(F.col("tokens")).alias("groups"))
+        .select(*ids, behind.alias("behind"))
+        .select(*ids, "behind", F.when(~F.col("behind").rlike(_BALANCED), _tokens(F.col("behind"), "()")).alias("tokens"))
+        .select(*ids, _groups(F.col("behind"), F.col("tokens")).alias("groups"))
         .select(*ids, F.transform("groups", mark).alias("marks"))
         .select(*ids, F.explode_outer(F.slice("marks", F.lit(1), F.least(broken, unclosed, size))).alias("m"))
         .where("m.name is not null")

@@ -172,7 +172,7 @@ def _settle(slim: DataFrame, claims: DataFrame, scope: list[str]) -> DataFrame:
                   # nobody would take the label, or the rival came first: the label is out of reach
                   .where(F.col("_at").isNotNull() & (F.col("_taken_at") < F.col("_at")))
                   .select(*keys, "_label"))
-        taken = labels.unionByName(_own_label_taken(labels, claims, slim, scope)).distinct()
+        taken = labels.unionByName(_own_label_taken(skips, claims, slim, scope)).distinct()
         changed = not (taken.exceptAll(skips).isEmpty() and skips.exceptAll(taken).isEmpty())
         if not changed:
             break

@@ -11,6 +11,7 @@ from ...operators import ordering as o
 from ...operators import resolve as res
 from ...operators import schema_change as ch
 from ...operators import search
+from ...session import cut_lineage
 from ..registry import query
 
 # One entry per customer. Names repeat inside a project often enough to collide.
@@ -443,13 +444,14 @@ QUALIFY row_number() OVER (PARTITION BY project, from_key, lower(from_col), to_k
 
 @query("infer_links_by_key", f"SELECT project, from_key, from_col, to_key, to_col FROM ({D_LINKS}) WHERE rule = 1")
 def infer_links_by_key(t):
-    found = ln.links_by_key_name(t.derive(LINK_COLUMNS))
+    found = ln.links_by_key_name(cut_lineage(t.derive(LINK_COLUMNS)))
     return ln.add_links(found, None, "ord").drop("ord")
 
 
 @query("infer_links", f"SELECT project, from_key, from_col, to_key, to_col, CAST(rule AS BIGINT) AS rule FROM ({D_LINKS})")
 def infer_links(t):
-    return ln.infer_links(t.derive(LINK_COLUMNS), t.derive(LINK_TABLES)).drop("ord").withColumn(
+    # both rules read the columns several times
+    return ln.infer_links(cut_lineage(t.derive(LINK_COLUMNS)), t.derive(LINK_TABLES)).drop("ord").withColumn(
         "rule", F.col("rule").cast("bigint"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import spread, tune
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -32,7 +32,7 @@ class Tables:
     def derive(self, text: str) -> DataFrame:
         """Run an input query; ``{table}`` marks stand for the given tables."""
         used = set(_MARK.findall(text))
-        return self.spark.sql(text, **{name: getattr(self, name) for name in used})
+        return self.spark.sql(text, **{name: spread(getattr(self, name)) for name in used})
 
 
 def oracle_text(text: str) -> str:

@@ -19,13 +19,8 @@ class MinedDdl:
 
 
 def mine_ddl(scripts: DataFrame, ids: list[str], text: str = "text") -> MinedDdl:
-    """All DDL operators over one parse: statements and items are written out once and read by each.
-
-    Scripts are spread first. They arrive packed into few large files, and the patterns are work for
-    the processor and not for the disk.
-    """
-    spread = scripts.select(*ids, text).repartition(*ids)
-    statements = cut_lineage(mining.ddl_statements(spread, ids, text))
+    """All DDL operators over one parse: statements and items are written out once and read by each."""
+    statements = cut_lineage(mining.ddl_statements(scripts.select(*ids, text), ids, text))
     items = cut_lineage(mining.ddl_items(statements, ids))
     relations = mining.ddl_foreign_keys(statements, items, ids)
     return MinedDdl(mining.ddl_tables(statements, ids), mining.ddl_columns(items, ids, relations), relations,

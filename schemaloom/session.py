@@ -58,3 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when its files give fewer tasks than that.
+
+    For work that is heavy per row (text parsing) on few or unsplittable files; a large input already
+    comes in more pieces and is left as it is. Only for plain scans: counting the pieces must not
+    run anything.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
