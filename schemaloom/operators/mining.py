@@ -302,8 +302,11 @@ def _fk(text: str, from_table) -> list[Column]:
             _names(F.regexp_extract(text, FOREIGN_KEY, 4)).alias("to_cols")]
 
 
-def ddl_foreign_keys(statements: DataFrame, items: DataFrame, ids: list[str]) -> DataFrame:
-    """Inline, table-level and ALTER TABLE foreign keys; unknown targets kept, no dedup."""
+def ddl_foreign_keys(statements: DataFrame, items: DataFrame, tables: DataFrame, ids: list[str]) -> DataFrame:
+    """Inline, table-level and ALTER TABLE foreign keys; unknown targets kept, no dedup.
+
+    ``tables`` as of ``ddl_tables``: edges from tables no script creates are dropped.
+    """
     inline = (
         items.where((F.col("role") == "column") & F.col("item").rlike(REFERENCES))
         .withColumn("col_name", bare_name("head"))
@@ -322,7 +325,7 @@ def ddl_foreign_keys(statements: DataFrame, items: DataFrame, ids: list[str]) ->
                 *_fk("tail", bare_name(F.regexp_extract("sql", ALTER_ADD, 1))))
     )
     raw = inline.unionByName(table_level).unionByName(altered)
-    names = ddl_tables(statements, ids).select(*ids, "table_key", F.col("name").alias("known"))
+    names = tables.select(*ids, "table_key", F.col("name").alias("known"))
     return (
         raw.withColumn("table_key", F.lower("from_table")).join(names, [*ids, "table_key"])
         .withColumn("from_table", F.col("known")).drop("known", "table_key")

@@ -149,10 +149,10 @@ def unique_alias(tables: DataFrame, scope: list[str], order: str, name: str = "n
     if claims.isEmpty():
         return based.withColumn("alias", F.when(F.col("_k") == 1, F.col("_base")).otherwise(
             F.concat_ws("_", "_base", F.col("_k").cast("string")))).drop("_base", "_k")
-    return based.join(_settle(slim, cut_lineage(claims), scope), [*scope, "_base", "_k"]).drop("_base", "_k")
+    return based.join(_settle(slim, cut_lineage(claims), scope, block), [*scope, "_base", "_k"]).drop("_base", "_k")
 
 
-def _settle(slim: DataFrame, claims: DataFrame, scope: list[str]) -> DataFrame:
+def _settle(slim: DataFrame, claims: DataFrame, scope: list[str], block: int) -> DataFrame:
     """Aliases for rows whose bases compete for suffixes.
 
     ``skips`` holds (base, label) pairs the base has to jump over. A label is skipped exactly when
@@ -177,16 +177,22 @@ def _settle(slim: DataFrame, claims: DataFrame, scope: list[str]) -> DataFrame:
         if not changed:
             break
         skips = cut_lineage(taken)
-    # the k-th row takes the k-th label that is not skipped: label = k + skips at or below it
-    ranked = skips.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_label")))
-    # skipping label number r in order moves rows with k >= label - (r - 1)
-    moved = ranked.withColumn("_from_k", F.col("_label") - (F.col("_rank") - 1)).select(*keys, "_from_k", "_rank")
-    steps = (slim.select(*keys, "_k", F.lit(None).cast("int").alias("_rank"))
-             .join(moved.select(*keys).distinct(), keys, "left_semi")
-             .unionByName(moved.select(*keys, F.col("_from_k").alias("_k"), "_rank")))
-    last = W.partitionBy(*keys).orderBy("_k", F.col("_rank").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    shifted = (steps.withColumn("_jump", F.max("_rank").over(last)).where(F.col("_rank").isNull())
-               .select(*keys, "_k", "_jump"))
+    # the k-th row takes the k-th label that is not skipped: label = k + skips at or below it.
+    # Skipping label number r in order moves the rows with k >= label - (r - 1).
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_label"))
+    moved = skips.withColumn("_rank", rank).select(*keys, (F.col("_label") - (F.col("_rank") - 1)).alias("_k"), "_rank")
+    rows = slim.select(*keys, "_k", F.lit(None).cast("int").alias("_rank"))
+    steps = rows.join(moved.select(*keys).distinct(), keys, "left_semi").unionByName(moved).withColumn(
+        "_block", F.floor(F.col("_k") / block))
+    # the last move at or before each row, looked for inside its block and carried over between blocks
+    inside = W.partitionBy(*keys, "_block").orderBy("_k", F.col("_rank").asc_nulls_last()).rowsBetween(
+        W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = steps.groupBy(*keys, "_block").agg(F.max("_rank").alias("_most")).select(
+        *keys, "_block", F.max("_most").over(before).alias("_carried"))
+    shifted = (steps.withColumn("_jump", F.max("_rank").over(inside)).where(F.col("_rank").isNull())
+               .join(carried, [*keys, "_block"])
+               .select(*keys, "_k", F.greatest("_jump", "_carried").alias("_jump")))
     label = F.col("_k") + F.coalesce("_jump", F.lit(0))
     alias = F.when(label == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", label.cast("string")))
     return slim.join(shifted, [*keys, "_k"], "left").select(*keys, "_k", alias.alias("alias"))

@@ -19,9 +19,10 @@ class MinedDdl:
 
 
 def mine_ddl(scripts: DataFrame, ids: list[str], text: str = "text") -> MinedDdl:
-    """All DDL operators over one parse: statements and items are written out once and read by each."""
+    """All DDL operators over one parse: what several of them read is written out once."""
     statements = cut_lineage(mining.ddl_statements(scripts.select(*ids, text), ids, text))
     items = cut_lineage(mining.ddl_items(statements, ids))
-    relations = mining.ddl_foreign_keys(statements, items, ids)
-    return MinedDdl(mining.ddl_tables(statements, ids), mining.ddl_columns(items, ids, relations), relations,
+    tables = cut_lineage(mining.ddl_tables(statements, ids))
+    relations = cut_lineage(mining.ddl_foreign_keys(statements, items, tables, ids))
+    return MinedDdl(tables, mining.ddl_columns(items, ids, relations), relations,
                     mining.ddl_errors(statements, items, ids))
