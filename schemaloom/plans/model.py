@@ -58,13 +58,18 @@ def _column_constraints(rows: DataFrame) -> DataFrame:
 def artifact_model(spark: SparkSession, root: str, lineage: bool = False) -> Model:
     """Compiled manifests and catalogs of all projects below the root."""
     known = projects.discover_projects(spark, root).select("project_dir", "project")
-    manifest = artifacts.read_manifest(spark, root)
+    return model_from_artifacts(artifacts.read_manifest(spark, root), artifacts.read_catalog_columns(spark, root),
+                                known, lineage)
+
+
+def model_from_artifacts(manifest: DataFrame, catalog: DataFrame, known: DataFrame, lineage: bool = False) -> Model:
+    """Node rows, catalog rows and (project_dir, project) -> model."""
     entries = qualify_names(artifacts.read_entries(manifest).join(known, "project_dir").drop("project_dir"))
 
     declared = entries.select("project", "uid", F.explode(columns_from_map("column_map")).alias("c")).select(
         "project", "uid", "c.*")
     kinds = entries.select("project", "uid", "kind")
-    catalog = (artifacts.read_catalog_columns(spark, root).join(known, "project_dir")
+    catalog = (catalog.join(known, "project_dir")
                .join(kinds, ["project", "uid", "kind"], "left_semi").select("project", "uid", "name", "type", "pos"))
     tests = artifacts.read_manifest_tests(manifest).join(known, "project_dir").drop("project_dir")
     seen = declared.select("project", "uid", "name").unionByName(catalog.select("project", "uid", "name"))

@@ -14,6 +14,7 @@ from ...operators import relations as r
 from ...operators import resolve as res
 from ...operators.ordering import stable_ordinals
 from ...sources import artifacts, lines, projects, schema_files, sinks
+from ..model import model_from_artifacts
 from ..registry import query
 from .names import ENTRIES, entries
 
@@ -114,6 +115,38 @@ def stable_ordinals_query(t):
     return stable_ordinals(placed, ["project", "uid"]).select("project", "uid", "name", "ord")
 
 
+def _model(t, lineage=False):
+    known = t.customer.select(F.concat(F.lit("/fleet/c"), F.col("c_custkey").cast("string")).alias("project_dir"),
+                              F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("project"))
+    return model_from_artifacts(artifacts.parse_manifests(t.derive(MANIFESTS)),
+                                artifacts.parse_catalogs(t.derive(CATALOGS)), known, lineage)
+
+
+# A disabled seed leaves the relationships test without its second table: the test falls to the model
+# and the text of its target stays as an unknown table.
+@query("artifact_model", f"""
+SELECT concat('p', {KEY}) AS project, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE concat('n_', {KEY}) END AS from_table,
+  'm_id' AS from_cols, CASE WHEN c_custkey % 3 = 0 THEN 'ref(m)' ELSE c_mktsegment END AS to_table, 'id' AS to_cols,
+  c_custkey % 3 = 0 AS to_missing FROM {{customer}}""")
+def artifact_model_relations(t):
+    return _model(t).relations.select(
+        "project", "from_table", F.array_join("from_cols", ",").alias("from_cols"), "to_table",
+        F.array_join("to_cols", ",").alias("to_cols"), "to_missing")
+
+
+@query("artifact_lineage", f"""SELECT concat('p', {KEY}) AS project, concat('raw.t_', {KEY}) AS from_table,
+  c_mktsegment AS to_table FROM {{customer}}""")
+def artifact_lineage(t):
+    return _model(t, lineage=True).relations.select("project", "from_table", "to_table")
+
+
+@query("artifact_model_stats", f"""SELECT concat('p', {KEY}) AS project, 'manifest' AS source, 'erd' AS mode,
+  CAST(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 3 END AS BIGINT) AS tables, CAST(1 AS BIGINT) AS relations,
+  CAST(CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 7 END AS BIGINT) AS columns, CAST(2 AS BIGINT) AS columns_typed FROM {{customer}}""")
+def artifact_model_stats(t):
+    return _model(t).stats
+
+
 # YAML -----------------------------------------------------------------------------------------------
 
 YAML_TEXT = JSON % f"""concat('<models: [<name: ', lower(c_mktsegment), ', columns: [<name: id, data_type: int, tests: [unique, not_null]>, <name: no, tests: [<relationships: <arguments: <to: ref(x), field: id>>>]>]>, <name: off, config: <enabled: ',

@@ -189,3 +189,28 @@ def test_exports(spark):
         "  mail : varchar (9)", "}", "", 'entity "order items" as order_items {', "  user id :  <<FK>>", "}", "",
         "users ||--o{ order_items", "users ||--o{ users", "@enduml"]
     assert lines(export.export("nope", tabs, cols, rels)) == []
+
+
+def test_hot_key_is_split(spark):
+    """Half of the references name one table; the join on that key runs as several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        names = spark.range(2000).selectExpr(
+            "'p' AS project", "cast(id AS string) AS uid", "'model' AS kind", "concat('t', id) AS ref_name", "'' AS source_name",
+            "'' AS package", "concat('t', id) AS display_name")
+        refs = spark.range(0, 60000, 1, 8).selectExpr("'p' AS project", "id", "if(id % 2 = 0, 't7', concat('t', id % 2000)) AS wanted",
+                                                     "repeat(cast(id AS string), 8) AS pad")
+        found = resolve.resolve_ref(refs, names, "wanted")
+        assert found.where("target.display_name = 't7'").count() == 30030
+        found.write.format("noop").mode("overwrite").save()
+        joined = found.groupBy("target.uid").agg(F.max("pad"))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
