@@ -491,17 +491,17 @@ def finalize_relations(t):
         F.array_join("to_cols", ",").alias("to_col"), "to_missing")
 
 
-@query("mark_fk_columns", f"""
-SELECT n.project, n.uid, p.col_key, EXISTS (SELECT 1 FROM ({D_FINAL}) d WHERE d.project = n.project
-  AND d.from_table = n.name AND lower(d.from_col) = p.col_key) AS fk
-FROM ({NAMES}) n CROSS JOIN (SELECT DISTINCT lower(o_orderpriority) AS col_key FROM {{orders}}) p""")
+# Columns named like the priorities (edge columns) and like the status values (plain) of a table's orders.
+MARKED = """SELECT DISTINCT c_custkey % 3 AS project, c_name AS uid, lower(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus
+  ELSE o_orderpriority END) AS col_key FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE c_acctbal > 0"""
+
+
+@query("mark_fk_columns", f"""SELECT m.project, m.uid, m.col_key, d.from_col IS NOT NULL AS fk FROM ({MARKED}) m
+LEFT JOIN (SELECT DISTINCT project, from_table, lower(from_col) AS from_col FROM ({D_FINAL})) d
+ON d.project = m.project AND d.from_table = m.uid AND d.from_col = m.col_key""")
 def mark_fk_columns(t):
     tables = t.derive(NAMES)
-    priorities = t.orders.select(F.lower("o_orderpriority").alias("col_key")).distinct()
-    # a handful of priorities: one list, exploded next to each table
-    listed = priorities.agg(F.collect_set("col_key").alias("keys"))
-    cols = tables.join(F.broadcast(listed)).select("project", "uid", F.explode("keys").alias("col_key"))
-    return r.mark_fk_columns(cols, r.finalize_relations(_raw(t), tables), tables)
+    return r.mark_fk_columns(t.derive(MARKED), r.finalize_relations(_raw(t), tables), tables)
 
 
 @query("distinct_edges", f"""SELECT project, lower(from_table) AS from_key, lower(to_table) AS to_key, min(ord) AS ord

@@ -183,15 +183,10 @@ def batch_strings(t):
                            "filename:project.yml ")
 
 
-@query("default_first", """SELECT c_nationkey, CAST(row_number() OVER (ORDER BY CASE WHEN c_nationkey = 7 THEN 0 ELSE 1 END,
-  c_nationkey) AS BIGINT) AS place FROM (SELECT DISTINCT c_nationkey FROM {customer})""")
+@query("default_first", "SELECT DISTINCT o_orderpriority AS branch, o_custkey AS repo FROM {orders}")
 def default_first(t):
-    branches = t.customer.select("c_nationkey").distinct()
-    ordered = o.default_first(branches, F.col("c_nationkey") == 7, "c_nationkey")
-    # the place is counted per row so that the order itself can be compared; nations are 25
-    listed = ordered.agg(F.collect_list("c_nationkey").alias("all"))
-    return listed.select(F.posexplode("all").alias("pos", "c_nationkey")).select(
-        "c_nationkey", (F.col("pos") + 1).cast("bigint").alias("place"))
+    branches = t.orders.select(F.col("o_orderpriority").alias("branch"), F.col("o_custkey").alias("repo")).distinct()
+    return o.default_first(branches, F.col("branch") == "3-MEDIUM", "branch")
 
 
 @query("sorted_names", "SELECT DISTINCT source, lang FROM {documents} WHERE trim(source) <> '' AND trim(lang) <> ''")

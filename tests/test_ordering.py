@@ -77,3 +77,9 @@ def test_qualify_names_keeps_what_does_not_collide(spark):
     got = {r["uid"]: r["display_name"] for r in o.qualify_names(df).collect()}
     assert got == {"model.pkg0.orders": "a.orders", "model.pkg1.orders": "pkg1.b.orders",
                    "model.pkg2.orders": "pkg2.b.orders", "model.x.solo": "solo"}
+
+
+def test_default_first_and_sorted_names(spark):
+    rows = spark.createDataFrame([(0, "b"), (1, "main"), (2, "a"), (3, " "), (4, "a")], "at int, name string")
+    assert [r["name"] for r in o.default_first(rows, rows["name"] == "main", "at").collect()] == ["main", "b", "a", " ", "a"]
+    assert [r["name"] for r in o.sorted_names(rows, "name").collect()] == ["a", "b", "main"]
