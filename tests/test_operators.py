@@ -26,7 +26,7 @@ def test_group_keys(spark):
     assert (g["domain"], g["layer"], g["folder"]) == ("orders", "staging", "staging/stripe")
     g = groups(spark, name="dim_x", file="models/marts/dim_x.sql")
     assert (g["layer"], g["folder"]) == ("marts", "marts")
-    assert groups(spark, name="stg_gosilico_calibration_x")["domain"] == "gosilico"
+    assert groups(spark, name="stg_acmelab_calibration_x")["domain"] == "acmelab"
     g = groups(spark, name="orders", kind="source", source="Stripe", schema="Analytics")
     assert (g["layer"], g["domain"], g["schema"]) == ("source", "stripe", "analytics")
 
