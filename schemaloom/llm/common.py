@@ -7,7 +7,6 @@ window ever runs over a hot source, host or group of copies.
 
 from __future__ import annotations
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,13 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 4_000_000
 
 
-def ship() -> None:
-    """Send this package's task functions by value, so that workers need no copy of the package."""
-    import schemaloom
-
-    cloudpickle.register_pickle_by_value(schemaloom)
-
-
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_rules
-from .common import ship
+from ..session import shared_folder, ship
+from . import exact_dedup, mixing, packing, token_files, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-ship()
-
 
 def query(name: str, sql: str | None = None):
     def register(plan):
-        QUERIES[name] = plan
+        QUERIES[name] = lambda spark, folder: ship(spark) or plan(spark, folder)
         if sql is not None:
             ORACLES[name] = sql
         return plan
@@ -75,3 +74,16 @@ SELECT doc_id, size, source_size, target, (floor(step * place + shift) - floor(s
 def op7_source_mix(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_pack_documents")
+def op9_pack_documents(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_token_files")
+def op10_token_files(spark, folder):
+    target = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_images(table(spark, folder, "documents"), target)
+    return token_files.read_documents(spark, target)
