@@ -25,6 +25,15 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Rows of a narrow table that one file of a stage holds.
+FILE_ROWS = 1_000_000
+
+
+def cut(table: DataFrame, at_most: int) -> DataFrame:
+    """Write a narrow table that has at most so many rows, in files of about ``FILE_ROWS`` rows."""
+    return cut_lineage(table.coalesce(max(1, -(-at_most // FILE_ROWS))))
+
+
 def small(table: DataFrame) -> DataFrame:
     """A written table with a broadcast hint if its counted rows are few; else as it is (shuffled)."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
@@ -40,8 +49,8 @@ def numbered(rows: DataFrame, within: list[str], order: list[Column], into: str)
     """1-based place of each ``ranged`` row in the order, per group; groups must lead the range keys."""
     keys = [*within, "_bucket"]
     before = W.partitionBy(*within).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                          .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = cut(counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), rows.count())
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return (rows.withColumn("_inside", inside).join(offsets, keys)
             .withColumn(into, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset", "_bucket"))
@@ -50,23 +59,22 @@ def numbered(rows: DataFrame, within: list[str], order: list[Column], into: str)
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes that have an edge (a, b).
 
-    Alternating large-star and small-star steps over a written edge table, with counts of what changed:
-    a star is a minimum per node, so a node with very many edges is combined before the shuffle.
+    Alternating large-star and small-star steps over a written edge table until every tree is a star. A
+    step takes a minimum per node, so a node with very many edges is combined before the shuffle. No
+    step makes more edges than it was given, so the written tables shrink from round to round.
     """
-    now = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                      .where("a < b").distinct())
+    now = cut_lineage(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while True:
+        size = now.count()
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), 2 * size)
         # large star: every larger neighbour is hung below the smallest one
-        large = cut_lineage(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct())
+        large = cut(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct(), size)
         # small star: a node's smaller neighbours are hung below the smallest of them
-        low = cut_lineage(large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")))
-        if low.where("n > 1").isEmpty():
-            roots = low.select(F.col("m").alias("node")).distinct()
-            found = low.select(F.col("b").alias("node"), F.col("m").alias("component"))
-            chained = found.join(roots, found["node"] == roots["node"], "leftsemi")
-            if chained.isEmpty():
-                return cut_lineage(found.unionAll(roots.select("node", F.col("node").alias("component"))))
-        now = cut_lineage(large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-                          .where("a < b").distinct())
+        low = cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), size)
+        tops = low.select(F.col("m").alias("b")).distinct()
+        if low.where("n > 1").isEmpty() and low.join(tops, "b", "leftsemi").isEmpty():
+            stars = low.select(F.col("b").alias("node"), F.col("m").alias("component"))
+            return cut(stars.unionAll(tops.select(F.col("b").alias("node"), F.col("b").alias("component"))), 2 * size)
+        hung = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("b"))
+        now = cut(hung.where("m < b").select(F.col("m").alias("a"), "b").distinct(), 2 * size)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SPACE, small
+from .common import FILE_ROWS, SPACE, cut, small
 
 # Filter slots per row (a power of two of slots is taken, at least this many per row).
 SLOTS_PER_ROW = 16
@@ -45,12 +45,13 @@ def _places() -> list[Column]:
 
 def repeated_slots(digests: DataFrame) -> tuple[DataFrame, int]:
     """(word, bits) of all Bloom slots that two or more rows hit, and the number of words."""
-    words = 1 << max(6, (digests.count() * SLOTS_PER_ROW // 64).bit_length())
+    rows = digests.count()
+    words = 1 << max(6, (rows * SLOTS_PER_ROW // 64).bit_length())
     slots = digests.select(F.explode(F.array(*[_word(words) * 64 + p for p in _places()])).alias("slot"))
     twice = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     table = twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return cut_lineage(table), words
+    return cut(table, rows), words
 
 
 def _tested(rows: DataFrame, table: DataFrame, words: int) -> DataFrame:
@@ -64,24 +65,36 @@ def _tested(rows: DataFrame, table: DataFrame, words: int) -> DataFrame:
             .drop("_word", "word", "bits"))
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row with keep_id, group_size, kept and text_sha256."""
-    carried = [c for c in docs.columns if c not in RESULT]
-    digests = cut_lineage(docs.select(F.col(id_col).alias("id"), digest(text).alias("text_sha256")))
+def _marked(rows: DataFrame, digests: DataFrame, id_col: str) -> DataFrame:
+    """Rows that have text_sha256, with keep_id, group_size and kept; only possibly repeated ones are shuffled."""
+    size = digests.count()
     table, words = repeated_slots(digests)
-    groups = cut_lineage(_tested(digests, table, words).where("_again").groupBy("text_sha256")
-                         .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
-    rows = digests.withColumnRenamed("id", id_col) if set(carried) <= {id_col} else (
-        docs.select(*carried).withColumn("text_sha256", digest(text)))
-    marked = _tested(rows, table, words)
-    alone = (marked.where("not _again").withColumn("keep_id", F.col(id_col))
-             .withColumn("group_size", F.lit(1).cast("bigint")))
-    met = (marked.where("_again").join(groups, "text_sha256", "left")
+    groups = cut(_tested(digests, table, words).where("_again").groupBy("text_sha256")
+                 .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), size)
+    tested = _tested(rows, table, words)
+    alone = tested.where("not _again").withColumn("keep_id", F.col(id_col)).withColumn("group_size", F.lit(1).cast("bigint"))
+    met = (tested.where("_again").join(groups, "text_sha256", "left")
            .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")))
            .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("bigint"))))
-    out = [*carried, "keep_id", "group_size", "text_sha256"]
-    return (alone.select(*out).unionAll(met.select(*out))
-            .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))))
+    out = [*rows.columns, "keep_id", "group_size"]
+    return alone.select(*out).unionAll(met.select(*out)).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+
+
+def _digests(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return cut_lineage(docs.select(F.col(id_col).alias("id"), digest(text).alias("text_sha256")))
+
+
+def groups_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256), one row per row; the texts are read once."""
+    digests = _digests(docs, id_col, text)
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-digests.count() // FILE_ROWS))
+    return _marked(digests.withColumnRenamed("id", id_col), digests, id_col).coalesce(files)
+
+
+def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row with keep_id, group_size, kept and text_sha256."""
+    rows = docs.drop(*RESULT).withColumn("text_sha256", digest(text))
+    return _marked(rows, _digests(docs, id_col, text), id_col)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

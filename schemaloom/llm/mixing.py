@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD, numbered, ranged
+from .common import WORD, cut, numbered, ranged
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 
@@ -50,7 +50,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     target = F.least("cap", F.coalesce(F.col("best") * F.col("weight"), F.col("cap")))
     digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("\x00"))))
     offset = F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / 65536
-    return cut_lineage(found.select("source", "source_no", "source_size", target.alias("target"), offset.alias("offset")))
+    return cut(found.select("source", "source_no", "source_size", target.alias("target"), offset.alias("offset")), 1)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:

@@ -32,8 +32,7 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)""")
 def op5_exact_dedup(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return exact_dedup.annotate(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.groups_of(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 # Fixed values of the contract: (host, path, verdict).
