@@ -1,21 +1,26 @@
 """Token ids of whole texts with a public tokenizer, a word at a time.
 
 The word-end BPE drops white space and never merges across it, so a text's ids are those of its words in
-a row. Each task keeps a bounded table word -> ids and encodes only words it has not met. Texts with
-control characters that Python and the tokenizer split differently, or with the text of a special token,
-are encoded as a whole.
+a row. Arrow splits a batch at ASCII white space and numbers its distinct words; each task keeps a bounded
+table word -> ids and encodes only words it has not met. A word whose end is punctuation behind a letter
+is two units, since the tokenizer parts them there before it merges, and ASCII words are met in lower
+case; words that hold the text of a special token are left as they are.
 """
 
 from __future__ import annotations
 
-import re
+import string
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
 # Distinct words a task remembers before it starts over (about 150 MB).
 REMEMBERED = 600_000
-_ODD = re.compile("[\x1c-\x1f\x85᠎]|<\\|")
+_MARKS = string.punctuation
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -24,66 +29,104 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _steady(text: str) -> bool:
+    """Whether lower case and NFC leave a letter at the end (not a mark, which would join what follows)."""
+    return text.isascii() or (text[-1].lower().isalpha() and is_normalized("NFC", text))
+
+
 class WordEncoder:
     def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
+        # for units of lower-case letters in NFC: nothing to normalise or to part, many in one call
+        self.plain = Tokenizer.from_file(path or tokenizer_path())
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = [i for token, i in self.plain.get_vocab().items() if token.endswith("</w>")]
+        self.ends_unit = np.zeros(self.plain.get_vocab_size() + 1, bool)
+        self.ends_unit[ends] = True
         self.remembered = remembered
         self._clear()
 
     def _clear(self) -> None:
+        # words are one or two units (numbers into the stored ids); unit 0 is empty
         self.words: dict[str, int] = {}
+        self.units: dict[str, int] = {"": 0}
+        self.heads, self.tails = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.store, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.filled = 0
 
-    def _learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at:at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+    def _unit(self, text: str, fresh: list[str]) -> int:
+        at = self.units.get(text)
+        if at is None:
+            at = self.units[text] = len(self.units)
+            fresh.append(text)
+        return at
+
+    def _learn(self, words: list[str]) -> None:
+        fresh: list[str] = []
+        first = len(self.words)
+        while first + len(words) > len(self.heads):
+            self.heads, self.tails = (np.concatenate([x, np.zeros_like(x)]) for x in (self.heads, self.tails))
+        for k, word in enumerate(words, first):
+            special = "<|" in word
+            own = word.lower() if word.isascii() and not special else word
+            stem = own.rstrip(_MARKS)
+            if stem and not special and len(stem) < len(own) and stem[-1].isalpha() and _steady(stem):
+                self.tails[k] = self._unit(own[len(stem):], fresh)
+                own = stem
+            self.heads[k] = self._unit(own, fresh)
+            self.words[word] = k
+        self._store(fresh)
+
+    def _store(self, fresh: list[str]) -> None:
+        """Encode new units, the plain ones together, and number them in the order given."""
+        first = len(self.units) - len(fresh)
+        while len(self.units) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        plain = np.fromiter((u.isalpha() and u == u.lower() and is_normalized("NFC", u) for u in fresh), bool, len(fresh))
+        where = np.flatnonzero(plain)
+        for at in range(0, len(where), 500):
+            part = where[at:at + 500]
+            text = " ".join([fresh[i] for i in part])
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            self._keep(first + part, ids, np.diff(np.flatnonzero(self.ends_unit[ids]), prepend=-1))
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            first, end = len(self.words), self.filled + len(flat)
-            while end > len(self.store):
-                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-            while first + len(part) > len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.store[self.filled:end] = flat
-            self.sizes[first:first + len(part)] = sizes
-            self.starts[first:first + len(part)] = self.filled + np.cumsum(sizes) - sizes
-            self.words.update(zip(part, range(first, first + len(part)), strict=True))
-            self.filled = end
+            self._keep(first + rest, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+
+    def _keep(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.filled + len(flat) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.filled:self.filled + len(flat)] = flat
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.filled + np.cumsum(sizes) - sizes
+        self.filled += len(flat)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last; null counts as empty."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain, split = [], []
-        for i, text in enumerate(texts):
-            if text and _ODD.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out[i] = np.array([*ids, END_ID], np.uint32)
-            else:
-                plain.append(i)
-                split.append(text.split() if text else [])
-        if not plain:
-            return out
         if len(self.words) > self.remembered:
             self._clear()
-        fresh = set().union(*split).difference(self.words)
-        self._learn(sorted(fresh))
-        of = self.words.__getitem__
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        index = np.fromiter((of(w) for words in split for w in words), np.int64, int(counts.sum()))
-        sizes, starts = self.sizes[index], self.starts[index]
+        lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([w for w in distinct if w not in self.words])
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        index = number[coded.indices.to_numpy(zero_copy_only=False)]
+        units = np.stack([self.heads[index], self.tails[index]], axis=1).ravel()
+        sizes, starts = self.sizes[units], self.starts[units]
         before = np.cumsum(sizes) - sizes
         flat = self.store[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        for k, i in enumerate(plain):
-            out[i] = np.append(flat[ends[k]:ends[k + 1]], np.uint32(END_ID))
-        return out
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[2 * edges]
+        return [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -96,7 +139,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def pieces_of(texts, most_chars: int = 4_000_000):
+def pieces_of(texts, most_chars: int = 8_000_000):
     """(from, to) spans of a batch that hold about ``most_chars`` characters, at least one text each."""
     start, held = 0, 0
     for i, text in enumerate(texts):
