@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder, ship
-from . import exact_dedup, mixing, packing, token_files, url_rules
+from . import exact_dedup, mixing, ngram_join, packing, token_files, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,8 @@ def op10_token_files(spark, folder):
     target = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_images(table(spark, folder, "documents"), target)
     return token_files.read_documents(spark, target)
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark, folder):
+    return ngram_join.groups(table(spark, folder, "documents"))
