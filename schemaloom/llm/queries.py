@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder, ship
-from . import exact_dedup, mixing, ngram_join, packing, token_files, url_rules
+from . import exact_dedup, mixing, ngram_join, packing, token_files, url_rules, vector_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op10_token_files(spark, folder):
 @query("op4_ngram_join")
 def op4_ngram_join(spark, folder):
     return ngram_join.groups(table(spark, folder, "documents"))
+
+
+@query("op1_embedding_dedup")
+def op1_embedding_dedup(spark, folder):
+    return vector_dedup.near_dedup(table(spark, folder, "embeddings"))
