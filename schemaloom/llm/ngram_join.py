@@ -11,7 +11,8 @@ sets near a boundary index for both sides), so pairs stay in proportion to the p
 
 Equal sets are one node, whatever their number. Index entries are dealt out by signature in packed
 blocks; a task hands on one entry per signature and block of work, the other entries of a signature it
-already knows to be shared go past the exchange's groups. Of the nodes under a signature, each is
+already knows to be shared go past the exchange's groups. An entry also says how far down the prefix it lies,
+which rules out pairs whose sizes would need it nearer the front. Of the nodes under a signature, each is
 first compared with the smallest one (a line of pairs, not all pairs). Where nodes of one signature then
 still lie in different components, every pair across components is compared as well. So no pair that
 could change a component goes untested, and pairs inside a component need no test.
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 from .common import components, cut, small, tasks
 from .shingles import mix, set_number, shingle_sets
 from .tokens import pieces_of
@@ -92,72 +93,102 @@ def most_lost(n: int, similar: int = SIMILAR) -> int:
     return n - -(-n * similar // 100)
 
 
-def signatures(shingles: np.ndarray, level: np.ndarray, frequent: int, similar: int = SIMILAR) -> np.ndarray:
-    """Distinct signatures of one set."""
+def signatures(shingles: np.ndarray, level: np.ndarray, frequent: int, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct signatures of one set, and for each the number of losses its prefix place makes up for.
+
+    A signature is in the prefix that outlasts k - 1 losses exactly if its number is k at most.
+    """
     n = len(shingles)
     if not n:
-        return shingles
-    own = level[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        return shingles, np.zeros(0, np.int32)
+    size, need = n.bit_length() - 1, most_lost(n, similar) + 1
+    sizes = [size, size + 1] if n * 100 >= similar << (size + 1) else [size]
     spread = mix(shingles)
-    order = np.lexsort((spread, own))
+    own = level[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    key = (own.astype(np.uint64) << np.uint64(56)) | (spread >> np.uint64(8))
+    longest = min(n, need + max(1, (1 << sizes[-1]) // 12))
+    order = np.argpartition(key, longest - 1)[:longest] if longest < n else np.arange(n)
+    order = order[np.argsort(key[order])]
     own, tokens = own[order], spread[order]
     often = own >= frequent
-    need, out = most_lost(n, similar) + 1, []
-    size = n.bit_length() - 1
-    sizes = [size, size + 1] if n * 100 >= similar << (size + 1) else [size]
+    where = np.flatnonzero(often)
+    sigs, places = [], []
     for at in sizes:
-        classes = max(1, (1 << at) // 12)
-        kind = (tokens % np.uint64(classes)).astype(np.int64)
-        # a frequent token counts when its subclass has been met before
-        counts = np.ones(n, np.int64)
-        where = np.flatnonzero(often)
+        counts = np.ones(longest, np.int32)
         if len(where):
-            _, firsts = np.unique(kind[where], return_index=True)
-            counts[where[firsts]] = 0
-        end = int(np.searchsorted(np.cumsum(counts), need)) + 1
-        out.append(mix(tokens[:end][~often[:end]] + np.uint64(1)))
+            # a frequent token counts when its subclass has been met before
+            kind = (tokens[where] % np.uint64(max(1, (1 << at) // 12))).astype(np.int64)
+            counts[where[np.unique(kind, return_index=True)[1]]] = 0
+        place = np.cumsum(counts) - counts + 1
+        end = int(np.searchsorted(place, need, side="right"))
+        rare = ~often[:end]
+        sigs.append(mix(tokens[:end][rare] + np.uint64(1)))
+        places.append(place[:end][rare])
         late = where[where < end]
         if len(late):
-            by = late[np.argsort(kind[late], kind="stable")]
-            bounds = np.flatnonzero(np.diff(kind[by], prepend=-1, append=-1))
+            by = np.lexsort((late, kind[:len(late)]))
+            late, bounds = late[by], np.flatnonzero(np.diff(kind[by], prepend=-1, append=-1))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    group = np.sort(tokens[by[a:b]])
-                    i, j = np.triu_indices(len(group), 1)
-                    out.append(mix(mix(group[i] + np.uint64(at)) + group[j]))
-    return np.unique(np.concatenate(out))
+                    i, j = np.triu_indices(b - a, 1)
+                    x, y = tokens[late[a + i]], tokens[late[a + j]]
+                    sigs.append(mix(mix(np.minimum(x, y) + np.uint64(at)) + np.maximum(x, y)))
+                    places.append(place[late[a + j]])
+    sigs, places = np.concatenate(sigs), np.concatenate(places)
+    first = np.lexsort((places, sigs))
+    sigs, places = sigs[first], places[first]
+    keep = np.concatenate([[True], sigs[1:] != sigs[:-1]])[:len(sigs)]
+    return sigs[keep], places[keep].astype(np.int32)
+
+
+ENTRY = np.dtype([("sig", "<u8"), ("node", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
 
 def shared_signatures(docs: DataFrame, level: np.ndarray, frequent: int, groups: int, similar: int = SIMILAR) -> DataFrame:
-    """(sig, node) of every signature that two or more different sets have, written."""
+    """(sig, node, n, place) of every signature that two or more different sets have, written."""
     table = docs.sparkSession.sparkContext.broadcast(level)  # one byte per counter
 
-    def rows(bucket, kind, sigs, nodes):
-        """One packed row per bucket, for entries in any order."""
+    def rows(bucket, kind, entries):
+        """One packed row per bucket, column by column, for entries in any order."""
         order = np.argsort(bucket, kind="stable")
-        bucket, sigs, nodes = bucket[order], sigs[order], nodes[order]
+        bucket, entries = bucket[order], entries[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(cuts[1:], len(bucket))
-        return pd.DataFrame({"bucket": bucket[cuts], "kind": kind, "sigs": [sigs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)],
-                             "nodes": [nodes[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
+        packed = [b"".join(entries[c][a:b].tobytes() for c in ENTRY.names) for a, b in zip(cuts, ends, strict=True)]
+        return pd.DataFrame({"bucket": bucket[cuts], "kind": kind, "entries": packed})
+
+    def unpacked(data):
+        count, at, out = len(data) // ENTRY.itemsize, 0, None
+        out = np.empty(count, ENTRY)
+        for c in ENTRY.names:
+            out[c] = np.frombuffer(data, ENTRY[c], count, at)
+            at += count * ENTRY[c].itemsize
+        return out
+
+    def ordered(entries):
+        """By signature and node, one entry for each pair of these."""
+        entries = entries[np.lexsort((entries["node"], entries["sig"]))]
+        sig, node = entries["sig"], entries["node"]
+        entries = entries[np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])[:len(entries)]]
+        return entries, np.concatenate([[True], entries["sig"][1:] != entries["sig"][:-1]])[:len(entries)]
 
     def handed(held):
-        sigs = np.concatenate([s for s, _ in held])
-        nodes = np.repeat(np.array([n for _, n in held], np.int64), [len(s) for s, _ in held])
-        order = np.lexsort((nodes, sigs))
-        sigs, nodes = sigs[order], nodes[order]
-        fresh = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])])
-        sigs, nodes = sigs[fresh], nodes[fresh]
-        first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
-        alone = first & np.append(first[1:], True)
-        bucket = ((sigs >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+        entries = np.empty(sum(len(s) for s, _, _, _ in held), ENTRY)
+        sizes = [len(s) for s, _, _, _ in held]
+        entries["sig"] = np.concatenate([s for s, _, _, _ in held])
+        entries["place"] = np.concatenate([p for _, p, _, _ in held])
+        entries["node"] = np.repeat(np.array([x for _, _, x, _ in held], np.int64), sizes)
+        entries["n"] = np.repeat(np.array([n for _, _, _, n in held], np.int32), sizes)
+        entries, first = ordered(entries)
+        alone = first & np.append(first[1:], True)[:len(first)]
+        bucket = ((entries["sig"] >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
         for kind, chosen in ((0, alone), (1, first & ~alone)):
             if chosen.any():
-                yield rows(bucket[chosen], kind, sigs[chosen], nodes[chosen])
+                yield rows(bucket[chosen], kind, entries[chosen])
         if not first.all():
             # the signature is known to be shared here; these entries are dealt out evenly
-            rest = ~first
-            yield rows(nodes[rest] % groups, 2, sigs[rest], nodes[rest])
+            rest = entries[~first]
+            yield rows(rest["node"] % groups, 2, rest)
 
     def run(batches):
         held, size, by_counter = [], 0, table.value
@@ -166,37 +197,44 @@ def shared_signatures(docs: DataFrame, level: np.ndarray, frequent: int, groups:
             for a, b in pieces_of(texts, CHARS):
                 for shingles in shingle_sets(texts[a:b]):
                     if len(shingles):
-                        held.append((signatures(shingles, by_counter, frequent, similar), set_number(shingles)))
+                        held.append((*signatures(shingles, by_counter, frequent, similar), set_number(shingles), len(shingles)))
                         size += len(held[-1][0])
                 if size >= HELD:
                     yield from handed(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield from handed(held)
 
     def met(frame):
-        kinds = np.repeat(frame["kind"].to_numpy(), [len(x) // 8 for x in frame["sigs"]])
-        sigs = np.frombuffer(b"".join(frame["sigs"]), np.uint64)
-        nodes = np.frombuffer(b"".join(frame["nodes"]), np.int64)
-        past, own = kinds == 2, np.flatnonzero(kinds != 2)
-        own = own[np.lexsort((nodes[own], sigs[own]))]
-        s, n, known = sigs[own], nodes[own], kinds[own] == 1
-        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(s)))
-        other = np.concatenate([[False], (s[1:] == s[:-1]) & (n[1:] != n[:-1])]) if len(s) else np.zeros(0, bool)
-        shared = np.repeat(np.add.reduceat((known | other).astype(np.int64), starts) > 0, sizes) if len(s) else other
-        return pd.DataFrame({"sig": np.concatenate([s[shared], sigs[past]]).view(np.int64),
-                             "node": np.concatenate([n[shared], nodes[past]])})
-
-    packed = docs.mapInPandas(run, "bucket bigint, kind int, sigs binary, nodes binary")
-    return cut_lineage(packed.groupBy("bucket").applyInPandas(met, "sig bigint, node bigint"))
+        parts = [unpacked(x) for x in frame["entries"]]
+        kinds = np.repeat(frame["kind"].to_numpy(), [len(x) for x in parts])
+        entries = np.concatenate(parts)
+        past = entries[kinds == 2]
+        known = np.unique(entries["sig"][kinds == 1])
+        own, first = ordered(entries[kinds != 2])
+        single = first & np.append(first[1:], True)[:len(first)]
+        kept = np.concatenate([own[~single | np.isin(own["sig"], known)], past])
+        return pd.DataFrame({"sig": kept["sig"].view(np.int64) if kept["sig"].flags.c_contiguous else kept["sig"].astype(np.int64),
+                             "node": kept["node"], "n": kept["n"], "place": kept["place"]})
+
+    packed = docs.mapInPandas(run, "bucket bigint, kind int, entries binary")
+    return cut_lineage(packed.groupBy("bucket").applyInPandas(met, "sig bigint, node bigint, n int, place int"))
+
+
+def may_link(similar: int = SIMILAR):
+    """Of two entries (n, place) and (n_b, place_b) of one signature: whether the places allow a link by it.
+
+    Two sets link with an overlap of at least o = ceil(similar (n + n_b) / (100 + similar)), so either loses its size
+    less o, and they share a signature whose places are both within these losses plus one.
+    """
+    overlap = F.ceil(F.lit(similar) * (F.col("n") + F.col("n_b")) / F.lit(100.0 + similar) - 1e-9)
+    return (F.col("place") <= F.col("n") - overlap + 1) & (F.col("place_b") <= F.col("n_b") - overlap + 1)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose sets are similar, written; sets are made anew from whole texts of the nodes needed."""
     sized = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("rep").alias("rep_a")), "a")
-             .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b")), "b")
-             .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similar))
+             .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b")), "b"))
     sized = cut(sized, pairs.count())
     wanted = cut(sized.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), 2 * sized.count())
 
@@ -216,6 +254,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int =
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(id, n_shingles, component_id), one row per row."""
+    ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     seen, sketch = profile(own)
     totals = seen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
@@ -224,18 +263,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     deal = max(2 * tasks(docs.sparkSession), totals["shingles"] // 3 // GROUP)
     index = shared_signatures(own, level, frequent, deal, similar)
     # each node against the smallest one under its signature
-    lead = index.groupBy("sig").agg(F.min("node").alias("a"))
+    lead = index.groupBy("sig").agg(F.min_by(F.struct("node", "n", "place"), "node").alias("lead"))
     size = index.count()
-    stars = cut(index.join(lead, "sig").where("node != a").select("a", F.col("node").alias("b")).distinct(), size)
+    stars = (index.join(lead, "sig").where("node != lead.node")
+             .withColumns({"a": F.col("lead.node"), "n_b": F.col("lead.n"), "place_b": F.col("lead.place")}))
+    stars = cut(stars.where(may_link(similar)).select("a", F.col("node").alias("b")).distinct(), size)
     links = verified(stars, nodes, own, similar)
     # pairs across components under one signature
     part = components(links)
-    placed = cut_lineage(index.join(part, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part")))
+    placed = cut_lineage(index.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
     open_sigs = cut(placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"))
                     .where("lo != hi and n > 2").select("sig"), size)
     left = cut_lineage(placed.join(open_sigs, "sig", "leftsemi"))
-    right = left.select("sig", F.col("node").alias("other"), F.col("part").alias("other_part"))
-    across = (left.join(right, "sig").where("part < other_part")
+    right = left.select("sig", F.col("node").alias("other"), F.col("n").alias("n_b"), F.col("place").alias("place_b"),
+                        F.col("part").alias("other_part"))
+    across = (left.join(right, "sig").where("part < other_part").where(may_link(similar))
               .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
               .join(stars, ["a", "b"], "leftanti"))
     across = cut_lineage(across)

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .tokens import encoder, pieces_of, tokenizer_path
 
 SEQUENCE, SEGMENTS, WAITING = 4096, 256, 1024
@@ -98,6 +99,7 @@ def pack(examples: DataFrame, id_col: str = "doc_id", text: str = "text", prompt
 
     ``prompt`` names a column whose tokens come before the text's and bear no loss.
     """
+    ship(examples.sparkSession)
     path, most_loss = path or tokenizer_path(), loss or tokens
     kind = examples.schema[id_col].dataType.simpleString()
     schema = SCHEMA.format(id=kind) + (", ids binary" if ids else "")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder, ship
+from ..session import shared_folder
 from . import exact_dedup, mixing, ngram_join, packing, token_files, url_rules, vector_dedup
 
 QUERIES: dict = {}
@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(plan):
-        QUERIES[name] = lambda spark, folder: ship(spark) or plan(spark, folder)
+        QUERIES[name] = plan
         if sql is not None:
             ORACLES[name] = sql
         return plan

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import tasks
 from .tokens import encoder, pieces_of, tokenizer_path
 
@@ -124,6 +125,7 @@ class Image:
 def images(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None,
            image_ids: int = IMAGE_IDS) -> DataFrame:
     """(part, seq, n_docs, n_ids, image) of all documents, ids ascending along (part, seq)."""
+    ship(docs.sparkSession)
     path = path or tokenizer_path()
     order = F.col("id").asc_nulls_last()
     placed = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -163,6 +165,7 @@ def write_images(docs: DataFrame, folder: str, **settings) -> None:
 
 def read_documents(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents in the files; with ``ids`` the ids too."""
+    ship(spark)
     files = spark.read.schema(IMAGE_SCHEMA).parquet(folder)
     sizes = files.groupBy("part", "seq").agg(F.sum("n_ids").alias("n"))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 from .common import components, cut, tasks
 
 LIMIT, WINDOW, BITS, MISSED, SEED = 0.93, 32, 48, 1e-4, 7
@@ -145,6 +145,7 @@ def counted_links(members: DataFrame, limit: float = LIMIT, tile: int = TILE) ->
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label",
                limit: float = LIMIT, window: int = WINDOW) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row."""
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vector"), F.lit(False)))
     nodes = cut_lineage(rows.where("ok").groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
