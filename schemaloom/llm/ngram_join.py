@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, ship
 from .common import components, cut, small, tasks
 from .shingles import mix, set_number, shingle_sets
-from .tokens import pieces_of
+from .tokens import pieces_of, plain_ids
 
 # Similarity in hundredths.
 SIMILAR = 75
@@ -46,17 +46,13 @@ HELD, GROUP = 1_000_000, 1_000_000
 CHARS = 1_000_000
 
 
-def _ids(batch) -> list:
-    return [None if i is None or i != i else int(i) for i in batch["id"].tolist()]
-
-
 def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(id, n, node) of every document, written, and the counters of the sketch over all of them."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            texts, ids = batch["text"].tolist(), _ids(batch)
+            texts, ids = batch["text"].tolist(), plain_ids(batch["id"])
             for a, b in pieces_of(texts, CHARS):
                 sets = shingle_sets(texts[a:b])
                 total = np.concatenate(sets)
@@ -240,7 +236,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int =
 
     def run(batches):
         for batch in batches:
-            texts, ids = batch["text"].tolist(), _ids(batch)
+            texts, ids = batch["text"].tolist(), plain_ids(batch["id"])
             for a, b in pieces_of(texts, CHARS):
                 yield pd.DataFrame({"id": ids[a:b], "shingles": [s.view(np.int64) for s in shingle_sets(texts[a:b])]})
 

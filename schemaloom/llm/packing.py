@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .tokens import encoder, pieces_of, tokenizer_path
+from .tokens import encoder, pieces_of, plain_ids, tokenizer_path
 
 SEQUENCE, SEGMENTS, WAITING = 4096, 256, 1024
 
@@ -125,12 +125,11 @@ def pack(examples: DataFrame, id_col: str = "doc_id", text: str = "text", prompt
         for batch in batches:
             if packer is None and len(batch):
                 packer = Packer(int(batch["task"].iloc[0]) << 32, tokens, segments, most_loss, waiting)
-            texts, prompts, names = batch["text"].tolist(), batch["prompt"].tolist(), batch["id"].tolist()
+            texts, prompts, names = batch["text"].tolist(), batch["prompt"].tolist(), plain_ids(batch["id"])
             for a, b in pieces_of(texts):
                 heads = encode(prompts[a:b]) if prompt else [None] * (b - a)
                 for name, head, own in zip(names[a:b], heads, encode(texts[a:b]), strict=True):
                     kept = own if head is None else np.concatenate([head[:-1], own])
-                    name = None if name is None or name != name else name
                     packer.add((name, kept), len(kept), 0 if head is None else len(head) - 1)
                 yield drained()
         if packer is not None:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_folder
-from . import exact_dedup, mixing, ngram_join, packing, token_files, url_rules, vector_dedup
+from . import exact_dedup, language, mixing, ngram_join, packing, token_files, toxicity, url_rules, vector_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,18 @@ def op4_ngram_join(spark, folder):
 @query("op1_embedding_dedup")
 def op1_embedding_dedup(spark, folder):
     return vector_dedup.near_dedup(table(spark, folder, "embeddings"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    out = language.held_out(folds=5, fold=0)
+    model = language.learn(docs.where(~out))
+    return language.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, folder):
+    docs, out = table(spark, folder, "documents"), toxicity.held_out(folds=4, fold=2)
+    model = toxicity.learn(docs.where(~out), table(spark, folder, "labels").where(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import tasks
-from .tokens import encoder, pieces_of, tokenizer_path
+from .tokens import encoder, pieces_of, plain_ids, tokenizer_path
 
 IMAGE_IDS = 2_000_000
 EVERY = 64
@@ -144,7 +144,7 @@ def images(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
             if not len(batch):
                 continue
             part, texts = int(batch["part"].iloc[0]), batch["text"].tolist()
-            own = [None if i is None or i != i else int(i) for i in batch["id"].tolist()]
+            own = plain_ids(batch["id"])
             for a, b in pieces_of(texts):
                 for name, ids in zip(own[a:b], encode(texts[a:b]), strict=True):
                     names.append(name)

@@ -139,6 +139,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def plain_ids(column) -> list:
+    """A batch's ids as Python values, nulls as None (pandas turns a column with nulls to floats)."""
+    return [None if i is None or i != i else (int(i) if isinstance(i, float) else i) for i in column.tolist()]
+
+
 def pieces_of(texts, most_chars: int = 8_000_000):
     """(from, to) spans of a batch that hold about ``most_chars`` characters, at least one text each."""
     start, held = 0, 0
