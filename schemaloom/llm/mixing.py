@@ -31,7 +31,8 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """One row per source: number, size, target words and offset. Sources are few next to documents.
 
     The level at which shares meet their caps is found along the order of cap / weight: the first
-    source that can take its share of what is left, and all after it, take it; those before are full.
+    source that can take its share of what is left, and all after it, take it; those before are full. Any later
+    source would give a lower level, so the level sought is the highest that a source can take.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -46,7 +47,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
              / F.sum("weight").over(along.rowsBetween(W.currentRow, W.unboundedFollowing)))
     whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     levels = given.withColumn("level", level)
-    found = levels.withColumn("best", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
+    found = levels.withColumn("best", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
     target = F.least("cap", F.coalesce(F.col("best") * F.col("weight"), F.col("cap")))
     digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("\x00"))))
     offset = F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / 65536

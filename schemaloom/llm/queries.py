@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import exact_dedup, language, mixing, ngram_join, packing, token_files, toxicity, url_rules, vector_dedup
+from . import exact_dedup, language, licenses, mixing, ngram_join, packing, token_files, toxicity, url_rules, vector_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +63,7 @@ w AS (SELECT *, [3.0, 1.0, 2.0][((no - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0:
 l AS (SELECT *, ((SELECT 1.5::DOUBLE * sum(source_size) FROM s)
                  - coalesce(sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(weight) OVER (ORDER BY cap / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-b AS (SELECT min(level) AS best FROM l WHERE level <= cap / weight),
+b AS (SELECT max(level) AS best FROM l WHERE level <= cap / weight),
 t AS (SELECT source, source_size, least(cap, coalesce(best * weight, cap)) AS target,
              ('0x' || substr(md5('mix-1/' || coalesce(source, chr(0))), 1, 4))::BIGINT / 65536.0::DOUBLE AS shift FROM l, b),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.shift,
@@ -111,3 +112,12 @@ def op2_toxicity(spark, folder):
     docs, out = table(spark, folder, "documents"), toxicity.held_out(folds=4, fold=2)
     model = toxicity.learn(docs.where(~out), table(spark, folder, "labels").where(~out))
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark, folder):
+    """Documents as files ``source/language/id``; a text of at most 40 words counts as its folder's licence file."""
+    docs = table(spark, folder, "documents").withColumn(
+        "path", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string")))
+    short = mixing.words_in(F.col("text")) <= 40
+    return licenses.scan(docs, "doc_id", "path", "text", short, licenses.default_templates(spark))

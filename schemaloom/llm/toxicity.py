@@ -28,7 +28,9 @@ from ..session import cut_lineage, ship
 from .tokens import pieces_of, plain_ids
 
 WINDOW, STEP = 48, 24
-SAMPLE, SPANS, ROUNDS, SEED = 800, 16, 14, 11
+SAMPLE, SPANS, ROUNDS, SEED = 1000, 16, 14, 11
+# Chance that a word loses its word or character part while training, and weight decay times training texts.
+DROPPED, DECAY = 0.3, 0.3
 THRESHOLD = 0.3
 WORDS, SEEN_IN, TRIGRAMS = 20_000, 4, 4096
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 6, 8, 8
@@ -193,11 +195,16 @@ def train(spans: list[list[str]], toxic: np.ndarray, rounds: int = ROUNDS, seed:
     text_of = np.repeat(owner, np.diff(edges))
     pairs = np.unique(index.astype(np.int64) * (len(spans) + 1) + text_of)
     seen = np.bincount(pairs // (len(spans) + 1), minlength=len(words))
-    total: dict[str, int] = {}
-    for w, n in zip(words, seen, strict=True):
-        total[w] = total.get(w, 0) + int(n)
+    bad = np.bincount(pairs // (len(spans) + 1), toxic[pairs % (len(spans) + 1)], len(words))
+    total, ill = {}, {}
+    for w, n, b in zip(words, seen, bad, strict=True):
+        total[w], ill[w] = total.get(w, 0) + int(n), ill.get(w, 0) + float(b)
     common = sorted((w for w, n in total.items() if n >= SEEN_IN and w), key=lambda w: (-total[w], w))[:WORDS]
     net, rng = Network(init(len(common), seed), common), np.random.default_rng(seed)
+    # a word's first coordinate starts from how much more often toxic texts have it
+    sums = np.array([float((toxic == 1).sum()), float((toxic == 0).sum())])
+    odds = [np.log((ill[w] + 0.5) / (sums[0] + 1)) - np.log((total[w] - ill[w] + 0.5) / (sums[1] + 1)) for w in common]
+    net.p["word"][1:, 0] = np.array(odds, np.float32)
     numbers, grams, starts, sizes = net.inputs(words)
     gram_of = np.repeat(np.arange(len(words)), sizes)
     index = np.append(index, len(words))
@@ -227,6 +234,10 @@ def train(spans: list[list[str]], toxic: np.ndarray, rounds: int = ROUNDS, seed:
             own_starts = np.cumsum(own_sizes) - own_sizes
             own = (numbers[used], grams[picked], own_starts, own_sizes)
             x = net.embed(*own)
+            # now without characters, now without words: neither may learn the texts by heart
+            kept = np.repeat(rng.random((len(x), 2)) >= DROPPED, [WORD_DIM, CHAR_DIM], axis=1).astype(np.float32)
+            kept[:, 0] = 1
+            x = x * kept
             tables = net.tables(x)
             logit, cache = forward(p, tables, local, mask[:, some], keep=True)
             slope = ((_sigmoid(logit) - toxic[owner[some]]) * share[owner[some]] / len(some)).astype(np.float32)
@@ -236,13 +247,14 @@ def train(spans: list[list[str]], toxic: np.ndarray, rounds: int = ROUNDS, seed:
                 d = d_tables[way][:-1]
                 g[f"{way}_x"], g[f"{way}_c"] = x.T @ d, d.sum(axis=0)
                 d_x += d @ p[f"{way}_x"].T
+            d_x *= kept
             g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
             np.add.at(g["word"], own[0], d_x[:, :WORD_DIM])
             np.add.at(g["char"], own[1], np.repeat(d_x[:, WORD_DIM:] / own_sizes[:, None], own_sizes, axis=0))
             g["word"][0] = 0
             step += 1
             for k in p:
-                grad = g[k] + 1e-4 * p[k]
+                grad = g[k] + DECAY / len(spans) * p[k]
                 m1[k] = 0.9 * m1.get(k, 0) + 0.1 * grad
                 m2[k] = 0.98 * m2.get(k, 0) + 0.02 * grad ** 2
                 p[k] -= (0.01 * (m1[k] / (1 - 0.9 ** step)) / (np.sqrt(m2[k] / (1 - 0.98 ** step)) + 1e-6)).astype(np.float32)
@@ -303,3 +315,19 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def clean_rows(docs: DataFrame, model: Network | float, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, all columns as they are; nothing is shuffled."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, float) else (model.p, model.vocabulary))
+
+    def run(batches):
+        net = shared.value if isinstance(shared.value, float) else Network(*shared.value)
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for a, b in pieces_of(texts, CHARS):
+                found = np.full(b - a, net) if isinstance(net, float) else net.scores(texts[a:b])
+                yield batch.slice(a, b - a).filter(pa.array(found < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
