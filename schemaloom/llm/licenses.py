@@ -14,6 +14,8 @@ Rows are kept one to one; repeated ids share the best find of their rows. Only t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,20 +58,31 @@ def weighted(templates: DataFrame) -> tuple[DataFrame, float, list[str]]:
     raw = counts.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = raw.groupBy("template").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     table = cut_lineage(raw.join(norm, "template").select("term", "template", "license", (F.col("raw") / F.col("norm")).alias("weight"), "idf"))
-    import math
-
     return table, math.log(1.0 + total) + 1, sorted(r["term"] for r in table.select("term").distinct().collect())  # template terms only
 
 
+def reach(table: DataFrame) -> Column:
+    """The highest sum of squared template weights over the terms in ``shared``."""
+    squares: dict[int, list] = {}
+    for r in table.collect():  # the templates' terms
+        squares.setdefault(r["template"], []).extend([r["term"], r["weight"] ** 2])
+    def total(flat: list) -> Column:
+        of = F.create_map(*[F.lit(x) for x in flat])
+        return F.aggregate("shared", F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(of, t), F.lit(0.0)))
+
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[total(flat) for flat in squares.values()])
+
+
 def own_licenses(files: DataFrame, templates: DataFrame, limit: float = LIMIT) -> DataFrame:
     """(id, license, score) of files (id, text, whole) that have a licence of their own."""
     table, foreign, vocabulary = weighted(templates)
     known = F.array(*[F.lit(t) for t in vocabulary])
     parts = F.split(F.coalesce("text", F.lit("")), r"[\r\n]+|(?<=[.;!?])\s+")
     pieces = F.when(F.col("whole"), F.concat(parts, F.array("text"))).otherwise(parts)
-    # a piece must have a term that is rare in common prose before it is taken apart
     split = files.select("id", F.posexplode(pieces).alias("piece", "part")).select("id", "piece", terms(F.col("part")).alias("terms"))
-    scored = split.where(F.size(F.array_intersect("terms", known)) > 1).withColumn("row", F.monotonically_increasing_id())
+    # a cosine is at most the length of the template's part in shared terms, so others are not taken apart
+    shared = split.withColumn("shared", F.array_intersect("terms", known)).where(F.size("shared") > 1)
+    scored = shared.where(reach(table) >= limit * limit).drop("shared").withColumn("row", F.monotonically_increasing_id())
     scored = cut_lineage(scored)  # row numbers must not change
     counts = scored.select("id", "row", F.explode("terms").alias("term")).groupBy("id", "row", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     idf = table.select("term", "idf").distinct()

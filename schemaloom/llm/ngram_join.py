@@ -12,9 +12,9 @@ sets near a boundary index for both sides), so pairs stay in proportion to the p
 Equal sets are one node, whatever their number. Index entries are dealt out by signature in packed
 blocks; a task hands on one entry per signature and block of work, the other entries of a signature it
 already knows to be shared go past the exchange's groups. An entry also says how far down the prefix it lies,
-which rules out pairs whose sizes would need it nearer the front. Of the nodes under a signature, each is
-first compared with the smallest one (a line of pairs, not all pairs). Where nodes of one signature then
-still lie in different components, every pair across components is compared as well. So no pair that
+which rules out pairs whose sizes would need it nearer the front. Under a signature, the smallest node of about one size leads the others. A node is compared with the leader
+it shares most signatures with, then with the next best that still lie in other components; where nodes of one signature then lie in different
+components, every pair across these is compared as well. So no pair that
 could change a component goes untested, and pairs inside a component need no test.
 
 Defined results: null and blank texts have an empty set, n_shingles 0 and no link; their component is their own
@@ -38,8 +38,10 @@ from .tokens import pieces_of, plain_ids
 SIMILAR = 75
 # Counters of the frequency sketch, in slices of this many; fixed, so that it may be sent to every task.
 COUNTERS, SLICE = 1 << 20, 1 << 16
-# A counter this many times above the mean marks its tokens as frequent.
-FREQUENT = 8
+# Documents beyond a counter's mean load (and its chance deviation) that mark its tokens as frequent.
+FREQUENT = 32
+# Logarithm of the ratio of sizes that share a leader (they are tried first; all others follow).
+BAND = 0.1
 # Index entries a task holds before it hands them on, and entries wanted in one group of the exchange.
 HELD, GROUP = 1_000_000, 1_000_000
 # Characters of text worked on at once (texts are never cut).
@@ -82,7 +84,7 @@ def levels(sketch: np.ndarray) -> tuple[np.ndarray, int]:
     """Frequency level per counter (twice its binary logarithm), and the first frequent level."""
     level = np.floor(2 * np.log2(np.maximum(sketch, 1).astype(np.float64))).astype(np.uint8)
     mean = max(1.0, float(sketch.sum()) / len(sketch))
-    return level, int(np.ceil(2 * np.log2(FREQUENT * mean)))
+    return level, int(np.ceil(2 * np.log2(mean + 6 * np.sqrt(mean) + FREQUENT)))
 
 
 def most_lost(n: int, similar: int = SIMILAR) -> int:
@@ -258,14 +260,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     level, frequent = levels(sketch)
     deal = max(2 * tasks(docs.sparkSession), totals["shingles"] // 3 // GROUP)
     index = shared_signatures(own, level, frequent, deal, similar)
-    # each node against the smallest one under its signature
-    lead = index.groupBy("sig").agg(F.min_by(F.struct("node", "n", "place"), "node").alias("lead"))
+    # under each signature the smallest node of a size band leads; a node meets the leader it shares most with first
+    banded = index.withColumn("band", F.floor(F.log("n") / BAND))
+    lead = banded.groupBy("sig", "band").agg(F.min_by(F.struct("node", "n", "place"), "node").alias("lead"))
     size = index.count()
-    stars = (index.join(lead, "sig").where("node != lead.node")
-             .withColumns({"a": F.col("lead.node"), "n_b": F.col("lead.n"), "place_b": F.col("lead.place")}))
-    stars = cut(stars.where(may_link(similar)).select("a", F.col("node").alias("b")).distinct(), size)
-    links = verified(stars, nodes, own, similar)
-    # pairs across components under one signature
+    led = (banded.join(lead, ["sig", "band"]).where("node != lead.node")
+           .withColumns({"a": F.col("lead.node"), "n_b": F.col("lead.n"), "place_b": F.col("lead.place")}))
+    stars = cut(led.groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(may_link(similar)).alias("ok"))
+                .where("ok"), size)
+    first = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"), F.max("k").alias("most")), size)
+    links = verified(first.select("a", "b"), nodes, own, similar)
+    # the other leaders, where they still lie in another component
+    part = components(links)
+    a_part = part.select(F.col("node").alias("a"), F.col("component").alias("a_part"))
+    b_part = part.select(F.col("node").alias("b"), F.col("component").alias("b_part"))
+    apart = F.coalesce("a_part", "a") != F.coalesce("b_part", "b")
+    rest = stars.join(first.select("b", "most"), "b").where("2 * k >= most").select("a", "b")
+    rest = rest.join(first, ["a", "b"], "leftanti").join(a_part, "a", "left").join(b_part, "b", "left").where(apart)
+    rest = cut(rest.select("a", "b"), size)
+    links = links.unionAll(verified(rest, nodes, own, similar))
+    tested = first.select("a", "b").unionAll(rest)
+    # at last all pairs across components under one signature
     part = components(links)
     placed = cut_lineage(index.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
     open_sigs = cut(placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"))
@@ -275,7 +290,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
                         F.col("part").alias("other_part"))
     across = (left.join(right, "sig").where("part < other_part").where(may_link(similar))
               .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-              .join(stars, ["a", "b"], "leftanti"))
+              .join(tested, ["a", "b"], "leftanti"))
     across = cut_lineage(across)
     more = verified(across, nodes, own, similar) if not across.isEmpty() else links.limit(0)
     final = components(links.unionAll(more))
