@@ -283,8 +283,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     # at last all pairs across components under one signature
     part = components(links)
     placed = cut_lineage(index.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
-    open_sigs = cut(placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"))
-                    .where("lo != hi and n > 2").select("sig"), size)
+    open_sigs = cut(placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+                    .where("lo != hi").select("sig"), size)
     left = cut_lineage(placed.join(open_sigs, "sig", "leftsemi"))
     right = left.select("sig", F.col("node").alias("other"), F.col("n").alias("n_b"), F.col("place").alias("place_b"),
                         F.col("part").alias("other_part"))
