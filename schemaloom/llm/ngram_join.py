@@ -60,7 +60,7 @@ def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 total = np.concatenate(sets)
                 counts += np.bincount((total & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 yield pd.DataFrame({"id": pd.Series(ids[a:b], dtype=object), "n": [len(s) for s in sets],
-                                    "node": [set_number(s) if len(s) else None for s in sets], "slice": None, "counts": None})
+                                    "node": pd.Series([set_number(s) if len(s) else None for s in sets], dtype=object), "slice": None, "counts": None})
         if counts.any():
             parts = [counts[k:k + SLICE].astype("<u4").tobytes() for k in range(0, COUNTERS, SLICE)]
             yield pd.DataFrame({"id": None, "n": None, "node": None, "slice": range(len(parts)), "counts": parts})
