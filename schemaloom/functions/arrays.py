@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .text import as_col, clean_scalar, first_text, json_text_list, string_list, test_name
 
 
+# Step between positions inside nested lists: the outer place times this, plus the inner one. Outer places are below
+# 2^33, so the sum is below 2^60; a list of 2^24 tests or constraints on one column does not fit into a row.
+NESTED = 1 << 24
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -19,6 +24,12 @@ def as_array(value, many=None) -> Column:
     return F.coalesce(*([as_col(many)] if many is not None else []), single, _none())
 
 
+def json_items(text) -> Column:
+    """Items of a JSON list given as text; a single value is a list of one, null an empty list."""
+    text = as_col(text)
+    return F.when(text.startswith("["), F.coalesce(F.from_json(text, "array<string>"), _none())).otherwise(as_array(text))
+
+
 def merge_test_args(kwargs, key: str) -> Column:
     """Argument of a declared test; nested ``arguments`` win over the top level."""
     kwargs = as_col(kwargs)
@@ -57,6 +68,3 @@ def columns_from_map(columns) -> Column:
     return F.filter(F.coalesce(rows, F.array().cast("array<struct<pos:bigint,name:string,type:string>>")),
                     lambda r: r["name"] != "")
 
-
-__all__ = ["as_array", "merge_test_args", "parse_yaml_test", "first_column", "constraint_columns",
-           "columns_from_map", "clean_scalar"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import constraint_columns
+from ..functions.arrays import NESTED, constraint_columns, json_items
 from ..functions.text import constraint_type, first_text, json_text_list, string_list
 from .ordering import order_key
 
@@ -14,17 +14,21 @@ DECLARED, CATALOG, TESTED, HEADER, CONSTRAINED = 1, 2, 3, 4, 5
 
 FLAGS = ("pk", "nn", "uniq")
 
+CONSTRAINT = ("type string, columns string, column_names string, column_name string, column string, "
+              "to string, expression string, references string, to_columns string")
+
 
 def constraint_rows(table_level: DataFrame, column_level: DataFrame) -> DataFrame:
     """One row per declared constraint.
 
-    Inputs carry project, uid, an array column ``constraints`` and, at column level, ``owner`` and
-    ``pos``. Output: project, uid, type, columns, targets (non-blank texts), to_columns, pos.
+    Inputs carry project, uid, the JSON text ``constraints`` (a list or a single object) and, at column level,
+    ``owner`` and ``pos``. Output: project, uid, type, columns, targets (non-blank texts), to_columns, pos.
     """
+    items = F.transform(json_items("constraints"), lambda t: F.from_json(t, CONSTRAINT))
     table_level = table_level.select("project", "uid", F.lit("").alias("owner"), F.lit(0).cast("bigint").alias("pos"),
-                                     F.posexplode("constraints").alias("cpos", "c"))
+                                     F.posexplode(items).alias("cpos", "c"))
     column_level = column_level.select("project", "uid", "owner", (F.col("pos") + 1).cast("bigint").alias("pos"),
-                                       F.posexplode("constraints").alias("cpos", "c"))
+                                       F.posexplode(items).alias("cpos", "c"))
     c = F.col("c")
     texts = F.array(first_text(c["to"]), first_text(c["expression"]), first_text(c["references"]))
     return (
@@ -35,7 +39,7 @@ def constraint_rows(table_level: DataFrame, column_level: DataFrame) -> DataFram
                                c["column"]).alias("columns"),
             F.filter(texts, lambda t: t != "").alias("targets"),
             string_list(json_text_list(c["to_columns"])).alias("to_columns"),
-            (F.col("pos") * F.lit(1 << 16) + F.col("cpos")).alias("pos"))
+            (F.col("pos") * F.lit(NESTED) + F.col("cpos")).alias("pos"))
         .where(F.size("columns") > 0)
     )
 

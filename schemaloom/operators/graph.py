@@ -11,11 +11,9 @@ from ..functions.predicates import TABLE_RESOURCE_TYPES
 from ..functions.scores import hub_weight
 from ..functions.text import call_label, parse_call
 from ..session import cut_lineage
+from .relations import edge_order
 from .resolve import resolve_calls
 
-# Rows up to which a frontier is sent to every task; counted before it is sent.
-SMALL_FRONTIER = 1_000_000
-
 
 def _ends(edges: DataFrame, scope: list[str]) -> DataFrame:
     return edges.select(*scope, F.explode(F.array("from_key", "to_key")).alias("node"))
@@ -36,11 +34,17 @@ def edge_weights(edges: DataFrame, scope: list[str]) -> DataFrame:
             .join(b, [*scope, "to_key"], "left").withColumn("weight", hub_weight("_a", "_b")).drop("_a", "_b"))
 
 
-def neighbours(edges: DataFrame, key: str, scope: list[str]) -> DataFrame:
-    """The node and its one-hop neighbours in both directions."""
+def neighbours(edges: DataFrame, key: str, scope: list[str], tables: DataFrame | None = None) -> DataFrame:
+    """The node and its one-hop neighbours in both directions.
+
+    ``tables`` (scope, node): a listed node without edges is its own result.
+    """
     out = edges.where(F.col("from_key") == key).select(*scope, F.explode(F.array(F.lit(key), "to_key")).alias("node"))
     back = edges.where(F.col("to_key") == key).select(*scope, F.explode(F.array(F.lit(key), "from_key")).alias("node"))
-    return out.unionByName(back).distinct()
+    found = out.unionByName(back)
+    if tables is not None:
+        found = found.unionByName(tables.where(F.col("node") == key).select(*scope, "node"))
+    return found.distinct()
 
 
 def orphans(tables: DataFrame, edges: DataFrame, scope: list[str]) -> DataFrame:
@@ -61,7 +65,7 @@ def lineage_from_artifacts(entries: DataFrame) -> DataFrame:
     return deps.join(known, ["project", "uid"]).select(
         "project", F.col("display_name").alias("from_table"), F.array().cast("array<string>").alias("from_cols"),
         "to_table", F.array().cast("array<string>").alias("to_cols"),
-        (F.col("_entry") * F.lit(1 << 20) + F.col("pos")).alias("ord"))
+        edge_order(0, "_entry", "pos").alias("ord"))
 
 
 def sql_calls(scripts: DataFrame, sql: str = "sql") -> DataFrame:
@@ -81,13 +85,12 @@ def lineage_from_sql(scripts: DataFrame, entries: DataFrame) -> DataFrame:
         "project", F.coalesce("called.display_name", call_label("call")).alias("from_table"),
         F.array().cast("array<string>").alias("from_cols"), "to_table",
         F.array().cast("array<string>").alias("to_cols"),
-        (F.col("ord") * F.lit(1 << 20) + F.col("pos")).alias("ord")).where("from_table <> ''")
+        F.struct(F.col("ord").alias("script"), "pos").alias("ord")).where("from_table <> ''")
 
 
-def _step(edges: DataFrame, frontier: DataFrame, scope: list[str], size: int) -> DataFrame:
-    """Edges leaving the frontier, counted per target."""
-    side = F.broadcast(frontier) if size <= SMALL_FRONTIER else frontier
-    return (edges.join(side.select(*scope, F.col("node").alias("from_key")), [*scope, "from_key"], "left_semi")
+def _step(edges: DataFrame, frontier: DataFrame, scope: list[str]) -> DataFrame:
+    """Edges leaving the frontier, counted per target; the written frontier's size picks the join."""
+    return (edges.join(frontier.select(*scope, F.col("node").alias("from_key")), [*scope, "from_key"], "left_semi")
             .groupBy(*scope, "to_key").agg(F.count(F.lit(1)).alias("_done")))
 
 
@@ -107,10 +110,10 @@ def lineage_levels(edges: DataFrame, scope: list[str] | None = None) -> DataFram
     waiting = cut_lineage(parents)
     placed: list[DataFrame] = []
     level = 0
-    while (size := frontier.count()) > 0:
+    while not frontier.isEmpty():
         placed.append(frontier.select(*scope, "node", F.lit(level).cast("bigint").alias("level"),
                                       F.lit(False).alias("cyclic")))
-        done = _step(edges, frontier, scope, size).withColumnRenamed("to_key", "node")
+        done = _step(edges, frontier, scope).withColumnRenamed("to_key", "node")
         rest = cut_lineage(
             waiting.join(done, [*scope, "node"], "left")
             .withColumn("_open", F.col("_open") - F.coalesce("_done", F.lit(0))).drop("_done"))

@@ -62,6 +62,8 @@ def _nested(depth: int, brackets: str = "()") -> str:
     return rf"{opens}(?:[^'\"`{opens}{shuts}]++|{_QUOTED}{inside})*+{shuts}"
 
 
+# Step between statements in the place of an item: both are 31-bit numbers.
+IN_STATEMENT = 1 << 31
 _GROUPS = _nested(DEPTH)
 _BALANCED = rf"(?s)\A(?:[^'\"`()]++|{_QUOTED}|{_GROUPS})*+\z"
 _BODY = rf"(?s)\A[^(]*+\(((?:[^'\"`()]++|{_QUOTED}|{_GROUPS})*+)\)"
@@ -230,17 +232,23 @@ def ddl_items(statements: DataFrame, ids: list[str]) -> DataFrame:
         .withColumn("word2", second).withColumn("group", group)
         .withColumn("too_deep", opens_group & (F.col("group") == ""))
         # place in the script: statements first, items inside
-        .withColumn("at", F.col("stmt") * F.lit(1 << 20) + F.col("item_no"))
+        .withColumn("at", F.col("stmt").cast("bigint") * F.lit(IN_STATEMENT) + F.col("item_no"))
         .withColumn("table_key", F.lower("name"))
     )
 
 
 def _key_refs(items: DataFrame, ids: list[str]) -> DataFrame:
     """Columns listed by table-level key clauses: (ids, table_key, role, at, col_key)."""
-    listed = F.regexp_extract("item", r"\(((?:[^()]++|\([^()]*+\))*+)\)", 1)
+    inner = F.regexp_extract("item", rf"(?s)({_GROUPS})", 1)
+    # the first balanced group; deeper ones reach from the first bracket to the last
+    listed = F.when(inner != "", inner.substr(F.lit(2), F.length(inner) - 2)).otherwise(
+        F.regexp_extract("item", r"(?s)\((.*)\)", 1))
+    pieces = F.when(F.col("listed").rlike(_BALANCED), F.regexp_extract_all("listed", F.lit(_piece(",")), F.lit(0)))
+    tokens = F.when(F.col("pieces").isNull(), _tokens(F.col("listed"), "(),"))
     return (
-        items.where(F.col("role").isin("pk", "unique"))
-        .select(*ids, "table_key", "role", "at", F.explode(F.split(listed, ",")).alias("part"))
+        items.where(F.col("role").isin("pk", "unique")).withColumn("listed", listed)
+        .withColumn("pieces", pieces).withColumn("tokens", tokens)
+        .select(*ids, "table_key", "role", "at", F.explode(F.coalesce("pieces", _split(F.col("tokens"), ","))).alias("part"))
         .select(*ids, "table_key", "role", "at",
                 F.lower(bare_name(F.regexp_extract("part", r"(\S+)", 1))).alias("col_key"))
         .where("col_key <> ''")
@@ -321,7 +329,7 @@ def ddl_foreign_keys(statements: DataFrame, items: DataFrame, tables: DataFrame,
     altered = (
         statements.where(~F.col("sql").rlike(CREATE) & F.col("sql").rlike(ALTER_ADD))
         .withColumn("tail", tail).where(F.col("tail").rlike(FOREIGN_KEY))
-        .select(*ids, (F.col("stmt") * F.lit(1 << 20)).alias("at"),
+        .select(*ids, (F.col("stmt").cast("bigint") * F.lit(IN_STATEMENT)).alias("at"),
                 *_fk("tail", bare_name(F.regexp_extract("sql", ALTER_ADD, 1))))
     )
     raw = inline.unionByName(table_level).unionByName(altered)

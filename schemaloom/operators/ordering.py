@@ -33,6 +33,21 @@ def number_rows(rows: DataFrame, group: list[str], order: str, into: str = "rn",
             .drop("_block", "_inside", "_offset"))
 
 
+def number_by(rows: DataFrame, group: list[str], order: list[str], into: str) -> DataFrame:
+    """1-based row number per group by any sortable columns; equal places still get different numbers.
+
+    Rows are dealt out by range and written, so that no group, however large, lies in one task.
+    """
+    placed = cut_lineage(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    keys = [*group, "_part"]
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return cut_lineage(placed.withColumn("_inside", inside).join(offsets, keys)
+                       .withColumn(into, (F.col("_inside") + F.col("_offset")).cast("bigint")).drop("_part", "_inside", "_offset"))
+
+
 def stable_ordinals(columns: DataFrame, table: list[str], block: int = BLOCK) -> DataFrame:
     """Dense column order from (phase, pos): declared, then catalog-only, then first seen in a test."""
     placed = columns.withColumn("_at", order_key("phase", "pos"))
@@ -40,8 +55,8 @@ def stable_ordinals(columns: DataFrame, table: list[str], block: int = BLOCK) ->
 
 
 def order_key(phase, pos) -> Column:
-    """(phase, pos) as one sortable number; sparse, which is all that ordering needs."""
-    return (as_col(phase).cast("bigint") * F.lit(1 << 48) + as_col(pos).cast("bigint")).cast("bigint")
+    """(phase, pos) as one sortable number; sparse, which is all that ordering needs. Positions stay below 2^60."""
+    return (as_col(phase).cast("bigint") * F.lit(1 << 60) + as_col(pos).cast("bigint")).cast("bigint")
 
 
 def dedupe_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import first_column
@@ -21,8 +21,12 @@ def resolve_tests(tests: DataFrame, entries: DataFrame, columns: DataFrame) -> D
     """Declared tests with their owner and, for relationships, the entry their target call names.
 
     The target is passed over when the owner is looked for. ``columns`` are those known before any
-    test is read: project, uid, name.
+    test is read: project, uid, name. Columns of attached ``unique`` and ``not_null`` tests count for the tests
+    behind them.
     """
+    early = tests.where(F.col("test").isin("unique", "not_null") & (F.col("column") != "") & (F.col("attached") != ""))
+    columns = columns.select("project", "uid", "name", F.lit(-1).cast("bigint").alias("since")).unionByName(
+        early.select("project", F.col("attached").alias("uid"), F.col("column").alias("name"), F.col("pos").cast("bigint").alias("since")))
     is_rel = F.col("test") == "relationships"
     called = resolve_calls(
         tests.withColumn("call", F.when(is_rel, parse_call("target"))).withColumnRenamed("target", "to_text"),
@@ -30,6 +34,12 @@ def resolve_tests(tests: DataFrame, entries: DataFrame, columns: DataFrame) -> D
     return resolve_test_owner(called.withColumn("excluded", F.col("called.uid")), entries, columns)
 
 
+def edge_order(origin: int, first, second=None) -> Column:
+    """Sortable place of a raw edge: origin, then two positions. Nothing is packed, so no place can overflow."""
+    parts = [F.lit(origin), F.col(first), F.lit(0) if second is None else F.col(second)]
+    return F.struct(*[p.cast("bigint").alias(n) for p, n in zip(parts, ("origin", "first", "second"), strict=True)])
+
+
 def fk_from_test(resolved: DataFrame) -> DataFrame:
     """relationships tests -> raw edges. Target: the call, else the other dependency, else the text."""
     to_table = first_text(F.coalesce("called.display_name", "other.display_name"), call_label("call"),
@@ -39,7 +49,7 @@ def fk_from_test(resolved: DataFrame) -> DataFrame:
         .select("project", F.col("owner.display_name").alias("from_table"),
                 F.array("column").alias("from_cols"), to_table.alias("to_table"),
                 F.when(F.col("field") != "", F.array("field")).otherwise(_none()).alias("to_cols"),
-                F.col("pos").alias("ord"))
+                edge_order(0, "pos").alias("ord"))
         .where("to_table <> ''")
     )
 
@@ -85,7 +95,7 @@ def fk_from_constraint(constraints: DataFrame, entries: DataFrame, columns: Data
         "project", "from_table", F.col("columns").alias("from_cols"), to_table.alias("to_table"),
         to_cols.alias("to_cols"),
         # behind every test edge, then by table and place in the table
-        (F.lit(1 << 61) + F.col("_entry") * F.lit(1 << 20) + F.col("pos")).cast("bigint").alias("ord"),
+        edge_order(1, "_entry", "pos").alias("ord"),
     ).where("from_table <> '' and to_table <> ''")
 
 

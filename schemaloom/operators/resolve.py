@@ -161,21 +161,25 @@ def resolve_test_owner(tests: DataFrame, entries: DataFrame, columns: DataFrame)
     """Owner of each declared test: attached node, else the first dependency that has the column,
     else the first dependency; ``excluded`` (a uid, may be null) is passed over.
 
-    Adds ``owner`` and ``other`` (first known dependency that is not the owner).
+    A column with a ``since`` counts for tests at later positions only. Adds ``owner`` and ``other`` (first known dependency that is not the owner).
     """
     known = entries.select("project", "uid", "display_name")
     candidates = F.concat(
         F.array(F.struct(F.lit(True).alias("attached"), F.lit(-1).alias("pos"), F.col("attached").alias("uid"))),
         F.transform("deps", lambda d, i: F.struct(F.lit(False).alias("attached"), i.alias("pos"), d.alias("uid"))))
-    has_column = columns.select("project", "uid", F.lower("name").alias("col_key")).distinct().withColumn(
-        "has_column", F.lit(True))
+    if "since" not in columns.columns:
+        columns = columns.withColumn("since", F.lit(None).cast("bigint"))
+    has_column = columns.groupBy("project", "uid", F.lower("name").alias("col_key")).agg(
+        F.min(F.coalesce("since", F.lit(-1).cast("bigint"))).alias("since"))
     rows = (
         tests.select("project", "test_id", F.lower("column").alias("col_key"),
-                     F.coalesce("excluded", F.lit("")).alias("excluded"), F.explode(candidates).alias("c"))
-        .select("project", "test_id", "col_key", "excluded", "c.*")
+                     F.coalesce("excluded", F.lit("")).alias("excluded"), (F.col("pos") if "pos" in tests.columns else F.lit(0)).alias("test_pos"),
+                     F.explode(candidates).alias("c"))
+        .select("project", "test_id", "col_key", "excluded", "test_pos", "c.*")
         .where(F.col("uid") != "")
         .join(known, ["project", "uid"])
         .join(has_column, ["project", "uid", "col_key"], "left")
+        .withColumn("has_column", F.coalesce(F.col("since") < F.col("test_pos"), F.lit(False)))
     )
     kept = F.col("uid") != F.col("excluded")
     priority = (F.when(F.col("attached") & kept, 0)
@@ -207,6 +211,19 @@ def match_file_to_entry(files: DataFrame, entries: DataFrame) -> DataFrame:
             .join(single, ["project", "kind", "name_key"], "left").drop("name_key"))
 
 
+def first_of_name(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """``stands_in``: the relative path that names a file's own entry.
+
+    Of files of one kind and name that no entry declares, the first path stands in for the others.
+    """
+    keys = ["project", "kind", "name_key"]
+    named = files.withColumn("name_key", F.lower(first_text("name")))
+    declared = entries.select("project", "kind", F.lower("name").alias("name_key")).distinct()
+    first = named.join(declared, keys, "left_anti").groupBy(*keys).agg(F.min("relative").alias("_first"))
+    return (named.join(first, keys, "left").withColumn("stands_in", F.coalesce("_first", "relative"))
+            .drop("name_key", "_first"))
+
+
 def exclude_skipped_files(files: DataFrame, skipped: DataFrame) -> DataFrame:
     """Drop files whose (kind, name) was disabled or ephemeral in the YAML."""
     gone = skipped.select("project", "kind", F.lower("name").alias("name_key")).distinct()

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..operators.constraints import assemble_columns, constraint_flags, constraint_rows, test_flags
 from ..operators.graph import lineage_from_artifacts, lineage_from_sql
 from ..operators.grouping import model_stats
-from ..operators.ordering import qualify_names
-from ..operators.relations import (finalize_relations, fk_from_constraint, fk_from_test, fk_from_yaml,
+from ..operators.ordering import number_by, qualify_names
+from ..operators.relations import (edge_order, finalize_relations, fk_from_constraint, fk_from_test, fk_from_yaml,
                                    mark_fk_columns, resolve_tests, union_edges)
-from ..operators.resolve import exclude_skipped_files, match_file_to_entry
+from ..operators.resolve import exclude_skipped_files, first_of_name, match_file_to_entry
 from ..functions.arrays import columns_from_map
 from ..sources import artifacts, projects, schema_files
 from ..session import cut_lineage
@@ -37,7 +37,7 @@ def _finish(entries: DataFrame, columns: DataFrame, raw: DataFrame, source: str,
     tables = entries.select("project", "uid", F.col("display_name").alias("name"),
                             F.lower("display_name").alias("table_key"), "groups", "ord")
     # flags, counts and the caller all read the edges
-    relations = cut_lineage(finalize_relations(raw, tables))
+    relations = number_by(finalize_relations(raw, tables), ["project"], ["ord", "from_table", "to_table"], "ord")
     named = mark_fk_columns(columns, relations, tables).join(
         tables.select("project", "uid", F.col("name").alias("table_name"), "table_key"), ["project", "uid"])
     columns = named.select("project", "table_name", "table_key", "name", "type", F.col("type").alias("type_raw"),
@@ -107,15 +107,18 @@ def schema_file_model(spark: SparkSession, root: str, lineage: bool = False,
     files = []
     for rows, origin, phase in ((models, "model.sql", 1), (seeds, "seed.csv", 2), (snapshots, "snapshot.sql", 3)):
         kept = exclude_skipped_files(rows.where(~projects.below_skipped_dir("file", root)), skipped)
-        files.append((match_file_to_entry(kept, declared_entries).withColumnRenamed("uid", "known"), origin, phase))
-    fresh = [schema_files.file_entries(rows.where("known is null"), F.lit(origin)).withColumn("phase", F.lit(phase))
+        matched = match_file_to_entry(first_of_name(kept, declared_entries), declared_entries)
+        files.append((matched.withColumnRenamed("uid", "known"), origin, phase))
+    fresh = [schema_files.file_entries(rows.where("known is null and relative = stands_in"), F.lit(origin)).withColumn("phase", F.lit(phase))
              for rows, origin, phase in files]
     entries = declared_entries.select(*fresh[0].columns)
     for more in fresh:
         entries = entries.unionByName(more)
-    entries = qualify_names(schema_files.finish_entries(entries))
+    # tables in the order they are met: declared ones by file and place, then files
+    entries = number_by(schema_files.finish_entries(entries), ["project"], ["phase", "file", "ord", "uid"], "ord")
+    entries = qualify_names(entries)
 
-    uid = F.coalesce("known", F.concat(F.lit("seed.csv:"), F.col("relative")))
+    uid = F.coalesce("known", F.concat(F.lit("seed.csv:"), F.col("stands_in")))
     header = files[1][0].select("project", uid.alias("uid"), F.posexplode("header").alias("pos", "name"))
     yaml_cols = schema_files.yaml_columns(objects)
     tests = schema_files.yaml_tests(objects)
@@ -126,8 +129,9 @@ def schema_file_model(spark: SparkSession, root: str, lineage: bool = False,
     if lineage:
         scripts = None
         for rows, origin, phase in (files[0], files[2]):
-            own = F.coalesce("known", F.concat(F.lit(f"{origin}:"), F.col("relative")))
-            part = rows.select("project", own.alias("uid"), "sql", F.lit(phase).alias("ord")).join(
+            own = F.coalesce("known", F.concat(F.lit(f"{origin}:"), F.col("stands_in")))
+            place = F.struct(F.lit(phase).alias("phase"), "file")
+            part = rows.select("project", own.alias("uid"), "sql", place.alias("ord")).join(
                 names, ["project", "uid"]).select("project", F.col("display_name").alias("to_table"), "sql", "ord")
             scripts = part if scripts is None else scripts.unionByName(part)
         columns = assemble_columns(declared, tests=flags, header=header)
@@ -140,7 +144,7 @@ def schema_file_model(spark: SparkSession, root: str, lineage: bool = False,
     specs = (tests.where((F.col("test") == "relationships") & (F.col("column") != "") & (F.col("target") != ""))
              .join(names, ["project", "uid"])
              .select("project", F.col("display_name").alias("from_table"), "column", F.col("target").alias("to_text"),
-                     "field", (F.col("_entry") * F.lit(1 << 20) + F.col("pos")).alias("ord")))
+                     "field", edge_order(0, "_entry", "pos").alias("ord")))
     raw = union_edges(fk_from_yaml(specs, entries), fk_from_constraint(constraints, entries, columns))
     return _finish(entries, columns, raw, "yml", "erd")
 

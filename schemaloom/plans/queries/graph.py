@@ -120,7 +120,7 @@ FROM ({D_CALLS}) c LEFT JOIN k ON k.project = c.project AND k.kind = c.kind AND
 def lineage_from_sql(t):
     rows = t.derive(SCRIPTS).select("project", "to_table", "ord", "sql")
     return gr.lineage_from_sql(rows, entries(t)).select(
-        "project", "to_table", F.shiftright("ord", 20).alias("ord"), "from_table")
+        "project", "to_table", F.col("ord.script").alias("ord"), "from_table")
 
 
 # Boxes of events: a minute of the day by a value, per user.

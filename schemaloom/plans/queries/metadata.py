@@ -45,7 +45,7 @@ def read_manifest_nodes(t):
     return found.select(
         "project_dir", "uid", "resource_type", "name", "ref_name", F.col("schema").alias("schema_name"), "package",
         F.array_join("depends_on", ",").alias("depends_on"),
-        F.when(F.col("uid") == "model.p.n", "n").otherwise(F.lower("name")).alias("domain"))
+        F.col("groups.domain").alias("domain"))
 
 
 @query("read_manifest_sources", f"""SELECT {DIR} AS project_dir, 'source.p.raw.t' AS uid, 'source' AS kind,
@@ -110,8 +110,8 @@ def enrich_from_catalog(t):
 @query("stable_ordinals", f"SELECT project, uid, name, ord FROM ({D_M_COLUMNS})")
 def stable_ordinals_query(t):
     cols = k.enrich_from_catalog(_declared(t), _catalog(t))
-    placed = cols.withColumn("phase", F.shiftright("ord", 48)).withColumn(
-        "pos", F.col("ord").bitwiseAND(F.lit((1 << 48) - 1)))
+    placed = cols.withColumn("phase", F.shiftright("ord", 60)).withColumn(
+        "pos", F.col("ord").bitwiseAND(F.lit((1 << 60) - 1)))
     return stable_ordinals(placed, ["project", "uid"]).select("project", "uid", "name", "ord")
 
 

@@ -199,9 +199,9 @@ def sorted_names(t):
   AS score FROM (SELECT *, position('e' IN n) AS p1, CASE WHEN position('e' IN n) > 0 THEN
   position('d' IN substr(n, position('e' IN n) + 1)) ELSE 0 END AS p2 FROM (
   SELECT p_partkey, lower(p_name || ' ' || p_type) AS n FROM {part}))) WHERE score >= 0
-ORDER BY score DESC, p_partkey LIMIT 50""")
+ORDER BY score DESC, p_partkey""")
 def fuzzy_rank(t):
-    return search.fuzzy_rank(t.part, "ED", "p_name", "p_type", "p_partkey", 50).select("p_partkey", "score")
+    return search.fuzzy_rank(t.part, "ED", "p_name", "p_type", "p_partkey").select("p_partkey", "score")
 
 
 # Grouping -------------------------------------------------------------------------------------------
@@ -319,8 +319,7 @@ COL_CHANGES = """SELECT c_nationkey AS project, lower(c_name) AS table_key, 'Ord
   CASE WHEN col2 = '1-URGENT' AND k % 3 = 0 THEN 'urgent' ELSE col2 END) AS from_cols
 FROM (SELECT *, CAST(right(from_table, 9) AS BIGINT) AS k FROM ({EDGES}))""")
 def rename_column(t):
-    rows = t.derive(EDGES).withColumn("from_cols", F.array(F.upper("col1"), "col2")).withColumn(
-        "from_cols", F.array("col1", "col2"))
+    rows = t.derive(EDGES).withColumn("from_cols", F.array("col1", "col2"))
     cols = rows.select("project", F.lower("from_table").alias("table_key"), F.col("col1").alias("name")).distinct()
     lists = ch.rename_column(cols, rows, t.derive(COL_CHANGES))[1]
     return lists.select("project", "ord", F.array_join("from_cols", ",").alias("from_cols"))

@@ -74,7 +74,7 @@ D_COLUMNS = " UNION ALL ".join(
 
 @query("ddl_columns", f"SELECT script_id, table_key, item_no, name, type, pk, nn, uniq, fk FROM ({D_COLUMNS})")
 def ddl_columns(t):
-    return _mined(t).columns.withColumn("item_no", (F.col("at") % (1 << 20)).cast("int")).drop("at")
+    return _mined(t).columns.withColumn("item_no", (F.col("at") % (1 << 31)).cast("int")).drop("at")
 
 
 @query("ddl_keys", f"""SELECT script_id, concat('ord_', script_id) AS table_key, unnest(['id', 'code', 'cust_id']) AS name,

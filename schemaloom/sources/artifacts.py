@@ -15,15 +15,13 @@ from ..functions.keys import build_group_keys
 from ..functions.predicates import is_disabled, is_skipped, is_table_resource
 from ..functions.text import entry_base_name, first_text, physical_name, test_name
 
-CONSTRAINT = ("type string, columns string, column_names string, column_name string, column string, "
-              "to string, expression string, references string, to_columns string")
-COLUMN = f"name string, data_type string, type string, dtype string, constraints array<struct<{CONSTRAINT}>>"
+COLUMN = "name string, data_type string, type string, dtype string, constraints string"
 NODE = (
     "unique_id string, resource_type string, package_name string, source_name string, name string, "
     "alias string, identifier string, relation_name string, schema string, database string, "
     "original_file_path string, path string, enabled boolean, materialized string, "
     "config struct<enabled:boolean, materialized:string>, "
-    f"columns map<string, struct<{COLUMN}>>, constraints array<struct<{CONSTRAINT}>>, "
+    f"columns map<string, struct<{COLUMN}>>, constraints string, "
     "depends_on struct<nodes:array<string>>, attached_node string, column_name string, "
     "test_metadata struct<name:string, kwargs:string>"
 )

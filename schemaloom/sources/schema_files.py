@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import parse_yaml_test
 from ..functions.predicates import is_disabled, is_skipped
 from ..functions.text import clean_scalar, first_text, trim_space
-from .artifacts import CONSTRAINT, with_names
+from ..functions.arrays import NESTED, json_items, parse_yaml_test
+from .artifacts import with_names
 from .projects import read_yaml
 
-YAML_COLUMN = (f"name string, data_type string, type string, dtype string, tests array<string>, "
-               f"data_tests array<string>, constraints array<struct<{CONSTRAINT}>>")
+# Tests and constraints are JSON text: a single value counts as a list of one.
+YAML_COLUMN = ("name string, data_type string, type string, dtype string, tests string, "
+               "data_tests string, constraints string")
 YAML_TABLE = (
     "name string, schema string, enabled boolean, materialized string, "
     "config struct<enabled:boolean, materialized:string, schema:string>, "
-    "tests array<string>, data_tests array<string>, "
-    f"columns array<struct<{YAML_COLUMN}>>, constraints array<struct<{CONSTRAINT}>>"
+    "tests string, data_tests string, "
+    f"columns array<struct<{YAML_COLUMN}>>, constraints string"
 )
 YAML_SOURCE = (f"name string, schema string, enabled boolean, config struct<enabled:boolean>, "
                f"tables array<struct<{YAML_TABLE}>>")
 YAML_FILE = (f"models array<struct<{YAML_TABLE}>>, seeds array<struct<{YAML_TABLE}>>, "
              f"snapshots array<struct<{YAML_TABLE}>>, sources array<struct<{YAML_SOURCE}>>")
 
-# Positions inside one file: models, seeds, snapshots, then sources; 2^32 rows apart.
-SECTION_STEP = 1 << 32
+# Positions inside one file: models, seeds, snapshots, then sources; sources by their place, 2^30 tables apart.
+SECTION_STEP, SOURCE_STEP = 1 << 60, 1 << 30
+# Place of table-level tests, behind every column.
+TABLE_LEVEL = 1 << 32
 SECTIONS = (("models", "model"), ("seeds", "seed"), ("snapshots", "snapshot"))
 
 
@@ -63,9 +66,7 @@ def _stem(file: str = "file") -> Column:
 
 
 def _tests(owner: Column) -> Column:
-    none = F.array().cast("array<string>")
-    return F.transform(F.concat(F.coalesce(owner["tests"], none), F.coalesce(owner["data_tests"], none)),
-                       parse_yaml_test)
+    return F.transform(F.concat(json_items(owner["tests"]), json_items(owner["data_tests"])), parse_yaml_test)
 
 
 def read_schema_yaml(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def schema_objects(documents: DataFrame, projects: DataFrame) -> DataFrame:
                         F.concat(first_text(source["name"]), F.lit("."), first_text(table["name"]))).alias("uid"),
             first_text(table["name"]).alias("name"), first_text(source["name"]).alias("source_name"),
             first_text(table["schema"], source["schema"]).alias("schema"), _folder().alias("path_qualifier"),
-            (F.lit(3 * SECTION_STEP).cast("bigint") + F.col("spos") * F.lit(1 << 20) + F.col("pos")).alias("ord"),
+            (F.lit(3 * SECTION_STEP).cast("bigint") + F.col("spos") * F.lit(SOURCE_STEP) + F.col("pos")).alias("ord"),
             is_disabled(table["enabled"], table["config"]["enabled"]).alias("skipped"), "object")
     )
     rows = parts[0]
@@ -136,7 +137,7 @@ def yaml_tests(objects: DataFrame) -> DataFrame:
     """Declared tests: (project, uid, pos, test, column, target, field), column tests first."""
     by_column = yaml_columns(objects).select(
         "project", "uid", "pos", F.col("name").alias("owner"), "tests")
-    by_table = objects.select("project", "uid", F.lit(SECTION_STEP).alias("pos"), F.lit("").alias("owner"),
+    by_table = objects.select("project", "uid", F.lit(TABLE_LEVEL).alias("pos"), F.lit("").alias("owner"),
                               _tests(F.col("object")).alias("tests"))
     args = F.col("t.args")
 
@@ -146,7 +147,7 @@ def yaml_tests(objects: DataFrame) -> DataFrame:
     return (
         by_column.unionByName(by_table)
         .select("project", "uid", "owner", "pos", F.posexplode("tests").alias("tpos", "t"))
-        .select("project", "uid", (F.col("pos") * F.lit(1 << 12) + F.col("tpos")).alias("pos"),
+        .select("project", "uid", (F.col("pos") * F.lit(NESTED) + F.col("tpos")).alias("pos"),
                 F.col("t.name").alias("test"),
                 first_text("owner", arg("column_name"), arg("column")).alias("column"),
                 first_text(arg("to"), arg("model")).alias("target"),

@@ -1,4 +1,4 @@
-"""Small projects written to a folder: one with compiled artifacts, one with schema files only."""
+"""Two projects written to a folder: a reading room with compiled artifacts, a freight yard with schema files only."""
 
 from __future__ import annotations
 
@@ -6,179 +6,101 @@ import json
 from pathlib import Path
 
 
-def _fk(to, cols=None, **more):
-    return {"type": "foreign_key", **({"columns": cols} if cols else {}), "to": to, **more}
-
-
-def _node(name, cols, package="shop", schema="analytics", deps=(), constraints=None, **more):
-    return {
-        "unique_id": f"model.{package}.{name}", "resource_type": "model", "package_name": package, "name": name,
-        "alias": name, "schema": schema, "database": "warehouse", "config": {"enabled": True, "materialized": "table"},
-        "columns": {c: {"name": c, **(extra or {})} for c, extra in cols.items()},
-        **({"constraints": constraints} if constraints else {}), "depends_on": {"nodes": list(deps)}, **more}
-
-
-def _test(key, kind, owner, deps, column=None, **kwargs):
-    return key, {"unique_id": key, "resource_type": "test", "test_metadata": {"name": kind, "kwargs": kwargs},
-                 "attached_node": owner, "column_name": column, "depends_on": {"nodes": deps}}
-
-
-def write_artifact_project(root: Path, name: str = "shop_artifacts") -> Path:
-    m, s = "model.shop.", "source.shop.raw."
-    nodes = {}
-    for n in (
-        _node("customers", {"id": {"data_type": "text"}, "first_name": None, "last_name": None}),
-        _node("orders", {"id": None, "customer_id": None, "ordered_at": None, "status": None},
-              deps=[m + "customers", s + "orders"]),
-        _node("order_items", {"id": None, "order_id": None, "product_id": None, "quantity": None},
-              deps=[m + "orders", m + "products"]),
-        _node("products", {"id": None, "sku": None, "name": None}),
-        _node("contract_orders", {
-            "id": {"constraints": [{"type": "primary_key"}]},
-            "order_id": {"constraints": [_fk("ref('shop', 'orders')", to_columns=["id"])]},
-            "customer_id": {"constraints": [{"type": "not_null"}]},
-            "product_id": {"constraints": [{"type": "Not Null"}]},
-            "notes": None,
-        }, constraints=[
-            {"type": "unique", "columns": ["customer_id", "product_id"]},
-            _fk("ref('customers')", ["customer_id"], to_columns="id"),
-            {"type": "foreign-key", "columns": "product_id", "expression": "analytics.products (id) on delete cascade"},
-        ]),
-        _node("dim_region", {"country_code": {"constraints": [{"type": "primary_key"}]},
-                             "region_code": {"constraints": [{"type": "primary_key"}]}, "region_name": None}),
-        _node("fct_sales", {
-            "id": {"constraints": [{"type": "primary_key"}]}, "country_code": None, "region_code": None,
-            "order_ref": {"constraints": [{"type": "foreign_key", "expression": "analytics.orders (id)"}]},
-            "amount": None,
-        }, constraints=[_fk("ref('dim_region')", ["country_code", "region_code"])]),
-        _node("orders", {"id": None, "campaign_id": None}, package="marketing_pkg", schema="marketing"),
-        _node("rollup", {"id": None}, config={"materialized": "Ephemeral"}, deps=[m + "order_items"]),
-        _node("off", {"id": None}, config={"enabled": False}),
-    ):
-        nodes[n["unique_id"]] = n
-    for table in ("customers", "orders", "order_items", "products"):
-        for kind in ("unique", "not_null"):
-            key, test = _test(f"test.{kind}_{table}", kind, m + table, [m + table], "id", column_name="id")
-            nodes[key] = test
-    for key, test in (
-        _test("test.r1", "relationships", m + "orders", [m + "orders", m + "customers"], "customer_id",
-              to="ref('customers')", field="id"),
-        _test("test.r2", "pkg.relationships", m + "order_items", [m + "order_items", m + "orders"], "order_id",
-              to="ref('orders')", field="id"),
-        _test("test.r3", "relationships", None, [m + "order_items", m + "products"],
-              arguments={"column_name": "product_id", "to": "ref('products')", "field": "id"}),
-        _test("test.r4", "relationships", m + "contract_orders", [m + "contract_orders", m + "orders"], "order_id",
-              to="ref('orders')", field="id"),
-        _test("test.r5", "relationships", s + "orders", [s + "orders", m + "customers"], "customer_id",
-              to="ref('customers')", field="id"),
-    ):
-        nodes[key] = test
-    sources = {
-        s + t: {"unique_id": s + t, "resource_type": "source", "package_name": "shop", "source_name": "raw", "name": t,
-                "schema": "raw", "database": "warehouse", "columns": {c: {"name": c} for c in cols}}
-        for t, cols in (("customers", ("id", "first_name")), ("orders", ("id", "customer_id")))}
-    types = {"id": "integer", "customer_id": "integer", "first_name": "text", "notes": "text", "amount": "numeric"}
-    catalog = {
-        part: {uid: {"columns": {c: {"name": c, "type": types.get(c, "")} for c in n["columns"]}}
-               for uid, n in group.items() if "columns" in n}
-        for part, group in (("nodes", nodes), ("sources", sources))}
-    folder = root / name
-    (folder / "target").mkdir(parents=True)
-    (folder / "dbt_project.yml").write_text(f"name: {name}\nmodel-paths: ['models']\n")
-    (folder / "target" / "manifest.json").write_text(json.dumps({"nodes": nodes, "sources": sources}))
-    (folder / "target" / "catalog.json").write_text(json.dumps(catalog))
-    vendored = folder / "dbt_packages" / "other"
-    vendored.mkdir(parents=True)
-    (vendored / "dbt_project.yml").write_text("name: other\n")
-    return folder
-
-
-SCHEMA = """
+def _model(name, columns, package="rr", schema="circ", **more):
+    uid = f"model.{package}.{name}"
+    return uid, {"unique_id": uid, "resource_type": "model", "package_name": package, "name": name, "schema": schema,
+                 "columns": {c: {"name": c, **spec} for c, spec in columns.items()}, **more}
+
+
+def _declared_test(uid, name, deps, kwargs, attached=None):
+    return uid, {"unique_id": uid, "resource_type": "test", "test_metadata": {"name": name, "kwargs": kwargs},
+                 "attached_node": attached, "depends_on": {"nodes": [f"model.rr.{d}" for d in deps]}}
+
+
+def write_artifact_project(root: Path) -> None:
+    """Constraints as lists and as single objects, one name in two packages, a column only a test knows."""
+    nodes = dict([
+        _model("members", {"card_no": {"data_type": "varchar"}, "full_name": {}}),
+        _model("titles", {"isbn": {}, "edition": {}}, constraints={"type": "primary_key", "columns": ["isbn", "edition"]}),
+        _model("copies", {"barcode": {"constraints": {"type": "primary_key"}}, "isbn": {}, "edition": {}},
+               constraints=[{"type": "foreign_key", "columns": ["isbn", "edition"], "to": "ref('titles')"}]),
+        _model("loans", {"loan_no": {}, "card_no": {},
+                         "barcode": {"constraints": [{"type": "foreign_key", "expression": "circ.copies (barcode)"}]}},
+               depends_on={"nodes": ["model.rr.members", "model.rr.copies", "source.rr.desk.scans"]}),
+        _model("fines", {"fine_no": {}}),
+        _model("loans", {"loan_no": {}}, package="branch", schema="branch"),
+        _model("draft", {"barcode": {}}, config={"materialized": "ephemeral"}, depends_on={"nodes": ["model.rr.copies"]}),
+        _model("old_fines", {"fine_no": {}}, config={"enabled": False}),
+        _declared_test("test.rr.a", "unique", ["members"], {"column_name": "card_no"}, "model.rr.members"),
+        _declared_test("test.rr.b", "not_null", ["members"], {"column_name": "card_no"}, "model.rr.members"),
+        _declared_test("test.rr.c", "relationships", ["loans", "members"],
+                       {"column_name": "card_no", "to": "ref('members')", "field": "card_no"}, "model.rr.loans"),
+        # the column comes from this test, so the next one finds its owner by it
+        _declared_test("test.rr.d", "unique", ["fines"], {"column_name": "loan_ref"}, "model.rr.fines"),
+        _declared_test("test.rr.e", "relationships", ["members", "fines", "loans"],
+                       {"column_name": "loan_ref", "to": "ref('rr', 'loans')", "field": "loan_no"}),
+    ])
+    scans = {"unique_id": "source.rr.desk.scans", "resource_type": "source", "package_name": "rr", "source_name": "desk",
+             "name": "scans", "schema": "desk", "columns": {c: {"name": c} for c in ("barcode", "scanned_at")}}
+    catalog = {"nodes": {"model.rr.members": {"columns": {"FULL_NAME": {"name": "FULL_NAME", "type": "text"}}}},
+               "sources": {scans["unique_id"]: {"columns": {"scanned_at": {"name": "scanned_at", "type": "timestamp"}}}}}
+    files = {"dbt_project.yml": "name: reading_room\n", "dbt_packages/lent/dbt_project.yml": "name: lent\n",
+             "target/manifest.json": json.dumps({"nodes": nodes, "sources": {scans["unique_id"]: scans}}),
+             "target/catalog.json": json.dumps(catalog)}
+    _write(root / "reading_room", files)
+
+
+CORE = """
 models:
-  - name: customers
-    columns:
-      - {name: id, data_type: integer, tests: [unique], data_tests: [not_null]}
-      - {name: first_name, data_type: text}
-      - {name: last_name, data_type: text}
-  - name: orders
-    columns:
-      - {name: id, data_type: integer, tests: [unique, not_null]}
-      - name: customer_id
-        data_type: integer
-        data_tests: [{relationships: {arguments: {to: "ref('customers')", field: id}}}]
-      - {name: status, data_type: text}
-  - name: contract_orders
-    constraints:
-      - {type: unique, columns: [customer_id, product_id]}
-      - {type: foreign_key, columns: [customer_id], to: "ref('customers')", to_columns: [id]}
-      - {type: foreign_key, columns: [product_id], expression: analytics.products (id)}
+  - name: carriers
     columns:
-      - {name: id, data_type: integer, constraints: [{type: primary_key}]}
-      - name: order_id
-        data_type: integer
-        constraints: [{type: foreign_key, to: "ref('orders')", to_columns: [id]}]
-        tests: [{relationships: {to: "ref('orders')", field: id}}]
-      - {name: customer_id, data_type: integer, constraints: [{type: not_null}]}
-      - {name: product_id, data_type: integer, constraints: [{type: not_null}]}
-      - {name: notes, data_type: text}
-  - name: order_items
-    columns:
-      - {name: id, data_type: integer, tests: [unique, not_null]}
-      - {name: order_id, data_type: integer, tests: [{relationships: {to: "ref('orders')", field: id}}]}
-      - name: product_id
-        data_type: integer
-        data_tests: [{relationships: {arguments: {to: "ref('products')", field: id}}}]
-      - {name: quantity, data_type: integer}
-  - name: products
-    columns:
-      - {name: id, data_type: integer, tests: [unique, not_null]}
-      - {name: sku, data_type: text}
-      - {name: name, data_type: text}
-  - {name: rollup, config: {materialized: ephemeral}, columns: [{name: id, data_type: integer}]}
-  - {name: off, config: {enabled: false}, columns: [{name: id, data_type: integer}]}
+      - name: code
+        tests: unique
+        constraints:
+          type: not_null
+      - name: title
+        data_type: varchar
+  - name: ports
+    columns: [{name: code, data_type: char(5), tests: [unique, not_null]}]
 sources:
-  - name: raw
+  - name: yard
     tables:
-      - name: payments
+      - name: gates
         columns:
-          - {name: id, data_type: integer}
-          - {name: order_id, data_type: integer, tests: [{relationships: {to: "ref('orders')", field: id}}]}
-          - {name: amount, data_type: numeric}
-seeds:
-  - name: country_codes
-    columns:
-      - name: customer_id
-        data_type: integer
-        tests: [unique, not_null, {relationships: {to: "ref('customers')", field: id}}]
-      - {name: country_code, data_type: text}
-snapshots:
-  - name: order_status_snapshot
-    columns:
-      - {name: id, data_type: integer, tests: [unique, not_null]}
-      - {name: customer_id, data_type: integer, tests: [{relationships: {to: "ref('customers')", field: id}}]}
-      - {name: status, data_type: text}
+          - name: gate_no
+          - name: port
+            tests:
+              relationships: {to: "ref('ports')", field: code}
 """
 
-SCRIPTS = {
-    "models/customers.sql": "select 1 as id",
-    "models/products.sql": "select 1 as id",
-    "models/off.sql": "select 1 as id",
-    "models/rollup.sql": "select id from {{ ref('orders') }}",
-    "models/customer_segments.sql":
-        "select * from {{ ref('customers') }} c left join {{ ref('country_codes') }} k on k.customer_id = c.id",
-    "models/order_items.sql": "select 1 from {{ ref('orders') }} o join {{ ref(\"products\") }} p on p.id = 1",
-    "models/orders.sql": "select 1 from {{ source('raw', 'payments') }} p join {{ ref('customers') }} c on true",
-    "models/contract_orders.sql": "select 1 as id",
-    "seeds/country_codes.csv": "﻿customer_id,country_code,\"country_name\"\n1,US,United States\n",
-    "snapshots/order_statuses.sql":
-        "{% snapshot order_status_snapshot %}\nselect id from {{ ref('orders') }}\n{% endsnapshot %}",
+# Twenty columns; foreign keys on the sixteenth and the eighteenth.
+KEYS = {15: ', constraints: {type: foreign_key, to: "ref(\'carriers\')", to_columns: [code]}',
+        17: ', constraints: [{type: foreign_key, to: "ref(\'ports\')"}]'}
+WIDE = "\n".join(["models:", "  - name: waybills", "    columns:",
+                  *(f"      - {{name: c{n}{KEYS.get(n, '')}}}" for n in range(20)),
+                  "  - name: legs", "    constraints: {type: foreign_key, columns: [port], to: \"ref('ports')\", to_columns: [code]}",
+                  "    columns: [{name: leg_no}, {name: port}]", "  - {name: parked, enabled: false}", ""])
+
+YARD = {
+    "dbt_project.yml": "name: freight_yard\n",
+    "models/a_core.yml": CORE,
+    "models/b_wide.yml": WIDE,
+    "models/carriers.sql": "select 'x' as code",
+    "models/parked.sql": "select 0",
+    "models/legs.sql": "select * from {{ source('yard', 'gates') }} g cross join {{ ref('carriers') }}",
+    "models/north/delays.sql": "select * from {{ ref('ports') }}",
+    "models/south/delays.sql": "select * from {{ ref('legs') }}",
+    "seeds/tariffs.csv": "\nport,rate\nNLRTM,3\n",
+    "snapshots/history.sql": "{% snapshot leg_states %} select * from {{ ref('legs') }} {% endsnapshot %}",
 }
 
 
-def write_schema_file_project(root: Path, name: str = "shop_yml") -> Path:
-    folder = root / name
-    for path, text in {"dbt_project.yml": f"name: {name}\n", "models/schema.yml": SCHEMA, **SCRIPTS}.items():
-        file = folder / path
-        file.parent.mkdir(parents=True, exist_ok=True)
-        file.write_text(text)
-    return folder
+def write_schema_file_project(root: Path) -> None:
+    """Two schema files, single values where lists are usual, two scripts of one name."""
+    _write(root / "freight_yard", YARD)
+
+
+def _write(folder: Path, files: dict[str, str]) -> None:
+    for path, text in files.items():
+        (folder / path).parent.mkdir(parents=True, exist_ok=True)
+        (folder / path).write_text(text)

@@ -3,125 +3,117 @@
 import pytest
 from projects import write_artifact_project, write_schema_file_project
 
+from schemaloom.operators.graph import neighbours
 from schemaloom.plans.model import Model, artifact_model, fleet_model, schema_file_model
 from schemaloom.sources.projects import discover_projects
 from schemaloom.sources.sinks import write_model
 
+WIDE_NAMES = [f"c{n}" for n in range(20)]
+
 
 @pytest.fixture(scope="module")
 def root(tmp_path_factory):
-    folder = tmp_path_factory.mktemp("fleet")
+    folder = tmp_path_factory.mktemp("projects")
     write_artifact_project(folder)
     write_schema_file_project(folder)
     return str(folder)
 
 
 @pytest.fixture(scope="module")
-def compiled(spark, root):
+def room(spark, root):
     return artifact_model(spark, root)
 
 
 @pytest.fixture(scope="module")
-def written(spark, root):
-    model = schema_file_model(spark, root)
-    return Model(*[part.where("project = 'shop_yml'") for part in model.parts().values()])
+def yard(spark, root):
+    return only_yard(schema_file_model(spark, root))
+
+
+def only_yard(model):
+    return Model(*[part.where("project = 'freight_yard'") for part in model.parts().values()])
 
 
-def names(model):
-    return sorted(r["name"] for r in model.tables.collect())
+def in_order(rows, *columns):
+    return [tuple(r[c] for c in columns) for r in rows.orderBy("ord").collect()]
 
 
 def edges(model):
-    return {(r["from_table"], tuple(r["from_cols"]), r["to_table"], tuple(r["to_cols"]), r["to_missing"])
-            for r in model.relations.collect()}
+    return [f"{r['from_table']}({','.join(r['from_cols'])}) -> {r['to_table']}({','.join(r['to_cols'])})"
+            for r in model.relations.orderBy("ord").collect()]
 
 
-def flags(model):
-    return {f"{r['table_name']}.{r['name']}": "".join(str(int(r[f])) for f in ("pk", "nn", "uniq", "fk"))
-            for r in model.columns.collect()}
+def marks(model, table):
+    rows = model.columns.where(f"table_name = '{table}'").collect()
+    return {r["name"]: "".join(f for f in ("pk", "nn", "uniq", "fk") if r[f]) for r in rows}
 
 
-def types(model):
-    return {f"{r['table_name']}.{r['name']}": r["type"] for r in model.columns.collect()}
+def lineage(model):
+    return sorted(f"{r['from_table']} -> {r['to_table']}" for r in model.relations.collect())
 
 
-def test_projects_found_without_vendored(spark, root):
-    assert sorted(r["project"] for r in discover_projects(spark, root).collect()) == ["shop_artifacts", "shop_yml"]
+def test_vendored_projects_are_passed_over(spark, root):
+    assert {r["project"] for r in discover_projects(spark, root).collect()} == {"reading_room", "freight_yard"}
 
 
-def test_artifact_tables(compiled):
-    assert names(compiled) == ["analytics.orders", "contract_orders", "customers", "dim_region", "fct_sales",
-                               "marketing.orders", "order_items", "products", "raw.customers", "raw.orders"]
-    stats = compiled.stats.collect()[0]
-    assert (stats["tables"], stats["columns"], stats["relations"]) == (10, 33, 9)
+def test_compiled_tables_and_edges(room):
+    assert {r["name"] for r in room.tables.collect()} == {
+        "members", "titles", "copies", "circ.loans", "branch.loans", "fines", "desk.scans"}
+    assert edges(room) == [
+        "circ.loans(card_no) -> members(card_no)", "fines(loan_ref) -> circ.loans(loan_no)",
+        "copies(isbn,edition) -> titles(isbn,edition)", "circ.loans(barcode) -> copies(barcode)"]
+    counted = room.stats.first()
+    assert (counted["tables"], counted["columns"], counted["relations"]) == (7, 15, 4)
 
 
-def test_artifact_edges(compiled):
-    o = "analytics.orders"
-    assert edges(compiled) == {
-        (o, ("customer_id",), "customers", ("id",), False),
-        ("order_items", ("order_id",), o, ("id",), False),
-        ("order_items", ("product_id",), "products", ("id",), False),
-        ("raw.orders", ("customer_id",), "customers", ("id",), False),
-        ("contract_orders", ("order_id",), o, ("id",), False),
-        ("contract_orders", ("customer_id",), "customers", ("id",), False),
-        ("contract_orders", ("product_id",), "products", ("id",), False),
-        ("fct_sales", ("country_code", "region_code"), "dim_region", ("country_code", "region_code"), False),
-        ("fct_sales", ("order_ref",), o, ("id",), False)}
+def test_compiled_marks_and_types(room):
+    assert marks(room, "members") == {"card_no": "pknnuniq", "full_name": ""}
+    assert marks(room, "titles") == {"isbn": "pknn", "edition": "pknn"}
+    assert marks(room, "copies") == {"barcode": "pknn", "isbn": "fk", "edition": "fk"}
+    assert marks(room, "fines") == {"fine_no": "", "loan_ref": "uniqfk"}
+    found = {(r["table_name"], r["name"]): r["type"] for r in room.columns.collect()}
+    assert found["members", "card_no"] == "varchar" and found["members", "full_name"] == "text"
+    assert found["desk.scans", "scanned_at"] == "timestamp"
 
 
-def test_artifact_flags_and_types(compiled):
-    f, t = flags(compiled), types(compiled)
-    assert f["customers.id"] == "1110" and f["analytics.orders.id"] == "1110"
-    assert f["contract_orders.id"] == "1100" and f["contract_orders.order_id"] == "0001"
-    assert f["contract_orders.customer_id"] == "0101" and f["contract_orders.product_id"] == "0101"
-    assert f["dim_region.country_code"] == "1100" and f["fct_sales.region_code"] == "0001"
-    assert t["customers.id"] == "integer" and t["customers.last_name"] == ""
+def test_compiled_lineage(spark, root):
+    assert lineage(artifact_model(spark, root, lineage=True)) == [
+        "copies -> circ.loans", "desk.scans -> circ.loans", "members -> circ.loans"]
 
 
-def test_artifact_lineage(spark, root):
-    found = {(r["from_table"], r["to_table"]) for r in artifact_model(spark, root, lineage=True).relations.collect()}
-    assert found == {("customers", "analytics.orders"), ("raw.orders", "analytics.orders"),
-                     ("analytics.orders", "order_items"), ("products", "order_items")}
+def test_tables_of_several_files_keep_one_order(yard):
+    assert in_order(yard.tables, "ord", "name") == list(enumerate(
+        ["carriers", "ports", "yard.gates", "waybills", "legs", "delays", "tariffs", "leg_states"], 1))
 
 
-def test_schema_file_tables(written):
-    assert names(written) == ["contract_orders", "country_codes", "customer_segments", "customers", "order_items",
-                              "order_status_snapshot", "orders", "products", "raw.payments"]
-    stats = written.stats.collect()[0]
-    assert (stats["tables"], stats["columns"], stats["relations"]) == (9, 27, 9)
+def test_edges_have_their_own_places_past_the_sixteenth_column(yard):
+    assert edges(yard) == ["yard.gates(port) -> ports(code)", "waybills(c15) -> carriers(code)", "waybills(c17) -> ports(code)",
+                           "legs(port) -> ports(code)"]
+    assert [r[0] for r in in_order(yard.relations, "ord")] == [1, 2, 3, 4]
 
 
-def test_schema_file_edges_and_flags(written):
-    found = edges(written)
-    assert ("orders", ("customer_id",), "customers", ("id",), False) in found
-    assert ("raw.payments", ("order_id",), "orders", ("id",), False) in found
-    assert ("contract_orders", ("product_id",), "products", ("id",), False) in found
-    assert ("country_codes", ("customer_id",), "customers", ("id",), False) in found
-    f, t = flags(written), types(written)
-    assert f["customers.id"] == "1110" and f["country_codes.customer_id"] == "1111"
-    assert f["contract_orders.customer_id"] == "0101" and f["order_status_snapshot.id"] == "1110"
-    assert t["country_codes.country_name"] == "" and t["country_codes.country_code"] == "text"
-    assert not any(k.startswith("customer_segments.") for k in f)
+def test_single_values_count_as_lists(yard):
+    assert marks(yard, "carriers") == {"code": "pknnuniq", "title": ""}
+    assert marks(yard, "legs") == {"leg_no": "", "port": "fk"}
+    assert [n for (n,) in in_order(yard.columns.where("table_name = 'waybills'"), "name")] == WIDE_NAMES
+    assert {n for n, m in marks(yard, "waybills").items() if m} == {"c15", "c17"}
+    assert [n for (n,) in in_order(yard.columns.where("table_name = 'tariffs'"), "name")] == ["port", "rate"]
 
 
-def test_schema_file_lineage(spark, root):
-    model = schema_file_model(spark, root, lineage=True)
-    found = {(r["from_table"], r["to_table"]) for r in model.relations.collect()}
-    assert found == {("raw.payments", "orders"), ("customers", "orders"), ("orders", "order_items"),
-                     ("products", "order_items"), ("customers", "customer_segments"),
-                     ("country_codes", "customer_segments"), ("orders", "order_status_snapshot")}
+def test_scripts_of_one_name_are_one_table(spark, root):
+    assert lineage(only_yard(schema_file_model(spark, root, lineage=True))) == [
+        "carriers -> legs", "legs -> delays", "legs -> leg_states", "ports -> delays", "yard.gates -> legs"]
 
 
 def test_fleet_prefers_artifacts_and_writes(spark, root, tmp_path):
     model = fleet_model(spark, root)
-    assert {(r["project"], r["source"], r["tables"]) for r in model.stats.collect()} == {
-        ("shop_artifacts", "manifest", 10), ("shop_yml", "yml", 9)}
-    write_model(model.parts(), str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out" / "columns"))
-    assert back.where("project = 'shop_yml'").count() == 27
+    assert sorted((r["project"], r["source"], r["tables"]) for r in model.stats.collect()) == [
+        ("freight_yard", "yml", 8), ("reading_room", "manifest", 7)]
+    write_model(model.parts(), str(tmp_path / "model"))
+    assert spark.read.parquet(str(tmp_path / "model" / "columns")).where("project = 'freight_yard'").count() == 29
 
 
-def test_column_order_is_declaration_order(compiled):
-    rows = compiled.columns.where("table_name = 'contract_orders'").orderBy("ord").collect()
-    assert [r["name"] for r in rows] == ["id", "order_id", "customer_id", "product_id", "notes"]
+def test_a_node_without_edges_is_its_own_neighbourhood(spark):
+    joined = spark.createDataFrame([("p", "a", "b")], "project string, from_key string, to_key string")
+    listed = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "z")], "project string, node string")
+    assert [r["node"] for r in neighbours(joined, "z", ["project"], listed).collect()] == ["z"]
+    assert sorted(r["node"] for r in neighbours(joined, "a", ["project"], listed).collect()) == ["a", "b"]
