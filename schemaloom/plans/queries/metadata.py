@@ -37,7 +37,7 @@ DIR = f"concat('/fleet/c', {KEY})"
 @query("read_manifest_nodes", f"""
 SELECT {DIR} AS project_dir, 'model.p.m' AS uid, 'model' AS resource_type, c_mktsegment AS name,
   concat('m_', {KEY}) AS ref_name, concat('s', CAST(c_nationkey AS VARCHAR)) AS schema_name, 'p' AS package,
-  'source.p.raw.t' AS depends_on, lower(c_mktsegment) AS domain FROM {{customer}}
+  'source.p.raw.t' AS depends_on, 'm' AS domain FROM {{customer}}
 UNION ALL SELECT {DIR}, 'model.p.n', 'seed', concat('n_', {KEY}), concat('n_', {KEY}), '', '', '', 'n'
 FROM {{customer}} WHERE c_custkey % 3 <> 0""")
 def read_manifest_nodes(t):
