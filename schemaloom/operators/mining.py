@@ -239,7 +239,7 @@ def ddl_items(statements: DataFrame, ids: list[str]) -> DataFrame:
 
 def _key_refs(items: DataFrame, ids: list[str]) -> DataFrame:
     """Columns listed by table-level key clauses: (ids, table_key, role, at, col_key)."""
-    inner = F.regexp_extract("item", rf"(?s)({_GROUPS})", 1)
+    inner = F.regexp_extract("item", rf"(?s)\A[^(]*+({_GROUPS})", 1)
     # the first balanced group; deeper ones reach from the first bracket to the last
     listed = F.when(inner != "", inner.substr(F.lit(2), F.length(inner) - 2)).otherwise(
         F.regexp_extract("item", r"(?s)\((.*)\)", 1))

@@ -100,3 +100,14 @@ def test_formats(spark):
     df = spark.createDataFrame(list(samples.items()), "want string, text string")
     for r in df.withColumn("got", m.classify_format("text")).collect():
         assert r["got"] == r["want"]
+
+
+def test_key_lists_with_nested_brackets(spark):
+    deep = "(" * 20 + "a" + ")" * 20
+    got = mined(spark, "create table k (a text, b int, c int, primary key (lower(trim(coalesce(a))), b));",
+                "create table k (a text, b int, c int, unique (f(a, c)));",
+                f"create table k (a text, b int, c int, primary key (g{deep}, b));")
+    rows = {(r["script_id"], r["name"]): (r["pk"], r["uniq"]) for r in got.columns.collect()}
+    assert {k for k, (pk, _) in rows.items() if pk} == {(0, "b"), (2, "b")}
+    assert not any(uniq for _, uniq in rows.values())
+    assert got.errors.isEmpty()

@@ -101,8 +101,11 @@ def test_levels_report_cycles(spark):
                    "x": (None, True), "y": (None, True), "z": (None, True)}
 
 
-def test_levels_without_small_frontier(spark, monkeypatch):
-    monkeypatch.setattr(graph, "SMALL_FRONTIER", 0)
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_levels_with_shuffled_and_small_frontier(spark, threshold, request):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     edges = spark.range(1, 200).selectExpr("'p' AS project", "cast(id div 3 AS string) AS from_key", "cast(id AS string) AS to_key")
     got = {int(r["node"]): r["level"] for r in graph.lineage_levels(edges, ["project"]).collect()}
     depth = {0: 0}
