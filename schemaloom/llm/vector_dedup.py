@@ -1,17 +1,16 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors, every pair of a label compared.
 
-A pass gives every vector a number of concatenated random hash bits (signs of random projections), sorts
-by label and that number, and compares each vector with a bounded window of the next ones by cosine in
-double precision. The links of all passes are united to components. The number of passes follows from
-the largest group's size: a pair at the limit shares the leading bits that bring it into one window with a
-known chance, and passes are added until all of them miss with chance ``MISSED`` at most. Copies of
-one vector are one node with a count. How many vectors each is linked to is then counted exactly inside its
-component, tile by tile (a component of any size is parted into tiles, and no pairs are given out).
+Copies of one vector are one node with a count. The nodes of a label and length are dealt out over tiles by
+their hash, and each pair of tiles is one piece of work: cosines in double precision by matrix product, block by
+block. A piece gives out one line per linked node (how many vectors it is linked to there, and the head of the
+nodes it hangs together with there), never pairs; the counts are summed, the heads united to components. Labels
+that fit one tile share pieces. No candidate is left out, so the work grows with the square of a label: a
+label of n nodes in k tiles sends each node k times and takes n^2 / 2 products.
 
 Defined results: vectors without label or id, null, empty or zero vectors, and those with null or
 non-finite components link with nothing: n_links 0, their own component, kept. Vectors are compared only
-with others of their label and length. Repeated rows of an id count as further vectors. A pair parted by the
-edge of a sorted range in one pass is met in others. Other columns are not read.
+with others of their label and length. Repeated rows of an id count as further vectors. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -24,18 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship
-from .common import components, cut, tasks
+from .common import components, small, tasks
 
-LIMIT, WINDOW, BITS, MISSED, SEED = 0.93, 32, 48, 1e-4, 7
-# Vectors of one component that a tile holds.
-TILE = 512
-
-
-def passes_for(largest: int, limit: float = LIMIT, window: int = WINDOW, missed: float = MISSED) -> int:
-    """Passes until a pair at the limit is missed by all with the given chance."""
-    same_bit = 1 - math.acos(limit) / math.pi
-    lead = max(1.0, math.log2(max(2, largest) / window) + 1)
-    return max(4, math.ceil(math.log(missed) / math.log1p(-(same_bit ** lead))))
+LIMIT = 0.93
+# Nodes of a tile at least, numbers (nodes times length) of a tile at most, and cosines held at once.
+TILE, NUMBERS, COSINES = 512, 1 << 20, 1 << 21
 
 
 def usable(vector: str) -> Column:
@@ -51,108 +43,80 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row reachable over links (i, j) inside one batch."""
-    root = np.arange(count)
+def _united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The heads after uniting the trees of linked rows (i, j)."""
     while True:
-        low = np.minimum(root[i], root[j])
+        a, b = root[i], root[j]
+        low = np.minimum(a, b)
         new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
         new = new[new]
         if np.array_equal(new, root):
             return root
         root = new
 
 
-def window_links(nodes: DataFrame, passes: int, limit: float = LIMIT, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(a, b): links found by all passes, one line of links per run of neighbours and task."""
-
-    def hashed(batches):
-        planes: dict[int, np.ndarray] = {}
-        weights = (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-        for frame in batches:
-            for dim, part in frame.groupby(frame["vector"].map(len)):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
-                for at in range(0, len(part), 2000):
-                    some = part.iloc[at:at + 2000]
-                    bits = (_unit(some["vector"]) @ planes[dim] > 0).reshape(len(some), passes, BITS)
-                    keys = bits @ weights
-                    again = np.repeat(np.arange(len(some)), passes)
-                    yield pd.DataFrame({"pass": np.tile(np.arange(passes), len(some)), "label": some["label"].to_numpy()[again],
-                                        "dim": dim, "key": keys.ravel(), "node": some["node"].to_numpy()[again],
-                                        "vector": some["vector"].to_numpy()[again]})
-
-    def compared(batches):
-        held = None
-        for frame in batches:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            held = frame.tail(window)
-            found = []
-            for _, part in frame.groupby(["pass", "label", "dim"], sort=False):
-                if len(part) < 2:
-                    continue
-                x, names = _unit(part["vector"]), part["node"].to_numpy()
-                hits = []
-                for step in range(1, min(window, len(part) - 1) + 1):
-                    at = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= limit)
-                    hits.append(np.stack([at, at + step]))
-                i, j = np.concatenate(hits, axis=1)
-                root = _roots(len(part), i, j)
-                linked = np.flatnonzero(root != np.arange(len(part)))
-                found.append(pd.DataFrame({"a": names[root[linked]], "b": names[linked]}))
-            if found:
-                yield pd.concat(found)
-
-    kind = nodes.schema["label"].dataType.simpleString()
-    vector = nodes.schema["vector"].dataType.simpleString()
-    keyed = nodes.mapInPandas(hashed, f"pass int, label {kind}, dim int, key bigint, node bigint, vector {vector}")
-    order = ["pass", "label", "dim", "key", "node"]
-    return (keyed.repartitionByRange(tasks(nodes.sparkSession), *order).sortWithinPartitions(*order)
-            .mapInPandas(compared, "a bigint, b bigint"))
-
-
-def counted_links(members: DataFrame, limit: float = LIMIT, tile: int = TILE) -> DataFrame:
-    """(node, linked): vectors linked to each node, from (node, component, copies, vector); own copies not counted."""
-    sizes = cut_lineage(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    total = members.count()
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    # small components share a group; large ones have one per pair of tiles
-    shelf = F.pmod(F.xxhash64("component"), F.lit(max(1, total // (4 * tile) + 1)))
+def _compared(x: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked vectors and head of each row, from all pairs of a row in ``left`` and one in ``right`` (both equal or disjoint)."""
+    linked, root, same = np.zeros(len(x)), np.arange(len(x)), left is right
+    step = max(1, COSINES // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some = left[at:at + step]
+        near = x[some] @ x[right].T >= limit
+        if same:
+            near[np.arange(len(some)), at + np.arange(len(some))] = False
+        if not near.any():
+            continue
+        linked[some] += near @ copies[right]
+        if not same:
+            linked[right] += copies[some] @ near
+        near &= root[some][:, None] != root[right][None, :]
+        i, j = np.nonzero(near)
+        root = _united(root, some[i], right[j])
+    return linked, root
+
+
+def linked_nodes(nodes: DataFrame, limit: float = LIMIT, tile: int = TILE) -> DataFrame:
+    """(node, linked, head), written: a line per linked node and piece of work, from (label, vector, node, copies)."""
+    nodes = nodes.withColumn("dim", F.size("vector"))
+    sizes = cut_lineage(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")))
+    total = nodes.count()
+    # enough pieces for all tasks when a label holds a large share
+    wanted = max(tile, int(total / (2 * math.sqrt(tasks(nodes.sparkSession)))))
+    tiles = F.ceil(F.col("n") / F.least(F.lit(wanted), F.greatest(F.lit(tile), F.floor(F.lit(NUMBERS) / F.col("dim"))))).cast("int")
+    shelf = F.pmod(F.xxhash64("label", "dim"), F.lit(max(1, total // (4 * tile) + 1)))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = (members.join(sizes, "component").withColumn("tiles", tiles).withColumn("tile", own)
+    dealt = (nodes.join(small(sizes), ["label", "dim"]).withColumn("tiles", tiles).withColumn("tile", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .withColumn("place", F.when(F.col("tiles") == 1, shelf).otherwise(F.col("component")))
+             .withColumn("place", F.when(F.col("tiles") == 1, shelf).otherwise(F.xxhash64("label", "dim")))
              .withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other")))
 
-    def count(frame):
+    def compare(frame):
         out = []
-        for _, part in frame.groupby("component", sort=False):
-            x, copies = _unit(part["vector"]), part["copies"].to_numpy()
-            linked = x @ x.T >= limit
-            np.fill_diagonal(linked, False)
-            if part["lo"].iloc[0] != part["hi"].iloc[0]:
-                side = part["tile"].to_numpy()
-                linked &= side[:, None] != side[None, :]
-            out.append(pd.DataFrame({"node": part["node"].to_numpy(), "linked": linked @ copies}))
+        for _, part in frame.groupby(["label", "dim"], sort=False):
+            x, copies, names = _unit(part["vector"]), part["copies"].to_numpy().astype(np.float64), part["node"].to_numpy()
+            lo, hi = part["lo"].iloc[0], part["hi"].iloc[0]
+            left = np.flatnonzero(part["tile"].to_numpy() == lo)
+            right = left if lo == hi else np.flatnonzero(part["tile"].to_numpy() == hi)
+            linked, root = _compared(x, copies, left, right, limit)
+            hit = np.flatnonzero(linked)
+            out.append(pd.DataFrame({"node": names[hit], "linked": linked[hit].astype(np.int64), "head": names[root[hit]]}))
         return pd.concat(out)
 
-    return (dealt.groupBy("tiles", "place", "lo", "hi").applyInPandas(count, "node bigint, linked bigint")
-            .groupBy("node").agg(F.sum("linked").alias("linked")))
+    return cut_lineage(dealt.groupBy("tiles", "place", "lo", "hi").applyInPandas(compare, "node bigint, linked bigint, head bigint"))
 
 
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label",
-               limit: float = LIMIT, window: int = WINDOW) -> DataFrame:
+               limit: float = LIMIT) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & usable("vector"), F.lit(False)))
     nodes = cut_lineage(rows.where("ok").groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
-    largest = nodes.groupBy("label", F.size("vector").alias("dim")).count().agg(F.max("count")).first()[0] or 0
-    links = cut_lineage(window_links(nodes.select("label", "vector", "node"), passes_for(largest, limit, window), limit, window).distinct())
-    part = components(links)
-    counted = counted_links(nodes.join(part, "node").select("node", "component", "copies", "vector"), limit)
+    links = linked_nodes(nodes, limit)
+    part = components(links.select(F.col("head").alias("a"), F.col("node").alias("b")))
+    counted = links.groupBy("node").agg(F.sum("linked").alias("linked"))
     known = cut_lineage(nodes.join(part, "node", "left").join(counted, "node", "left")
                         .select("label", "vector", F.coalesce("component", "node").alias("component_id"),
                                 (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

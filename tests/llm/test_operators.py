@@ -225,6 +225,35 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["4", "200"])
+def test_vector_dedup_dense_label(spark, partitions):
+    """One label in a cone, where sign bits tell little apart, with its close pairs, in many tiles and partitions."""
+    rng = np.random.default_rng(8)
+    axis = rng.standard_normal(32)
+    x = 2.2 * axis / np.linalg.norm(axis) + rng.standard_normal((2500, 32)) / np.sqrt(32)
+    for i in range(0, 600, 2):
+        x[i + 1] = x[i] + rng.standard_normal(32) / np.sqrt(32) * 0.9
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    part = np.arange(len(x))
+    while True:
+        low = np.minimum(part, np.where(linked, part[None, :], len(x)).min(axis=1))
+        if np.array_equal(low, part):
+            break
+        part = low
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_dedup(frame).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 100 < linked.any(axis=1).sum() < 2400
+    assert got == [(i, int(linked[i].sum()), int(part[i])) for i in range(len(x))]
+
+
 def test_language(spark, docs, none):
     rows = [(i, " ".join(["the house and tree" if i % 2 else "das haus und baum"] * 3) + f" x{i}", "en" if i % 2 else "de") for i in range(60)]
     model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
