@@ -17,6 +17,9 @@ it shares most signatures with, then with the next best that still lie in other
 components, every pair across these is compared as well. So no pair that
 could change a component goes untested, and pairs inside a component need no test.
 
+Ids only name components. Sets are verified by node and rows are known by id and text number, so null ids and
+ids that stand on several texts neither lose links nor rows.
+
 Defined results: null and blank texts have an empty set, n_shingles 0 and no link; their component is their own
 id. Repeated rows share a component. Null ids never name a component if another member has an id. Only the
 id and text columns are read; ``keep_one`` returns the input's columns.
@@ -26,13 +29,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship
 from .common import components, cut, small, tasks
 from .shingles import mix, set_number, shingle_sets
-from .tokens import pieces_of, plain_ids
+from .tokens import pieces_of
 
 # Similarity in hundredths.
 SIMILAR = 75
@@ -48,22 +51,28 @@ HELD, GROUP = 1_000_000, 1_000_000
 CHARS = 1_000_000
 
 
+def text_key(text: str) -> Column:
+    """One 64-bit number for a text as it stands: other texts differ but for chance (2^-64 a pair)."""
+    return F.xxhash64(F.col(text))
+
+
 def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, node) of every document, written, and the counters of the sketch over all of them."""
+    """(id, key, n, node) of every document, written, and the counters of the sketch over all of them."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            texts, ids = batch["text"].tolist(), plain_ids(batch["id"])
+            texts = batch["text"].tolist()
             for a, b in pieces_of(texts, CHARS):
                 sets = shingle_sets(texts[a:b])
                 total = np.concatenate(sets)
                 counts += np.bincount((total & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                yield pd.DataFrame({"id": pd.Series(ids[a:b], dtype=object), "n": [len(s) for s in sets],
+                yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "named": batch["named"].iloc[a:b].to_numpy(),
+                                    "key": batch["key"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets],
                                     "node": pd.Series([set_number(s) if len(s) else None for s in sets], dtype=object), "slice": None, "counts": None})
         if counts.any():
             parts = [counts[k:k + SLICE].astype("<u4").tobytes() for k in range(0, COUNTERS, SLICE)]
-            yield pd.DataFrame({"id": None, "n": None, "node": None, "slice": range(len(parts)), "counts": parts})
+            yield pd.DataFrame({"id": None, "named": None, "key": None, "n": None, "node": None, "slice": range(len(parts)), "counts": parts})
 
     def added(batches):
         sums: dict[int, np.ndarray] = {}
@@ -72,12 +81,14 @@ def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 sums[k] = sums.get(k, 0) + np.frombuffer(part, "<u4").astype(np.uint64)
         yield pd.DataFrame({"slice": list(sums), "counts": [s.tobytes() for s in sums.values()]})
 
-    made = cut_lineage(docs.mapInPandas(run, "id bigint, n bigint, node bigint, slice int, counts binary"))
+    # ids stay whole numbers beside nulls (pandas would turn them to floats)
+    whole = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "key", "text")
+    made = cut_lineage(whole.mapInPandas(run, "id bigint, named boolean, key bigint, n bigint, node bigint, slice int, counts binary"))
     sketch = np.zeros(COUNTERS, np.uint64)
     slices = made.where("slice is not null").select("slice", "counts").repartition(COUNTERS // SLICE, "slice")
     for row in slices.mapInPandas(added, "slice int, counts binary").collect():  # COUNTERS numbers at any input size
         sketch[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] += np.frombuffer(row["counts"], np.uint64)
-    return made.where("slice is null").select("id", "n", "node"), sketch
+    return made.where("slice is null").select(F.when(F.col("named"), F.col("id")).alias("id"), "key", "n", "node"), sketch
 
 
 def levels(sketch: np.ndarray) -> tuple[np.ndarray, int]:
@@ -231,32 +242,37 @@ def may_link(similar: int = SIMILAR):
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose sets are similar, written; sets are made anew from whole texts of the nodes needed."""
-    sized = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("rep").alias("rep_a")), "a")
-             .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b")), "b"))
-    sized = cut(sized, pairs.count())
-    wanted = cut(sized.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct(), 2 * sized.count())
+    count = pairs.count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(ends.join(nodes, "node").select("key").distinct(), 2 * count)
 
     def run(batches):
+        made = set()
         for batch in batches:
-            texts, ids = batch["text"].tolist(), plain_ids(batch["id"])
+            # copies of one text in a task are one set
+            batch = batch[~batch["key"].isin(made)].drop_duplicates("key")
+            made.update(batch["key"])
+            texts = batch["text"].tolist()
             for a, b in pieces_of(texts, CHARS):
-                yield pd.DataFrame({"id": ids[a:b], "shingles": [s.view(np.int64) for s in shingle_sets(texts[a:b])]})
+                sets = shingle_sets(texts[a:b])
+                yield pd.DataFrame({"node": [set_number(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    sets = cut_lineage(docs.join(small(wanted), "id", "leftsemi").mapInPandas(run, "id bigint, shingles array<bigint>")
-                       .dropDuplicates(["id"]))
-    both = (sized.join(sets.select(F.col("id").alias("rep_a"), F.col("shingles").alias("left")), "rep_a")
-            .join(sets.select(F.col("id").alias("rep_b"), F.col("shingles").alias("right")), "rep_b"))
+    sets = cut_lineage(docs.select("key", "text").join(small(wanted), "key", "leftsemi").mapInPandas(run, "node bigint, shingles array<bigint>")
+                       .dropDuplicates(["node"]))
+    both = (pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"))
     common = F.size(F.array_intersect("left", "right"))
-    return cut(both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * similar).select("a", "b"), sized.count())
+    return cut(both.where(common * 100 >= (F.size("left") + F.size("right") - common) * similar).select("a", "b"), count)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
-    """(id, n_shingles, component_id), one row per row."""
+def placed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """(id, key, n, node, first), one row per row; ``first`` is the group's leader: its id, node and text, ids before null."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), text_key(text).alias("key"))
     seen, sketch = profile(own)
     totals = seen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    nodes = cut(seen.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n")), totals["rows"])
+    nodes = cut(seen.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("rep")),
+                totals["rows"])
     level, frequent = levels(sketch)
     deal = max(2 * tasks(docs.sparkSession), totals["shingles"] // 3 // GROUP)
     index = shared_signatures(own, level, frequent, deal, similar)
@@ -295,15 +311,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     more = verified(across, nodes, own, similar) if not across.isEmpty() else links.limit(0)
     final = components(links.unionAll(more))
     named = nodes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    names = cut(named.join(least, "component").select("node", "component_id"), totals["rows"])
-    out = seen.join(names, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    least = named.groupBy("component").agg(F.min(F.struct("rep.unnamed", "rep.id", "node", "rep.key")).alias("first"))
+    names = cut(named.join(least, "component").select("node", "first"), totals["rows"])
+    return seen.join(names, "node", "left").select("id", "key", "n", "node", "first")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """(id, n_shingles, component_id), one row per row."""
+    out = placed_rows(docs, id_col, text, similar)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
-    """The document with the smallest id of each group, with the input's columns."""
-    found = groups(docs, id_col, text, similar)
-    drop = cut_lineage(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct())
-    # null ids of a group that has a named document go by the null row of the list
-    return docs.join(small(drop), F.col(id_col).eqNullSafe(F.col("_gone")), "leftanti")
+    """One document of each group, that with the smallest id, with the input's columns.
+
+    Repeated rows of that id and text all stay, since they are one document; of rows without id one stays.
+    """
+    found = placed_rows(docs, id_col, text, similar).where("n > 0")
+    leads = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node")) & (F.col("key") == F.col("first.key"))
+    pair = [F.col("id").alias("_id"), F.col("key").alias("_key")]
+    gone = cut_lineage(found.where(~leads).select(*pair).distinct())
+    unnamed = cut_lineage(found.where(leads & F.col("id").isNull()).groupBy("key").count().where("count > 1").select(F.col("key").alias("_key")))
+    keyed = docs.withColumn("_row_key", text_key(text))
+    same = F.col("_row_key") == F.col("_key")
+    left = keyed.join(small(gone), same & F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")), "leftanti")
+    if unnamed.isEmpty():
+        return left.drop("_row_key")
+    again = F.col(id_col).isNull()
+    single = left.where(~again).unionAll(left.where(again).join(small(unnamed), same, "leftanti"))
+    several = left.where(again).join(small(unnamed), same, "leftsemi").groupBy("_row_key").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return single.drop("_row_key").unionAll(several.select("_row.*"))

@@ -181,6 +181,32 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.groups(none).count() == 0 and ngram_join.keep_one(none).count() == 0
 
 
+def test_ngram_join_by_node(spark):
+    """Rows without id, and ids on several texts, keep their links and lose only near copies."""
+    text = lambda mark: " ".join(f"{mark}{i}" for i in range(60))
+    rows = [(1, text("a")), (None, text("A")), (None, text("u")), (None, text("v")),
+            (None, text("n")), (None, text("n") + " tail"), (None, text("N")), (None, text("n")),
+            (2, text("k")), (3, text("k") + " tail"), (3, text("l")), (4, text("m")), (4, text("m") + " tail"),
+            (None, text("z") + " tail"), (9, text("z")), (None, None), (None, ""),
+            (2**53 + 1, text("q")), (2**53 + 3, text("q") + " tail")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = ngram_join.keep_one(frame)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == frame.columns
+
+    def of(mark):
+        return [(i, t) for i, t in got if (t or "").lower().startswith(f"{mark}0 ")]
+
+    assert of("a") == [(1, text("a"))] and of("u") == [(None, text("u"))] and of("v") == [(None, text("v"))]
+    assert len(of("n")) == 1 and of("k") == [(2, text("k"))] and of("l") == [(3, text("l"))]
+    assert len(of("m")) == 1 and of("m")[0][0] == 4 and of("z") == [(9, text("z"))]
+    assert of("q") == [(2**53 + 1, text("q"))] and len(got) == 11
+    component = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in ngram_join.groups(frame).collect())
+    want = [(0, 0, 0)] * 2 + [(0, 56, 0)] * 5 + [(0, 57, 0)] + [(0, 56, 1), (0, 57, 9), (1, 56, 1), (2, 56, 2), (3, 57, 2), (3, 56, 3), (4, 56, 4),
+                                                             (4, 57, 4), (9, 56, 9), (2**53 + 1, 56, 2**53 + 1), (2**53 + 3, 57, 2**53 + 1)]
+    assert component == sorted(want)
+
+
 def test_prefix_signatures_meet():
     """Similar sets share a signature whatever tokens are frequent."""
     rng, level = np.random.default_rng(5), np.zeros(ngram_join.COUNTERS, np.uint8)
