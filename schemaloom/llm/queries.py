@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import exact_dedup, language, licenses, mixing, ngram_join, packing, token_files, toxicity, url_rules, vector_dedup
+from . import exact_dedup, fill_middle, language, licenses, mixing, ngram_join, packing, token_files, toxicity, url_rules, vector_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,25 @@ def op8_license_scan(spark, folder):
         "path", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string")))
     short = mixing.words_in(F.col("text")) <= 40
     return licenses.scan(docs, "doc_id", "path", "text", short, licenses.default_templates(spark))
+
+
+@query("op11_fill_middle", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+             ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+      FROM t),
+c AS (SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+             greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS x, array_to_string(units[a + 1:b], '') AS y,
+             array_to_string(units[b + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(y) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+                        WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p""")
+def op11_fill_middle(spark, folder):
+    made = fill_middle.transform(table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
