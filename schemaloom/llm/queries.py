@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import exact_dedup, fill_middle, language, licenses, mixing, ngram_join, packing, token_files, toxicity, url_rules, vector_dedup
+from . import exact_dedup, fill_middle, language, licenses, mixing, ngram_join, packing, pii, token_files, toxicity, url_rules, vector_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,60 @@ def op11_fill_middle(spark, folder):
     made = fill_middle.transform(table(spark, folder, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                        F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def _pii_sql() -> str:
+    """The same patterns, validators and words in SQL; spans come from the pieces between a pattern's matches."""
+    digits = r"regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (f"list_sum([CASE WHEN i % 2 = 0 THEN d WHEN d < 5 THEN 2 * d ELSE 2 * d - 9 END FOR d, i IN "
+            f"list_transform(string_split(reverse({digits}), ''), lambda x: x::BIGINT)])")
+    shapes = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+){3}", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 "
+                                         "OR ('0' || right(ltrim(p, '0'), 3))::BIGINT > 255)) = 0"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn} % 10 = 0"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "true"),
+        "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00' AND m[8:11] <> '0000'"),
+        "tel": (r"\b[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b", "true")}
+
+    def account(form):
+        bare = f"replace({form}, ' ', '')"
+        value = "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ord(c) - 48 ELSE ord(c) - 55 END::BIGINT"
+        return (f"(length({bare}) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split({bare}[5:] || {bare}[1:4], ''), {value}), "
+                "lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, 0::BIGINT) = 1)")
+
+    short = "regexp_replace(m, ' [A-Z0-9]{1,3}$', '')"
+    parts, near = [], []
+    for no, rule in enumerate(pii.RULES):
+        shape, _ = shapes[rule.kind]
+        parts.append(f"SELECT rid, {no} AS no, '{rule.kind}' AS kind, text, regexp_extract_all(text, '{shape}') AS ms, "
+                     f"string_split_regex(text, '{shape}') AS gaps FROM t")
+        near.append(f"WHEN {no} THEN {rule.score}::DOUBLE + {rule.moves} * (regexp_matches(around, '\\b(?:{rule.near})\\b', 'i')::INT "
+                    f"- regexp_matches(around, '\\b(?:{rule.against})\\b', 'i')::INT)")
+    holds = " ".join(f"WHEN {no} THEN {shapes[r.kind][1]}" for no, r in enumerate(pii.RULES))
+    iban = [r.kind for r in pii.RULES].index("iban")
+    told = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY no, a)"
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({" UNION ALL ".join(parts)}),
+u AS (SELECT rid, no, kind, text, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM p),
+s AS (SELECT rid, no, kind, text, m, (sum(length(g) + length(m)) OVER (PARTITION BY rid, no ORDER BY i))::BIGINT - length(m) AS a FROM u),
+v AS (SELECT rid, no, kind, text, a, a + CASE WHEN no <> {iban} THEN length(m) WHEN {account("m")} THEN length(m)
+             WHEN {account(short)} THEN length({short}) ELSE 0 END AS b FROM s WHERE CASE no {holds} END),
+w AS (SELECT *, no < {len(pii.BASE)} AS base, substr(text, greatest(a - {pii.BEFORE}, 0) + 1, least(a, {pii.BEFORE})) || chr(10)
+             || substr(text, b + 1, {pii.AFTER}) AS around FROM v WHERE b > a),
+x AS (SELECT * FROM w WHERE base OR (CASE no {" ".join(near)} END >= {pii.STAYS} AND NOT EXISTS (
+        SELECT 1 FROM w o WHERE o.base AND o.rid = w.rid AND o.a <= w.a AND w.b <= o.b))),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE no = {no}) AS n_{k}" for no, k in enumerate(pii.BASE))},
+             {told} FILTER (WHERE base) AS own, {told} AS spans FROM x GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(own, '')) AS base_sha256,
+       coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (rid)"""
+
+
+@query("op13_pii", _pii_sql())
+def op13_pii(spark, folder):
+    found = pii.find(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
