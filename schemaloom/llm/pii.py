@@ -219,6 +219,10 @@ def redact(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     return docs.withColumn(text, F.pandas_udf(run, "string")(F.col(text)))
 
 
+def of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def span_list(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

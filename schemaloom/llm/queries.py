@@ -148,7 +148,7 @@ def op11_fill_middle(spark, folder):
 def _pii_sql() -> str:
     """The same patterns, validators and words in SQL; spans come from the pieces between a pattern's matches."""
     digits = r"regexp_replace(m, '[^0-9]', '', 'g')"
-    luhn = (f"list_sum([CASE WHEN i % 2 = 0 THEN d WHEN d < 5 THEN 2 * d ELSE 2 * d - 9 END FOR d, i IN "
+    luhn = (f"list_sum([CASE WHEN i % 2 = 1 THEN d WHEN d < 5 THEN 2 * d ELSE 2 * d - 9 END FOR d, i IN "
             f"list_transform(string_split(reverse({digits}), ''), lambda x: x::BIGINT)])")
     shapes = {
         "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
@@ -197,6 +197,6 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sh
 @query("op13_pii", _pii_sql())
 def op13_pii(spark, folder):
     found = pii.find(table(spark, folder, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    counts = [F.size(F.filter("spans", pii.of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
     base = F.filter("spans", lambda s: s["base"])
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
