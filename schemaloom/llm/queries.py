@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import exact_dedup, fill_middle, language, licenses, mixing, ngram_join, packing, pii, token_files, toxicity, url_rules, vector_dedup
+from . import exact_dedup, fill_middle, language, licenses, mixing, ngram_join, packing, pii, token_files, toxicity, turn_repair, url_rules, vector_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -200,3 +200,67 @@ def op13_pii(spark, folder):
     counts = [F.size(F.filter("spans", pii.of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
     base = F.filter("spans", lambda s: s["base"])
     return found.select("doc_id", *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row from the front: per state the least (cost, audit, text so far)."""
+    def edit(state, letter, cost, line=None):
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t" + (f" || chr(10) || {line}" if line else "") + "}"
+
+    def least(*ways):
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    def only(test, way):
+        return f"CASE WHEN {test} THEN {way} ELSE {{'c': 1000000000::BIGINT, 'a': '', 't': ''}} END"
+
+    def filled(source):
+        return (f"SELECT *, {least('a', edit('u1', 'I', 3, repr('assistant:')))} AS a1 FROM "
+                f"(SELECT *, {least('u', *[edit(x, 'I', 3, repr('user:')) for x in 'nsa'])} AS u1 FROM {source})")
+
+    keep, as_user, as_assistant = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+
+    def kept(state, initial):
+        return only(f"live AND kind = '{initial}'", edit(state, "K", "more", keep))
+
+    def turned(state, line):
+        return only("live", edit(state, "R", "more + 3", line))
+
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+        lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, 4294967295::BIGINT),
+    4294967295::BIGINT) % 20 AS way FROM conversations),
+d AS (SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE way WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE way <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS no, role[1:1] AS kind FROM d),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY no) > 1 THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+             lag(kind) OVER (PARTITION BY conv_id ORDER BY no) || kind AS pair FROM o),
+f AS (SELECT *, fault IN ('', 'truncated') AS live, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM g),
+x AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+             count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+             count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM f GROUP BY conv_id),
+w AS (SELECT conv_id, 0::BIGINT AS no, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS n, {only("false", "n")} AS s, {only("false", "n")} AS u,
+             {only("false", "n")} AS a FROM x
+  UNION ALL
+  SELECT conv_id, no, {edit("n", "D", 4)}, {least(edit("s", "D", 4), kept("n", "s"))},
+         {least(edit("u1", "D", 4), *[kept(x, "u") for x in ("n", "s", "a1")], *[turned(x, as_user) for x in ("n", "s", "a1")])},
+         {least(edit("a1", "D", 4), kept("u1", "a"), turned("u1", as_assistant))}
+  FROM ({filled("(SELECT f.conv_id, f.no, n, s, u, a, role, text, kind, live, more FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.no = w.no + 1)")})),
+e AS (SELECT z.conv_id, {least("n", "a1")} AS best FROM ({filled("w")}) z JOIN x ON x.conv_id IS NOT DISTINCT FROM z.conv_id
+      WHERE z.no = x.rows)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op12_turn_repair", _repair_sql())
+def op12_turn_repair(spark, folder):
+    fixed = turn_repair.audit(table(spark, folder, "conversations"))
+    return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
