@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import checks as c
 from ...operators.checks import Contract, Link
+from ..live import found_links
 from ..registry import query
 
 # Contracts of the given tables: name -> (not-null columns, key, foreign keys).
@@ -15,7 +16,7 @@ CONTRACTS = (
              ((("l_orderkey",), "orders", ("o_orderkey",)), (("l_partkey",), "part", ("p_partkey",)),
               (("l_suppkey",), "supplier", ("s_suppkey",)))),
     Contract("orders", ("o_orderkey", "o_custkey", "o_orderdate"), (("o_custkey", "o_orderdate"),), ("o_orderkey",),
-             ((("o_custkey",), "good_customer", ("c_custkey",)),)),
+             ((("o_custkey",), "customer", ("c_custkey",), "c_acctbal > 0"),)),
     Contract("customer", ("c_custkey", "c_name", "c_acctbal"), (("c_name",),), ("c_custkey",),
              ((("c_nationkey",), "nation", ("n_nationkey",)),)),
     Contract("documents", ("doc_id", "text", "lang"), (("text",),), ("doc_id",)),
@@ -30,7 +31,6 @@ def datasets(t):
 
 def contract_sql(contracts=CONTRACTS) -> str:
     """The same checks written out one by one."""
-    parents = {"good_customer": "(SELECT * FROM {customer} WHERE c_acctbal > 0)"}
     out = []
     for k in contracts:
         head = f"SELECT '{k.table}' AS table_name, '%s' AS check_name, '%s' AS columns, "
@@ -47,9 +47,9 @@ def contract_sql(contracts=CONTRACTS) -> str:
             out.append(head % ("primary_key", ",".join(k.primary_key)) + "count(*) AS violations, "
                        "CAST(coalesce(sum(n), 0) AS BIGINT) AS failed_rows FROM (SELECT count(*) AS n FROM {%s} "
                        "GROUP BY %s HAVING count(*) > 1 OR %s)" % (k.table, ", ".join(k.primary_key), null))
-        for cols, parent, pcols in k.foreign_keys:
+        for cols, parent, pcols, *where in k.foreign_keys:
             match = " AND ".join(f"p.{b} = c.{a}" for a, b in zip(cols, pcols, strict=True))
-            source = parents.get(parent, "{%s}" % parent)
+            source = "(SELECT * FROM {%s} WHERE %s)" % (parent, where[0]) if where else "{%s}" % parent
             out.append(head % ("relationship", ",".join(cols))
                        + "count(DISTINCT %s) AS violations, count(*) AS failed_rows FROM {%s} c WHERE %s AND "
                          "NOT EXISTS (SELECT 1 FROM %s p WHERE %s)" % (
@@ -158,12 +158,52 @@ def verify_links(t):
     return c.verify_inferred_links(LINKS, datasets(t) | {"events": t.events, "labels": t.labels})
 
 
-PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "status_or_null")
+# The given tables under names without their prefix, as a schema of one naming style has them.
+PREFIXED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+KEYS = {"region": "regionkey", "nation": "nationkey", "customer": "custkey", "supplier": "suppkey", "part": "partkey", "orders": "orderkey",
+        "documents": "doc_id", "pages": "page_id"}
+FOUND = (("nation", "regionkey", "region"), ("customer", "nationkey", "nation"), ("supplier", "nationkey", "nation"),
+         ("orders", "custkey", "customer"), ("lineitem", "orderkey", "orders"), ("lineitem", "partkey", "part"),
+         ("lineitem", "suppkey", "supplier"), ("labels", "doc_id", "documents"))
+
+
+def _found_sql(child: str, col: str, parent: str) -> str:
+    own = col if child not in PREFIXED else f"{child[0]}_{col}"
+    other = col if parent not in PREFIXED else f"{parent[0]}_{col}"
+    where = " WHERE c_acctbal > 0" if parent == "customer" else ""
+    return (f"SELECT '{child}' AS from_key, '{col}' AS from_col, '{parent}' AS to_key, '{col}' AS to_col, count(*) AS child_values, "
+            f"count(k) AS found, round(count(k) / count(*), 6) AS share FROM (SELECT DISTINCT {own} AS v FROM {{{child}}}"
+            f"{' WHERE c_acctbal > 0' if child == 'customer' else ''}) LEFT JOIN "
+            f"(SELECT DISTINCT {other} AS k FROM {{{parent}}}{where}) ON v = k WHERE v IS NOT NULL")
+
+
+@query("verify_found_links", "\nUNION ALL\n".join(_found_sql(*x) for x in FOUND))
+def verify_found_links(t):
+    """Links inferred from the column names of the given tables and checked on their rows, in one plan."""
+    tables = {name: getattr(t, name) for name in (*PREFIXED, "documents", "labels", "pages")}
+    tables["customer"] = t.customer.where("c_acctbal > 0")
+    for name in PREFIXED:
+        tables[name] = tables[name].toDF(*[c.split("_", 1)[1] for c in tables[name].columns])
+    return found_links(tables, KEYS).drop("project", "rule", "ord")
+
+
+ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+LINES = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+         "l_linestatus", "l_shipdate")
 PROFILE = "SELECT *, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS status_or_null FROM {orders}"
 
 
-@query("column_profile", "\nUNION ALL\n".join(
-    f"SELECT '{col}' AS column_name, count({col}) AS filled, count(*) - count({col}) AS nulls, "
-    f"count(DISTINCT {col}) AS distinct_values FROM ({PROFILE})" for col in PROFILED))
+def profile_sql(source: str, cols, more: str = "") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {more}'{col}' AS column_name, count({col}) AS filled, count(*) - count({col}) AS nulls, "
+        f"count(DISTINCT {col}) AS distinct_values FROM {source}" for col in cols)
+
+
+@query("column_profile", profile_sql(f"({PROFILE})", (*ORDERS, "status_or_null")))
 def column_profile(t):
-    return c.column_profile(t.derive(PROFILE), PROFILED)
+    return c.column_profile(t.derive(PROFILE))
+
+
+@query("column_profile_lines", profile_sql("{lineitem}", LINES))
+def column_profile_lines(t):
+    return c.column_profile(t.lineitem)
