@@ -1,10 +1,12 @@
 """Operators on small inputs with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.functions import keys, predicates, scores, text
-from schemaloom.operators import checks, export, graph, grouping, links, ranges, resolve, search
+from schemaloom.operators import checks, export, graph, grouping, links, resolve, search
 
 
 def one(spark, column):
@@ -114,14 +116,50 @@ def test_levels_with_shuffled_and_small_frontier(spark, threshold, request):
     assert got == depth
 
 
-def test_overlap_matches_brute_force(spark):
-    boxes = [(i, float(i * 7 % 40), float(i * 7 % 40 + 3 + i % 30), float(i * 11 % 50), float(i * 11 % 50 + 5)) for i in range(60)]
-    df = spark.createDataFrame(boxes, "id long, x0 double, x1 double, y0 double, y1 double")
-    got = {(r["left_key"], r["right_key"]) for r in
-           ranges.overlap_pairs(df, "id", [("x0", "x1"), ("y0", "y1")], 2.0, [8.0, 6.0]).collect()}
-    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0]
-            and min(a[2], b[2]) - max(a[1], b[1]) + 2 > 0 and min(a[4], b[4]) - max(a[3], b[3]) + 2 > 0}
-    assert got == want and want
+def levels_one_by_one(edges):
+    """Longest path from the roots; None on and below cycles."""
+    nodes, above = {n for e in edges for n in e}, {}
+    for a, b in edges:
+        if a != b:
+            above.setdefault(b, set()).add(a)
+    level = {n: 0 for n in nodes if n not in above}
+    while True:
+        new = {n: 1 + max(level[p] for p in above[n]) for n in nodes if n not in level and above[n] <= level.keys()}
+        if not new:
+            return {n: level.get(n) for n in nodes}
+        level.update(new)
+
+
+def level_cases():
+    rng = random.Random(5)
+    yield [(f"n{i}", f"n{i + 1}") for i in range(300)]
+    yield [e for i in range(60) for e in ((f"m{i}", f"a{i}"), (f"m{i}", f"b{i}"), (f"a{i}", f"m{i + 1}"), (f"b{i}", f"c{i}"), (f"c{i}", f"m{i + 1}"))]
+    yield [("r", f"x{i}") for i in range(50)] + [(f"x{i}", f"x{(i + 1) % 20}") for i in range(20)] + [("x3", "y"), ("y", "z"), ("r", "z"), ("q", "q")]
+    for n, more in ((30, 1), (60, 2), (40, 4)):
+        acyclic = [(f"k{a}", f"k{b}") for _ in range(n * more) for a, b in [sorted(rng.sample(range(n), 2))]]
+        yield acyclic
+        yield acyclic + [(f"k{rng.randrange(n)}", f"k{rng.randrange(n)}") for _ in range(2)] + [("k5", "t0"), *((f"t{i}", f"t{i + 1}") for i in range(9))]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_levels_equal_a_plain_pass(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    cases = list(level_cases())
+    rows = [(str(p), a, b) for p, edges in enumerate(cases) for a, b in edges]
+    found = graph.lineage_levels(spark.createDataFrame(rows, "project string, from_key string, to_key string"), ["project"]).collect()
+    for p, edges in enumerate(cases):
+        got = {r["node"]: r["level"] for r in found if r["project"] == str(p)}
+        assert got == {n: x for n, x in levels_one_by_one([e for e in edges if e[0] != e[1]]).items()}, p
+    assert all(r["cyclic"] == (r["level"] is None) for r in found)
+    assert graph.lineage_levels(spark.createDataFrame([], "from_key string, to_key string")).count() == 0
+
+
+def test_levels_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    rounds = []
+    edges = spark.range(5000).selectExpr("id AS from_key", "id + 1 AS to_key")
+    got = graph.lineage_levels(edges, rounds=rounds)
+    assert len(rounds) < 40 and {r["node"]: r["level"] for r in got.collect()} == {i: i for i in range(5001)}
 
 
 def test_relation_prefers_longest_consistent_suffix(spark):
