@@ -148,15 +148,15 @@ def unique_alias(tables: DataFrame, scope: list[str], order: str, name: str = "n
                  block: int = BLOCK) -> DataFrame:
     """Alias per table: the clean name, then ``_2``, ``_3`` in table order, skipping taken suffixes.
 
-    A suffix s of a base b is not free once a table whose own base reads ``b_s`` has come by. Such a
-    table moves later ones of b one further. The number of suffixes each row has to jump over is
-    found by repeating the pass until it no longer changes; without a base of that form (the usual
-    case) the first pass is the answer.
+    A suffix s of a base b is not free once a table whose own base reads ``b_s`` has come by: such a claim
+    moves later tables of b one further. ``_settle`` finds the claims that do; without a base of that form
+    (the usual case) the row's number is the suffix.
     """
     based = number_rows(tables.withColumn("_base", alias_base(name)), [*scope, "_base"], order, "_k", block)
     slim = cut_lineage(based.select(*scope, "_base", "_k", F.col(order).alias("_at")))
     firsts = slim.where("_k = 1").select(*scope, F.col("_base").alias("_taken"), F.col("_at").alias("_taken_at"))
-    suffix = r"\A(.+)_([2-9]|[1-9]\d+)\z"
+    # a suffix of over 18 digits is beyond the rows any base can have
+    suffix = r"\A(.+)_([2-9]|[1-9]\d{1,17})\z"
     claims = (firsts.where(F.col("_taken").rlike(suffix))
               .select(*scope, F.regexp_extract("_taken", suffix, 1).alias("_base"),
                       F.regexp_extract("_taken", suffix, 2).cast("bigint").alias("_label"), "_taken", "_taken_at")
@@ -167,65 +167,95 @@ def unique_alias(tables: DataFrame, scope: list[str], order: str, name: str = "n
     return based.join(_settle(slim, cut_lineage(claims), scope, block), [*scope, "_base", "_k"]).drop("_base", "_k")
 
 
-def _settle(slim: DataFrame, claims: DataFrame, scope: list[str], block: int) -> DataFrame:
-    """Aliases for rows whose bases compete for suffixes.
-
-    ``skips`` holds (base, label) pairs the base has to jump over. A label is skipped exactly when
-    its rival arrived before the row that would take it; that row's number depends on the smaller
-    labels only, so each round settles at least one more label per base.
-    """
-    keys = [*scope, "_base"]
-    none = claims.select(*keys, "_label").limit(0)
-    skips = cut_lineage(none.unionByName(_own_label_taken(none, claims, slim, scope)))
-    while True:
-        below = (claims.select(*keys, "_label", "_taken_at").alias("c")
-                 .join(skips.withColumnRenamed("_label", "_skip"), keys, "left")
-                 .groupBy(*keys, "_label", "_taken_at")
-                 .agg(F.count_if(F.col("_skip") < F.col("_label")).alias("_less")))
-        wanted = below.withColumn("_k", F.col("_label") - F.col("_less"))
-        labels = (wanted.join(slim, [*keys, "_k"], "left")
-                  # nobody would take the label, or the rival came first: the label is out of reach
-                  .where(F.col("_at").isNotNull() & (F.col("_taken_at") < F.col("_at")))
-                  .select(*keys, "_label"))
-        taken = labels.unionByName(_own_label_taken(skips, claims, slim, scope)).distinct()
-        changed = not (taken.exceptAll(skips).isEmpty() and skips.exceptAll(taken).isEmpty())
-        if not changed:
-            break
-        skips = cut_lineage(taken)
-    # the k-th row takes the k-th label that is not skipped: label = k + skips at or below it.
-    # Skipping label number r in order moves the rows with k >= label - (r - 1).
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_label"))
-    moved = skips.withColumn("_rank", rank).select(*keys, (F.col("_label") - (F.col("_rank") - 1)).alias("_k"), "_rank")
-    rows = slim.select(*keys, "_k", F.lit(None).cast("int").alias("_rank"))
-    steps = rows.join(moved.select(*keys).distinct(), keys, "left_semi").unionByName(moved).withColumn(
-        "_block", F.floor(F.col("_k") / block))
-    # the last move at or before each row, looked for inside its block and carried over between blocks
-    inside = W.partitionBy(*keys, "_block").orderBy("_k", F.col("_rank").asc_nulls_last()).rowsBetween(
-        W.unboundedPreceding, 0)
+def _last_before(events: DataFrame, keys: list[str], at: str, value: str, block: int, ties: Column | None = None) -> DataFrame:
+    """Events with ``_last``: the largest ``value`` at or before their place, per key, found inside blocks of
+    places and carried over between blocks, so that no key is one task."""
+    blocked = events.withColumn("_block", F.floor(F.col(at) / block))
+    order = [F.col(at)] + ([ties] if ties is not None else [])
+    inside = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = steps.groupBy(*keys, "_block").agg(F.max("_rank").alias("_most")).select(
+    carried = blocked.groupBy(*keys, "_block").agg(F.max(value).alias("_most")).select(
         *keys, "_block", F.max("_most").over(before).alias("_carried"))
-    shifted = (steps.withColumn("_jump", F.max("_rank").over(inside)).where(F.col("_rank").isNull())
-               .join(carried, [*keys, "_block"])
-               .select(*keys, "_k", F.greatest("_jump", "_carried").alias("_jump")))
-    label = F.col("_k") + F.coalesce("_jump", F.lit(0))
-    alias = F.when(label == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", label.cast("string")))
-    return slim.join(shifted, [*keys, "_k"], "left").select(*keys, "_k", alias.alias("alias"))
+    return (blocked.withColumn("_inside", F.max(value).over(inside)).join(carried, [*keys, "_block"])
+            .withColumn("_last", F.coalesce(F.greatest("_inside", "_carried"), F.lit(0))).drop("_block", "_inside", "_carried"))
 
 
-def _own_label_taken(skips: DataFrame, claims: DataFrame, slim: DataFrame, scope: list[str]) -> DataFrame:
-    """Label 1 (the bare base) is lost when the parent base took that very text earlier.
+def _passed(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Claims in order of their suffix -> how many suffixes below are skipped, and whether this one is.
 
-    The parent takes ``b_s`` with its row k = s - (skips below s); when that row precedes the first
-    row of the base reading ``b_s``, the latter starts at label 2.
+    A claim on suffix s that came after r rows of its base is skipped exactly when the row that
+    reaches it, number s less the skipped ones below, comes after those r. One running count per
+    base says it all; it is kept for both cases of the bare base being lost or not (``_c0``, ``_c1``).
+    Claims are read as a stream in order, so a base with very many needs no memory.
+    """
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    ordered = claims.withColumn("_group", group).withColumn("_limit", F.col("_label") - F.col("_last"))
+
+    def count(batches):
+        group, held = None, [0, 1]
+        for batch in batches:
+            below = []
+            for name, limit in zip(batch["_group"], batch["_limit"].tolist(), strict=True):
+                if name != group:
+                    group, held = name, [0, 1]
+                below.append(tuple(held))
+                held = [c + (c < limit) for c in held]
+            batch["_c0"], batch["_c1"] = [c[0] for c in below], [c[1] for c in below]
+            yield batch
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    streamed = ordered.repartition("_group").sortWithinPartitions("_group", "_label").mapInPandas(count, f"{kinds}, _c0 bigint, _c1 bigint")
+    return cut_lineage(streamed.withColumns({f"_skip{i}": F.col(f"_c{i}") < F.col("_limit") for i in (0, 1)}).drop("_group", "_limit"))
+
+
+def _lost(passed: DataFrame, scope: list[str]) -> DataFrame:
+    """(.., _base, _lost): bases whose bare text an earlier row of the base they are a suffix of has taken.
+
+    Whether it is taken depends on the upper base having lost its own bare text or not: a map of two
+    values, composed along nested suffixes (``a_2_3``) by doubling.
     """
     keys = [*scope, "_base"]
-    below = (claims.join(skips.withColumnRenamed("_label", "_skip"), keys, "left")
-             .groupBy(*keys, "_label", "_taken", "_taken_at")
-             .agg(F.count_if(F.col("_skip") < F.col("_label")).alias("_less")))
-    takers = (below.withColumn("_k", F.col("_label") - F.col("_less")).join(slim, [*keys, "_k"])
-              .where(F.col("_at") < F.col("_taken_at")))
-    return takers.select(*scope, F.col("_taken").alias("_base"), F.lit(1).cast("bigint").alias("_label"))
+    up = passed.select(*scope, F.col("_taken").alias("_base"), F.col("_base").alias("_up"), (~F.col("_skip0")).alias("_m0"), (~F.col("_skip1")).alias("_m1"))
+    nested = passed.select(*scope, F.col("_taken").alias("_up"), F.lit(True).alias("_nested"))
+    known = F.when(F.col("_nested").isNull() | (F.col("_m0") == F.col("_m1")), F.col("_m0"))
+    now = cut_lineage(up.join(nested, [*scope, "_up"], "left").withColumn("_lost", known).drop("_nested"))
+    while not now.where("_lost is null").isEmpty():
+        above = now.select(*scope, F.col("_base").alias("_up"), F.col("_up").alias("_up2"), F.col("_m0").alias("_n0"), F.col("_m1").alias("_n1"),
+                           F.col("_lost").alias("_lost2"))
+        met = now.join(above, [*scope, "_up"], "left")
+
+        def after(which, first="_m0", second="_m1"):
+            return F.when(F.col(which), F.col(second)).otherwise(F.col(first))
+
+        now = cut_lineage(met.select(
+            *keys, F.coalesce("_up2", "_up").alias("_up"), F.coalesce("_lost", F.when(F.col("_lost2").isNotNull(), after("_lost2"))).alias("_lost"),
+            after("_n0").alias("_m0"), after("_n1").alias("_m1")))
+    return now.where("_lost").select(*keys, "_lost")
+
+
+def _settle(slim: DataFrame, claims: DataFrame, scope: list[str], block: int) -> DataFrame:
+    """Aliases for rows whose bases compete for suffixes, in a fixed number of steps."""
+    keys = [*scope, "_base"]
+    bases = claims.select(*keys).distinct()
+    rows = slim.join(bases, keys, "left_semi")
+    # how many rows of the base came before each claim
+    events = rows.select(*keys, "_at", "_k", F.lit(None).cast("bigint").alias("_label"), F.lit(None).cast("string").alias("_taken")).unionByName(
+        claims.select(*keys, F.col("_taken_at").alias("_at"), F.lit(None).cast("bigint").alias("_k"), "_label", "_taken"))
+    met = _last_before(events, keys, "_at", "_k", block).where("_label is not null").select(*keys, "_label", "_taken", "_last")
+    passed = _passed(met, keys)
+    lost = _lost(passed, scope)
+    # the n-th skipped suffix moves the rows from its own number less the n - 1 below it
+    own = passed.join(lost, keys, "left").withColumn("_lost", F.coalesce("_lost", F.lit(False)))
+    below = F.when(F.col("_lost"), F.col("_c1")).otherwise(F.col("_c0"))
+    skipped = own.where(F.when(F.col("_lost"), F.col("_skip1")).otherwise(F.col("_skip0"))).select(
+        *keys, (F.col("_label") - below).alias("_k"), (below + 1).alias("_rank"))
+    moved = skipped.unionByName(lost.select(*keys, F.lit(1).cast("bigint").alias("_k"), F.lit(1).cast("bigint").alias("_rank")))
+    steps = slim.join(moved.select(*keys).distinct(), keys, "left_semi").select(
+        *keys, "_k", F.lit(None).cast("bigint").alias("_rank")).unionByName(moved)
+    shifted = _last_before(steps, keys, "_k", "_rank", block, F.col("_rank").asc_nulls_last()).where("_rank is null").select(*keys, "_k", "_last")
+    label = F.col("_k") + F.coalesce("_last", F.lit(0))
+    alias = F.when(label == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", label.cast("string")))
+    return slim.join(shifted, [*keys, "_k"], "left").select(*keys, "_k", alias.alias("alias"))
 
 
 def next_free_name(columns: DataFrame, tables: DataFrame, table: list[str], stem: str = "new_column",

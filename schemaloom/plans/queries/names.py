@@ -136,6 +136,24 @@ def unique_alias(t):
     return o.unique_alias(t.derive(ALIASED), ["project"], "ord").select("project", "ord", "alias")
 
 
+# Names that end in suffixes of other names, so that aliases compete for them.
+CLASHING = """SELECT p_size % 10 AS project, p_partkey AS ord, concat(CASE p_partkey % 3 WHEN 0 THEN 'small box' WHEN 1 THEN 'box' ELSE 'box_2' END,
+  CASE p_partkey % 7 WHEN 0 THEN '_2' WHEN 1 THEN '_3' WHEN 2 THEN concat('_', CAST(p_partkey % 11 + 2 AS VARCHAR(9))) ELSE '' END) AS name FROM {part}"""
+
+
+@query("unique_alias_clash", f"""
+WITH RECURSIVE n AS (SELECT project, ord, regexp_replace(name, '[^A-Za-z0-9_]', '_', 'g') AS base, row_number() OVER (PARTITION BY project ORDER BY ord) AS no
+                     FROM ({CLASHING})),
+w AS (SELECT project, CAST(0 AS BIGINT) AS no, CAST(NULL AS BIGINT) AS ord, CAST([] AS VARCHAR[]) AS used, '' AS alias FROM n GROUP BY project
+  UNION ALL SELECT project, no, ord, list_append(used, alias), alias FROM (
+    SELECT n.project, n.no, n.ord, w.used, list_filter(list_transform(range(1, CAST(len(w.used) AS BIGINT) + 2),
+        lambda i: CASE WHEN i = 1 THEN n.base ELSE concat(n.base, '_', i) END), lambda x: NOT list_contains(w.used, x))[1] AS alias
+    FROM w JOIN n ON n.project = w.project AND n.no = w.no + 1))
+SELECT project, ord, alias FROM w WHERE no > 0""")
+def unique_alias_clash(t):
+    return o.unique_alias(t.derive(CLASHING), ["project"], "ord").select("project", "ord", "alias")
+
+
 FREE = """SELECT o_custkey AS uid, CASE o_orderkey % 5 WHEN 0 THEN 'new_column' WHEN 1 THEN 'New_Column_2'
   WHEN 2 THEN 'new_column_3' WHEN 3 THEN 'new_column_02' ELSE 'other' END AS name, o_orderkey AS ord,
   'int' AS type FROM {orders}"""

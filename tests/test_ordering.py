@@ -47,6 +47,26 @@ def test_unique_alias_cases(spark):
         assert [found[p, i] for i in range(len(names))] == alias_one_by_one(names), names
 
 
+def test_unique_alias_with_very_many_claims(spark):
+    """10,000 claimed suffixes of one base, some before and some after the rows that want them."""
+    rng = random.Random(11)
+    names = ["a"] * 9000 + [f"a_{i}" for i in range(2, 10_002)] + ["a_3_2", "a_7", "a_7_2", "a_7_2_2", "a_9"] * 20
+    rng.shuffle(names)
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(names)], "project int, at long, name string")
+    found = {r["at"]: r["alias"] for r in o.unique_alias(df, ["project"], "at", block=1000).collect()}
+    assert [found[i] for i in range(len(names))] == alias_one_by_one(names)
+
+
+def test_unique_alias_nested_suffixes(spark):
+    chain = ["a"] + ["a" + "_2" * i for i in range(1, 12)]
+    cases = [[n for n in chain for _ in (0, 1)], [n for n in reversed(chain) for _ in (0, 1)], ["a", *chain, *chain], ["a_99999999999999999999", "a", "a"]]
+    rows = [(p, i, n) for p, names in enumerate(cases) for i, n in enumerate(names)]
+    found = {(r["project"], r["at"]): r["alias"] for r in o.unique_alias(
+        spark.createDataFrame(rows, "project int, at long, name string"), ["project"], "at", block=3).collect()}
+    for p, names in enumerate(cases):
+        assert [found[p, i] for i in range(len(names))] == alias_one_by_one(names), names
+
+
 @pytest.mark.parametrize(("n", "shown", "footer"), [(5, 5, ""), (8, 8, ""), (9, 8, "+1 more"), (12, 8, "+4 more")])
 def test_column_head(spark, n, shown, footer):
     rows = o.column_head(spark.range(n).selectExpr("'t' AS t", "id AS ord"), ["t"], "ord").collect()
