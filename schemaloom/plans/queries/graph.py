@@ -132,4 +132,4 @@ BOXES = """SELECT user_id, event_id, CAST(event_id % 1440 AS DOUBLE) AS x0, CAST
 ON b.user_id = a.user_id AND a.event_id < b.event_id
 WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) + 18 > 0 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) + 18 > 0""")
 def overlap(t):
-    return overlap_pairs(t.derive(BOXES), "event_id", [("x0", "x1"), ("y0", "y1")], 18.0, [108.0, 58.0], ["user_id"])
+    return overlap_pairs(t.derive(BOXES), "event_id", [("x0", "x1"), ("y0", "y1")], 18.0, ["user_id"])
