@@ -96,7 +96,7 @@ def schema_file_model(spark: SparkSession, root: str, lineage: bool = False,
     known = projects.discover_projects(spark, root)
     if compiled is not None:
         known = known.join(compiled, "project_dir", "left_anti")
-    every = schema_files.read_schema_yaml(spark, root, known).where(~projects.below_skipped_dir("file", root))
+    every = schema_files.read_schema_yaml(spark, root, known, root)
     objects = cut_lineage(every.where("not skipped"))
     skipped = every.where("skipped").select("project", "kind", "name")
     models = schema_files.read_model_sql(spark, root, known)

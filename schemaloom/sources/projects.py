@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, first_text, json_text_list
+from ..session import cut_lineage, ship
 
 # Fixed value: the file that makes a folder a project.
 PROJECT_FILE = "dbt_project.yml"
@@ -51,23 +52,40 @@ def _yaml_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file": batch["file"], "document": documents, "error": errors})
 
 
+def below_skipped_dir(file, root: str | None = None) -> Column:
+    """True when a folder of the path, counted from the root, holds built or vendored files."""
+    file = as_col(file)
+    inside = F.substring_index(file, root.rstrip("/"), -1) if root else file
+    return F.arrays_overlap(F.split(F.regexp_replace(inside, r"/[^/]*\z", ""), "/"),
+                            F.array(*[F.lit(d) for d in SKIP_DIRS]))
+
+
 def yaml_documents(files: DataFrame) -> DataFrame:
-    """(file, content) -> (file, document JSON, error). The one place that runs Python on rows."""
+    """(file, content) -> (file, document JSON, error). The one place of the readers that runs Python on rows."""
+    ship(files.sparkSession)
     return files.select("file", "content").mapInPandas(_yaml_batches, "file string, document string, error string")
 
 
-def read_yaml(spark: SparkSession, paths, glob: str) -> DataFrame:
+def listed(spark: SparkSession, paths, glob: str, root: str | None = None) -> DataFrame:
+    """Files by name, from the listing alone; those in built or vendored folders below the root are left out.
+
+    The condition is on the path, which the file source knows before it opens anything: content read
+    further on is read of the remaining files only.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).load(paths))
-    return yaml_documents(files.select(F.col("_metadata.file_path").alias("file"), "content"))
+             .option("pathGlobFilter", glob).load(paths).withColumn("file", F.col("_metadata.file_path")))
+    return files.where(~below_skipped_dir(F.col("_metadata.file_path"), root))
 
 
-def below_skipped_dir(file, root: str | None = None) -> Column:
-    """True when a folder of the path, counted from the root, holds built or vendored files."""
-    file = as_col(file)
-    inside = F.substring_index(file, root.rstrip("/"), -1) if root else file
-    return F.arrays_overlap(F.split(F.regexp_replace(inside, r"/[^/]*\z", ""), "/"),
-                            F.array(*[F.lit(d) for d in SKIP_DIRS]))
+def read_yaml(spark: SparkSession, paths, glob: str, root: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Decoded documents, each file once: they are written, and whoever reads them parses no YAML again.
+
+    ``wanted`` (file) keeps what Python sees to these files.
+    """
+    files = listed(spark, paths, glob, root).select("file", "content")
+    if wanted is not None:
+        files = files.join(wanted.select("file"), "file", "left_semi")
+    return cut_lineage(yaml_documents(files))
 
 
 def project_settings(projects: DataFrame) -> DataFrame:
@@ -99,7 +117,7 @@ def find_projects(files: DataFrame, root: str) -> DataFrame:
 
 def discover_projects(spark: SparkSession, root: str) -> DataFrame:
     """Every project below the root with its settings."""
-    return find_projects(read_yaml(spark, root, PROJECT_FILE), root)
+    return find_projects(read_yaml(spark, root, PROJECT_FILE, root), root)
 
 
 def pick_source(manifest: DataFrame, schema_files: DataFrame, key: str = "project") -> DataFrame:

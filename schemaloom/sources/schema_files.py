@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.predicates import is_disabled, is_skipped
 from ..functions.text import clean_scalar, first_text, trim_space
 from ..functions.arrays import NESTED, json_items, parse_yaml_test
+from ..session import cut_lineage
 from .artifacts import with_names
-from .projects import read_yaml
+from .projects import listed, read_yaml
 
 # Tests and constraints are JSON text: a single value counts as a list of one.
 YAML_COLUMN = ("name string, data_type string, type string, dtype string, tests string, "
@@ -69,9 +70,16 @@ def _tests(owner: Column) -> Column:
     return F.transform(F.concat(json_items(owner["tests"]), json_items(owner["data_tests"])), parse_yaml_test)
 
 
-def read_schema_yaml(spark: SparkSession, paths, projects: DataFrame) -> DataFrame:
-    """Table objects of every YAML file in a project's model, seed and snapshot folders."""
-    return schema_objects(read_yaml(spark, paths, "*.{yml,yaml,YML,YAML}"), projects)
+YAML_GLOB, FOLDERS = "*.{yml,yaml,YML,YAML}", ["model_paths", "seed_paths", "snapshot_paths"]
+
+
+def read_schema_yaml(spark: SparkSession, paths, projects: DataFrame, root: str | None = None) -> DataFrame:
+    """Table objects of every YAML file in a project's model, seed and snapshot folders.
+
+    The files are listed and given their project first, so only files of such folders are decoded, each once.
+    """
+    owned = cut_lineage(locate(listed(spark, paths, YAML_GLOB, root).select("file"), projects, FOLDERS))
+    return _objects(read_yaml(spark, paths, YAML_GLOB, root, owned).where(F.col("document").isNotNull()).join(owned, "file"))
 
 
 def schema_objects(documents: DataFrame, projects: DataFrame) -> DataFrame:
@@ -79,8 +87,10 @@ def schema_objects(documents: DataFrame, projects: DataFrame) -> DataFrame:
 
     Columns: project, file, kind, uid, name, source_name, schema, path_qualifier, ord, skipped, object.
     """
-    docs = locate(documents.where(F.col("document").isNotNull()), projects,
-                  ["model_paths", "seed_paths", "snapshot_paths"])
+    return _objects(locate(documents.where(F.col("document").isNotNull()), projects, FOLDERS))
+
+
+def _objects(docs: DataFrame) -> DataFrame:
     docs = docs.select("project", "file", "relative", F.from_json("document", YAML_FILE).alias("doc"))
     parts = []
     for index, (field, kind) in enumerate(SECTIONS):
