@@ -64,6 +64,8 @@ def artifact_model(spark: SparkSession, root: str, lineage: bool = False) -> Mod
 
 def model_from_artifacts(manifest: DataFrame, catalog: DataFrame, known: DataFrame, lineage: bool = False) -> Model:
     """Node rows, catalog rows and (project_dir, project) -> model."""
+    # entries, tests and lineage read the nodes: the documents are parsed once, for all of them
+    manifest = cut_lineage(manifest)
     entries = qualify_names(artifacts.read_entries(manifest).join(known, "project_dir").drop("project_dir"))
 
     declared = entries.select("project", "uid", F.explode(columns_from_map("column_map")).alias("c")).select(
@@ -71,6 +73,7 @@ def model_from_artifacts(manifest: DataFrame, catalog: DataFrame, known: DataFra
     kinds = entries.select("project", "uid", "kind")
     catalog = (catalog.join(known, "project_dir")
                .join(kinds, ["project", "uid", "kind"], "left_semi").select("project", "uid", "name", "type", "pos"))
+    catalog = cut_lineage(catalog)
     tests = artifacts.read_manifest_tests(manifest).join(known, "project_dir").drop("project_dir")
     seen = declared.select("project", "uid", "name").unionByName(catalog.select("project", "uid", "name"))
 

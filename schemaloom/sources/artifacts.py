@@ -1,8 +1,8 @@
 """Compiled artifacts: one manifest and one optional catalog per project, many projects per scan.
 
 Every file is read with an explicit schema, so nothing is inferred and unused fields are never
-parsed. A file is one JSON document and therefore one task; the node map is exploded right after the
-scan and the rows travel on their own from there.
+parsed. A file of usual size is one task, whose node map is exploded right after the scan; a large one is
+taken apart by several tasks (``split_json``). The rows travel on their own from there.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from ..functions.arrays import merge_test_args
 from ..functions.keys import build_group_keys
 from ..functions.predicates import is_disabled, is_skipped, is_table_resource
 from ..functions.text import entry_base_name, first_text, physical_name, test_name
+from .split_json import split_members
 
 COLUMN = "name string, data_type string, type string, dtype string, constraints string"
 NODE = (
@@ -38,24 +39,52 @@ def _project_dir(artifact: str) -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), rf"/target/{artifact}\z", "")
 
 
+def _members(nodes: Column, kind: str, base: int) -> Column:
+    """Entries of a node map as (kind, pos, key, value), null maps as none."""
+    return F.coalesce(F.transform(F.map_entries(nodes), lambda e, i: F.struct(
+        F.lit(kind).alias("kind"), (i + F.lit(base).cast("bigint")).alias("pos"), e["key"].alias("key"), e["value"].alias("value"))), F.array())
+
+
 def manifest_rows(documents: DataFrame) -> DataFrame:
-    """Parsed manifests (project_dir, nodes, sources) -> one row per node: (project_dir, kind, pos, key, node)."""
-    rows = [
-        documents.select("project_dir", F.lit(kind).alias("kind"),
-                         F.posexplode(F.map_entries(field)).alias("pos", "entry"))
-        .select("project_dir", "kind", (F.col("pos") + F.lit(base).cast("bigint")).alias("pos"),
-                F.col("entry.key").alias("key"), F.col("entry.value").alias("node"))
-        for field, kind, base in (("nodes", "model", 0), ("sources", "source", SOURCE_BASE))
-    ]
-    return rows[0].unionByName(rows[1])
+    """Parsed manifests (project_dir, nodes, sources) -> one row per node: (project_dir, kind, pos, key, node).
+
+    Nodes and sources come from one explode, so that a document is parsed once for both.
+    """
+    both = F.concat(_members(F.col("nodes"), "model", 0), _members(F.col("sources"), "source", SOURCE_BASE))
+    return documents.select("project_dir", F.inline(both)).withColumnRenamed("value", "node")
+
+
+# Files above this size (bytes) are taken apart by several tasks.
+SPLIT_FROM = 1 << 26
+
+
+def _whole(spark: SparkSession, paths, name: str, schema: str, most: int) -> DataFrame:
+    """Documents of at most so many bytes, one task each."""
+    return (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", name).json(paths).where(F.col("_metadata.file_size") <= most)
+            .select(_project_dir(name).alias("project_dir"), "nodes", "sources"))
 
 
-def read_manifest(spark: SparkSession, paths) -> DataFrame:
-    """Manifest files below the paths -> node rows."""
-    return manifest_rows(
-        spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "manifest.json").json(paths)
-        .select(_project_dir("manifest.json").alias("project_dir"), "nodes", "sources"))
+def _split(spark: SparkSession, paths, name: str, member: str, more_than: int, source_base: int) -> DataFrame:
+    """Members of larger documents: (project_dir, kind, pos, key, value)."""
+    found = split_members(spark, paths, name, more_than).where(F.col("section").isin("nodes", "sources"))
+    is_source = F.col("section") == "sources"
+    return found.select(
+        F.regexp_replace("file", rf"/target/{name}\z", "").alias("project_dir"), F.when(is_source, "source").otherwise("model").alias("kind"),
+        (F.col("pos") + F.when(is_source, source_base).otherwise(0).cast("bigint")).alias("pos"), "key", F.from_json("text", member).alias("value"))
+
+
+def _any_larger(spark: SparkSession, paths, name: str, than: int) -> bool:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(paths)
+    return not files.where(F.col("length") > than).select("path").isEmpty()
+
+
+def read_manifest(spark: SparkSession, paths, split_from: int = SPLIT_FROM) -> DataFrame:
+    """Manifest files below the paths -> node rows; a file of more than ``split_from`` bytes is read by several tasks."""
+    rows = manifest_rows(_whole(spark, paths, "manifest.json", MANIFEST, split_from))
+    if _any_larger(spark, paths, "manifest.json", split_from):
+        rows = rows.unionByName(_split(spark, paths, "manifest.json", NODE, split_from, SOURCE_BASE).withColumnRenamed("value", "node"))
+    return rows
 
 
 def parse_manifests(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -159,25 +188,24 @@ def read_manifest_tests(manifest: DataFrame) -> DataFrame:
 
 def catalog_rows(documents: DataFrame) -> DataFrame:
     """Parsed catalogs (project_dir, nodes, sources) -> (project_dir, kind, uid, pos, name, type)."""
-    parts = []
-    for field, kind in (("nodes", "model"), ("sources", "source")):
-        parts.append(
-            documents.select("project_dir", F.lit(kind).alias("kind"),
-                             F.explode(F.map_entries(field)).alias("entry"))
-            .select("project_dir", "kind", F.col("entry.key").alias("uid"),
-                    F.posexplode(F.map_entries("entry.value.columns")).alias("pos", "column"))
+    both = F.concat(_members(F.col("nodes"), "model", 0), _members(F.col("sources"), "source", 0))
+    return _catalog_columns(documents.select("project_dir", F.inline(both)))
+
+
+def _catalog_columns(members: DataFrame) -> DataFrame:
+    return (members.select("project_dir", "kind", F.col("key").alias("uid"), F.posexplode(F.map_entries("value.columns")).alias("pos", "column"))
             .select("project_dir", "kind", "uid", F.col("pos").cast("bigint").alias("pos"),
                     first_text(F.col("column.value.name"), F.col("column.key")).alias("name"),
-                    first_text(F.col("column.value.type")).alias("type")))
-    return parts[0].unionByName(parts[1]).where(F.col("name") != "")
+                    first_text(F.col("column.value.type")).alias("type"))
+            .where(F.col("name") != ""))
 
 
-def read_catalog_columns(spark: SparkSession, paths) -> DataFrame:
+def read_catalog_columns(spark: SparkSession, paths, split_from: int = SPLIT_FROM) -> DataFrame:
     """Warehouse column types. No catalog file below the paths, no rows."""
-    return catalog_rows(
-        spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "catalog.json").json(paths)
-        .select(_project_dir("catalog.json").alias("project_dir"), "nodes", "sources"))
+    rows = catalog_rows(_whole(spark, paths, "catalog.json", CATALOG, split_from))
+    if _any_larger(spark, paths, "catalog.json", split_from):
+        rows = rows.unionByName(_catalog_columns(_split(spark, paths, "catalog.json", CATALOG_NODE, split_from, 0)))
+    return rows
 
 
 def parse_catalogs(documents: DataFrame, text: str = "text") -> DataFrame:
