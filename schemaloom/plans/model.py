@@ -15,7 +15,9 @@ from ..operators.relations import (edge_order, finalize_relations, fk_from_const
                                    mark_fk_columns, resolve_tests, union_edges)
 from ..operators.resolve import exclude_skipped_files, first_of_name, match_file_to_entry
 from ..functions.arrays import columns_from_map
+from ..operators.export import export
 from ..sources import artifacts, projects, schema_files
+from ..sources.sinks import read_model
 from ..session import cut_lineage
 
 
@@ -157,3 +159,16 @@ def fleet_model(spark: SparkSession, root: str, lineage: bool = False) -> Model:
     compiled = artifacts.compiled_projects(spark, root)
     parts = artifact_model(spark, root, lineage), schema_file_model(spark, root, lineage, compiled)
     return Model(*[a.unionByName(b) for a, b in zip(*(list(p.parts().values()) for p in parts), strict=True)])
+
+
+def stored_model(spark: SparkSession, path: str) -> Model:
+    """The model ``sinks.write_model`` wrote last."""
+    parts = read_model(spark, path)
+    return Model(*[parts[f.name] for f in fields(Model)])
+
+
+def export_model(model: Model, kind: str) -> DataFrame:
+    """A model's tables, columns and edges as ordered lines of a text format (``operators.export``)."""
+    tables = model.tables.select("project", "name", "table_key", F.col("ord").alias("t_ord"))
+    columns = model.columns.join(tables.select("project", "table_key", "t_ord"), ["project", "table_key"])
+    return export(kind, tables.drop("table_key"), columns, model.relations)

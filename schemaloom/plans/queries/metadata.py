@@ -7,6 +7,8 @@ documents grows with the table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...operators import constraints as k
@@ -14,7 +16,8 @@ from ...operators import relations as r
 from ...operators import resolve as res
 from ...operators.ordering import stable_ordinals
 from ...sources import artifacts, lines, projects, schema_files, sinks
-from ..model import model_from_artifacts
+from ...session import shared_folder
+from ..model import export_model, model_from_artifacts
 from ..registry import query
 from .names import ENTRIES, entries
 
@@ -147,6 +150,32 @@ def artifact_model_stats(t):
     return _model(t).stats
 
 
+@query("stored_model_meta", f"""SELECT concat('p', {KEY}) AS project, 'erd' AS mode, concat('p', {KEY}) AS title, 'manifest' AS source,
+  CAST(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 3 END AS BIGINT) AS tables, CAST(1 AS BIGINT) AS relations,
+  CAST(CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 7 END AS BIGINT) AS columns, CAST(2 AS BIGINT) AS columns_typed, 'org/fleet' AS repo,
+  'main' AS branch FROM {{customer}}""")
+def stored_model_meta(t):
+    """Written with its commit and read back."""
+    path = f"{shared_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    sinks.write_model(_model(t).parts(), path, repo="org/fleet", branch="main")
+    return sinks.read_model(t.spark, path)["meta"]
+
+
+# A model's lines: two or three tables a project, one edge unless its target is missing.
+M_LINES = f"""SELECT c_custkey, unnest([['erDiagram'],
+  [concat('    ', c_mktsegment, ' {{'), concat('        ', CASE WHEN c_custkey % 2 = 0 THEN 'bigint' ELSE 'int' END, ' id UK'), '        unknown Seg',
+   '        unknown code', concat('        ', c_mktsegment, ' added'), '    }}'],
+  CASE WHEN c_custkey % 3 <> 0 THEN [concat('    n_', {KEY}, ' {{'), '        unknown id', '        unknown m_id FK', '    }}'] ELSE [] END,
+  [concat('    "raw.t_', {KEY}, '" {{'), '        unknown id', '    }}'],
+  CASE WHEN c_custkey % 3 <> 0 THEN [concat('    ', c_mktsegment, ' ||--o{{ n_', {KEY}, ' : "m_id"')] ELSE [] END]) AS block FROM {{customer}}"""
+
+
+@query("model_export_mermaid", f"""SELECT concat('p', {KEY}) AS project, line, count(*) AS times
+FROM (SELECT c_custkey, unnest(block) AS line FROM ({M_LINES})) GROUP BY ALL""")
+def model_export_mermaid(t):
+    return export_model(_model(t), "mermaid").groupBy("project", "line").agg(F.count(F.lit(1)).alias("times"))
+
+
 # YAML -----------------------------------------------------------------------------------------------
 
 YAML_TEXT = JSON % f"""concat('<models: [<name: ', lower(c_mktsegment), ', columns: [<name: id, data_type: int, tests: [unique, not_null]>, <name: no, tests: [<relationships: <arguments: <to: ref(x), field: id>>>]>]>, <name: off, config: <enabled: ',

@@ -3,10 +3,13 @@
 import pytest
 from projects import write_artifact_project, write_schema_file_project
 
+from pyspark.sql import functions as F
+
+from schemaloom.operators.export import ORDER
 from schemaloom.operators.graph import neighbours
-from schemaloom.plans.model import Model, artifact_model, fleet_model, schema_file_model
+from schemaloom.plans.model import Model, artifact_model, export_model, fleet_model, schema_file_model, stored_model
 from schemaloom.sources.projects import discover_projects
-from schemaloom.sources.sinks import write_model
+from schemaloom.sources.sinks import read_model, write_model
 
 WIDE_NAMES = [f"c{n}" for n in range(20)]
 
@@ -108,8 +111,34 @@ def test_fleet_prefers_artifacts_and_writes(spark, root, tmp_path):
     model = fleet_model(spark, root)
     assert sorted((r["project"], r["source"], r["tables"]) for r in model.stats.collect()) == [
         ("freight_yard", "yml", 8), ("reading_room", "manifest", 7)]
-    write_model(model.parts(), str(tmp_path / "model"))
-    assert spark.read.parquet(str(tmp_path / "model" / "columns")).where("project = 'freight_yard'").count() == 29
+    path = str(tmp_path / "model")
+    with pytest.raises(FileNotFoundError):
+        read_model(spark, path)
+    write_model(model.parts(), path, repo="org/fleet", branch="main")
+    back = stored_model(spark, path)
+    assert back.columns.where("project = 'freight_yard'").count() == 29
+    for name, part in model.parts().items():
+        again = back.parts()[name]
+        assert again.schema.fieldNames() == part.schema.fieldNames()
+        assert again.exceptAll(part).isEmpty() and part.exceptAll(again).isEmpty()
+    meta = read_model(spark, path)["meta"].where("project = 'reading_room'").first()
+    assert (meta["title"], meta["mode"], meta["repo"], meta["branch"], meta["tables"]) == ("reading_room", "erd", "org/fleet", "main", 7)
+    assert [r["line"] for r in export_model(back, "mermaid").where("project = 'reading_room' and line like '%||--o{%'").orderBy(*ORDER).collect()]
+
+
+def test_files_follow_rows_and_readers_the_last_commit(spark, tmp_path):
+    path = str(tmp_path / "many")
+    rows = spark.range(6000).selectExpr("concat('p', cast(if(id < 3000, 0, id) AS string)) AS project", "'erd' AS mode", "id AS ord")
+    first = write_model({"tables": rows}, path, file_rows=500)
+    files = spark.read.parquet(f"{path}/{first}/tables").select(F.input_file_name().alias("f"), "project")
+    assert 10 <= files.select("f").distinct().count() <= 13
+    # the large project is several files, most files hold many projects
+    assert files.where("project = 'p0'").select("f").distinct().count() >= 5
+    second = write_model({"tables": rows.limit(10)}, path, fmt="json")
+    # a write that broke off: rows, but no commit
+    rows.write.parquet(f"{path}/broken/tables")
+    assert read_model(spark, path)["tables"].count() == 10 and read_model(spark, path, first)["tables"].count() == 6000
+    assert second != first and read_model(spark, path, first)["tables"].exceptAll(rows).isEmpty()
 
 
 def test_a_node_without_edges_is_its_own_neighbourhood(spark):
