@@ -43,7 +43,7 @@ SKIPPED_HEADS = ("key", "index", "check", "fulltext", "spatial")
 _QUOTED = "|".join(rf"{q}[^{q}]*+(?:(?<=\\){q}[^{q}]*+)*+(?:{q}|\z)" for q in "'\"`")
 _BLOCK = r"/\*(?s:.*?)(?:\*/|\z)"
 _WORD = r"`[^`]*`?|\"[^\"]*\"?|\[[^\]]*\]?|[^\s(,]+"
-# One bracket group, up to four levels; deeper type arguments are reported as errors.
+# One bracket group, up to four levels; deeper type arguments are folded.
 _GROUP = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
 
 
@@ -51,20 +51,24 @@ _GROUP = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
 DEPTH = 12
 
 
-def _nested(depth: int, brackets: str = "()") -> str:
+def _nested(depth: int, opens: str = "(", shuts: str = ")") -> str:
     """A bracket group with up to ``depth`` groups inside each other.
 
     Every repeat is possessive: the engine never backtracks into it and runs it as a loop, so long
     texts need no deep stack.
     """
-    opens, shuts = (re.escape(b) for b in brackets)
-    inside = "" if depth == 0 else "|" + _nested(depth - 1, brackets)
-    return rf"{opens}(?:[^'\"`{opens}{shuts}]++|{_QUOTED}{inside})*+{shuts}"
+    inside = "" if depth == 0 else "|" + _nested(depth - 1, opens, shuts)
+    opens, shuts = (re.escape(b) for b in (opens, shuts))
+    return rf"[{opens}](?:[^'\"`{opens}{shuts}]++|{_QUOTED}{inside})*+[{shuts}]"
 
 
 # Step between statements in the place of an item: both are 31-bit numbers.
 IN_STATEMENT = 1 << 31
 _GROUPS = _nested(DEPTH)
+# The same for round and square brackets, which count alike in a select list.
+_ANY_GROUPS = _nested(DEPTH, "([", ")]")
+_ANY_BALANCED = rf"(?s)\A(?:[^'\"`()\[\]]++|{_QUOTED}|{_ANY_GROUPS})*+\z"
+_ANY_PIECE = rf"(?s)(?:[^'\"`()\[\],]++|{_QUOTED}|{_ANY_GROUPS})++"
 _BALANCED = rf"(?s)\A(?:[^'\"`()]++|{_QUOTED}|{_GROUPS})*+\z"
 _BODY = rf"(?s)\A[^(]*+\(((?:[^'\"`()]++|{_QUOTED}|{_GROUPS})*+)\)"
 
@@ -165,8 +169,8 @@ def ddl_statements(scripts: DataFrame, ids: list[str], text: str = "text") -> Da
     )
 
 
-def _bodies(statements: DataFrame, ids: list[str]) -> DataFrame:
-    """Statements that create a table: (ids, stmt, name, body, closed)."""
+def ddl_bodies(statements: DataFrame, ids: list[str]) -> DataFrame:
+    """Statements that create a table: (ids, stmt, name, body, closed). Tables, items and errors read these."""
     start = F.regexp_instr("sql", F.lit(CREATE))
     rest = F.substring("sql", start + F.length(F.regexp_extract("sql", CREATE, 0)), F.length("sql"))
     raw = F.regexp_extract(F.substring_index("after", "(", 1), r"(\S+)", 1)
@@ -184,30 +188,25 @@ def _bodies(statements: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
-def ddl_tables(statements: DataFrame, ids: list[str]) -> DataFrame:
+def ddl_tables(bodies: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, table_key, name, stmt): first spelling of each table that has a closed body."""
-    closed = _bodies(statements, ids).where("closed")
-    return closed.groupBy(*ids, F.lower("name").alias("table_key")).agg(
+    return bodies.where("closed").groupBy(*ids, F.lower("name").alias("table_key")).agg(
         F.min_by("name", "stmt").alias("name"), F.min("stmt").alias("stmt"))
 
 
-def ddl_errors(statements: DataFrame, items: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, stmt, name, error): bodies that never close and type arguments nested too deep."""
-    open_ = _bodies(statements, ids).where("not closed").select(
-        *ids, "stmt", "name", F.lit("unbalanced parentheses").alias("error"))
-    deep = items.where((F.col("role") == "column") & F.col("too_deep")).select(
-        *ids, "stmt", "name", F.lit("type nested too deep").alias("error"))
-    return open_.unionByName(deep)
+def ddl_errors(bodies: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, stmt, name, error): bodies that never close."""
+    return bodies.where("not closed").select(*ids, "stmt", "name", F.lit("unbalanced parentheses").alias("error"))
 
 
-def ddl_items(statements: DataFrame, ids: list[str]) -> DataFrame:
+def ddl_items(bodies: DataFrame, ids: list[str]) -> DataFrame:
     """Comma-separated items of table bodies with their role: column, pk, unique, foreign or skip."""
     body = F.col("body")
     pieces = F.when(body.rlike(_BALANCED), F.regexp_extract_all(body, F.lit(_piece(",")), F.lit(0)))
     tokens = F.when(F.col("pieces").isNull(), _tokens(body, "(),"))
     items = (
         # an open body has no pieces and leaves with the blank items
-        _bodies(statements, ids).withColumn("pieces", pieces).withColumn("tokens", tokens)
+        bodies.withColumn("pieces", pieces).withColumn("tokens", tokens)
         .select(*ids, "stmt", "name", F.posexplode_outer(
             F.coalesce("pieces", _split(F.col("tokens"), ","))).alias("item_no", "item"))
         .where(has_text("item"))
@@ -227,10 +226,16 @@ def ddl_items(statements: DataFrame, ids: list[str]) -> DataFrame:
         .otherwise("column"))
     group = F.regexp_extract("rest", rf"\A\s*(?:{_WORD})\s*({_GROUP})", 1)
     opens_group = F.col("rest").rlike(rf"\A\s*(?:{_WORD})\s*\(")
+    # arguments that nest deeper than the pattern are found by the fold, to any depth
+    behind = F.regexp_replace("rest", rf"\A\s*(?:{_WORD})\s*", "")
+    found = F.col("found")
     return (
         items.withColumn("head", head).withColumn("rest", rest).withColumn("role", role)
         .withColumn("word2", second).withColumn("group", group)
-        .withColumn("too_deep", opens_group & (F.col("group") == ""))
+        .withColumn("tokens", F.when(opens_group & (F.col("group") == "") & (F.col("role") == "column"), _tokens(behind, "()")))
+        .withColumn("found", F.when(F.col("tokens").isNotNull(), _first_group(F.col("tokens"))))
+        .withColumn("group", F.when(found["close"] >= 0, _text(F.col("tokens"), found["open"], found["close"] + 1)).otherwise(F.col("group")))
+        .drop("tokens", "found")
         # place in the script: statements first, items inside
         .withColumn("at", F.col("stmt").cast("bigint") * F.lit(IN_STATEMENT) + F.col("item_no"))
         .withColumn("table_key", F.lower("name"))
@@ -457,13 +462,16 @@ def cte_columns(bodies: DataFrame, ids: list[str]) -> DataFrame:
     keys = [*ids, "cte_no", "cte"]
     select_list = trim_space(F.regexp_extract("body", r"(?is)\bselect\b(.*?)(?:\bfrom\b|\z)", 1))
     lists = bodies.where("closed").withColumnRenamed("name", "cte").select(*keys, select_list.alias("list"))
-    parts = F.filter(F.transform(_split(F.col("tokens"), ",", "()[]"), trim_space),
+    pieces = F.when(F.col("list").rlike(_ANY_BALANCED), F.regexp_extract_all("list", F.lit(_ANY_PIECE), F.lit(0)))
+    # the fold is for text the pattern cannot follow; its tokens get a column of their own
+    tokens = F.when(F.col("pieces").isNull(), _tokens(F.col("list"), "()[],"))
+    parts = F.filter(F.transform(F.coalesce("pieces", _split(F.col("tokens"), ",", "()[]")), trim_space),
                      lambda e: (e != "") & (e != "*"))
     alias = F.regexp_extract("expr", r"(?is)\bas\s+(`[^`]+`|\"[^\"]+\"|[\w$]+)\s*\z", 1)
     word = F.regexp_extract("expr", r"(?s)(`[^`]+`|[\w$]+)\s*\z", 1)
     name = F.when(alias != "", _bare_id(alias)).otherwise(_bare_id(word))
     return (
-        lists.where("list <> '*'").select(*keys, _tokens(F.col("list"), "()[],").alias("tokens"))
+        lists.where("list <> '*'").select(*keys, "list", pieces.alias("pieces")).select(*keys, "pieces", tokens.alias("tokens"))
         .select(*keys, F.posexplode_outer(parts).alias("pos", "expr")).where("expr is not null")
         .withColumn("col_no", (F.col("pos") + 1).cast("bigint"))
         .select(*keys, "col_no", F.when(name != "", name).otherwise(

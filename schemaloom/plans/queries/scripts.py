@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ...operators import export as ex
 from ...operators import mining as m
-from ...session import cut_lineage
 from ..registry import query
-from ..scripts import mine_ddl
+from ..scripts import mine_ddl, mine_scripts
 
 # One DDL script per order. Comments, quoted separators, nested types, late keys and an ALTER; every
 # seventh script has a table that never closes.
@@ -80,7 +79,7 @@ def ddl_columns(t):
 @query("ddl_keys", f"""SELECT script_id, concat('ord_', script_id) AS table_key, unnest(['id', 'code', 'cust_id']) AS name,
   unnest([true, true, false]) AS key_pk, unnest([false, false, true]) AS key_uniq FROM ({DDL})""")
 def ddl_keys(t):
-    items = cut_lineage(m.ddl_items(_statements(t), IDS))
+    items = _mined(t).items
     names = m.ddl_columns(items, IDS).select("script_id", "table_key", F.col("at").alias("col_at"), "name")
     return m.ddl_keys(items, IDS).join(names, ["script_id", "table_key", "col_at"]).drop("col_at")
 
@@ -126,6 +125,39 @@ def cte_columns(t):
     return m.cte_columns(m.cte_bodies(t.derive(CTE).select("script_id", "text"), IDS), IDS).select("script_id", "cte", "col_no", "name")
 
 
+# A mixed corpus: the DDL scripts, the query scripts, and pages as scripts of whatever format they look like.
+MIXED = f"""SELECT concat('d', CAST(script_id AS VARCHAR(12))) AS script_id, text FROM ({DDL}) UNION ALL
+SELECT concat('c', CAST(script_id AS VARCHAR(12))), substr(text, 17) FROM ({CTE}) UNION ALL
+SELECT concat('p', CAST(page_id AS VARCHAR(12))), concat('graph', chr(10), 'erDiagram ', url) FROM {{pages}}""".replace("{{pages}}", "{pages}")
+
+
+@query("mine_scripts_tables", f"""
+SELECT concat('d', script_id) AS script_id, 'sql' AS format, unnest([concat('Cust_', o_custkey), concat('ord_', script_id)]) AS name FROM ({DDL})
+UNION ALL SELECT concat('c', script_id), 'bigquery', unnest(['Base_A', 'second', concat('last_', c_nationkey), c_mktsegment, 'orders', 'y']) FROM ({CTE})""")
+def mine_scripts_tables(t):
+    return mine_scripts(t.derive(MIXED), IDS).tables
+
+
+@query("mine_scripts_errors", f"""
+SELECT concat('d', script_id) AS script_id, 'sql' AS format, 'broken: unbalanced parentheses' AS error FROM ({DDL}) WHERE script_id % 7 = 0
+UNION ALL SELECT concat('c', script_id), 'bigquery', 'open: unbalanced parentheses' FROM ({CTE}) WHERE script_id % 3 <> 0
+UNION ALL SELECT concat('p', page_id), 'mermaid', 'format is not read' FROM {{pages}}""")
+def mine_scripts_errors(t):
+    return mine_scripts(t.derive(MIXED), IDS).errors
+
+
+def _rule_sql(text: str) -> str:
+    rules = " ".join("WHEN " + " AND ".join("regexp_matches(%s, '%s')" % (text, p.replace("'", "''")) for p in patterns) + f" THEN '{name}'"
+                     for name, patterns in m.FORMAT_RULES)
+    return f"CASE {rules} ELSE 'sql' END"
+
+
+@query("classify_pages", f"SELECT page_id, {_rule_sql('html')} AS format FROM {{pages}}")
+def classify_pages(t):
+    """The whole page texts by the same rules."""
+    return t.pages.select("page_id", m.classify_format(F.coalesce("html", F.lit(""))).alias("format"))
+
+
 # Exports --------------------------------------------------------------------------------------------
 
 # A model per nation: its customers are tables, their orders the columns, and orders on the customer's

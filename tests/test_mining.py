@@ -1,7 +1,7 @@
 """Script mining on hand-written scripts."""
 
 from schemaloom.operators import mining as m
-from schemaloom.plans.scripts import mine_ddl
+from schemaloom.plans.scripts import mine_ddl, mine_scripts
 
 DEEP = "(" * 30 + "x;y,z" + ")" * 30
 
@@ -92,6 +92,39 @@ def test_cte_chain(spark):
     assert cols == {"a": ["id", "total", "Name"], "b": ["2", "col2"], "c": ["col1", "g"]}
 
 
+def test_type_arguments_of_any_depth(spark):
+    deep = "(" * 40 + "5" + ")" * 40
+    got = mined(spark, f"create table t (a numeric{deep} not null, b numeric(((((5))))) , c decimal (10, (2)) unique, d text);")
+    assert {r["name"]: (r["type"], r["nn"], r["uniq"]) for r in got.columns.collect()} == {
+        "a": (f"numeric{deep}", True, False), "b": ("numeric(((((5)))))", False, False), "c": ("decimal(10,(2))", False, True), "d": ("text", False, False)}
+    assert got.errors.isEmpty()
+
+
+def test_select_lists_by_pattern_and_fold(spark):
+    """Lists the pattern can follow are cut the same way by the fold."""
+    texts = ["a, f(b, c[1, 2]) as d, [x, (y, z)]", "'q, r', `s, t`, u[(1, 2), 3]", "a", "f((g([1, 2], h(3))), 4), b", "a,, b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("tok", m._tokens(m.F.col("t"), "()[],"))
+    for r in df.select(m.F.col("t").rlike(m._ANY_BALANCED).alias("ok"), m.F.regexp_extract_all("t", m.F.lit(m._ANY_PIECE), m.F.lit(0)).alias("p"),
+                       m._split(m.F.col("tok"), ",", "()[]").alias("f")).collect():
+        assert r["ok"] and r["p"] == [x for x in r["f"] if x]
+    deep = "[" * 30 + "1, 2" + "]" * 30
+    bodies = m.cte_bodies(spark.createDataFrame([(0, f"with a as (select x, {deep} as y, f(1, 2) from t)")], "script_id int, text string"), ["script_id"])
+    assert [r["name"] for r in m.cte_columns(bodies, ["script_id"]).orderBy("col_no").collect()] == ["x", "y", "col3"]
+
+
+def test_mixed_corpus(spark):
+    scripts = spark.createDataFrame([
+        (0, "create table a (x int); create table b (y int references a (x));", None), (1, "with q as (select z from `p.d.T`) select 1", None),
+        (2, "erDiagram", None), (3, "select 1", None), (4, "", None), (5, None, None), (6, "create table open (a int", None),
+        (7, "with q as (select z from T)", "BigQuery "), (8, "create table c (x int)", "dbml")], "k int, body string, kind string")
+    got = mine_scripts(scripts, ["k"], "body", "kind")
+    assert sorted((r["k"], r["name"]) for r in got.tables.collect()) == [(0, "a"), (0, "b"), (1, "T"), (1, "q"), (7, "q"), (7, "t")]
+    assert sorted((r["k"], r["table_name"], r["name"]) for r in got.columns.collect()) == [(0, "a", "x"), (0, "b", "y"), (1, "q", "z"), (7, "q", "z")]
+    assert sorted((r["k"], r["from_table"], r["to_table"]) for r in got.relations.collect()) == [(0, "b", "a"), (1, "q", "T"), (7, "q", "t")]
+    assert sorted((r["k"], r["error"]) for r in got.errors.collect()) == [
+        (2, "format is not read"), (3, "no tables found"), (4, "no tables found"), (5, "no tables found"), (6, "open: unbalanced parentheses"), (8, "format is not read")]
+
+
 def test_formats(spark):
     samples = {
         "mermaid": "x\n  erDiagram\n", "plantuml": "@startuml", "dbml": "Table users {", "prisma": "model User {",
