@@ -251,6 +251,33 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_dedup(frame.limit(0)).count() == 0
 
 
+def test_vector_dedup_one_id_on_two_vectors(spark):
+    rows = [(5, [1.0, 0.0, 0.0, 0.1], 1), (5, [0.0, 1.0, 0.0, 0.0], 1), (6, [1.0, 0.0, 0.0, 0.11], 1), (None, [1.0, 0.0, 0.0, 0.1], 1)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_dedup(frame).collect()), key=repr)
+    assert got == sorted([(5, 1, 5, True), (5, 0, 5, True), (6, 1, 5, False), (None, 0, None, True)], key=repr)
+
+
+def test_vector_dedup_windows_over_many_ranges(spark):
+    """Passes with a window far below the label's size, ranges smaller than a window, and a third of all rows near one vector."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 24))
+    x[:500] = x[0] + 0.02 * rng.standard_normal((500, 24))
+    for i in range(500, 1400, 3):
+        x[i + 1:i + 3] = x[i] + 0.25 * rng.standard_normal((2, 24))
+    frame = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    nodes = frame.selectExpr("label", "embedding AS vector", "vec_id AS node", "1L AS copies")
+    pairs = {(r["a"], r["b"]) for r in vector_dedup.linked_pairs(nodes, window=40).collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(linked)), strict=True)}
+    assert pairs <= want
+    # pairs outside the crowd are all found; inside it the passes go on as long as they find links
+    outside = {p for p in want if p[0] >= 500}
+    assert len(outside & pairs) >= 0.99 * len(outside) and len(pairs) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("partitions", ["4", "200"])
 def test_vector_dedup_dense_label(spark, partitions):
     """One label in a cone, where sign bits tell little apart, with its close pairs, in many tiles and partitions."""
