@@ -172,6 +172,7 @@ def _sorted(nodes: DataFrame, first: int, more: int | None, window: int, limit:
     placed = cut_lineage(keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
         "pass", "label", "dim", "node", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
     counts = {r["range"]: r["n"] for r in placed.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranges = max(counts, default=0) + 1
     starts = np.concatenate([[0], np.cumsum([counts.get(r, 0) for r in range(ranges)])]).tolist()
     # the driver sees one number a range; rows of the last window before a range go to it as well
     begins = F.from_json(F.lit(str(starts[:ranges])), "array<bigint>")
