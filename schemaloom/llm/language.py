@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, ship
 from .tokens import pieces_of, plain_ids, tokenizer_path
 
-SAMPLE, ROUNDS, LONGEST, CHARS = 1000, 3, 8, 2_000_000
+SAMPLE, ROUNDS, CHARS = 1000, 3, 2_000_000
 # Share of the uniform distribution in a piece's probability, and the probability of a character outside the vocabulary.
 SMOOTH, UNKNOWN = 0.01, 1e-7
 _LETTER = re.compile(r"[^\W\d_]")
@@ -38,15 +38,16 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 class Pieces:
-    """The vocabulary's text pieces of at most ``LONGEST`` characters, found in words by rolling hashes."""
+    """The vocabulary's text pieces, found in words by rolling hashes, for every length that pieces have."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        self.texts = [t for t in map(model.id_to_piece, own) if len(t) <= LONGEST]
-        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LONGEST, _MULTIPLIER)]))
+        self.texts = list(map(model.id_to_piece, own))
+        self.longest = max(map(len, self.texts))
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, _MULTIPLIER)]))
         hashes = np.array([self._hash(t) for t in self.texts], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
@@ -66,51 +67,78 @@ class Pieces:
         for i in range(n):
             sums[:, i + 1] = sums[:, i] * _MULTIPLIER + chars[:, i].astype(np.uint64) + np.uint64(1)
         out = []
-        for size in range(1, min(LONGEST, n) + 1):
+        for size in range(1, min(self.longest, n) + 1):
             wanted = sums[:, size:] - sums[:, :n + 1 - size] * self.power[size]
             at = np.minimum(np.searchsorted(self.hashes, wanted), self.count - 1)
             out.append(np.where(self.hashes[at] == wanted, self.order[at], self.count))
         return out
 
 
-def _forward(found: list[np.ndarray], prob: np.ndarray, keep: bool = False):
-    """Log likelihood (words x languages) over all segmentations; with ``keep`` the unscaled forward sums."""
+def _prob(piece: np.ndarray, prob: np.ndarray, size: int) -> np.ndarray:
+    """Probabilities of the pieces found; a character outside the vocabulary has a small one of its own."""
+    p = prob[piece]
+    return np.where((piece == len(prob) - 1)[:, None], UNKNOWN, p) if size == 1 else p
+
+
+# From this length on a piece is rarely there, and only words that hold it are touched.
+RARE = 6
+
+
+def _forward(found: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
+    """Log likelihood (words x languages) over all segmentations."""
     words, n = found[0].shape
-    unknown = len(prob) - 1
     alpha = np.zeros((n + 1, words, prob.shape[1]))
     alpha[0], scale = 1.0, np.zeros((words, prob.shape[1]))
     for j in range(1, n + 1):
         total = alpha[j]
-        for size in range(1, min(LONGEST, j) + 1):
+        for size in range(1, min(len(found), j) + 1):
             piece = found[size - 1][:, j - size]
-            p = prob[piece]
-            if size == 1:
-                p = np.where((piece == unknown)[:, None], UNKNOWN, p)
-            total += alpha[j - size] * p
-        if not keep and j % 16 == 0:
+            if size < RARE:
+                total += alpha[j - size] * _prob(piece, prob, size)
+            else:
+                some = np.flatnonzero(piece != len(prob) - 1)
+                if len(some):
+                    total[some] += alpha[j - size][some] * prob[piece[some]]
+        if j % 16 == 0:
             top = total.copy()
-            first = max(0, j - LONGEST)
-            alpha[first:j + 1] /= top
+            alpha[max(0, j - len(found)):j + 1] /= top
             scale += np.log(top)
-    return alpha if keep else np.log(alpha[n]) + scale
+    return np.log(alpha[n]) + scale
 
 
 def _expected(found: list[np.ndarray], prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected piece counts (pieces x languages) of words with counts per language."""
-    words, n = found[0].shape
-    unknown, alpha = len(prob) - 1, _forward(found, prob, keep=True)
-    beta = np.zeros_like(alpha)
-    beta[n], out = weight / alpha[n], np.zeros_like(prob)
+    """Expected piece counts (pieces x languages) of words with counts per language.
+
+    The sums up to and from each place are kept as logarithms, so words of any length count.
+    """
+    (words, n), kinds = found[0].shape, prob.shape[1]
+    ahead, behind = np.zeros((n + 1, words, kinds)), np.zeros((n + 1, words, kinds))
+
+    def steps(place: int, start: int, size: int):
+        """Words that hold a piece of this size at the start, with its probability and number."""
+        piece = found[size - 1][:, start]
+        some = np.arange(words) if size == 1 else np.flatnonzero(piece != len(prob) - 1)
+        return some, _prob(piece[some], prob, size), piece[some]
+
+    for j in range(1, n + 1):
+        total = np.zeros((words, kinds))
+        for size in range(1, min(len(found), j) + 1):
+            some, p, _ = steps(j, j - size, size)
+            total[some] += np.exp(ahead[j - size][some] - ahead[j - 1][some]) * p
+        ahead[j] = ahead[j - 1] + np.log(total)
+    out = np.zeros_like(prob)
     for i in range(n - 1, -1, -1):
-        for size in range(1, min(LONGEST, n - i) + 1):
-            piece = found[size - 1][:, i]
-            p = prob[piece]
-            if size == 1:
-                p = np.where((piece == unknown)[:, None], UNKNOWN, p)
-            step = p * beta[i + size]
-            beta[i] += step
-            gained = alpha[i] * step
-            for k in range(prob.shape[1]):
+        total, held = np.zeros((words, kinds)), []
+        for size in range(1, min(len(found), n - i) + 1):
+            some, p, piece = steps(i, i, size)
+            step = np.exp(behind[i + size][some] - behind[i + 1][some]) * p
+            total[some] += step
+            held.append((some, step, piece))
+        behind[i] = behind[i + 1] + np.log(total)
+        share = np.exp(ahead[i] + behind[i + 1] - ahead[n]) * weight
+        for some, step, piece in held:
+            gained = share[some] * step
+            for k in range(kinds):
                 out[:, k] += np.bincount(piece, gained[:, k], len(prob))
     return out
 
@@ -144,7 +172,7 @@ def pieces(path: str) -> Pieces:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) of (lang, text) rows, written. Words of over 40 characters are not learned from."""
+    """(lang, word, n) of (lang, text) rows, written."""
 
     def run(batches):
         for batch in batches:
@@ -154,7 +182,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     distinct, index, _ = _words(texts[a:b])
                     yield pd.DataFrame({"lang": lang, "word": distinct, "n": np.bincount(index, minlength=len(distinct))})
 
-    counted = docs.mapInPandas(run, "lang string, word string, n bigint").where("length(word) between 1 and 40")
+    counted = docs.mapInPandas(run, "lang string, word string, n bigint").where("word <> ''")
     return cut_lineage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 

@@ -78,7 +78,8 @@ def op7_source_mix(spark, folder):
 
 @query("op9_pack_documents")
 def op9_pack_documents(spark, folder):
-    pieces = packing.pack(table(spark, folder, "documents"))
+    # plain documents bear no limit on pieces: a sequence never holds more pieces than tokens
+    pieces = packing.pack(table(spark, folder, "documents"), segments=packing.SEQUENCE)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
