@@ -40,13 +40,11 @@ def focus_edges(t):
     return gr.focus_edges(t.derive(SUPPLY), "s3")
 
 
-@query("orphans", """SELECT c_custkey AS node FROM {customer} WHERE c_custkey NOT IN (
-  SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
-  AND c_custkey NOT IN (SELECT o_orderkey FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
+@query("orphans", "SELECT doc_id AS node FROM {documents} WHERE doc_id NOT IN (SELECT doc_id FROM {labels})")
 def orphans(t):
-    edges = t.orders.where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(
-        F.col("o_orderkey").alias("from_key"), F.col("o_custkey").alias("to_key"))
-    return gr.orphans(t.customer.select(F.col("c_custkey").alias("node")), edges, [])
+    """Documents that no label points at."""
+    edges = t.labels.select(F.col("doc_id").alias("from_key"), (-1 - F.col("toxic").cast("bigint")).alias("to_key"))
+    return gr.orphans(t.documents.select(F.col("doc_id").alias("node")), edges, [])
 
 
 @query("cluster_members", "SELECT concat('cluster::', p_type) AS cluster, p_partkey AS member FROM {part} WHERE p_size > 10")

@@ -384,25 +384,24 @@ def structure_changed(t):
     return ch.structure_changed(ch.schema_diff(*_versions(t), ["project"]), ["project"])
 
 
-@query("hidden_set_update", """SELECT DISTINCT o_custkey AS node FROM {orders} WHERE o_orderstatus = 'F'
-UNION SELECT c_custkey FROM {customer} WHERE c_acctbal > 8000""")
+# Hidden: whoever has an event. Changed: every customer.
+def _hidden(t):
+    return t.events.select(F.col("user_id").alias("node")), t.customer.select(F.col("c_custkey").alias("node"))
+
+
+@query("hidden_set_update", "SELECT user_id AS node FROM {events} UNION SELECT c_custkey FROM {customer}")
 def hidden_set_update(t):
-    hidden = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("node"))
-    return ch.hidden_set_update(hidden, t.customer.where("c_acctbal > 8000").select(F.col("c_custkey").alias("node")), True)
+    return ch.hidden_set_update(*_hidden(t), True)
 
 
-@query("hidden_set_show", """SELECT DISTINCT o_custkey AS node FROM {orders} WHERE o_orderstatus = 'F'
-EXCEPT SELECT c_custkey FROM {customer} WHERE c_acctbal > 5000""")
+@query("hidden_set_show", "SELECT c_custkey AS node FROM {customer} EXCEPT SELECT user_id FROM {events}")
 def hidden_set_show(t):
-    hidden = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("node"))
-    return ch.hidden_set_update(hidden, t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("node")), False)
+    return ch.hidden_set_update(*reversed(_hidden(t)), False)
 
 
-@query("hidden_set_changes", """SELECT c_custkey AS node FROM {customer} WHERE c_acctbal > 5000
-  AND c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""")
+@query("hidden_set_changes", "SELECT c_custkey AS node FROM {customer} WHERE c_custkey NOT IN (SELECT user_id FROM {events})")
 def hidden_set_changes(t):
-    hidden = t.orders.where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("node"))
-    return ch.hidden_set_changes(hidden, t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("node")), True)
+    return ch.hidden_set_changes(*_hidden(t), True)
 
 
 @query("restore_attributes", """SELECT c_custkey AS node, CASE WHEN v IS NOT NULL THEN v ELSE c_acctbal END AS x,
