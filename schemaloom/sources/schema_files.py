@@ -87,48 +87,48 @@ def schema_objects(documents: DataFrame, projects: DataFrame) -> DataFrame:
 
     Columns: project, file, kind, uid, name, source_name, schema, path_qualifier, ord, skipped, object.
     """
-    return _objects(locate(documents.where(F.col("document").isNotNull()), projects, FOLDERS))
+    # the join with their projects reads the documents twice; written, each is decoded once
+    decoded = cut_lineage(documents.where(F.col("document").isNotNull()).select("file", "document"))
+    return _objects(locate(decoded, projects, FOLDERS))
+
+
+def _section(kind: str, index: int) -> Column:
+    """The objects of a section with their places, null sections as none."""
+    field = SECTIONS[index][0]
+    return F.coalesce(F.transform(F.col(f"doc.{field}"), lambda t, i: F.struct(
+        F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("spos"), i.alias("pos"), F.lit("").alias("source_name"),
+        F.lit("").alias("source_schema"), (i + F.lit(index * SECTION_STEP).cast("bigint")).alias("ord"), t.alias("object"))), F.array())
+
+
+def _source_tables() -> Column:
+    """The tables of every source that is named and not disabled."""
+    def tables(source: Column, spos: Column) -> Column:
+        named = ~is_disabled(source["enabled"], source["config"]["enabled"]) & (first_text(source["name"]) != "")
+        found = F.transform(source["tables"], lambda t, i: F.struct(
+            F.lit("source").alias("kind"), spos.alias("spos"), i.alias("pos"), first_text(source["name"]).alias("source_name"),
+            first_text(source["schema"]).alias("source_schema"),
+            (F.lit(3 * SECTION_STEP).cast("bigint") + spos * F.lit(SOURCE_STEP) + i).alias("ord"), t.alias("object")))
+        return F.coalesce(F.when(named, found), F.array())
+
+    return F.coalesce(F.flatten(F.transform(F.col("doc.sources"), tables)), F.array())
 
 
 def _objects(docs: DataFrame) -> DataFrame:
+    """All sections come from one explode, so that a document is parsed once for them."""
     docs = docs.select("project", "file", "relative", F.from_json("document", YAML_FILE).alias("doc"))
-    parts = []
-    for index, (field, kind) in enumerate(SECTIONS):
-        t = F.col("object")
-        parts.append(
-            docs.select("project", "file", "relative", F.posexplode(f"doc.{field}").alias("pos", "object"))
-            .select(
-                "project", "file", F.lit(kind).alias("kind"),
-                F.concat_ws(":", F.lit(f"{kind}.yml"), "relative", F.col("pos").cast("string"),
-                            first_text(t["name"])).alias("uid"),
-                first_text(t["name"]).alias("name"), F.lit("").alias("source_name"),
-                first_text(t["schema"], t["config"]["schema"]).alias("schema"),
-                _folder().alias("path_qualifier"),
-                (F.col("pos") + F.lit(index * SECTION_STEP).cast("bigint")).alias("ord"),
-                is_skipped(F.lit(kind), t["enabled"], t["config"]["enabled"], t["materialized"],
-                           t["config"]["materialized"]).alias("skipped"),
-                "object")
-        )
-    source, table = F.col("source"), F.col("object")
-    parts.append(
-        docs.select("project", "file", "relative", F.posexplode("doc.sources").alias("spos", "source"))
-        .where(~is_disabled(source["enabled"], source["config"]["enabled"]) & (first_text(source["name"]) != ""))
-        .select("project", "file", "relative", "spos", "source",
-                F.posexplode("source.tables").alias("pos", "object"))
-        .select(
-            "project", "file", F.lit("source").alias("kind"),
-            F.concat_ws(":", F.lit("source.yml"), "relative", F.col("spos").cast("string"),
-                        F.col("pos").cast("string"),
-                        F.concat(first_text(source["name"]), F.lit("."), first_text(table["name"]))).alias("uid"),
-            first_text(table["name"]).alias("name"), first_text(source["name"]).alias("source_name"),
-            first_text(table["schema"], source["schema"]).alias("schema"), _folder().alias("path_qualifier"),
-            (F.lit(3 * SECTION_STEP).cast("bigint") + F.col("spos") * F.lit(SOURCE_STEP) + F.col("pos")).alias("ord"),
-            is_disabled(table["enabled"], table["config"]["enabled"]).alias("skipped"), "object")
-    )
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.where(F.col("name") != "")
+    members = F.concat(*[_section(kind, n) for n, (_, kind) in enumerate(SECTIONS)], _source_tables())
+    t, source = F.col("object"), F.col("kind") == "source"
+    name = first_text(t["name"])
+    return docs.select("project", "file", "relative", F.inline(members)).select(
+        "project", "file", "kind",
+        F.concat_ws(":", F.concat("kind", F.lit(".yml")), "relative", F.col("spos").cast("string"), F.col("pos").cast("string"),
+                    F.when(source, F.concat("source_name", F.lit("."), name)).otherwise(name)).alias("uid"),
+        name.alias("name"), "source_name",
+        F.when(source, first_text(t["schema"], "source_schema")).otherwise(first_text(t["schema"], t["config"]["schema"])).alias("schema"),
+        _folder().alias("path_qualifier"), "ord",
+        F.when(source, is_disabled(t["enabled"], t["config"]["enabled"])).otherwise(
+            is_skipped("kind", t["enabled"], t["config"]["enabled"], t["materialized"], t["config"]["materialized"])).alias("skipped"),
+        "object").where(F.col("name") != "")
 
 
 def yaml_columns(objects: DataFrame) -> DataFrame:
@@ -145,18 +145,21 @@ def yaml_columns(objects: DataFrame) -> DataFrame:
 
 def yaml_tests(objects: DataFrame) -> DataFrame:
     """Declared tests: (project, uid, pos, test, column, target, field), column tests first."""
-    by_column = yaml_columns(objects).select(
-        "project", "uid", "pos", F.col("name").alias("owner"), "tests")
-    by_table = objects.select("project", "uid", F.lit(TABLE_LEVEL).alias("pos"), F.lit("").alias("owner"),
-                              _tests(F.col("object")).alias("tests"))
+    def declared(pos, owner, of):
+        return F.struct(pos.cast("bigint").alias("pos"), owner.alias("owner"), of["tests"].alias("tests"), of["data_tests"].alias("data_tests"))
+
+    # the tests of the columns and of the table itself come from one explode, so that the objects are read once
+    columns = F.transform("object.columns", lambda c, i: declared(i, first_text(c["name"]), c))
+    owners = F.concat(F.filter(F.coalesce(columns, F.array()), lambda o: o["owner"] != ""),
+                      F.array(declared(F.lit(TABLE_LEVEL), F.lit(""), F.col("object"))))
     args = F.col("t.args")
 
     def arg(key):
         return F.coalesce(F.get_json_object(args, f"$.arguments.{key}"), F.get_json_object(args, f"$.{key}"))
 
     return (
-        by_column.unionByName(by_table)
-        .select("project", "uid", "owner", "pos", F.posexplode("tests").alias("tpos", "t"))
+        objects.select("project", "uid", F.explode(owners).alias("o"))
+        .select("project", "uid", "o.owner", "o.pos", F.posexplode(_tests(F.col("o"))).alias("tpos", "t"))
         .select("project", "uid", (F.col("pos") * F.lit(NESTED) + F.col("tpos")).alias("pos"),
                 F.col("t.name").alias("test"),
                 first_text("owner", arg("column_name"), arg("column")).alias("column"),

@@ -74,3 +74,35 @@ def test_a_session_started_in_another_folder(root, tmp_path):
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300,
                           env={k: v for k, v in __import__("os").environ.items() if k not in ("PYTHONPATH", "SPARK_ENV_LOADED")})
     assert "found ['ports', 'ships']" in done.stdout, done.stderr[-3000:]
+
+
+def test_documents_kept_in_a_table_are_decoded_once(spark):
+    """The four sections and the join with the projects read one decoded table; tests of columns and tables are read together."""
+    text = ("models: [null, {name: a, schema: s, tests: [{x.unique: {column_name: id}}], columns: [{name: id, tests: not_null}, {name: ' '}]}]\n"
+            "seeds: [{name: b, config: {enabled: false}}]\nsources: [null, {name: raw, schema: S, tables: [{name: t}, {name: u, schema: own, enabled: false}]}, "
+            "{name: off, enabled: false, tables: [{name: v}]}, {name: none}]\n")
+    files = spark.createDataFrame([("/p/models/core/x.yml", bytearray(text.encode())), ("/p/models/y.yml", bytearray(b"seeds: 3"))], "file string, content binary")
+    known = spark.createDataFrame([("/p", "p", ["models"], ["seeds"], ["snapshots"])],
+                                  "project_dir string, project string, model_paths array<string>, seed_paths array<string>, snapshot_paths array<string>")
+    objects = schema_files.schema_objects(projects.yaml_documents(files), known)
+    assert "MapInPandas" not in objects._jdf.queryExecution().toString()
+    got = {(r["kind"], r["uid"], r["source_name"], r["schema"], r["path_qualifier"], r["ord"] >> 60, r["skipped"]) for r in objects.collect()}
+    assert got == {("model", "model.yml:models/core/x.yml:1:a", "", "s", "models/core", 0, False),
+                   ("seed", "seed.yml:models/core/x.yml:0:b", "", "", "models/core", 1, True),
+                   ("source", "source.yml:models/core/x.yml:1:0:raw.t", "raw", "S", "models/core", 3, False),
+                   ("source", "source.yml:models/core/x.yml:1:1:raw.u", "raw", "own", "models/core", 3, True)}
+    tests = schema_files.yaml_tests(objects)
+    assert tests._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 1
+    assert {(r["uid"][-1], r["test"], r["column"]) for r in tests.collect()} == {("a", "not_null", "id"), ("a", "unique", "id")}
+
+
+@pytest.mark.parametrize("text", ["a:\tb", "a: !\n", "|# x", "{a: b:c}", "a: yes\nb: True\nc: 2020-01-01", "a: [", "a: \x07", "%x"])
+def test_both_parsers_say_the_same(text):
+    def word(load):
+        try:
+            return repr(load())
+        except projects.yaml.YAMLError as error:
+            return str(error)
+
+    own = word(lambda: projects.yaml.load(text.encode(), Loader=projects._PlainLoader))
+    assert word(lambda: projects._loaded(text.encode())) == own
