@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_name, has_text, pretty_type, trim_space, unquote
@@ -31,6 +32,14 @@ FORMAT_RULES = (
                     r"\b(Base|db\.Model|DeclarativeBase|declarative_base|__tablename__)\b")),
     ("bigquery", (r"(?i)^\s*with\b", r"`[^`]+\.[^`]+`")),
 )
+# Texts of which every match of a rule's pattern holds one.
+LITERALS = {
+    r"(?m)^\s*erDiagram\b": ("erDiagram",), r"@startuml\b": ("@startuml",), r'\b(entity|class)\s+("?\w)': ("entity", "class"),
+    r"(?m)^\s*Table\s+[^\s{]+\s*\{": ("Table",), r"(?m)^\s*Ref\b[^:]*:": ("Ref",), r"(?m)^\s*model\s+\w+\s*\{": ("model",),
+    r"\b(datasource|generator)\s+\w+\s*\{": ("datasource", "generator"), r"\.define\s*\(\s*['\"]": (".define",),
+    r"DataTypes\.": ("DataTypes.",), r"\bColumn\s*\(|mapped_column\s*\(": ("Column", "mapped_column"),
+    r"`[^`]+\.[^`]+`": ("`",),
+}
 # Clause patterns.
 CREATE = (r"(?i)create\s+(?:or\s+replace\s+)?(?:temporary\s+|temp\s+|transient\s+|volatile\s+)?"
           r"table\s+(?:if\s+not\s+exists\s+)?")
@@ -83,9 +92,13 @@ def classify_format(text) -> Column:
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     result = None
     for name, patterns in FORMAT_RULES:
-        rule = text.rlike(patterns[0])
-        for more in patterns[1:]:
-            rule = rule & text.rlike(more)
+        rule = None
+        for pattern in patterns:
+            # every match holds one of these texts: a search for them is much cheaper than the pattern
+            for k, part in enumerate(LITERALS.get(pattern, ())):
+                some = F.contains(text, F.lit(part)) if k == 0 else some | F.contains(text, F.lit(part))
+            found = some & text.rlike(pattern) if pattern in LITERALS else text.rlike(pattern)
+            rule = found if rule is None else rule & found
         result = F.when(rule, name) if result is None else result.when(rule, name)
     return result.otherwise("sql")
 
@@ -171,18 +184,20 @@ def ddl_statements(scripts: DataFrame, ids: list[str], text: str = "text") -> Da
 
 def ddl_bodies(statements: DataFrame, ids: list[str]) -> DataFrame:
     """Statements that create a table: (ids, stmt, name, body, closed). Tables, items and errors read these."""
-    start = F.regexp_instr("sql", F.lit(CREATE))
-    rest = F.substring("sql", start + F.length(F.regexp_extract("sql", CREATE, 0)), F.length("sql"))
+    # what stands behind the clause and the closed body are found by one search each; the outer explode
+    # keeps them from being computed again in the conditions
+    after = F.explode_outer(F.array(F.regexp_extract("sql", rf"(?s){CREATE}(.*)", 1)))
     raw = F.regexp_extract(F.substring_index("after", "(", 1), r"(\S+)", 1)
-    tokens, group = F.col("tokens"), F.col("group")
+    tokens, group, whole = F.col("tokens"), F.col("group"), F.col("whole")
+    opening = F.instr("whole", "(")
     return (
-        statements.where(F.col("sql").rlike(CREATE)).withColumn("after", rest)
-        .where(F.contains("after", F.lit("(")) & (raw != ""))
-        .select(*ids, "stmt", bare_name(raw).alias("name"), "after", F.col("after").rlike(_BODY).alias("plain"))
-        .withColumn("tokens", F.when(~F.col("plain"), _tokens(F.col("after"), "()")))
-        .withColumn("group", F.when(~F.col("plain"), _first_group(tokens)))
+        statements.select(*ids, "stmt", after.alias("after")).where(F.contains("after", F.lit("(")))
+        .select(*ids, "stmt", "after", F.explode_outer(F.array(raw)).alias("raw")).where("raw <> ''")
+        .select(*ids, "stmt", bare_name("raw").alias("name"), "after", F.regexp_extract("after", _BODY, 0).alias("whole"))
+        .withColumn("tokens", F.when(whole == "", _tokens(F.col("after"), "()")))
+        .withColumn("group", F.when(whole == "", _first_group(tokens)))
         .select(*ids, "stmt", "name",
-                F.when(F.col("plain"), F.regexp_extract("after", _BODY, 1)).otherwise(
+                F.when(whole != "", F.substring("whole", opening + 1, F.length("whole") - opening - 1)).otherwise(
                     F.when(group["close"] >= 0, _text(tokens, group["open"] + 1, group["close"]))).alias("body"))
         .withColumn("closed", F.col("body").isNotNull())
     )
@@ -213,8 +228,8 @@ def ddl_items(bodies: DataFrame, ids: list[str]) -> DataFrame:
     )
     head = F.regexp_extract("item", rf"\A\s*({_WORD})", 1)
     rest = F.regexp_replace("item", rf"\A\s*(?:{_WORD})", "")
-    word = F.lower(unquote("head"))
-    second = F.regexp_extract("rest", rf"\A\s*({_WORD})", 1)
+    # both words are columns of their own: the rules below name them many times
+    word, second = F.col("word"), F.col("word2")
     has = F.col("item").rlike
     role = (
         F.when((word == "primary") & second.rlike("(?i)key"), "pk")
@@ -224,18 +239,20 @@ def ddl_items(bodies: DataFrame, ids: list[str]) -> DataFrame:
         .when((word == "constraint") & has(r"(?i)primary\s+key"), "pk")
         .when((word == "constraint") | word.isin(*SKIPPED_HEADS) | (word == ""), "skip")
         .otherwise("column"))
-    group = F.regexp_extract("rest", rf"\A\s*(?:{_WORD})\s*({_GROUP})", 1)
+    bracket = F.contains("rest", F.lit("("))
+    group = F.when(bracket, F.regexp_extract("rest", rf"\A\s*(?:{_WORD})\s*({_GROUP})", 1)).otherwise("")
     opens_group = F.col("rest").rlike(rf"\A\s*(?:{_WORD})\s*\(")
     # arguments that nest deeper than the pattern are found by the fold, to any depth
     behind = F.regexp_replace("rest", rf"\A\s*(?:{_WORD})\s*", "")
     found = F.col("found")
     return (
-        items.withColumn("head", head).withColumn("rest", rest).withColumn("role", role)
-        .withColumn("word2", second).withColumn("group", group)
-        .withColumn("tokens", F.when(opens_group & (F.col("group") == "") & (F.col("role") == "column"), _tokens(behind, "()")))
+        items.withColumn("head", head).withColumn("rest", rest)
+        .withColumn("word", F.lower(unquote("head"))).withColumn("word2", F.regexp_extract("rest", rf"\A\s*({_WORD})", 1))
+        .withColumn("role", role).withColumn("group", group)
+        .withColumn("tokens", F.when((F.col("role") == "column") & (F.col("group") == "") & bracket & opens_group, _tokens(behind, "()")))
         .withColumn("found", F.when(F.col("tokens").isNotNull(), _first_group(F.col("tokens"))))
         .withColumn("group", F.when(found["close"] >= 0, _text(F.col("tokens"), found["open"], found["close"] + 1)).otherwise(F.col("group")))
-        .drop("tokens", "found")
+        .drop("tokens", "found", "word")
         # place in the script: statements first, items inside
         .withColumn("at", F.col("stmt").cast("bigint") * F.lit(IN_STATEMENT) + F.col("item_no"))
         .withColumn("table_key", F.lower("name"))
@@ -260,49 +277,63 @@ def _key_refs(items: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
+def _attached(cols: DataFrame, refs: DataFrame, ids: list[str]) -> DataFrame:
+    """Columns and references to columns in one table, each with ``col_at``: a column's own place, a reference's last column
+    of its name before it. Rows are dealt out once, by table; references without an id point at nothing."""
+    named = refs.where(" and ".join(f"`{i}` is not null" for i in ids))
+    rows = cols.withColumn("role", F.lit(None).cast("string")).unionByName(named, allowMissingColumns=True).repartition(*ids, "table_key")
+    before = W.partitionBy(*ids, "table_key", "col_key").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
+    is_col = F.col("role").isNull()
+    return rows.withColumn("col_at", F.max(F.when(is_col, F.col("at"))).over(before)).withColumn(
+        "col_at", F.when(is_col, F.col("at")).otherwise(F.col("col_at"))).where(F.col("col_at").isNotNull())
+
+
 def ddl_keys(items: DataFrame, ids: list[str]) -> DataFrame:
     """Flags set by key clauses on columns defined before them: (ids, table_key, col_at, pk, uniq)."""
-    cols = _raw_columns(items, ids).select(*ids, "table_key", F.lower("col_name").alias("col_key"),
-                                           F.col("at").alias("col_at"))
-    refs = _key_refs(items, ids)
+    cols = _raw_columns(items, ids).select(*ids, "table_key", F.lower("col_name").alias("col_key"), "at")
     return (
-        refs.join(cols, [*ids, "table_key", "col_key"]).where(F.col("col_at") < F.col("at"))
-        .groupBy(*ids, "table_key", "col_key", "role", "at").agg(F.max("col_at").alias("col_at"))
+        _attached(cols, _key_refs(items, ids), ids).where("role is not null")
         .groupBy(*ids, "table_key", "col_at")
         .agg(F.bool_or(F.col("role") == "pk").alias("key_pk"), F.bool_or(F.col("role") == "unique").alias("key_uniq"))
     )
 
 
 def _raw_columns(items: DataFrame, ids: list[str]) -> DataFrame:
-    lower = F.lower("item")
+    lower = F.col("lower")
     starts_group = F.col("rest").rlike(r"\A\s*\(")
     type_raw = F.when(starts_group, "").otherwise(F.concat(unquote("word2"), F.col("group")))
-    return items.where(F.col("role") == "column").withColumn("col_name", bare_name("head")).where("col_name <> ''").select(
-        *ids, "table_key", F.col("name").alias("table_name"), "at", "item", "col_name",
-        pretty_type(type_raw).alias("type"), type_raw.alias("type_raw"),
-        lower.rlike(r"\bprimary\s+key\b").alias("pk"), lower.rlike(r"\bnot\s+null\b").alias("nn"),
-        lower.rlike(r"\bunique\b").alias("uniq"), F.col("item").rlike(REFERENCES).alias("inline_fk"))
+    # a search for the word itself rules most items out
+    return (
+        items.where(F.col("role") == "column").withColumn("col_name", bare_name("head")).where("col_name <> ''")
+        .withColumn("lower", F.lower("item")).withColumn("type_raw", type_raw).select(
+            *ids, "table_key", F.col("name").alias("table_name"), "at", "item", "col_name",
+            pretty_type("type_raw").alias("type"), "type_raw",
+            (F.contains(lower, F.lit("primary")) & lower.rlike(r"\bprimary\s+key\b")).alias("pk"),
+            (F.contains(lower, F.lit("null")) & lower.rlike(r"\bnot\s+null\b")).alias("nn"),
+            (F.contains(lower, F.lit("unique")) & lower.rlike(r"\bunique\b")).alias("uniq"),
+            (F.contains(lower, F.lit("references")) & F.col("item").rlike(REFERENCES)).alias("inline_fk")))
 
 
 def ddl_columns(items: DataFrame, ids: list[str], relations: DataFrame | None = None) -> DataFrame:
     """(ids, table_key, at, name, type, pk, nn, uniq[, fk]) with the key clauses applied."""
-    keys = ddl_keys(items, ids).withColumnRenamed("col_at", "at")
-    off = F.lit(False)
-    cols = (
-        _raw_columns(items, ids).join(keys, [*ids, "table_key", "at"], "left")
-        .select(*ids, "table_key", "at", F.col("col_name").alias("name"), "type",
-                (F.col("pk") | F.coalesce("key_pk", off)).alias("pk"), "nn",
-                (F.col("uniq") | F.coalesce("key_uniq", off)).alias("uniq"), "inline_fk")
-    )
-    if relations is None:
-        return cols.drop("inline_fk")
-    named = relations.select(*ids, F.lower("from_table").alias("table_key"), F.explode("from_cols").alias("c")).select(
-        *ids, "table_key", F.lower("c").alias("col_key")).distinct()
-    # a name defined twice means its last column
-    last = (cols.groupBy(*ids, "table_key", F.lower("name").alias("col_key")).agg(F.max("at").alias("at"))
-            .join(named, [*ids, "table_key", "col_key"], "left_semi").drop("col_key").withColumn("_fk", F.lit(True)))
-    return cols.join(last, [*ids, "table_key", "at"], "left").withColumn(
-        "fk", F.col("inline_fk") | F.coalesce("_fk", off)).drop("_fk", "inline_fk")
+    cols = _raw_columns(items, ids).select(
+        *ids, "table_key", "at", F.lower("col_name").alias("col_key"), F.col("col_name").alias("name"), "type", "pk", "nn", "uniq", "inline_fk")
+    refs = _key_refs(items, ids)
+    if relations is not None:
+        # behind every item: a name defined twice means its last column
+        refs = refs.unionByName(relations.select(
+            *ids, F.lower("from_table").alias("table_key"), F.lit("fk").alias("role"), F.lit((1 << 63) - 1).alias("at"),
+            F.explode("from_cols").alias("c")).withColumn("col_key", F.lower("c")).drop("c"))
+    of_column = W.partitionBy(*ids, "table_key", "col_at")
+
+    def named(role: str) -> Column:
+        return F.bool_or(F.coalesce(F.col("role") == role, F.lit(False))).over(of_column)
+
+    flags = [named("pk").alias("key_pk"), named("unique").alias("key_uniq"), named("fk").alias("key_fk")]
+    found = _attached(cols, refs, ids).select("*", *flags).where("role is null").select(
+        *ids, "table_key", "at", "name", "type", (F.col("pk") | F.col("key_pk")).alias("pk"), "nn",
+        (F.col("uniq") | F.col("key_uniq")).alias("uniq"), (F.col("inline_fk") | F.col("key_fk")).alias("fk"))
+    return found.drop("fk") if relations is None else found
 
 
 def _names(text: Column) -> Column:
@@ -321,7 +352,7 @@ def ddl_foreign_keys(statements: DataFrame, items: DataFrame, tables: DataFrame,
     ``tables`` as of ``ddl_tables``: edges from tables no script creates are dropped.
     """
     inline = (
-        items.where((F.col("role") == "column") & F.col("item").rlike(REFERENCES))
+        items.where((F.col("role") == "column") & F.contains(F.lower("item"), F.lit("references")) & F.col("item").rlike(REFERENCES))
         .withColumn("col_name", bare_name("head"))
         .select(*ids, "at", F.col("name").alias("from_table"), F.array("col_name").alias("from_cols"),
                 bare_name(F.regexp_extract("item", REFERENCES, 1)).alias("to_table"),

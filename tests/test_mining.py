@@ -144,3 +144,34 @@ def test_key_lists_with_nested_brackets(spark):
     assert {k for k, (pk, _) in rows.items() if pk} == {(0, "b"), (2, "b")}
     assert not any(uniq for _, uniq in rows.values())
     assert got.errors.isEmpty()
+
+
+def test_columns_and_keys_meet_in_one_exchange(spark):
+    """Text is searched once where conditions name it again, and tables are dealt out once for columns, keys and edges."""
+    items = mined(spark, SCRIPT).items
+    for found in (m.ddl_columns(items, ["script_id"]), m.ddl_keys(items, ["script_id"])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    bodies = m.ddl_bodies(m.ddl_statements(spark.createDataFrame([(0, SCRIPT)], "script_id int, text string"), ["script_id"]), ["script_id"])
+    assert bodies._jdf.queryExecution().optimizedPlan().toString().count("create\\s+") == 1
+
+
+def test_keys_of_repeated_and_missing_ids(spark):
+    """Columns of scripts without id stay without key flags; scripts given twice keep each row."""
+    text = "create table t (a int, b int, primary key (a), a int, unique (a, nowhere));"
+    scripts = spark.createDataFrame([(None, text), (1, text), (1, text)], "script_id int, text string")
+    got = mine_ddl(scripts, ["script_id"])
+    rows = sorted((str(r["script_id"]), r["at"] % (1 << 31), r["name"], r["pk"], r["uniq"]) for r in got.columns.collect())
+    one = [(0, "a", True, False), (1, "b", False, False), (3, "a", False, True)]
+    assert rows == sorted([("1", *r) for r in one] * 2 + [("None", k, n, False, False) for k, n, _, _ in one])
+
+
+def test_formats_need_their_literals():
+    import re
+
+    assert set(m.LITERALS) <= {p for _, patterns in m.FORMAT_RULES for p in patterns}
+    samples = ["erDiagram", "@startuml", "entity A", 'class "A', "Table t {", "Ref x:", "model U {", "datasource d {", "generator g {", ".define ( 'x",
+               "DataTypes.", "Column (", "mapped_column(", "`a.b`"]
+    for pattern, parts in m.LITERALS.items():
+        hits = [x for x in samples if re.search(pattern, x)]
+        assert hits and all(any(p in x for p in parts) for x in hits)
