@@ -45,7 +45,8 @@ TEMPLATES = (
 
 def terms(text: Column) -> Column:
     """Runs of letters and digits, lower case, with inner dots (``2.0``)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"), F.lit(0))
+    # plain letters and digits first, and nothing to go back to: most characters are settled by one comparison
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9\p{L}\p{N}]++(?:\.[\p{N}]++)*+"), F.lit(0))
 
 
 def weighted(templates: DataFrame) -> tuple[DataFrame, float, list[str]]:
@@ -76,12 +77,13 @@ def reach(table: DataFrame) -> Column:
 def own_licenses(files: DataFrame, templates: DataFrame, limit: float = LIMIT) -> DataFrame:
     """(id, license, score) of files (id, text, whole) that have a licence of their own."""
     table, foreign, vocabulary = weighted(templates)
-    known = F.array(*[F.lit(t) for t in vocabulary])
+    known = F.array_distinct(F.filter("terms", lambda t: t.isin(*vocabulary)))
     parts = F.split(F.coalesce("text", F.lit("")), r"[\r\n]+|(?<=[.;!?])\s+")
     pieces = F.when(F.col("whole"), F.concat(parts, F.array("text"))).otherwise(parts)
-    split = files.select("id", F.posexplode(pieces).alias("piece", "part")).select("id", "piece", terms(F.col("part")).alias("terms"))
+    # the outer explodes keep terms and shared terms from being computed again wherever the conditions name them
+    split = files.select("id", F.posexplode(pieces).alias("piece", "part")).select("id", "piece", F.explode_outer(F.array(terms(F.col("part")))).alias("terms"))
     # a cosine is at most the length of the template's part in shared terms, so others are not taken apart
-    shared = split.withColumn("shared", F.array_intersect("terms", known)).where(F.size("shared") > 1)
+    shared = split.select("id", "piece", "terms", F.explode_outer(F.array(known)).alias("shared")).where(F.size("shared") > 1)
     scored = shared.where(reach(table) >= limit * limit).drop("shared").withColumn("row", F.monotonically_increasing_id())
     scored = cut_lineage(scored)  # row numbers must not change
     counts = scored.select("id", "row", F.explode("terms").alias("term")).groupBy("id", "row", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))

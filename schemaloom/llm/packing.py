@@ -24,6 +24,8 @@ from ..session import ship
 from .tokens import encoder, pieces_of, plain_ids, tokenizer_path
 
 SEQUENCE, SEGMENTS, WAITING = 4096, 256, 1024
+# Characters of text encoded at once (texts are never cut): a worker's memory follows this, not its rows.
+CHARS = 2_000_000
 
 SCHEMA = ("id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, "
           "loss_tokens bigint")
@@ -126,7 +128,7 @@ def pack(examples: DataFrame, id_col: str = "doc_id", text: str = "text", prompt
             if packer is None and len(batch):
                 packer = Packer(int(batch["task"].iloc[0]) << 32, tokens, segments, most_loss, waiting)
             texts, prompts, names = batch["text"].tolist(), batch["prompt"].tolist(), plain_ids(batch["id"])
-            for a, b in pieces_of(texts):
+            for a, b in pieces_of(texts, CHARS):
                 heads = encode(prompts[a:b]) if prompt else [None] * (b - a)
                 for name, head, own in zip(names[a:b], heads, encode(texts[a:b]), strict=True):
                     kept = own if head is None else np.concatenate([head[:-1], own])

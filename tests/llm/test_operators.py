@@ -404,3 +404,28 @@ def test_licenses(spark):
     assert scan.count() == len(files)
     assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("GPL-3.0", "GPL-3.0", None), 4: (None, None, None), 5: (None, None, None),
                    6: ("GPL-3.0", "GPL-3.0", None), 7: (None, "GPL-3.0", "a/z"), 8: (None, None, None)}
+
+
+def test_license_terms_are_taken_apart_once(spark, monkeypatch):
+    """Conditions on shared terms must not run the patterns again."""
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    from schemaloom.session import cut_lineage
+
+    monkeypatch.setattr(licenses, "cut_lineage", written)
+    files = spark.createDataFrame([(1, "Released under the MIT License. \u00c4hnlich 2.0.1 x", False), (2, None, True)], "id long, text string, whole boolean")
+    assert [r["license"] for r in licenses.own_licenses(files, licenses.default_templates(spark)).collect()] == ["MIT"]
+    assert max(p.count("regexp_extract_all") for p in plans if "monotonically" in p) == 1
+    got = files.where("id = 1").select(licenses.terms(licenses.F.col("text")).alias("t")).first()["t"]
+    assert got == ["released", "under", "the", "mit", "license", "\u00e4hnlich", "2.0.1", "x"]
+
+
+def test_packing_encodes_in_bounded_pieces(spark, monkeypatch):
+    """A batch of long texts is encoded a part at a time."""
+    assert packing.CHARS <= 2_000_000
+    spans = list(packing.pieces_of(["x" * 900_000] * 9, packing.CHARS))
+    assert len(spans) == 5 and spans[-1][1] == 9
