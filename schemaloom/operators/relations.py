@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import first_column
 from ..functions.text import call_label, clean_scalar, constraint_target, first_text, parse_call
+from ..session import cut_lineage
 from .constraints import default_target_columns
 from .resolve import resolve_calls, resolve_relation, resolve_test_owner
 
@@ -24,13 +25,14 @@ def resolve_tests(tests: DataFrame, entries: DataFrame, columns: DataFrame) -> D
     test is read: project, uid, name. Columns of attached ``unique`` and ``not_null`` tests count for the tests
     behind them.
     """
-    early = tests.where(F.col("test").isin("unique", "not_null") & (F.col("column") != "") & (F.col("attached") != ""))
-    columns = columns.select("project", "uid", "name", F.lit(-1).cast("bigint").alias("since")).unionByName(
-        early.select("project", F.col("attached").alias("uid"), F.col("column").alias("name"), F.col("pos").cast("bigint").alias("since")))
     is_rel = F.col("test") == "relationships"
-    called = resolve_calls(
+    # columns of attached tests, candidates and the result all read the tests with their calls: they are parsed once
+    called = cut_lineage(resolve_calls(
         tests.withColumn("call", F.when(is_rel, parse_call("target"))).withColumnRenamed("target", "to_text"),
-        entries, "call", "called")
+        entries, "call", "called"))
+    early = called.where(F.col("test").isin("unique", "not_null") & (F.col("column") != "") & (F.col("attached") != ""))
+    columns = columns.select("project", "uid", "name", F.lit(-1).cast("bigint").alias("since")).unionByName(
+        early.select("project", F.col("attached").alias("uid"), F.col("column").alias("name"), F.col("pos").cast("bigint").alias("since")))
     return resolve_test_owner(called.withColumn("excluded", F.col("called.uid")), entries, columns)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, first_text, normalize_relation, relation_leaf
+from ..session import cut_lineage
 
 TARGET = "struct<uid:string, display_name:string>"
 
@@ -123,8 +124,9 @@ def resolve_relation(rows: DataFrame, entries: DataFrame, relation: str, leaf: s
     once and joined back, so a reference repeated by half the fleet costs one lookup.
     """
     leaf_text = F.col(leaf) if leaf else F.lit("")
-    keyed = rows.withColumn("_rel", normalize_relation(relation)).withColumn("_leaf", leaf_text)
-    texts = keyed.where(F.col("_rel") != "").select("project", "_rel", "_leaf").distinct()
+    # the texts and the result read the rows, suffixes and bare names the texts: both are worked out once
+    keyed = cut_lineage(rows.withColumn("_rel", normalize_relation(relation)).withColumn("_leaf", leaf_text))
+    texts = cut_lineage(keyed.where(F.col("_rel") != "").select("project", "_rel", "_leaf").distinct())
     parts = F.split("_rel", r"\.")
     takes = texts.withColumn("_parts", parts).withColumn("_n", F.size("_parts")).select(
         "*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_take"))

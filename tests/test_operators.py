@@ -255,3 +255,19 @@ def test_hot_key_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_relation_texts_are_worked_out_once(spark):
+    """Rows whose text is resolved are written before the texts, the suffixes and the result read them."""
+    from pyspark.sql import functions as F
+
+    from schemaloom.operators.resolve import resolve_relation
+
+    fields = "project string, uid string, kind string, ref_name string, name string, display_name string, relation_name string, schema string, database string"
+    entries = spark.createDataFrame([("p", "u1", "model", "orders", "orders", "orders", "", "s", "d"), ("p", "u2", "model", "x", "x", "x", "", "", "")], fields)
+    rows = spark.createDataFrame([("p", "s.orders"), ("p", "X"), ("p", "s.orders"), ("p", "none"), (None, "x")], "project string, relation string")
+    found = resolve_relation(rows.withColumn("mark", F.reverse("relation")), entries, "relation")
+    assert "reverse" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((str(r["project"]), r["relation"], r["mark"], r["target"] and r["target"]["uid"]) for r in found.collect())
+    assert [(*g[:2], g[3]) for g in got if g[0] == "p"] == [("p", "X", "u2"), ("p", "none", None), ("p", "s.orders", "u1"), ("p", "s.orders", "u1")]
+    assert got[0] == ("None", "x", "x", None)
