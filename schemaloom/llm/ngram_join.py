@@ -47,6 +47,9 @@ FREQUENT = 32
 BAND = 0.1
 # Index entries a task holds before it hands them on, and entries wanted in one group of the exchange.
 HELD, GROUP = 1_000_000, 1_000_000
+# Entries of a signature beyond which its nodes are compared as a crowd, nodes and shingles of a crowd's tile, and bits of
+# the widest parity row.
+CROWD, TILE, TILE_SHINGLES, MOST_BITS = 32, 512, 2_000_000, 1 << 16
 # Characters of text worked on at once (texts are never cut).
 CHARS = 1_000_000
 
@@ -240,11 +243,60 @@ def may_link(similar: int = SIMILAR):
     return (F.col("place") <= F.col("n") - overlap + 1) & (F.col("place_b") <= F.col("n_b") - overlap + 1)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, written; sets are made anew from whole texts of the nodes needed."""
-    count = pairs.count()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(ends.join(nodes, "node").select("key").distinct(), 2 * count)
+def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """One row of bits (a power of two) per set: whether an odd number of its tokens fall on each.
+
+    Two rows differ in at most as many bits as tokens lie in only one of the sets.
+    """
+    return np.stack([np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)) for s in sets]).view(np.uint64)
+
+
+def group_links(sets: list[np.ndarray], nodes: np.ndarray, parts: np.ndarray, sides: np.ndarray, similar: int = SIMILAR):
+    """Links (a, b) between the parts of one group, as many as connect what any of its pairs connects.
+
+    Rows of side 0 are compared with those of side 1, rows of side 2 with each other. Pairs that differ in too many
+    bits are no links; the others are tested on their whole sets, most similar first, unless already connected.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    table = parity([mix(s) for s in sets], min(MOST_BITS, 256 << max(0, int(sizes.max() // 64).bit_length())))
+    found = []
+    for i in np.flatnonzero(sides != 1):
+        others = np.flatnonzero(sides == 1) if sides[i] == 0 else np.flatnonzero(sides[i + 1:] == 2) + i + 1
+        least, most = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[(parts[others] != parts[i]) & (100 * least >= similar * most)]
+        if len(others):
+            both = sizes[others] + sizes[i]
+            top = (both - np.bitwise_count(table[others] ^ table[i]).sum(axis=1, dtype=np.int64)) // 2
+            may = 100 * top >= similar * (both - top)
+            found.append(np.stack([top[may] / both[may], np.full(may.sum(), i), others[may]]))
+    if not found:
+        return []
+    found, above, links = np.concatenate(found, axis=1), {}, []
+
+    def root(part):
+        while part in above:
+            part = above[part]
+        return part
+
+    for i, j in found[1:, np.argsort(-found[0], kind="stable")].T.astype(np.int64):
+        x, y = root(parts[i]), root(parts[j])
+        if x != y:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common * 100 >= (sizes[i] + sizes[j] - common) * similar:
+                above[max(x, y)] = min(x, y)
+                links.append((int(nodes[i]), int(nodes[j])))
+    return links
+
+
+def linked(wanted: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Links (a, b) by group, written; ``wanted`` has (grp, side, part, key, n), see ``group_links``.
+
+    Sets are made anew from whole texts of the nodes needed and go straight to their groups, in one exchange.
+    """
+    wanted = cut_lineage(wanted.select("grp", "side", "part", "key", "n"))
+    total = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    deal = max(2 * tasks(docs.sparkSession), total["n"] // GROUP)
+    by_key = cut(wanted.groupBy("key").agg(F.collect_list(F.struct("grp", "side", "part")).alias("at")), total["rows"])
 
     def run(batches):
         made = set()
@@ -252,17 +304,49 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int =
             # copies of one text in a task are one set
             batch = batch[~batch["key"].isin(made)].drop_duplicates("key")
             made.update(batch["key"])
-            texts = batch["text"].tolist()
+            texts, at = batch["text"].tolist(), [batch[c].tolist() for c in ("grp", "side", "part")]
             for a, b in pieces_of(texts, CHARS):
-                sets = shingle_sets(texts[a:b])
-                yield pd.DataFrame({"node": [set_number(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+                rows = [(g, s, p, set_number(own), own.view(np.int64)) for own, gs, ss, ps in
+                        zip(shingle_sets(texts[a:b]), *(x[a:b] for x in at), strict=True) for g, s, p in zip(gs, ss, ps, strict=True)]
+                yield pd.DataFrame(rows, columns=["grp", "side", "part", "node", "shingles"])
+
+    def compared(frame):
+        frame = frame.drop_duplicates(["grp", "side", "node"])
+        links = []
+        for _, own in frame.groupby("grp"):
+            if len(own) > 1:
+                links += group_links([np.asarray(x, np.int64).view(np.uint64) for x in own["shingles"]], own["node"].to_numpy(),
+                                     own["part"].to_numpy(), own["side"].to_numpy(), similar)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    texts = docs.select("key", "text").join(small(by_key), "key").select("key", "text", "at.grp", "at.side", "at.part")
+    made = texts.mapInPandas(run, "grp bigint, side int, part bigint, node bigint, shingles array<bigint>")
+    return cut_lineage(made.groupBy(F.pmod("grp", F.lit(deal)).alias("bucket")).applyInPandas(compared, "a bigint, b bigint"))
 
-    sets = cut_lineage(docs.select("key", "text").join(small(wanted), "key", "leftsemi").mapInPandas(run, "node bigint, shingles array<bigint>")
-                       .dropDuplicates(["node"]))
-    both = (pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b"))
-    common = F.size(F.array_intersect("left", "right"))
-    return cut(both.where(common * 100 >= (F.size("left") + F.size("right") - common) * similar).select("a", "b"), count)
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, written: those of one ``a`` in groups of about ``TILE``."""
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
+    dealt = pairs.select("a", "b").join(chunks, "a").withColumn("grp", F.xxhash64("a", F.pmod(F.xxhash64("b"), "chunks")))
+    ends = (dealt.select("grp", F.lit(0).alias("side"), F.col("a").alias("node")).distinct()
+            .unionAll(dealt.select("grp", F.lit(1).alias("side"), F.col("b").alias("node"))))
+    return linked(ends.join(nodes, "node").withColumn("part", F.col("node")), docs, similar)
+
+
+def crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Links that connect all parts of a crowd, written; ``members`` has (sig, lead, node, part), ``lead`` one node a signature.
+
+    Signatures that share nodes are one crowd. Its nodes are dealt into tiles of bounded number and size, any two
+    of which meet in one group, so that no pair is a row of a join.
+    """
+    crowds = components(members.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    own = cut_lineage(members.select("node", "part").distinct().join(crowds, "node").join(nodes.select("node", "key", "n"), "node"))
+    tiles = own.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("tiles"))
+    dealt = (own.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))))
+    side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
+    group = F.xxhash64("component", F.least("tile", "other"), F.greatest("tile", "other"))
+    return linked(dealt.withColumns({"grp": group, "side": side}), docs, similar)
 
 
 def placed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -271,7 +355,7 @@ def placed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), text_key(text).alias("key"))
     seen, sketch = profile(own)
     totals = seen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    nodes = cut(seen.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("rep")),
+    nodes = cut(seen.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("rep")),
                 totals["rows"])
     level, frequent = levels(sketch)
     deal = max(2 * tasks(docs.sparkSession), totals["shingles"] // 3 // GROUP)
@@ -302,15 +386,21 @@ def placed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     open_sigs = cut(placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
                     .where("lo != hi").select("sig"), size)
     left = cut_lineage(placed.join(open_sigs, "sig", "leftsemi"))
-    right = left.select("sig", F.col("node").alias("other"), F.col("n").alias("n_b"), F.col("place").alias("place_b"),
-                        F.col("part").alias("other_part"))
-    across = (left.join(right, "sig").where("part < other_part").where(may_link(similar))
+    # signatures of many nodes by crowds, the others pair by pair
+    crowded = cut(left.groupBy("sig").agg(F.count(F.lit(1)).alias("entries"), F.min("node").alias("lead"))
+                  .where(F.col("entries") > CROWD).select("sig", "lead"), size)
+    few = left.join(crowded, "sig", "leftanti")
+    right = few.select("sig", F.col("node").alias("other"), F.col("n").alias("n_b"), F.col("place").alias("place_b"),
+                       F.col("part").alias("other_part"))
+    across = (few.join(right, "sig").where("part < other_part").where(may_link(similar))
               .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
               .join(tested, ["a", "b"], "leftanti"))
     across = cut_lineage(across)
     more = verified(across, nodes, own, similar) if not across.isEmpty() else links.limit(0)
+    if not crowded.isEmpty():
+        more = more.unionAll(crowd_links(left.join(crowded, "sig"), nodes, own, similar))
     final = components(links.unionAll(more))
-    named = nodes.join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    named = nodes.drop("n").join(final, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct("rep.unnamed", "rep.id", "node", "rep.key")).alias("first"))
     names = cut(named.join(least, "component").select("node", "first"), totals["rows"])
     return seen.join(names, "node", "left").select("id", "key", "n", "node", "first")

@@ -429,3 +429,47 @@ def test_packing_encodes_in_bounded_pieces(spark, monkeypatch):
     assert packing.CHARS <= 2_000_000
     spans = list(packing.pieces_of(["x" * 900_000] * 9, packing.CHARS))
     assert len(spans) == 5 and spans[-1][1] == 9
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_ngram_crowd_is_no_join_of_pairs(spark, monkeypatch, tile):
+    """Near copies of which few link: their pairs are compared in tiles, and no join has a row for each."""
+    base = [f"w{k}x" for k in range(60)]
+    rows = []
+    for place in range(8, 56, 4):
+        for k in range(5):
+            rows.append((len(rows) + 1, " ".join([*base[:place], f"other{place}v{k}", *base[place + 1:]])))
+    tested, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: tested.append(pairs.count()) or verified(pairs, *rest))
+    monkeypatch.setattr(ngram_join, "TILE", tile, raising=False)
+    found = ngram_join.groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    # variants of one place share 51 of 61 shingles; those of places four apart 47 of 65, less than three in four
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: (i - 1) // 5 * 5 + 1 for i, _ in rows}
+    assert sum(tested) < 10 * len(rows)
+
+
+def test_group_links_match_plain_comparison():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[:200 + 100 * (k % 3)], int(rng.integers(20, 190)), replace=False)) for k in range(60)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * rng.uniform(0.8, 1))], pool[:3]])) for s in sets]
+    nodes, similar = np.arange(len(sets)), 75
+
+    def labels(links):
+        own = list(range(len(sets)))
+        for a, b in links:
+            x, y = own[a], own[b]
+            own = [min(x, y) if o in (x, y) else o for o in own]
+        return own
+
+    def alike(i, j):
+        common = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+        return common * 100 >= similar * (len(sets[i]) + len(sets[j]) - common)
+
+    plain = [(i, j) for i in nodes for j in nodes if i < j and alike(i, j)]
+    assert len(plain) > 20
+    within = ngram_join.group_links(sets, nodes, nodes, np.full(len(sets), 2), similar)
+    assert labels(within) == labels(plain) and set(map(tuple, map(sorted, within))) <= set(plain)
+    sides = (nodes % 2).astype(np.int64)
+    between = ngram_join.group_links(sets, nodes, nodes, sides, similar)
+    assert labels(between) == labels([(i, j) for i, j in plain if sides[i] != sides[j]])
