@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-# Distinct words a task remembers before it starts over (about 150 MB).
-REMEMBERED = 600_000
+# Distinct words a worker remembers before it starts over; workers live on beside the heap from stage to stage.
+REMEMBERED = 150_000
 _MARKS = string.punctuation
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from schemaloom.llm import exact_dedup, language, licenses, mixing, ngram_join, packing, token_files, toxicity, url_rules, vector_dedup
+from schemaloom.llm import exact_dedup, language, licenses, mixing, ngram_join, packing, token_files, tokens, toxicity, url_rules, vector_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, kept boolean, keep_id bigint"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -431,6 +431,16 @@ def test_packing_encodes_in_bounded_pieces(spark, monkeypatch):
     assert len(spans) == 5 and spans[-1][1] == 9
 
 
+def test_remembered_words_are_bounded():
+    """Few words are kept, and ids do not depend on how many."""
+    assert tokens.REMEMBERED <= 150_000
+    texts = [f"word{k} and again, Word{k % 7}. über{k % 11}" for k in range(200)]
+    few, all_of_them = tokens.WordEncoder(remembered=20), tokens.WordEncoder()
+    for a in range(0, len(texts), 10):
+        assert [x.tolist() for x in few.encode(texts[a:a + 10])] == [x.tolist() for x in all_of_them.encode(texts[a:a + 10])]
+        assert len(few.words) <= 20 + 40 < len(all_of_them.words) + 60
+
+
 @pytest.mark.parametrize("tile", [512, 16])
 def test_ngram_crowd_is_no_join_of_pairs(spark, monkeypatch, tile):
     """Near copies of which few link: their pairs are compared in tiles, and no join has a row for each."""
