@@ -14,7 +14,8 @@ blocks; a task hands on one entry per signature and block of work, the other ent
 already knows to be shared go past the exchange's groups. An entry also says how far down the prefix it lies,
 which rules out pairs whose sizes would need it nearer the front. Under a signature, the smallest node of about one size leads the others. A node is compared with the leader
 it shares most signatures with, then with the next best that still lie in other components; where nodes of one signature then lie in different
-components, every pair across these is compared as well. So no pair that
+components, every pair across these is compared as well: pair by pair, or, where a signature has many nodes, by tiles
+of the crowd that such signatures join. So no pair that
 could change a component goes untested, and pairs inside a component need no test.
 
 Ids only name components. Sets are verified by node and rows are known by id and text number, so null ids and
