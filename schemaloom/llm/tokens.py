@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer, a word at a time.
 
 The word-end BPE drops white space and never merges across it, so a text's ids are those of its words in
-a row. Arrow splits a batch at ASCII white space and numbers its distinct words; each task keeps a bounded
-table word -> ids and encodes only words it has not met. A word whose end is punctuation behind a letter
+a row. Arrow splits a batch at ASCII white space and numbers its words in one pass behind a bounded table of
+those already met, and only new ones are taken apart and encoded. A word whose end is punctuation behind a letter
 is two units, since the tokenizer parts them there before it merges, and ASCII words are met in lower
 case; words that hold the text of a special token are left as they are.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-# Distinct words a worker remembers before it starts over; workers live on beside the heap from stage to stage.
+# Distinct words a worker remembers before it drops the rarer ones; workers live on beside the heap from stage to stage.
 REMEMBERED = 150_000
 _MARKS = string.punctuation
 
@@ -34,6 +34,37 @@ def _steady(text: str) -> bool:
     return text.isascii() or (text[-1].lower().isalpha() and is_normalized("NFC", text))
 
 
+class Remembered:
+    """Distinct texts, their ids one after the other with the places between them, and how often each was looked for."""
+
+    def __init__(self):
+        self.texts, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.bounds, self.often = np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of each text, and the new ones among them, which are numbered on and must be added next."""
+        coded = pa.concat_arrays([self.texts, texts]).dictionary_encode()
+        numbers = coded.indices.to_numpy(zero_copy_only=False)[len(self):]
+        often = np.bincount(numbers, minlength=len(coded.dictionary))
+        often[:len(self)] += self.often
+        self.often = often
+        return numbers, coded.dictionary[len(self):]
+
+    def add(self, texts: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> None:
+        self.texts, self.ids = pa.concat_arrays([self.texts, texts]), np.concatenate([self.ids, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + bounds[1:]])
+
+    def trim(self, most: int) -> None:
+        """Of more texts than so many, keep half as many, those looked for most often; older searches count half."""
+        if len(self) > most:
+            kept = np.sort(np.argpartition(-self.often[:len(self)], most // 2)[:most // 2])
+            self.ids, self.bounds = _gathered(self.ids, self.bounds, kept)
+            self.texts, self.often = self.texts.take(pa.array(kept)), self.often[kept] // 2
+
+
 class WordEncoder:
     def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
         import os
@@ -51,84 +82,80 @@ class WordEncoder:
         self.ends_unit = np.zeros(self.plain.get_vocab_size() + 1, bool)
         self.ends_unit[ends] = True
         self.remembered = remembered
-        self._clear()
-
-    def _clear(self) -> None:
-        # words are one or two units (numbers into the stored ids); unit 0 is empty
-        self.words: dict[str, int] = {}
-        self.units: dict[str, int] = {"": 0}
-        self.heads, self.tails = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
-        self.store, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.filled = 0
-
-    def _unit(self, text: str, fresh: list[str]) -> int:
-        at = self.units.get(text)
-        if at is None:
-            at = self.units[text] = len(self.units)
-            fresh.append(text)
-        return at
-
-    def _learn(self, words: list[str]) -> None:
-        fresh: list[str] = []
-        first = len(self.words)
-        while first + len(words) > len(self.heads):
-            self.heads, self.tails = (np.concatenate([x, np.zeros_like(x)]) for x in (self.heads, self.tails))
-        for k, word in enumerate(words, first):
-            special = "<|" in word
-            own = word.lower() if word.isascii() and not special else word
-            stem = own.rstrip(_MARKS)
-            if stem and not special and len(stem) < len(own) and stem[-1].isalpha() and _steady(stem):
-                self.tails[k] = self._unit(own[len(stem):], fresh)
-                own = stem
-            self.heads[k] = self._unit(own, fresh)
-            self.words[word] = k
-        self._store(fresh)
-
-    def _store(self, fresh: list[str]) -> None:
-        """Encode new units, the plain ones together, and number them in the order given."""
-        first = len(self.units) - len(fresh)
-        while len(self.units) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        plain = np.fromiter((u.isalpha() and u == u.lower() and is_normalized("NFC", u) for u in fresh), bool, len(fresh))
-        where = np.flatnonzero(plain)
+        self.words, self.units = Remembered(), Remembered()
+
+    @staticmethod
+    def _parted(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """First and second unit of each word (the second may be empty): ASCII words by column, the others one by one."""
+        special = pc.match_substring(words, "<|")
+        easy = pc.and_not(pc.string_is_ascii(words), special)
+        own = pc.if_else(easy, pc.ascii_lower(words), words)
+        stems = pc.ascii_rtrim(own, characters=_MARKS)
+        cut = pc.and_(easy, pc.and_(pc.not_equal(stems, own), pc.match_substring_regex(stems, "[a-z]$"))).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(pc.and_not(pc.invert(easy), special).to_numpy(zero_copy_only=False))
+        for k, whole in zip(rest, _listed(own.take(pa.array(rest))), strict=True):
+            stem = whole.rstrip(_MARKS)
+            cut[k] = bool(stem) and len(stem) < len(whole) and stem[-1].isalpha() and _steady(stem)
+        heads = pc.if_else(pa.array(cut), stems, own)
+        tails = np.full(len(words), "", object)
+        where = np.flatnonzero(cut)
+        if len(where):
+            taken = pa.array(where)
+            tails[where] = [o[len(h):] for o, h in zip(_listed(own.take(taken)), _listed(heads.take(taken)), strict=True)]
+        return heads, pa.array(tails, pa.large_string())
+
+    def _learn(self, words: pa.Array) -> None:
+        heads, tails = self._parted(words)
+        self.units.trim(self.remembered)
+        numbers, fresh = self.units.find(pa.concat_arrays([heads, tails]))
+        self.units.add(fresh, *self._encoded(_listed(fresh)))
+        ids, bounds = _gathered(self.units.ids, self.units.bounds, numbers.reshape(2, -1).T.ravel())
+        self.words.add(words, ids, bounds[::2])
+
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units and the places between them; the plain ones are encoded together."""
+        plain = np.fromiter((u.isalpha() and (u.isascii() or u == u.lower() and is_normalized("NFC", u)) for u in units), bool, len(units))
+        where, parts, sizes = np.flatnonzero(plain), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(where), 500):
-            part = where[at:at + 500]
-            text = " ".join([fresh[i] for i in part])
+            text = " ".join([units[i] for i in where[at:at + 500]])
             ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            self._keep(first + part, ids, np.diff(np.flatnonzero(self.ends_unit[ids]), prepend=-1))
+            parts.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.ends_unit[ids]), prepend=-1))
         rest = np.flatnonzero(~plain)
         if len(rest):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._keep(first + rest, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
-
-    def _keep(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        while self.filled + len(flat) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[self.filled:self.filled + len(flat)] = flat
-        self.sizes[numbers] = sizes
-        self.starts[numbers] = self.filled + np.cumsum(sizes) - sizes
-        self.filled += len(flat)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)]
+            parts.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        place = np.empty(len(units), np.int64)
+        place[np.concatenate([where, rest])] = np.arange(len(units))
+        return _gathered(np.concatenate(parts), bounds, place)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, the end id last; null counts as empty."""
-        if len(self.words) > self.remembered:
-            self._clear()
+        self.words.trim(self.remembered)
         lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.words])
-        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
-        index = number[coded.indices.to_numpy(zero_copy_only=False)]
-        units = np.stack([self.heads[index], self.tails[index]], axis=1).ravel()
-        sizes, starts = self.sizes[units], self.starts[units]
-        before = np.cumsum(sizes) - sizes
-        flat = self.store[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        numbers, fresh = self.words.find(lists.flatten())
+        if len(fresh):
+            self._learn(fresh)
+        found = pa.LargeListArray.from_arrays(self.words.bounds, self.words.ids).take(pa.array(numbers))
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        ends = np.concatenate([[0], np.cumsum(sizes)])[2 * edges]
+        flat, ends = found.values.to_numpy(), found.offsets.to_numpy()[edges]
         return [np.append(flat[a:b], np.uint32(END_ID)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _listed(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+
+
+def _gathered(ids: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the numbered runs one after the other, and the places between them."""
+    starts = bounds[numbers]
+    sizes = bounds[numbers + 1] - starts
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.repeat(starts - places[:-1], sizes) + np.arange(places[-1])], places
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

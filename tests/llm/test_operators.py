@@ -441,6 +441,34 @@ def test_remembered_words_are_bounded():
         assert len(few.words) <= 20 + 40 < len(all_of_them.words) + 60
 
 
+def test_frequent_words_outlast_a_full_table():
+    """A full table of words drops the rarer ones: words met in every batch are encoded once."""
+    encode, seen = tokens.WordEncoder(remembered=120), []
+    plain = encode.plain
+
+    class Counted:
+        def encode_batch_fast(self, texts, **settings):
+            seen.extend(w for t in texts for w in t.split())
+            return plain.encode_batch_fast(texts, **settings)
+
+    encode.plain = Counted()
+    often = ["alpha", "beta", "gamma", "delta"]
+    for k in range(12):
+        new = [f"{a}{b}{'abcdefghijkl'[k]}q" for a in "mnprst" for b in "abcdefgh"]
+        text = " ".join([w for n in new for w in (n, *often)])
+        assert encode.encode([text, None])[0].tolist() == direct(text).tolist()
+    assert len(seen) > 500 and all(seen.count(w) == 1 for w in often)
+
+
+def test_units_of_odd_words_match_direct_encoding():
+    texts = ["Foo!! foo! FOO é! e\u0301! e\u0301 x\u0301. \u01c5. Stra\u00dfe, \u0130. \u03a3, ... <|x|>. <|X|> a<| b|> \u4e2d\u6587.",
+             "a\xa0b. c\u2003d! \ufb01! (ab) ab) 12. x2, \U0001f600! \x1c. a\x85.", "", None, " \t\n"]
+    for bound in (0, 3, 1000):
+        encode = tokens.WordEncoder(remembered=bound)
+        for _ in range(2):
+            assert [x.tolist() for x in encode.encode(texts)] == [direct(t).tolist() for t in texts]
+
+
 @pytest.mark.parametrize("tile", [512, 16])
 def test_ngram_crowd_is_no_join_of_pairs(spark, monkeypatch, tile):
     """Near copies of which few link: their pairs are compared in tiles, and no join has a row for each."""
