@@ -252,6 +252,36 @@ def parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.stack([np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)) for s in sets]).view(np.uint64)
 
 
+def parity_bits(size: int) -> int:
+    """Width of the parity row of a set of this size, about four bits a token."""
+    return min(MOST_BITS, 256 << max(0, (size // 64).bit_length()))
+
+
+def group_pairs(sized: list[np.ndarray], nodes: np.ndarray, sides: np.ndarray, similar: int = SIMILAR):
+    """Pairs (a, b) of a group's rows of side 0 and 1 which their parity rows do not rule out as links.
+
+    A row is the size of its set and its parity row; the wider one of two is folded to the other's width.
+    """
+    sizes, rows, pairs = np.array([r[0] for r in sized]), [r[1:].view(np.uint64) for r in sized], []
+    widths = np.array([len(r) for r in rows])
+
+    def folded(table, width):
+        while table.shape[1] > width:
+            table = table[:, :table.shape[1] // 2] ^ table[:, table.shape[1] // 2:]
+        return table
+
+    for width in np.unique(widths[sides == 1]):
+        others = np.flatnonzero((sides == 1) & (widths == width))
+        table = np.stack([rows[j] for j in others])
+        for i in np.flatnonzero(sides == 0):
+            least = min(width, widths[i])
+            both = sizes[others] + sizes[i]
+            differ = np.bitwise_count(folded(table, least) ^ folded(rows[i][None], least)).sum(axis=1, dtype=np.int64)
+            top = np.minimum((both - differ) // 2, np.minimum(sizes[others], sizes[i]))
+            pairs += [(int(nodes[i]), int(nodes[j])) for j in others[100 * top >= similar * (both - top)]]
+    return pairs
+
+
 def group_links(sets: list[np.ndarray], nodes: np.ndarray, parts: np.ndarray, sides: np.ndarray, similar: int = SIMILAR):
     """Links (a, b) between the parts of one group, as many as connect what any of its pairs connects.
 
@@ -259,7 +289,7 @@ def group_links(sets: list[np.ndarray], nodes: np.ndarray, parts: np.ndarray, si
     bits are no links; the others are tested on their whole sets, most similar first, unless already connected.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    table = parity([mix(s) for s in sets], min(MOST_BITS, 256 << max(0, int(sizes.max() // 64).bit_length())))
+    table = parity([mix(s) for s in sets], parity_bits(int(sizes.max())))
     found = []
     for i in np.flatnonzero(sides != 1):
         others = np.flatnonzero(sides == 1) if sides[i] == 0 else np.flatnonzero(sides[i + 1:] == 2) + i + 1
@@ -289,16 +319,23 @@ def group_links(sets: list[np.ndarray], nodes: np.ndarray, parts: np.ndarray, si
     return links
 
 
-def linked(wanted: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def linked(wanted: DataFrame, docs: DataFrame, similar: int = SIMILAR, rows: bool = False) -> DataFrame:
     """Links (a, b) by group, written; ``wanted`` has (grp, side, part, key, n), see ``group_links``.
 
-    Sets are made anew from whole texts of the nodes needed and go straight to their groups, in one exchange.
+    Sets are made anew from whole texts of the nodes needed and go straight to their groups, in one exchange. With
+    ``rows`` their parity rows go instead, and the pairs come back that may be links, see ``group_pairs``.
     """
     wanted = cut_lineage(wanted.select("grp", "side", "part", "key", "n"))
     total = wanted.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    deal = max(2 * tasks(docs.sparkSession), total["n"] // GROUP)
+    # a parity row has about a sixteenth of its set's bytes
+    deal = max(2 * tasks(docs.sparkSession), total["n"] // (16 * GROUP if rows else GROUP))
     by_key = cut(wanted.groupBy("key").agg(F.collect_list(F.struct("grp", "side", "part")).alias("at")), total["rows"])
 
+    def sent(own):
+        if not rows:
+            return own.view(np.int64)
+        return np.append(np.int64(len(own)), parity([mix(own)], parity_bits(len(own)))[0].view(np.int64))
+
     def run(batches):
         made = set()
         for batch in batches:
@@ -307,31 +344,44 @@ def linked(wanted: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFr
             made.update(batch["key"])
             texts, at = batch["text"].tolist(), [batch[c].tolist() for c in ("grp", "side", "part")]
             for a, b in pieces_of(texts, CHARS):
-                rows = [(g, s, p, set_number(own), own.view(np.int64)) for own, gs, ss, ps in
-                        zip(shingle_sets(texts[a:b]), *(x[a:b] for x in at), strict=True) for g, s, p in zip(gs, ss, ps, strict=True)]
-                yield pd.DataFrame(rows, columns=["grp", "side", "part", "node", "shingles"])
+                dealt = []
+                for own, gs, ss, ps in zip(shingle_sets(texts[a:b]), *(x[a:b] for x in at), strict=True):
+                    node, numbers = set_number(own), sent(own)
+                    dealt += [(g, s, p, node, numbers) for g, s, p in zip(gs, ss, ps, strict=True)]
+                yield pd.DataFrame(dealt, columns=["grp", "side", "part", "node", "numbers"])
 
     def compared(frame):
         frame = frame.drop_duplicates(["grp", "side", "node"])
         links = []
         for _, own in frame.groupby("grp"):
-            if len(own) > 1:
-                links += group_links([np.asarray(x, np.int64).view(np.uint64) for x in own["shingles"]], own["node"].to_numpy(),
-                                     own["part"].to_numpy(), own["side"].to_numpy(), similar)
+            numbers, nodes, sides = [np.asarray(x, np.int64) for x in own["numbers"]], own["node"].to_numpy(), own["side"].to_numpy()
+            if rows:
+                links += group_pairs(numbers, nodes, sides, similar)
+            elif len(own) > 1:
+                links += group_links([x.view(np.uint64) for x in numbers], nodes, own["part"].to_numpy(), sides, similar)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     texts = docs.select("key", "text").join(small(by_key), "key").select("key", "text", "at.grp", "at.side", "at.part")
-    made = texts.mapInPandas(run, "grp bigint, side int, part bigint, node bigint, shingles array<bigint>")
+    made = texts.mapInPandas(run, "grp bigint, side int, part bigint, node bigint, numbers array<bigint>")
     return cut_lineage(made.groupBy(F.pmod("grp", F.lit(deal)).alias("bucket")).applyInPandas(compared, "a bigint, b bigint"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, written: those of one ``a`` in groups of about ``TILE``."""
+def starred(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What ``linked`` wants for pairs (a, b): those of one ``a`` in groups of about ``TILE``."""
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("chunks"))
     dealt = pairs.select("a", "b").join(chunks, "a").withColumn("grp", F.xxhash64("a", F.pmod(F.xxhash64("b"), "chunks")))
     ends = (dealt.select("grp", F.lit(0).alias("side"), F.col("a").alias("node")).distinct()
             .unionAll(dealt.select("grp", F.lit(1).alias("side"), F.col("b").alias("node"))))
-    return linked(ends.join(nodes, "node").withColumn("part", F.col("node")), docs, similar)
+    return ends.join(nodes, "node").withColumn("part", F.col("node"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, written.
+
+    Pairs meet as parity rows first, so whole sets travel only for those that may be links.
+    """
+    may = linked(starred(pairs, nodes), docs, similar, rows=True)
+    return linked(starred(may, nodes), docs, similar)
 
 
 def crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:

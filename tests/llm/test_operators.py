@@ -486,6 +486,47 @@ def test_ngram_crowd_is_no_join_of_pairs(spark, monkeypatch, tile):
     assert sum(tested) < 10 * len(rows)
 
 
+def test_ngram_sets_travel_only_for_pairs_that_may_link(spark, monkeypatch):
+    """Pairs meet as parity rows; whole sets are sent for those that these do not rule out, and no link is lost."""
+    words = [f"w{k}" for k in range(300)]
+    texts = {"base": words, "near": [*words[:150], "x", *words[151:]], "half": [*words[:150], *(f"y{k}" for k in range(150))],
+             "other": [f"z{k}" for k in range(280)]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts.values())], "id bigint, text string")
+    docs = docs.withColumn("key", ngram_join.text_key("text"))
+    sets = dict(zip(texts, ngram_join.shingle_sets([" ".join(t) for t in texts.values()]), strict=True))
+    node = {k: ngram_join.set_number(s) for k, s in sets.items()}
+    keys = dict(zip(texts, (r["key"] for r in docs.orderBy("id").collect()), strict=True))
+    nodes = spark.createDataFrame([(node[k], keys[k], len(sets[k])) for k in texts], "node bigint, key bigint, n bigint")
+    pairs = spark.createDataFrame([(node["base"], node[k]) for k in ("near", "half", "other")], "a bigint, b bigint")
+    sent, linked = [], ngram_join.linked
+    monkeypatch.setattr(ngram_join, "linked", lambda wanted, *rest, rows=False: (
+        sent.append(wanted.count()) if not rows else None, linked(wanted, *rest, **({"rows": True} if rows else {})))[1])
+    found = ngram_join.verified(pairs, nodes, docs).collect()
+    assert [(r["a"], r["b"]) for r in found] == [(node["base"], node["near"])]
+    assert sent == [2]
+
+
+def test_parity_rows_rule_out_no_link():
+    rng, sized, sets = np.random.default_rng(3), [], []
+    for size in (1, 4, 60, 63, 64, 70, 127, 128, 140, 500, 520, 660):
+        base = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+        for lost in {0, size // 10, size // 4}:
+            sets.append(np.unique(np.append(base[lost:], rng.integers(1, 1 << 63, lost // 3, dtype=np.uint64))))
+    for s in sets:
+        row = ngram_join.parity([ngram_join.mix(s)], ngram_join.parity_bits(len(s)))[0]
+        sized.append(np.append(np.int64(len(s)), row.view(np.int64)))
+    links = many = 0
+    for i in range(len(sets)):
+        found = {b for _, b in ngram_join.group_pairs(sized, np.arange(len(sets)), np.where(np.arange(len(sets)) == i, 0, 1))}
+        for j in set(range(len(sets))) - {i}:
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                links += 1
+                assert j in found
+        many += len(found)
+    assert 0 < links <= many < len(sets) ** 2 // 4
+
+
 def test_group_links_match_plain_comparison():
     rng = np.random.default_rng(5)
     pool = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
