@@ -23,13 +23,20 @@ RUNTIME_CONF = {
 
 _SHIPPED: set[str] = set()
 
+# Bytes of one batch of rows on its way to a Python worker, unless the session names its own: both processes hold whole
+# batches beside the heap, and with long texts Spark's limit of 10,000 rows bounds nothing.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers once per application, so that they need no copy of the folder.
 
-    The archive is a file for Spark's own file server on the driver; no task reads a local folder.
+    The archive is a file for Spark's own file server on the driver; no task reads a local folder. Batches that the
+    session sends to workers are bounded, too.
     """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent

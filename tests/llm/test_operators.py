@@ -4,9 +4,11 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from schemaloom import session
 from schemaloom.llm import exact_dedup, language, licenses, mixing, ngram_join, packing, token_files, tokens, toxicity, url_rules, vector_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, kept boolean, keep_id bigint"
@@ -441,6 +443,24 @@ def test_remembered_words_are_bounded():
         assert len(few.words) <= 20 + 40 < len(all_of_them.words) + 60
 
 
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    """Long texts go to Python in batches of bounded bytes; a session's own setting stays."""
+    own, key = spark.newSession(), session.BATCH_BYTES[0]
+    rows = own.range(0, 600, 1, 1).select(F.expr("repeat(chr(97 + id % 26), 100000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"rows": [len(batch)], "chars": [int(batch["text"].str.len().sum())]})
+
+    session.ship(own)
+    found = rows.mapInPandas(sizes, "rows bigint, chars bigint").collect()
+    assert sum(r["rows"] for r in found) == 600 and max(r["chars"] for r in found) < 10_000_000
+    other = spark.newSession()
+    other.conf.set(key, "32m")
+    session.ship(other)
+    assert other.conf.get(key) in ("32m", "33554432b")
+
+
 def test_frequent_words_outlast_a_full_table():
     """A full table of words drops the rarer ones: words met in every batch are encoded once."""
     encode, seen = tokens.WordEncoder(remembered=120), []
