@@ -14,7 +14,7 @@ blocks; a task hands on one entry per signature and block of work, the other ent
 already knows to be shared go past the exchange's groups. An entry also says how far down the prefix it lies,
 which rules out pairs whose sizes would need it nearer the front. Under a signature, the smallest node of about one size leads the others. A node is compared with the leader
 it shares most signatures with, then with the next best that still lie in other components; where nodes of one signature then lie in different
-components, every pair across these is compared as well: pair by pair, or, where a signature has many nodes, by tiles
+components, every pair across these is compared as well (signatures of the same nodes count once): pair by pair, or, where a signature has many nodes, by tiles
 of the crowd that such signatures join. So no pair that
 could change a component goes untested, and pairs inside a component need no test.
 
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship
+from ..session import cut_lineage, lean, ship
 from .common import components, cut, small, tasks
 from .shingles import mix, set_number, shingle_sets
 from .tokens import pieces_of
@@ -47,12 +47,12 @@ FREQUENT = 32
 # Logarithm of the ratio of sizes that share a leader (they are tried first; all others follow).
 BAND = 0.1
 # Index entries a task holds before it hands them on, and entries wanted in one group of the exchange.
-HELD, GROUP = 1_000_000, 1_000_000
+HELD, GROUP = 400_000, 400_000
 # Entries of a signature beyond which its nodes are compared as a crowd, nodes and shingles of a crowd's tile, and bits of
 # the widest parity row.
 CROWD, TILE, TILE_SHINGLES, MOST_BITS = 32, 512, 2_000_000, 1 << 16
 # Characters of text worked on at once (texts are never cut).
-CHARS = 1_000_000
+CHARS = 250_000
 
 
 def text_key(text: str) -> Column:
@@ -87,7 +87,7 @@ def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     # ids stay whole numbers beside nulls (pandas would turn them to floats)
     whole = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "key", "text")
-    made = cut_lineage(whole.mapInPandas(run, "id bigint, named boolean, key bigint, n bigint, node bigint, slice int, counts binary"))
+    made = cut_lineage(whole.mapInPandas(lean(run), "id bigint, named boolean, key bigint, n bigint, node bigint, slice int, counts binary"))
     sketch = np.zeros(COUNTERS, np.uint64)
     slices = made.where("slice is not null").select("slice", "counts").repartition(COUNTERS // SLICE, "slice")
     for row in slices.mapInPandas(added, "slice int, counts binary").collect():  # COUNTERS numbers at any input size
@@ -230,8 +230,8 @@ def shared_signatures(docs: DataFrame, level: np.ndarray, frequent: int, groups:
         return pd.DataFrame({"sig": kept["sig"].view(np.int64) if kept["sig"].flags.c_contiguous else kept["sig"].astype(np.int64),
                              "node": kept["node"], "n": kept["n"], "place": kept["place"]})
 
-    packed = docs.mapInPandas(run, "bucket bigint, kind int, entries binary")
-    return cut_lineage(packed.groupBy("bucket").applyInPandas(met, "sig bigint, node bigint, n int, place int"))
+    packed = docs.mapInPandas(lean(run), "bucket bigint, kind int, entries binary")
+    return cut_lineage(packed.groupBy("bucket").applyInPandas(lean(met), "sig bigint, node bigint, n int, place int"))
 
 
 def may_link(similar: int = SIMILAR):
@@ -362,8 +362,8 @@ def linked(wanted: DataFrame, docs: DataFrame, similar: int = SIMILAR, rows: boo
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     texts = docs.select("key", "text").join(small(by_key), "key").select("key", "text", "at.grp", "at.side", "at.part")
-    made = texts.mapInPandas(run, "grp bigint, side int, part bigint, node bigint, numbers array<bigint>")
-    return cut_lineage(made.groupBy(F.pmod("grp", F.lit(deal)).alias("bucket")).applyInPandas(compared, "a bigint, b bigint"))
+    made = texts.mapInPandas(lean(run), "grp bigint, side int, part bigint, node bigint, numbers array<bigint>")
+    return cut_lineage(made.groupBy(F.pmod("grp", F.lit(deal)).alias("bucket")).applyInPandas(lean(compared), "a bigint, b bigint"))
 
 
 def starred(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -400,6 +400,21 @@ def crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, similar:
     return linked(dealt.withColumns({"grp": group, "side": side}), docs, similar)
 
 
+def open_signatures(index: DataFrame, part: DataFrame, size: int) -> DataFrame:
+    """(sig, node, n, place, part) of the signatures whose nodes lie in different components, written.
+
+    Signatures of the same nodes are one, with each node's foremost place: two sets that share a long passage meet in
+    one row, not in one for each signature of it. Were two different groups of nodes to get one digest, they would be
+    compared as one, which loses no pair.
+    """
+    placed = cut_lineage(index.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+    alike = F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node"))).alias("alike")
+    kinds = cut(placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), alike)
+                .where("lo != hi").select("sig", "alike"), size)
+    met = placed.join(kinds, "sig").groupBy(F.col("alike").alias("sig"), "node")
+    return cut_lineage(met.agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("part").alias("part")))
+
+
 def placed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """(id, key, n, node, first), one row per row; ``first`` is the group's leader: its id, node and text, ids before null."""
     ship(docs.sparkSession)
@@ -432,11 +447,7 @@ def placed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     links = links.unionAll(verified(rest, nodes, own, similar))
     tested = first.select("a", "b").unionAll(rest)
     # at last all pairs across components under one signature
-    part = components(links)
-    placed = cut_lineage(index.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
-    open_sigs = cut(placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-                    .where("lo != hi").select("sig"), size)
-    left = cut_lineage(placed.join(open_sigs, "sig", "leftsemi"))
+    left = open_signatures(index, components(links), size)
     # signatures of many nodes by crowds, the others pair by pair
     crowded = cut(left.groupBy("sig").agg(F.count(F.lit(1)).alias("entries"), F.min("node").alias("lead"))
                   .where(F.col("entries") > CROWD).select("sig", "lead"), size)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import lean, ship
 from .tokens import encoder, pieces_of, plain_ids, tokenizer_path
 
 SEQUENCE, SEGMENTS, WAITING = 4096, 256, 1024
@@ -138,4 +138,4 @@ def pack(examples: DataFrame, id_col: str = "doc_id", text: str = "text", prompt
             packer.pack()
             yield drained()
 
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInPandas(lean(run), schema).withColumnRenamed("id", id_col)

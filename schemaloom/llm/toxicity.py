@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, ship
+from ..session import cut_lineage, lean, ship
 from .tokens import pieces_of, plain_ids
 
 WINDOW, STEP = 48, 24
@@ -289,7 +289,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # about 2 x sample ids
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInPandas(run, f"id {kind}, toxic int, spans array<string>").where("size(spans) > 0").collect()
+    got = rows.mapInPandas(lean(run), f"id {kind}, toxic int, spans array<string>").where("size(spans) > 0").collect()
     got.sort(key=lambda r: (str(r["id"]), r["spans"]))
     toxic = np.array([r["toxic"] for r in got], np.float32)
     if not 0 < toxic.sum() < len(toxic):
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(lean(run), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def clean_rows(docs: DataFrame, model: Network | float, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -330,4 +330,4 @@ def clean_rows(docs: DataFrame, model: Network | float, text: str = "text", thre
                 found = np.full(b - a, net) if isinstance(net, float) else net.scores(texts[a:b])
                 yield batch.slice(a, b - a).filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 import zipfile
@@ -48,6 +51,34 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def release() -> None:
+    """Give freed memory of this process back to the machine: Arrow's pool, and the C library's (where it can)."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(run):
+    """A task function, of batches or of one group, whose worker keeps no freed memory when it is done.
+
+    Workers live on beside the heap from task to task and from stage to stage, and an executor's memory is shared.
+    """
+    if inspect.isgeneratorfunction(run):
+        def leaner(batches):
+            yield from run(batches)
+            release()
+    else:
+        def leaner(frame):
+            out = run(frame)
+            release()
+            return out
+    return functools.update_wrapper(leaner, run, ("__name__", "__doc__"), ())
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)

@@ -506,6 +506,21 @@ def test_ngram_crowd_is_no_join_of_pairs(spark, monkeypatch, tile):
     assert sum(tested) < 10 * len(rows)
 
 
+def test_ngram_signatures_of_the_same_nodes_are_one(spark):
+    """Two sets with a long passage in common share many signatures: their pair is one row of a join, not one for each."""
+    rows = [(sig, node, 40, sig % 7 + node) for sig in range(50) for node in (1, 2)]  # apart
+    rows += [(sig, node, 40, 9 - sig % 3) for sig in range(50, 70) for node in (2, 3, 3, 4)]  # one node met in two tasks
+    rows += [(sig, node, 40, 1) for sig in range(70, 90) for node in (1, 5)]  # already together
+    index = spark.createDataFrame(rows, "sig bigint, node bigint, n int, place int")
+    part = spark.createDataFrame([(1, 1), (5, 1)], "node bigint, component bigint")
+    found = ngram_join.open_signatures(index, part, len(rows))
+    assert set(found.columns) == {"sig", "node", "n", "place", "part"}
+    by = {}
+    for r in found.collect():
+        by.setdefault(r["sig"], []).append((r["node"], r["n"], r["place"], r["part"]))
+    assert sorted(map(sorted, by.values())) == [[(1, 40, 1, 1), (2, 40, 2, 2)], [(2, 40, 7, 2), (3, 40, 7, 3), (4, 40, 7, 4)]]
+
+
 def test_ngram_sets_travel_only_for_pairs_that_may_link(spark, monkeypatch):
     """Pairs meet as parity rows; whole sets are sent for those that these do not rule out, and no link is lost."""
     words = [f"w{k}" for k in range(300)]
@@ -572,3 +587,21 @@ def test_group_links_match_plain_comparison():
     sides = (nodes % 2).astype(np.int64)
     between = ngram_join.group_links(sets, nodes, nodes, sides, similar)
     assert labels(between) == labels([(i, j) for i, j in plain if sides[i] != sides[j]])
+
+
+def test_worker_gives_freed_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    def run(batches):
+        for batch in batches:
+            blocks = [b"x" * 60_000 for _ in range(4_000)]  # 240 MB in small pieces, and one above them that stays
+            kept.append(b"y" * 60_000)
+            yield batch + len(blocks)
+
+    kept, before = [], resident()
+    assert list(session.lean(run)(iter([1, 2]))) == [4_001, 4_002]
+    assert resident() < before + 120
+    assert session.lean(lambda frame: run(iter([frame])))(3) is not None
+    assert session.lean(run).__name__ == "run"
