@@ -1,7 +1,7 @@
 """Documents whose shingle sets have a Jaccard similarity of 75 % or more, by token-combination prefixes.
 
-Tokens are 5-word shingles. A fixed count sketch over all documents gives each token a frequency level,
-which orders tokens (rare first) and parts them into a rare and a frequent class. Of n tokens a set can
+Tokens are 5-word shingles. A count sketch over all documents, which grows with their text up to a bound, gives each token a
+frequency level, which orders tokens (rare first) and parts them into a rare and a frequent class. Of n tokens a set can
 lose at most n - ceil(0.75 n) to a similar one. A prefix in that order is long enough when losing so many of
 its tokens still leaves either one rare token, or two frequent tokens of one subclass: r rare tokens
 and c_j frequent ones in subclass j outlast r + sum(c_j - 1) - 1 losses, so the prefix is extended until that
@@ -15,7 +15,7 @@ already knows to be shared go past the exchange's groups. An entry also says how
 which rules out pairs whose sizes would need it nearer the front. Under a signature, the smallest node of about one size leads the others. A node is compared with the leader
 it shares most signatures with, then with the next best that still lie in other components; where nodes of one signature then lie in different
 components, every pair across these is compared as well (signatures of the same nodes count once): pair by pair, or, where a signature has many nodes, by tiles
-of the crowd that such signatures join. So no pair that
+of a crowd: all nodes that such signatures join, or each signature's own, whichever moves fewer sets. So no pair that
 could change a component goes untested, and pairs inside a component need no test.
 
 Ids only name components. Sets are verified by node and rows are known by id and text number, so null ids and
@@ -28,29 +28,32 @@ id and text columns are read; ``keep_one`` returns the input's columns.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, lean, ship
+from ..session import cut_lineage, dropped_shuffles, lean, ship
 from .common import components, cut, small, tasks
 from .shingles import mix, set_number, shingle_sets
 from .tokens import pieces_of
 
 # Similarity in hundredths.
 SIMILAR = 75
-# Counters of the frequency sketch, in slices of this many; fixed, so that it may be sent to every task.
-COUNTERS, SLICE = 1 << 20, 1 << 16
+# Counters of the frequency sketch, least and most (it is sent to every task, a byte a counter), bytes of text for each, and
+# counters in a slice. With too few, chance load hides passages that many documents share, and these chain in crowds.
+COUNTERS, MOST_COUNTERS, COUNTER_BYTES, SLICE = 1 << 20, 1 << 24, 64, 1 << 16
 # Documents beyond a counter's mean load (and its chance deviation) that mark its tokens as frequent.
 FREQUENT = 32
 # Logarithm of the ratio of sizes that share a leader (they are tried first; all others follow).
 BAND = 0.1
 # Index entries a task holds before it hands them on, and entries wanted in one group of the exchange.
 HELD, GROUP = 400_000, 400_000
-# Entries of a signature beyond which its nodes are compared as a crowd, nodes and shingles of a crowd's tile, and bits of
-# the widest parity row.
-CROWD, TILE, TILE_SHINGLES, MOST_BITS = 32, 512, 2_000_000, 1 << 16
+# Entries of a signature beyond which its nodes are compared as a crowd, nodes and shingles of a crowd's tile, tiles of a crowd
+# from which on they hold more nodes (up to so many times), and bits of the widest parity row.
+CROWD, TILE, TILE_SHINGLES, TILES, MOST_BITS = 32, 512, 2_000_000, 8, 1 << 16
 # Characters of text worked on at once (texts are never cut).
 CHARS = 250_000
 
@@ -60,46 +63,61 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
-def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(id, key, n, node) of every document, written, and the counters of the sketch over all of them."""
+def counters(docs: DataFrame) -> int:
+    """Counters of the sketch for the text there is, a power of two."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << (total // COUNTER_BYTES).bit_length()))
+
+
+def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """(id, key, n, node) of every document, written, and the sketch over all of them, see ``levels`` and ``first_frequent``."""
+    width = counters(docs)
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.uint32)
+        # a task counts up to 255, which is frequent at any load
+        counts = np.zeros(width, np.uint8)
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in pieces_of(texts, CHARS):
                 sets = shingle_sets(texts[a:b])
-                total = np.concatenate(sets)
-                counts += np.bincount((total & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                met, times = np.unique((np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64), return_counts=True)
+                counts[met] = np.minimum(counts[met] + times, 255)
                 yield pd.DataFrame({"id": batch["id"].iloc[a:b].to_numpy(), "named": batch["named"].iloc[a:b].to_numpy(),
                                     "key": batch["key"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets],
                                     "node": pd.Series([set_number(s) if len(s) else None for s in sets], dtype=object), "slice": None, "counts": None})
         if counts.any():
-            parts = [counts[k:k + SLICE].astype("<u4").tobytes() for k in range(0, COUNTERS, SLICE)]
+            parts = [zlib.compress(counts[k:k + SLICE], 1) for k in range(0, width, SLICE)]
             yield pd.DataFrame({"id": None, "named": None, "key": None, "n": None, "node": None, "slice": range(len(parts)), "counts": parts})
 
     def added(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch["slice"], batch["counts"], strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part, "<u4").astype(np.uint64)
-        yield pd.DataFrame({"slice": list(sums), "counts": [s.tobytes() for s in sums.values()]})
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(part), np.uint8).astype(np.uint32)
+        yield pd.DataFrame({"slice": list(sums), "load": [int(s.sum(dtype=np.uint64)) for s in sums.values()], "levels": [levels(s).tobytes() for s in sums.values()]})
 
     # ids stay whole numbers beside nulls (pandas would turn them to floats)
     whole = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("named"), "key", "text")
     made = cut_lineage(whole.mapInPandas(lean(run), "id bigint, named boolean, key bigint, n bigint, node bigint, slice int, counts binary"))
-    sketch = np.zeros(COUNTERS, np.uint64)
-    slices = made.where("slice is not null").select("slice", "counts").repartition(COUNTERS // SLICE, "slice")
-    for row in slices.mapInPandas(added, "slice int, counts binary").collect():  # COUNTERS numbers at any input size
-        sketch[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] += np.frombuffer(row["counts"], np.uint64)
-    return made.where("slice is null").select(F.when(F.col("named"), F.col("id")).alias("id"), "key", "n", "node"), sketch
+    level, load = np.zeros(width, np.uint8), 0
+    slices = made.where("slice is not null").select("slice", "counts").repartition(width // SLICE, "slice")
+    with dropped_shuffles(docs.sparkSession):
+        found = slices.mapInPandas(lean(added), "slice int, load bigint, levels binary").collect()  # MOST_COUNTERS bytes at most
+    for row in found:
+        level[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] = np.frombuffer(row["levels"], np.uint8)
+        load += row["load"]
+    return made.where("slice is null").select(F.when(F.col("named"), F.col("id")).alias("id"), "key", "n", "node"), level, first_frequent(load / width)
 
 
-def levels(sketch: np.ndarray) -> tuple[np.ndarray, int]:
-    """Frequency level per counter (twice its binary logarithm), and the first frequent level."""
-    level = np.floor(2 * np.log2(np.maximum(sketch, 1).astype(np.float64))).astype(np.uint8)
-    mean = max(1.0, float(sketch.sum()) / len(sketch))
-    return level, int(np.ceil(2 * np.log2(mean + 6 * np.sqrt(mean) + FREQUENT)))
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Frequency level per counter (twice its binary logarithm)."""
+    return np.floor(2 * np.log2(np.maximum(counts, 1).astype(np.float64))).astype(np.uint8)
+
+
+def first_frequent(mean: float) -> int:
+    """The first frequent level, for the counters' mean load."""
+    mean = max(1.0, mean)
+    return int(np.ceil(2 * np.log2(mean + 6 * np.sqrt(mean) + FREQUENT)))
 
 
 def most_lost(n: int, similar: int = SIMILAR) -> int:
@@ -117,7 +135,7 @@ def signatures(shingles: np.ndarray, level: np.ndarray, frequent: int, similar:
     size, need = n.bit_length() - 1, most_lost(n, similar) + 1
     sizes = [size, size + 1] if n * 100 >= similar << (size + 1) else [size]
     spread = mix(shingles)
-    own = level[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    own = level[(shingles & np.uint64(len(level) - 1)).astype(np.int64)]
     key = (own.astype(np.uint64) << np.uint64(56)) | (spread >> np.uint64(8))
     longest = min(n, need + max(1, (1 << sizes[-1]) // 12))
     order = np.argpartition(key, longest - 1)[:longest] if longest < n else np.arange(n)
@@ -286,36 +304,25 @@ def group_links(sets: list[np.ndarray], nodes: np.ndarray, parts: np.ndarray, si
     """Links (a, b) between the parts of one group, as many as connect what any of its pairs connects.
 
     Rows of side 0 are compared with those of side 1, rows of side 2 with each other. Pairs that differ in too many
-    bits are no links; the others are tested on their whole sets, most similar first, unless already connected.
+    bits are no links; the others are tested on their whole sets, a row's most similar first, unless already connected.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes, parts, links = np.array([len(s) for s in sets], np.int64), np.array(parts, np.int64), []
     table = parity([mix(s) for s in sets], parity_bits(int(sizes.max())))
-    found = []
     for i in np.flatnonzero(sides != 1):
         others = np.flatnonzero(sides == 1) if sides[i] == 0 else np.flatnonzero(sides[i + 1:] == 2) + i + 1
         least, most = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
         others = others[(parts[others] != parts[i]) & (100 * least >= similar * most)]
-        if len(others):
-            both = sizes[others] + sizes[i]
-            top = (both - np.bitwise_count(table[others] ^ table[i]).sum(axis=1, dtype=np.int64)) // 2
-            may = 100 * top >= similar * (both - top)
-            found.append(np.stack([top[may] / both[may], np.full(may.sum(), i), others[may]]))
-    if not found:
-        return []
-    found, above, links = np.concatenate(found, axis=1), {}, []
-
-    def root(part):
-        while part in above:
-            part = above[part]
-        return part
-
-    for i, j in found[1:, np.argsort(-found[0], kind="stable")].T.astype(np.int64):
-        x, y = root(parts[i]), root(parts[j])
-        if x != y:
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if common * 100 >= (sizes[i] + sizes[j] - common) * similar:
-                above[max(x, y)] = min(x, y)
-                links.append((int(nodes[i]), int(nodes[j])))
+        if not len(others):
+            continue
+        both = sizes[others] + sizes[i]
+        top = (both - np.bitwise_count(table[others] ^ table[i]).sum(axis=1, dtype=np.int64)) // 2
+        may = np.flatnonzero(100 * top >= similar * (both - top))
+        for j in others[may[np.argsort(-top[may] / both[may], kind="stable")]]:
+            if parts[i] != parts[j]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common * 100 >= (sizes[i] + sizes[j] - common) * similar:
+                    parts[parts == parts[j]] = parts[i]
+                    links.append((int(nodes[i]), int(nodes[j])))
     return links
 
 
@@ -384,19 +391,40 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int =
     return linked(starred(may, nodes), docs, similar)
 
 
+def tiled(nodes: str, shingles: str) -> Column:
+    """Number of a crowd's tiles: ``TILES`` of about ``TILE`` nodes at most, then larger ones up to ``TILES`` times that."""
+    many = F.greatest(F.least(F.ceil(F.col(nodes) / TILE), F.lit(TILES).cast("bigint")), F.ceil(F.col(nodes) / (TILE * TILES)))
+    return F.greatest(many, F.ceil(F.col(shingles) / TILE_SHINGLES))
+
+
+def crowds(members: DataFrame) -> DataFrame:
+    """(crowd, node, part, n, tiles), written; ``members`` has (sig, lead, node, part, n), ``lead`` one node a signature.
+
+    Signatures that share nodes are one crowd, unless the sets sent to its tiles are more than those sent when each signature is a
+    crowd of its own: passages met in many documents may chain signatures that have little else in common.
+    """
+    joined = components(members.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    rows = cut_lineage(members.select("sig", "node", "part", "n").join(joined, "node"))
+    size = [F.count(F.lit(1)).alias("entries"), F.sum("n").alias("shingles")]
+    sent = F.col("entries") * tiled("entries", "shingles")
+    apart = rows.groupBy("component", "sig").agg(*size).groupBy("component").agg(F.sum(sent).alias("apart"))
+    whole = rows.select("component", "node", "n").distinct().groupBy("component").agg(*size).select("component", sent.alias("whole"))
+    kinds = apart.join(whole, "component").select("component", (F.col("apart") < F.col("whole")).alias("split"))
+    crowd = F.when(F.col("split"), F.xxhash64("component", "sig")).otherwise(F.xxhash64("component")).alias("crowd")
+    own = cut_lineage(rows.join(kinds, "component").select(crowd, "node", "part", "n").distinct())
+    return cut_lineage(own.join(own.groupBy("crowd").agg(*size).select("crowd", tiled("entries", "shingles").alias("tiles")), "crowd"))
+
+
 def crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Links that connect all parts of a crowd, written; ``members`` has (sig, lead, node, part), ``lead`` one node a signature.
+    """Links that connect all parts of ``crowds``, written.
 
-    Signatures that share nodes are one crowd. Its nodes are dealt into tiles of bounded number and size, any two
-    of which meet in one group, so that no pair is a row of a join.
+    A crowd's nodes are dealt into tiles of bounded number and size, any two of which meet in one group, so that no pair is
+    a row of a join.
     """
-    crowds = components(members.select(F.col("lead").alias("a"), F.col("node").alias("b")))
-    own = cut_lineage(members.select("node", "part").distinct().join(crowds, "node").join(nodes.select("node", "key", "n"), "node"))
-    tiles = own.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("tiles"))
-    dealt = (own.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    dealt = (crowds(members).join(nodes.select("node", "key"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))))
     side = F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1)
-    group = F.xxhash64("component", F.least("tile", "other"), F.greatest("tile", "other"))
+    group = F.xxhash64("crowd", F.least("tile", "other"), F.greatest("tile", "other"))
     return linked(dealt.withColumns({"grp": group, "side": side}), docs, similar)
 
 
@@ -419,11 +447,10 @@ def placed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     """(id, key, n, node, first), one row per row; ``first`` is the group's leader: its id, node and text, ids before null."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), text_key(text).alias("key"))
-    seen, sketch = profile(own)
+    seen, level, frequent = profile(own)
     totals = seen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
     nodes = cut(seen.where("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("rep")),
                 totals["rows"])
-    level, frequent = levels(sketch)
     deal = max(2 * tasks(docs.sparkSession), totals["shingles"] // 3 // GROUP)
     index = shared_signatures(own, level, frequent, deal, similar)
     # under each signature the smallest node of a size band leads; a node meets the leader it shares most with first

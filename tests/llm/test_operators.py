@@ -1,6 +1,7 @@
 """Small cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -521,6 +522,69 @@ def test_ngram_signatures_of_the_same_nodes_are_one(spark):
     assert sorted(map(sorted, by.values())) == [[(1, 40, 1, 1), (2, 40, 2, 2)], [(2, 40, 7, 2), (3, 40, 7, 3), (4, 40, 7, 4)]]
 
 
+def test_ngram_chained_signatures_are_no_single_crowd(spark, monkeypatch):
+    """Signatures that share one node each with the next are compared one by one: sets sent follow their nodes, not the chain's square."""
+    rows = [(sig, sig * 40, sig * 39 + k + 1, sig * 39 + k + 1, 60) for sig in range(60) for k in range(40)]
+    rows += [(sig, -1, -k, -k, 60) for sig in range(100, 140) for k in range(1, 41)]  # the same nodes again and again: one crowd
+    rows = [(sig, min(r[2] for r in rows if r[0] == sig), node, part, n) for sig, _, node, part, n in rows]
+    members = spark.createDataFrame(rows, "sig bigint, lead bigint, node bigint, part bigint, n int")
+    nodes = members.select("node", F.col("node").alias("key"), F.col("n").cast("bigint").alias("n")).distinct()
+    sent = []
+    monkeypatch.setattr(ngram_join, "linked", lambda wanted, *rest: sent.extend(wanted.select("grp", "side", "part", "key").collect()))
+    ngram_join.crowd_links(members, nodes, None)
+    assert len(sent) == 60 * 40 + 40
+    groups = {}
+    for r in sent:
+        groups.setdefault(r["grp"], set()).add(r["key"])
+    # every pair of one signature still meets in a group
+    for sig in {r[0] for r in rows}:
+        assert any({r[2] for r in rows if r[0] == sig} <= g for g in groups.values())
+
+
+def test_ngram_tiles_follow_the_crowd(spark):
+    """A large crowd's tiles grow, so that a node's set is sent a few times and not once for every 512 others."""
+    sizes = spark.createDataFrame([(40, 16_000), (1_000, 400_000), (4_096, 1_600_000), (13_500, 5_400_000), (67_000, 26_800_000), (600, 5_000_000)], "e bigint, s bigint")
+    assert [r[0] for r in sizes.select(ngram_join.tiled("e", "s")).collect()] == [1, 2, 8, 8, 17, 3]
+
+
+def test_ngram_sketch_grows_with_the_text(spark, monkeypatch):
+    """More text gets more counters, up to a bound; shared passages stay apart from chance load, and the groups are the same."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 60))) for _ in range(400)]
+    texts += [t + " end" for t in texts[:50]]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    before = sorted(map(tuple, ngram_join.groups(docs).collect()))
+    monkeypatch.setattr(ngram_join, "COUNTERS", 1 << 16)
+    monkeypatch.setattr(ngram_join, "COUNTER_BYTES", 2, raising=False)
+    own = docs.select(F.col("doc_id").alias("id"), "text", ngram_join.text_key("text").alias("key"))
+    seen, level, frequent = ngram_join.profile(own)
+    total = sum(map(len, texts))
+    assert total // 2 < len(level) <= total and seen.count() == len(texts)
+    shared = np.concatenate(ngram_join.shingle_sets(texts[:50]))
+    alone = np.concatenate(ngram_join.shingle_sets(texts[50:400]))
+    mask = np.uint64(len(level) - 1)
+    assert np.mean(level[(shared & mask).astype(int)]) > 1.9 and np.mean(level[(alone & mask).astype(int)]) < 0.5 and frequent > 8
+    assert sorted(map(tuple, ngram_join.groups(docs).collect())) == before
+    monkeypatch.setattr(ngram_join, "MOST_COUNTERS", 1 << 17, raising=False)
+    monkeypatch.setattr(ngram_join, "COUNTER_BYTES", 1, raising=False)
+    assert ngram_join.counters(own) == 1 << 17
+
+
+def test_written_stages_leave_no_shuffle_files(spark):
+    """A written table needs no shuffle any more; its files must not wait for the driver's garbage collection."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(x) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if "shuffle_" in f}
+    before = files()
+    kept = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.max("id").alias("m"))
+    out = session.cut_lineage(kept)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 1000
+    assert spark.conf.get(session.DROP_SHUFFLES, "false") == "false"
+
+
 def test_ngram_sets_travel_only_for_pairs_that_may_link(spark, monkeypatch):
     """Pairs meet as parity rows; whole sets are sent for those that these do not rule out, and no link is lost."""
     words = [f"w{k}" for k in range(300)]
