@@ -18,10 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD, cut, numbered, ranged
+from .common import WORD, cut, numbered, ranged, small
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 
+# Rows with their copies that may be sent to every task (about 150 bytes each), so that no text is shuffled.
+SENT_ROWS = 500_000
+
 
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -71,16 +74,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
 
 def taken_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """The mix itself: each row of the input as often as it is taken."""
-    chosen = mix(docs, id_col, text, source, **settings).where("copies > 0")
-    # repeated rows are told apart by a count of their own, inside one id
-    again = W.partitionBy("_id", "_source", "_size")
-    wanted = cut_lineage(chosen.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-                                       "copies"))
-    wanted = wanted.withColumn("_row", F.row_number().over(again.orderBy(F.col("copies").desc())))
+    """The mix itself: each row of the input as often as it is taken.
+
+    Rows known by id, source and size meet their copies in one exchange of the texts (none where the copies are few enough to be
+    sent to them); only repeated ones are put in order first.
+    """
+    keys = ["_id", "_source", "_size"]
+    chosen = cut_lineage(mix(docs, id_col, text, source, **settings).select(
+        F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"))
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"), F.col(source).alias("_source"),
                        words_in(F.col(text)).alias("_size"))
-    rows = rows.withColumn("_row", F.row_number().over(again.orderBy(F.col(f"_doc.{text}"))))
-    same = [rows[c].eqNullSafe(wanted[c]) for c in ("_id", "_source", "_size", "_row")]
-    met = rows.join(wanted, same)
-    return met.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
+    total = chosen.count()
+    repeated = cut(chosen.groupBy(*keys).count().where("count > 1").select(*keys), total)
+
+    def met(left, right, on, how="inner"):
+        return left.join(right, [left[c].eqNullSafe(right[c]) for c in on], how)
+
+    def sent(copies):
+        return F.broadcast(copies) if total <= SENT_ROWS else copies
+
+    if repeated.isEmpty():
+        taken = met(rows, sent(chosen.where("copies > 0")), keys).select("_doc", "copies")
+    else:
+        taken = met(rows, sent(met(chosen.where("copies > 0"), small(repeated), keys, "leftanti")), keys).select("_doc", "copies")
+        # repeated rows are told apart by a count of their own, inside one id
+        again = W.partitionBy(*keys)
+        wanted = met(chosen.where("copies > 0"), small(repeated), keys, "leftsemi").withColumn(
+            "_row", F.row_number().over(again.orderBy(F.col("copies").desc())))
+        several = met(rows, small(repeated), keys, "leftsemi").withColumn("_row", F.row_number().over(again.orderBy(F.col(f"_doc.{text}"))))
+        taken = taken.unionAll(met(several, wanted, [*keys, "_row"]).select("_doc", "copies"))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

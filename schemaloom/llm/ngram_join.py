@@ -409,10 +409,12 @@ def crowds(members: DataFrame) -> DataFrame:
     sent = F.col("entries") * tiled("entries", "shingles")
     apart = rows.groupBy("component", "sig").agg(*size).groupBy("component").agg(F.sum(sent).alias("apart"))
     whole = rows.select("component", "node", "n").distinct().groupBy("component").agg(*size).select("component", sent.alias("whole"))
-    kinds = apart.join(whole, "component").select("component", (F.col("apart") < F.col("whole")).alias("split"))
+    # one row a crowd, sent to all tasks: a large crowd's rows are not dealt out by crowd
+    kinds = small(cut_lineage(apart.join(whole, "component").select("component", (F.col("apart") < F.col("whole")).alias("split"))))
     crowd = F.when(F.col("split"), F.xxhash64("component", "sig")).otherwise(F.xxhash64("component")).alias("crowd")
     own = cut_lineage(rows.join(kinds, "component").select(crowd, "node", "part", "n").distinct())
-    return cut_lineage(own.join(own.groupBy("crowd").agg(*size).select("crowd", tiled("entries", "shingles").alias("tiles")), "crowd"))
+    tiles = cut_lineage(own.groupBy("crowd").agg(*size).select("crowd", tiled("entries", "shingles").alias("tiles")))
+    return cut_lineage(own.join(small(tiles), "crowd"))
 
 
 def crowd_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, similar: int = SIMILAR) -> DataFrame:

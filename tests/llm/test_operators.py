@@ -585,6 +585,21 @@ def test_written_stages_leave_no_shuffle_files(spark):
     assert spark.conf.get(session.DROP_SHUFFLES, "false") == "false"
 
 
+def test_mix_puts_only_repeated_rows_in_order(spark):
+    """Rows known by id, source and size are taken in one exchange; repeated ones are taken as often as the mix says, too."""
+    texts = ["w " * (1 + i * 7 % 50) for i in range(300)]
+    rows = [(i, texts[i], "en", "ab"[i % 2], None, None) for i in range(300)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.taken_rows(frame)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    count = lambda found: sorted((str(r["doc_id"]), str(r["source"]), len((r["text"] or "").split())) for r in found)
+    due = lambda frame: sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in mixing.mix(frame).collect() for _ in range(r["copies"]))
+    assert count(out.collect()) == due(frame)
+    odd = frame.unionAll(frame.limit(40)).unionAll(spark.createDataFrame([(None, t, "en", None, None, None) for t in texts[:60] + ["x " * 5] * 9], SCHEMA))
+    found = mixing.taken_rows(odd)
+    assert found.columns == frame.columns and count(found.collect()) == due(odd)
+
+
 def test_ngram_sets_travel_only_for_pairs_that_may_link(spark, monkeypatch):
     """Pairs meet as parity rows; whole sets are sent for those that these do not rule out, and no link is lost."""
     words = [f"w{k}" for k in range(300)]
